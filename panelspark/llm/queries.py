@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from panelspark.llm import knn
+from panelspark.llm import knn, lines, packing
 
 QUERIES = {
     "op1_nearest_neighbours": knn.op1_nearest_neighbours,
+    "op4_line_dedup": lines.op4_line_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
     "op1_nearest_neighbours": knn.ORACLE,
+    "op4_line_dedup": lines.ORACLE,
 }
