@@ -15,55 +15,79 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
+from panelspark.llm.bytetext import mix
+
 #: Entries that a task holds before it emits its blocks.
 FLUSH_ENTRIES = 1 << 20
 
 
-def block_schema(columns: dict[str, str]) -> T.StructType:
-    return T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("owner", "entries", *columns))])
+#: What an entry wants: an answer, only to be echoed (its task decided already), or only to be counted.
+ASK, ECHO, COUNT = 0, 1, 2
+
+
+def block_schema(columns: dict[str, str], per_owner: dict[str, str] | None = None) -> T.StructType:
+    return T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("owner", "entries", *(per_owner or {}), *columns))])
 
 
 class Outbox:
-    def __init__(self, columns: dict[str, str], flush_entries: int = FLUSH_ENTRIES):
-        self.columns, self.flush_entries, self.names = columns, flush_entries, ["bucket", "owner", "entries", *columns]
-        self.schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in self.names[1:])])
-        self.parts: list[tuple[np.ndarray, ...]] = []
+    """Collects one task's entries; ``combine`` may decide some of them before they are sent."""
+
+    def __init__(self, columns: dict[str, str], per_owner: dict[str, str] | None = None, combine=None, flush_entries: int = FLUSH_ENTRIES):
+        self.columns, self.per_owner, self.combine, self.flush_entries = columns, per_owner or {}, combine, flush_entries
+        self.fields = ["bucket", "owner", *self.per_owner, *columns]
+        self.dtypes = {"bucket": "i4", "owner": "i8", **self.per_owner, **columns}
+        self.schema = pa.schema([(f.name, pa.int32() if f.name == "bucket" else pa.binary()) for f in block_schema(columns, per_owner).fields])
+        self.parts: list[list[np.ndarray]] = []
         self.size = 0
 
-    def add(self, bucket: np.ndarray, owner: np.ndarray, **values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, **values: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Entries in the order of their owners; owner holds each entry's 64-bit row key."""
-        self.parts.append((bucket.astype(np.int32), owner, *(values[c].astype(d) for c, d in self.columns.items())))
-        self.size += len(bucket)
+        self.parts.append([values[c].astype(self.dtypes[c], copy=False) for c in self.fields])
+        self.size += len(values["bucket"])
         if self.size >= self.flush_entries:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            bucket, owner, *values = map(np.concatenate, zip(*self.parts, strict=True))
-            order = np.argsort(bucket, kind="stable")
-            bucket, owner, values = bucket[order], owner[order], [v[order] for v in values]
-            cut = np.flatnonzero(np.diff(bucket)) + 1
-            rows: dict[str, list] = {c: [] for c in self.names}
-            for a, b in zip([0, *cut], [*cut, len(bucket)], strict=True):
-                own = owner[a:b]
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                rows["bucket"].append(int(bucket[a]))
-                rows["owner"].append(own[first].tobytes())
-                rows["entries"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
-                for c, v in zip(self.columns, values, strict=True):
-                    rows[c].append(v[a:b].tobytes())
-            self.parts, self.size = [], 0
-            yield pa.RecordBatch.from_pydict(rows, schema=self.schema)
-
-
-def unpack(table: pa.Table, columns: dict[str, str]) -> dict[str, np.ndarray]:
-    """All entries of the blocks: their owners, the block each came in, and their values."""
-    get = lambda c, d: [np.frombuffer(x, d) for x in table[c].to_pylist()]
-    owner, entries = get("owner", np.int64), get("entries", np.uint32)
-    out = {c: np.concatenate([np.zeros(0, d), *get(c, d)]) for c, d in columns.items()}
-    out["owner"] = np.concatenate([np.zeros(0, np.int64), *(np.repeat(o, n) for o, n in zip(owner, entries, strict=True))])
-    out["block"] = np.repeat(np.arange(len(entries)), [int(n.sum()) for n in entries])
-    return out
+        if not self.size:
+            return
+        e = dict(zip(self.fields, map(np.concatenate, zip(*self.parts, strict=True)), strict=True))
+        self.parts, self.size = [], 0
+        if self.combine:
+            e = self.combine(e)
+        order = np.argsort(e["bucket"], kind="stable")
+        e = {c: v[order] for c, v in e.items()}
+        cut = np.flatnonzero(np.diff(e["bucket"])) + 1
+        rows: dict[str, list] = {c: [] for c in self.schema.names}
+        for a, b in zip([0, *cut], [*cut, len(order)], strict=True):
+            if a == b:
+                continue
+            own = e["owner"][a:b]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            rows["bucket"].append(int(e["bucket"][a]))
+            rows["owner"].append(own[first].tobytes())
+            rows["entries"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
+            for c in self.per_owner:
+                rows[c].append(e[c][a:b][first].tobytes())
+            for c in self.columns:
+                rows[c].append(e[c][a:b].tobytes())
+        yield pa.RecordBatch.from_pydict(rows, schema=self.schema)
+
+
+def unpack(table: pa.Table, columns: dict[str, str], per_owner: dict[str, str] | None = None) -> dict[str, np.ndarray]:
+    """All entries of the blocks: their owners and their values."""
+    get = lambda c, d: np.frombuffer(b"".join(table[c].to_pylist()), d)
+    entries = get("entries", np.uint32)
+    return {c: get(c, d) for c, d in columns.items()} | {c: np.repeat(get(c, d), entries) for c, d in {"owner": "i8", **(per_owner or {})}.items()}
+
+
+def spread(owner: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Any bucket, evenly: for entries that are only echoed."""
+    return bucket_of(mix(owner.view(np.uint64) + mix(at.astype(np.uint64), 21), 22), n)
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values in a sorted array starts."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
 
 
 def by_owner(owner: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
@@ -83,15 +107,9 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 
 def flat_binary(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """A list<binary> column as one array of all numbers, and the row that each belongs to."""
-    owner, parts = [], []
-    for i, x in enumerate(column.to_pylist()):
-        for piece in x or ():
-            v = np.frombuffer(piece, dtype)
-            parts.append(v)
-            owner.append(np.full(len(v), i))
-    if not parts:
-        return np.zeros(0, dtype), np.zeros(0, np.int64)
-    return np.concatenate(parts), np.concatenate(owner)
+    rows = column.to_pylist()
+    sizes = np.fromiter((sum(map(len, x or ())) for x in rows), np.int64, len(rows)) // np.dtype(dtype).itemsize
+    return np.frombuffer(b"".join(p for x in rows for p in x or ()), dtype), np.repeat(np.arange(len(rows)), sizes)
 
 
 def record_batches(rows: Iterable[dict], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -175,7 +175,7 @@ def probe(docs: DataFrame, shards: DataFrame, n_shards: int, salts: int, min_poi
                 own = keys[t.first + owner]
                 # 64 bits of a row key deal its lines out over the salts of a shard
                 shard = np.mod(B.signed(lo), n_shards) * salts + (B.mix(own.view(np.uint64)) % np.uint64(salts)).astype(np.int64)
-                yield from box.add(shard, own, hi=hi, lo=lo)
+                yield from box.add(bucket=shard, owner=own, hi=hi, lo=lo)
         yield from box.flush()
 
     out = pa.schema([("key", pa.int64()), ("hits", pa.binary())])

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from panelspark.llm import knn, lines, packing
+from panelspark.llm import knn, lines, packing, substrings
 
 QUERIES = {
     "op1_nearest_neighbours": knn.op1_nearest_neighbours,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_line_dedup": lines.op4_line_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
     "op1_nearest_neighbours": knn.ORACLE,
+    "op3_substring_dedup": substrings.ORACLE,
     "op4_line_dedup": lines.ORACLE,
 }
