@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from panelspark.llm import knn, lines, packing, substrings
+from panelspark.llm import knn, lines, packing, substrings, suffixes
 
 QUERIES = {
     "op1_nearest_neighbours": knn.op1_nearest_neighbours,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
