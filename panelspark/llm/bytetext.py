@@ -119,10 +119,10 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
 
-def words(t: Texts, lower: bool = False) -> Words:
+def words(t: Texts, lower: bool = False, separator: np.ndarray = _SEPARATOR) -> Words:
     data = _LOWER[t.data] if lower else t.data
     n = len(data)
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     begins = np.zeros(n + 1, bool)
     begins[t.offsets] = True
     before = np.zeros(n + 1, bool)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from panelspark.llm import knn, lines, packing, substrings, suffixes
+from panelspark.llm import decontaminate, knn, lines, packing, substrings, suffixes
 
 QUERIES = {
     "op1_nearest_neighbours": knn.op1_nearest_neighbours,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
