@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.llm import decontaminate, knn, lines, packing, substrings, suffixes
+from panelspark.llm import decontaminate, knn, lines, packing, quality, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": knn.op1_nearest_neighbours,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
+    "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
