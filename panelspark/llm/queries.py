@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.llm import decontaminate, knn, lines, packing, quality, substrings, suffixes, toxicity
+from panelspark.llm import decontaminate, knn, lines, packing, quality, setjoin, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": knn.op1_nearest_neighbours,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_ngram_jaccard_join": setjoin.op8_ngram_jaccard_join,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
@@ -19,4 +20,5 @@ ORACLES = {
     "op1_nearest_neighbours": knn.ORACLE,
     "op3_substring_dedup": substrings.ORACLE,
     "op4_line_dedup": lines.ORACLE,
+    "op8_ngram_jaccard_join": setjoin.ORACLE,
 }

@@ -28,7 +28,7 @@ MAX_ROWS = 20_000
 MAX_FEATURES = 2048
 FEATURE_BITS = 22
 #: Expected severity from which a document counts as toxic.
-THRESHOLD = 0.3
+THRESHOLD = 0.15
 PREFIX_BYTES = 5
 
 
