@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.llm import decontaminate, knn, lines, packing, quality, setjoin, substrings, suffixes, toxicity
+from panelspark.llm import decontaminate, knn, lines, maxent, packing, quality, setjoin, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": knn.op1_nearest_neighbours,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_ngram_jaccard_join": setjoin.op8_ngram_jaccard_join,
+    "op9_lm_scoring": maxent.op9_lm_scoring,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
