@@ -3,7 +3,9 @@
 A map task collects entries (a bucket, the key of the row that owns the entry,
 and some numbers) and emits one row per bucket, holding the entries as packed
 arrays.  Spark deals the rows out by bucket; a reducer unpacks its bucket with
-numpy.  Entries that a task has already combined travel once, so a value that
+numpy.  Answers travel back the same way: rows have a home (their key modulo the
+number of homes), and a reducer sends one row of answers to each home.  Blocks
+thus number buckets times homes or tasks, whatever the rows.  Entries that a task has already combined travel once, so a value that
 occurs in a third of all rows costs one entry per flush, not one per row.
 """
 
@@ -36,7 +38,6 @@ class Outbox:
         self.columns, self.per_owner, self.combine, self.flush_entries = columns, per_owner or {}, combine, flush_entries
         self.fields = ["bucket", "owner", *self.per_owner, *columns]
         self.dtypes = {"bucket": "i4", "owner": "i8", **self.per_owner, **columns}
-        self.schema = pa.schema([(f.name, pa.int32() if f.name == "bucket" else pa.binary()) for f in block_schema(columns, per_owner).fields])
         self.parts: list[list[np.ndarray]] = []
         self.size = 0
 
@@ -54,23 +55,54 @@ class Outbox:
         self.parts, self.size = [], 0
         if self.combine:
             e = self.combine(e)
-        order = np.argsort(e["bucket"], kind="stable")
-        e = {c: v[order] for c, v in e.items()}
-        cut = np.flatnonzero(np.diff(e["bucket"])) + 1
-        rows: dict[str, list] = {c: [] for c in self.schema.names}
-        for a, b in zip([0, *cut], [*cut, len(order)], strict=True):
-            if a == b:
-                continue
-            own = e["owner"][a:b]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            rows["bucket"].append(int(e["bucket"][a]))
-            rows["owner"].append(own[first].tobytes())
-            rows["entries"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
-            for c in self.per_owner:
-                rows[c].append(e[c][a:b][first].tobytes())
-            for c in self.columns:
-                rows[c].append(e[c][a:b].tobytes())
-        yield pa.RecordBatch.from_pydict(rows, schema=self.schema)
+        yield pack(e, self.columns, self.per_owner)
+
+
+def pack(e: dict[str, np.ndarray], columns: dict[str, str], per_owner: dict[str, str] | None = None) -> pa.RecordBatch:
+    """Entries as blocks, one row per bucket."""
+    fields = block_schema(columns, per_owner).names
+    order = np.argsort(e["bucket"], kind="stable")
+    e = {c: v[order] for c, v in e.items()}
+    cut = np.flatnonzero(np.diff(e["bucket"])) + 1
+    rows: dict[str, list] = {c: [] for c in fields}
+    for a, b in zip([0, *cut], [*cut, len(order)], strict=True):
+        if a == b:
+            continue
+        own = e["owner"][a:b]
+        first = runs(own)
+        rows["bucket"].append(int(e["bucket"][a]))
+        rows["owner"].append(own[first].tobytes())
+        rows["entries"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
+        for c in per_owner or {}:
+            rows[c].append(e[c][a:b][first].tobytes())
+        for c, d in columns.items():
+            rows[c].append(e[c][a:b].astype(d, copy=False).tobytes())
+    return pa.RecordBatch.from_pydict(rows, schema=arrow_schema(columns, per_owner))
+
+
+def arrow_schema(columns: dict[str, str], per_owner: dict[str, str] | None = None) -> pa.Schema:
+    return pa.schema([(f.name, pa.int32() if f.name == "bucket" else pa.binary()) for f in block_schema(columns, per_owner).fields])
+
+
+def reply(owner: np.ndarray, homes: int, columns: dict[str, str], **values: np.ndarray) -> pa.Table:
+    """Answers as blocks for the homes of their owners."""
+    home = np.mod(owner, homes)
+    order = np.lexsort((owner, home))
+    e = {"bucket": home[order].astype(np.int32), "owner": owner[order], **{c: v[order] for c, v in values.items()}}
+    return pa.Table.from_batches([pack(e, columns)])
+
+
+def received(replies: pa.Table, keys: np.ndarray, columns: dict[str, str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The row of each answer, rising, and the answers' values; rows that share a key all get its answers."""
+    if not replies.num_rows:
+        return np.zeros(0, np.int64), {c: np.zeros(0, d) for c, d in columns.items()}
+    e = unpack(replies, columns)
+    by_key = np.argsort(keys, kind="stable")
+    a, b = (np.searchsorted(keys[by_key], e["owner"], side) for side in ("left", "right"))
+    n = b - a
+    row = by_key[np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    order = np.argsort(row, kind="stable")
+    return row[order], {c: np.repeat(e[c], n)[order] for c in columns}
 
 
 def unpack(table: pa.Table, columns: dict[str, str], per_owner: dict[str, str] | None = None) -> dict[str, np.ndarray]:

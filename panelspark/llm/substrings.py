@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from panelspark.llm import bytetext as B
 from panelspark.llm.common import buckets, row_key, table, text_bytes
-from panelspark.llm.exchange import ASK, COUNT, ECHO, Outbox, block_schema, bucket_of, by_owner, flat_binary, runs, spread, unpack
+from panelspark.llm.exchange import ASK, COUNT, ECHO, Outbox, arrow_schema, block_schema, bucket_of, received, reply, runs, spread, unpack
 
 WINDOW = 20
 #: Perfect difference sets by modulus; their windows are WINDOW + 1 - modulus words.
@@ -38,7 +38,7 @@ BUCKET_BYTES = 16 << 20
 _ANCHOR = {"fp": "u4", "at": "i4", "state": "u1"}
 _WINDOW = {"fp": "u8", "at": "i4", "state": "u1"}
 _ORDER = {"doc": "i8"}
-_ANSWER = pa.schema([("key", pa.int64()), ("at", pa.binary())])
+_ANSWER = {"at": "i4"}
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -68,20 +68,19 @@ def combine_repeats(n_buckets: int):
     return run
 
 
-def answer_repeats(_: tuple, blocks: pa.Table) -> pa.Table:
-    """key, at: anchors that occur more than once."""
-    e = unpack(blocks, _ANCHOR)
-    counted = e["state"] != ECHO
-    _, inverse = np.unique(e["fp"][counted], return_inverse=True)
-    total = np.bincount(inverse, weights=np.where(e["state"][counted] == COUNT, 2, 1))
-    yes = e["state"] == ECHO
-    yes[np.flatnonzero(counted)] = (total[inverse] > 1) & (e["state"][counted] == ASK)
-    return _answers(e["owner"][yes], e["at"][yes])
+def answer_repeats(homes: int):
+    """The anchors that occur more than once, to the homes of their texts."""
 
+    def run(_: tuple, blocks: pa.Table) -> pa.Table:
+        e = unpack(blocks, _ANCHOR)
+        counted = e["state"] != ECHO
+        _, inverse = np.unique(e["fp"][counted], return_inverse=True)
+        total = np.bincount(inverse, weights=np.where(e["state"][counted] == COUNT, 2, 1))
+        yes = e["state"] == ECHO
+        yes[np.flatnonzero(counted)] = (total[inverse] > 1) & (e["state"][counted] == ASK)
+        return reply(e["owner"][yes], homes, _ANSWER, at=e["at"][yes])
 
-def _answers(owner: np.ndarray, at: np.ndarray) -> pa.Table:
-    found = list(by_owner(owner, at))
-    return pa.table([[k for k, _ in found], [v.tobytes() for _, v in found]], schema=_ANSWER)
+    return run
 
 
 def combine_firsts(n_buckets: int):
@@ -105,13 +104,17 @@ def _later(e: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def answer_firsts(_: tuple, blocks: pa.Table) -> pa.Table:
-    """key, at: windows that have an equal one earlier."""
-    e = unpack(blocks, _WINDOW, _ORDER)
-    asks = np.flatnonzero(e["state"] == ASK)
-    yes = e["state"] == ECHO
-    yes[asks] = _later({c: v[asks] for c, v in e.items()})
-    return _answers(e["owner"][yes], e["at"][yes])
+def answer_firsts(homes: int):
+    """The windows that have an equal one earlier, to the homes of their texts."""
+
+    def run(_: tuple, blocks: pa.Table) -> pa.Table:
+        e = unpack(blocks, _WINDOW, _ORDER)
+        asks = np.flatnonzero(e["state"] == ASK)
+        yes = e["state"] == ECHO
+        yes[asks] = _later({c: v[asks] for c, v in e.items()})
+        return reply(e["owner"][yes], homes, _ANSWER, at=e["at"][yes])
+
+    return run
 
 
 def send_anchors(n_buckets: int, window: int):
@@ -141,24 +144,24 @@ def send_anchors(n_buckets: int, window: int):
 def send_windows(n_buckets: int, window: int):
     v, _, size = cover_for(window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = Outbox(_WINDOW, _ORDER, combine_firsts(n_buckets))
-        for batch in batches:
-            keys = batch["_ps_key"].to_numpy(zero_copy_only=False)
-            docs = batch["_ps_order"].to_numpy(zero_copy_only=False)
-            at, row = flat_binary(batch["_ps_at"], "i4")
-            for t in B.texts(batch["_ps_text"]):
+    def run(_: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        box, out = Outbox(_WINDOW, _ORDER, combine_firsts(n_buckets)), []
+        if docs.num_rows and replies.num_rows:
+            keys, order = docs["_ps_key"].to_numpy(), docs["_ps_order"].to_numpy()
+            row, answers = received(replies, keys, _ANSWER)
+            for t in B.texts(docs["_ps_text"]):
                 w = B.words(t)
                 a, b = np.searchsorted(row, (t.first, t.first + len(t)))
                 hit = np.zeros(len(w) + 1, np.int64)
-                hit[w.offsets[row[a:b] - t.first] + at[a:b]] = 1
+                hit[w.offsets[row[a:b] - t.first] + answers["at"][a:b]] = 1
                 before = np.concatenate([[0], np.cumsum(hit)])
                 start, (h, h2) = B.windows(w, window, (1, 2))
                 near = before[start + v] > before[start]
                 start, h, h2 = start[near], h[near], h2[near]
                 text = np.searchsorted(w.offsets, start, "right") - 1
-                yield from box.add(bucket=bucket_of(h2, n_buckets), owner=keys[t.first + text], doc=docs[t.first + text], fp=h, at=start - w.offsets[text], state=np.full(len(h), ASK))
-        yield from box.flush()
+                out += box.add(bucket=bucket_of(h2, n_buckets), owner=keys[t.first + text], doc=order[t.first + text], fp=h, at=start - w.offsets[text], state=np.full(len(h), ASK))
+            out += box.flush()
+        return pa.Table.from_batches(out, schema=arrow_schema(_WINDOW, _ORDER))
 
     return run
 
@@ -208,47 +211,67 @@ def spans_of(gone: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def remove_words(text_column: str, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, row = flat_binary(batch["_ps_at"], "i4")
-            rest = batch.drop_columns(["_ps_key", "_ps_order", "_ps_text", "_ps_at"])
-            data, sizes, n_words, n_removed, starts, ends, counts = [], [], [], [], [], [], []
-            for t in B.texts(batch["_ps_text"]):
-                w = B.words(t)
-                a, b = np.searchsorted(row, (t.first, t.first + len(t)))
-                start = w.offsets[row[a:b] - t.first] + at[a:b]
-                gone = covered(len(w), start, start + window)
-                out, offsets = join_words(w, ~gone)
-                data.append(out)
-                sizes.append(np.diff(offsets))
-                total = np.concatenate([[0], np.cumsum(gone)])[w.offsets]
-                n_words.append(np.diff(w.offsets))
-                n_removed.append(np.diff(total))
-                for to, x in zip((starts, ends, counts), spans_of(gone, w.offsets), strict=True):
-                    to.append(x)
-            cat = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
-            offsets = np.concatenate([[0], np.cumsum(cat(sizes))]).astype(np.int64)
-            joined = np.concatenate([np.zeros(0, np.uint8), *data])
-            kept = pa.LargeStringArray.from_buffers(rest.num_rows, pa.py_buffer(offsets), pa.py_buffer(joined))
-            i = rest.schema.get_field_index(text_column)
-            rest = rest.set_column(i, text_column, kept.cast(rest.schema.field(i).type))
-            spans = lists_of([cat(starts), cat(ends)], np.concatenate([[0], np.cumsum(cat(counts))]), ("start", "end"))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(cat(n_words)), pa.array(cat(n_removed)), spans], names=[*rest.schema.names, "n_words", "n_removed", "removed"])
+    def run(_: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        row, answers = received(replies, docs["_ps_key"].to_numpy(), _ANSWER)
+        data, sizes, n_words, n_removed, starts, ends, counts = [], [], [], [], [], [], []
+        for t in B.texts(docs["_ps_text"]):
+            w = B.words(t)
+            a, b = np.searchsorted(row, (t.first, t.first + len(t)))
+            start = w.offsets[row[a:b] - t.first] + answers["at"][a:b]
+            gone = covered(len(w), start, start + window)
+            out, offsets = join_words(w, ~gone)
+            data.append(out)
+            sizes.append(np.diff(offsets))
+            n_words.append(np.diff(w.offsets))
+            n_removed.append(np.diff(np.concatenate([[0], np.cumsum(gone)])[w.offsets]))
+            for to, x in zip((starts, ends, counts), spans_of(gone, w.offsets), strict=True):
+                to.append(x)
+        joined, offsets = np.concatenate([np.zeros(0, np.uint8), *data]), offsets_of(sizes)
+        kept = pa.LargeStringArray.from_buffers(docs.num_rows, pa.py_buffer(offsets), pa.py_buffer(joined))
+        rest = plain_columns(docs)
+        i = rest.schema.get_field_index(text_column)
+        rest = rest.set_column(i, text_column, kept.cast(rest.schema.field(i).type))
+        spans = lists_of([cat(starts), cat(ends)], offsets_of(counts), ("start", "end"))
+        return add_columns(rest, n_words=cat(n_words), n_removed=cat(n_removed), removed=spans)
 
     return run
 
 
-def attach(docs: DataFrame, answers: DataFrame, columns: list[str], how: str) -> DataFrame:
-    """docs (dealt by _ps_key) with their answers, each as a list of packed arrays."""
-    lists = answers.groupBy(F.col("key").alias("_ps_key")).agg(*(F.collect_list(c).alias(f"_ps_{c}") for c in columns))
-    return docs.join(lists, "_ps_key", how)
+def cat(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+
 
+def offsets_of(sizes: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(cat(sizes))]).astype(np.int64)
 
-def dealt(docs: DataFrame, id_column: str, text_column: str, drop: tuple[str, ...]) -> DataFrame:
-    """The one exchange of the texts: rows by their key, with the id's place in the order and the text beside all columns."""
-    plain = docs.drop(*drop)
+
+def plain_columns(docs: pa.Table) -> pa.Table:
+    return docs.select([c for c in docs.column_names if not c.startswith("_ps_")])
+
+
+def add_columns(docs: pa.Table, **columns) -> pa.Table:
+    for name, values in columns.items():
+        docs = docs.append_column(name, values if isinstance(values, pa.Array) else pa.array(values))
+    return docs
+
+
+def meet(docs: DataFrame, replies: DataFrame, run, schema) -> DataFrame:
+    """Each home's texts with the answers sent there."""
+    return docs.groupBy("_ps_home").cogroup(replies.groupBy("bucket")).applyInArrow(run, schema)
+
+
+def dealt(docs: DataFrame, homes: int, id_column: str, text_column: str, drop: tuple[str, ...]) -> DataFrame:
+    """The one exchange of the texts: rows by home, with their key, their place in the order and the text beside all columns."""
     order = F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1))
-    return plain.select("*", row_key(id_column, text_column).alias("_ps_key"), order.alias("_ps_order"), F.col(text_column).alias("_ps_text")).repartition("_ps_key")
+    keyed = docs.drop(*drop).select("*", row_key(id_column, text_column).alias("_ps_key"), order.alias("_ps_order"), F.col(text_column).alias("_ps_text"))
+    return keyed.withColumn("_ps_home", F.pmod("_ps_key", F.lit(homes)).cast("int")).repartition("_ps_home")
+
+
+def schema_with(docs: DataFrame, **added: T.DataType) -> T.StructType:
+    return T.StructType([*(f for f in docs.schema.fields if f.name not in added), *(T.StructField(c, k) for c, k in added.items())])
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -263,21 +286,13 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_i
     """
     n = buckets(docs.sparkSession, text_bytes(docs, text_column), BUCKET_BYTES)
     keyed = docs.select(row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
-    answer = "key long, at binary"
-    anchors = keyed.mapInArrow(send_anchors(n, window), block_schema(_ANCHOR)).groupBy("bucket").applyInArrow(answer_repeats, answer)
-    texts = dealt(docs, id_column, text_column, ("n_words", "n_removed", "removed"))
-    asked = attach(texts, anchors, ["at"], "inner").mapInArrow(send_windows(n, window), block_schema(_WINDOW, _ORDER))
-    firsts = asked.groupBy("bucket").applyInArrow(answer_firsts, answer)
-    kinds = {f.name: f for f in docs.schema.fields}
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", span)]
-    schema = T.StructType([*(kinds[c] for c in docs.columns if c not in ("n_words", "n_removed", "removed")), *added])
-    return _reorder(attach(texts, firsts, ["at"], "left"), docs).mapInArrow(remove_words(text_column, window), schema)
-
-
-def _reorder(df: DataFrame, docs: DataFrame) -> DataFrame:
-    ours = [c for c in df.columns if c.startswith("_ps_")]
-    return df.select(*(f"`{c}`" for c in docs.columns if c in df.columns), *ours)
+    answer = block_schema(_ANSWER)
+    anchors = keyed.mapInArrow(send_anchors(n, window), block_schema(_ANCHOR)).groupBy("bucket").applyInArrow(answer_repeats(n), answer)
+    added = {"n_words": T.LongType(), "n_removed": T.LongType(), "removed": SPANS}
+    texts = dealt(docs, n, id_column, text_column, tuple(added))
+    asked = meet(texts, anchors, send_windows(n, window), block_schema(_WINDOW, _ORDER))
+    firsts = asked.groupBy("bucket").applyInArrow(answer_firsts(n), answer)
+    return meet(texts, firsts, remove_words(text_column, window), schema_with(docs, **added))
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -29,16 +29,17 @@ from pyspark.sql import types as T
 
 from panelspark.llm import bytetext as B
 from panelspark.llm.common import buckets, row_key, table, text_bytes
-from panelspark.llm.exchange import ASK, COUNT, ECHO, Outbox, block_schema, bucket_of, by_owner, flat_binary, runs, spread, unpack
-from panelspark.llm.substrings import _reorder, attach, covered, dealt, lists_of, spans_of
+from panelspark.llm.exchange import ASK, COUNT, ECHO, Outbox, arrow_schema, block_schema, bucket_of, received, reply, runs, spread, unpack
+from panelspark.llm.substrings import SPANS, add_columns, cat, covered, dealt, lists_of, meet, offsets_of, plain_columns, schema_with, spans_of
 
 DEPTH = 400
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 
 _RUN = {"gram": "u4", "run": "u8", "at": "i4", "size": "i4", "state": "u1"}
 _SUFFIX = {"fp": "u8", "at": "i4", "state": "u1"}
 _SETTLED, _SORT, _BOTH = 1, 2, 3
-_ANSWER = pa.schema([("key", pa.int64()), ("at", pa.binary())])
+#: First suffix, number of suffixes, and what to do with them.
+_ANSWER = {"at": "i4", "size": "i4", "what": "u1"}
 
 
 def reach_of(depth: int) -> int:
@@ -99,9 +100,20 @@ def combine_runs(n_buckets: int):
     return step
 
 
-def answer_runs(_: tuple, blocks: pa.Table) -> pa.Table:
-    """key, at: triples (first suffix, number of suffixes, what to do) of runs that may repeat."""
-    e = unpack(blocks, _RUN)
+def answer_runs(homes: int):
+    """Runs that may repeat, to the homes of their texts."""
+
+    def step(_: tuple, blocks: pa.Table) -> pa.Table:
+        e = unpack(blocks, _RUN)
+        what = judge_runs(e)
+        yes = what > 0
+        return reply(e["owner"][yes], homes, _ANSWER, at=e["at"][yes], size=e["size"][yes], what=what[yes])
+
+    return step
+
+
+def judge_runs(e: dict[str, np.ndarray]) -> np.ndarray:
+    """What to do with each run: nothing (it is unique), or one of the three below."""
     what = np.where(e["state"] == ECHO, _SETTLED, 0)
     asks = np.flatnonzero(e["state"] != ECHO)
     order = asks[np.lexsort((e["run"][asks], e["gram"][asks]))]
@@ -113,10 +125,7 @@ def answer_runs(_: tuple, blocks: pa.Table) -> pa.Table:
     mixed = np.repeat(kinds, kinds) > 1
     what[order] = np.repeat(np.where(many, _SETTLED, np.where(mixed, _SORT, 0)), length)
     what[order[new[many & mixed]]] = _BOTH
-    yes = what > 0
-    triples = np.stack([e["at"][yes], e["size"][yes], what[yes].astype(np.int32)], axis=1)
-    found = list(by_owner(e["owner"][yes], triples))
-    return pa.table([[k for k, _ in found], [np.ascontiguousarray(v, "i4").tobytes() for _, v in found]], schema=_ANSWER)
+    return what
 
 
 def send_runs(n_buckets: int, depth: int):
@@ -153,82 +162,73 @@ def combine_suffixes(n_buckets: int):
     return step
 
 
-def answer_suffixes(_: tuple, blocks: pa.Table) -> pa.Table:
-    """key, at: suffixes that share their first ``depth`` bytes with another."""
-    e = unpack(blocks, _SUFFIX)
-    counted = np.flatnonzero(e["state"] != ECHO)
-    _, inverse = np.unique(e["fp"][counted], return_inverse=True)
-    total = np.bincount(inverse, weights=np.where(e["state"][counted] == 2 * COUNT, 2, 1))
-    yes = e["state"] == ECHO
-    yes[counted] = (total[inverse] > 1) & (e["state"][counted] == ASK)
-    found = list(by_owner(e["owner"][yes], e["at"][yes]))
-    triples = [np.stack([v, np.ones_like(v), np.full_like(v, _SETTLED)], axis=1) for _, v in found]
-    return pa.table([[k for k, _ in found], [np.ascontiguousarray(v, "i4").tobytes() for v in triples]], schema=_ANSWER)
+def answer_suffixes(homes: int):
+    """Suffixes that share their first ``depth`` bytes with another, to the homes of their texts."""
 
+    def step(_: tuple, blocks: pa.Table) -> pa.Table:
+        e = unpack(blocks, _SUFFIX)
+        counted = np.flatnonzero(e["state"] != ECHO)
+        _, inverse = np.unique(e["fp"][counted], return_inverse=True)
+        total = np.bincount(inverse, weights=np.where(e["state"][counted] == 2 * COUNT, 2, 1))
+        yes = e["state"] == ECHO
+        yes[counted] = (total[inverse] > 1) & (e["state"][counted] == ASK)
+        n = int(yes.sum())
+        return reply(e["owner"][yes], homes, _ANSWER, at=e["at"][yes], size=np.ones(n), what=np.full(n, _SETTLED))
 
-def _triples(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    flat, row = flat_binary(column, "i4")
-    return flat.reshape(-1, 3).astype(np.int64), row[::3]
+    return step
 
 
 def send_suffixes(n_buckets: int, depth: int):
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = Outbox(_SUFFIX, combine=combine_suffixes(n_buckets))
-        for batch in batches:
-            keys = batch["_ps_key"].to_numpy(zero_copy_only=False)
-            x, row = _triples(batch["_ps_at"])
-            keep = x[:, 2] != _SETTLED
-            x, row = x[keep], row[keep]
-            for t in B.texts(batch["_ps_text"]):
+    def step(_: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        box, out = Outbox(_SUFFIX, combine=combine_suffixes(n_buckets)), []
+        if docs.num_rows and replies.num_rows:
+            keys = docs["_ps_key"].to_numpy()
+            row, x = received(replies, keys, _ANSWER)
+            keep = x["what"] != _SETTLED
+            row, first, count, what = row[keep], *(x[c][keep].astype(np.int64) for c in ("at", "size", "what"))
+            for t in B.texts(docs["_ps_text"]):
                 a, b = np.searchsorted(row, (t.first, t.first + len(t)))
                 if a == b:
                     continue
-                text, size = np.repeat(row[a:b] - t.first, x[a:b, 1]), x[a:b, 1]
-                at = np.repeat(x[a:b, 0] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                size = count[a:b]
+                text = np.repeat(row[a:b] - t.first, size)
+                at = np.repeat(first[a:b] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
                 # a representative of settled runs needs no answer
-                state = np.repeat(np.where(x[a:b, 2] == _BOTH, COUNT, ASK), size)
+                state = np.repeat(np.where(what[a:b] == _BOTH, COUNT, ASK), size)
                 prefix = B.prefix_hash(B._BYTE_VALUE[t.data])
                 start = t.offsets[text] + at
-                yield from box.add(bucket=bucket_of(B.span_hash(prefix, start, start + depth, 3), n_buckets), owner=keys[t.first + text], fp=B.span_hash(prefix, start, start + depth, 4), at=at, state=state)
-        yield from box.flush()
+                out += box.add(bucket=bucket_of(B.span_hash(prefix, start, start + depth, 3), n_buckets), owner=keys[t.first + text], fp=B.span_hash(prefix, start, start + depth, 4), at=at, state=state)
+            out += box.flush()
+        return pa.Table.from_batches(out, schema=arrow_schema(_SUFFIX))
 
     return step
 
 
 def remove_bytes(depth: int):
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, row = _triples(batch["_ps_at"])
-            keep = x[:, 2] != _SORT
-            x, row = x[keep], row[keep]
-            order = np.argsort(row, kind="stable")
-            x, row = x[order], row[order]
-            rest = batch.drop_columns(["_ps_key", "_ps_order", "_ps_text", "_ps_at"])
-            data, sizes, n_bytes, n_removed, starts, ends, counts = [], [], [], [], [], [], []
-            for t in B.texts(batch["_ps_text"]):
-                a, b = np.searchsorted(row, (t.first, t.first + len(t)))
-                start = t.offsets[row[a:b] - t.first] + x[a:b, 0]
-                gone = covered(len(t.data), start, start + x[a:b, 1] - 1 + depth)
-                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[t.offsets])
-                data.append(t.data[~gone])
-                n_bytes.append(np.diff(t.offsets))
-                n_removed.append(removed)
-                sizes.append(np.diff(t.offsets) - removed)
-                for to, v in zip((starts, ends, counts), spans_of(gone, t.offsets), strict=True):
-                    to.append(v)
-            cat = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs]).astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(cat(sizes))]).astype(np.int64)
-            joined = np.concatenate([np.zeros(0, np.uint8), *data])
-            kept = pa.Array.from_buffers(pa.large_binary(), rest.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).cast(pa.binary())
-            spans = lists_of([cat(starts), cat(ends)], np.concatenate([[0], np.cumsum(cat(counts))]), ("start", "end"))
-            yield pa.RecordBatch.from_arrays([*rest.columns, kept, pa.array(cat(n_bytes)), pa.array(cat(n_removed)), pa.array(cat(counts)), spans], names=[*rest.schema.names, *_ADDED])
+    def step(_: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        row, x = received(replies, docs["_ps_key"].to_numpy(), _ANSWER)
+        keep = x["what"] != _SORT
+        row, first, count = row[keep], x["at"][keep].astype(np.int64), x["size"][keep].astype(np.int64)
+        data, sizes, n_bytes, n_removed, starts, ends, counts = [], [], [], [], [], [], []
+        for t in B.texts(docs["_ps_text"]):
+            a, b = np.searchsorted(row, (t.first, t.first + len(t)))
+            start = t.offsets[row[a:b] - t.first] + first[a:b]
+            gone = covered(len(t.data), start, start + count[a:b] - 1 + depth)
+            removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[t.offsets])
+            data.append(t.data[~gone])
+            n_bytes.append(np.diff(t.offsets))
+            n_removed.append(removed)
+            sizes.append(np.diff(t.offsets) - removed)
+            for to, v in zip((starts, ends, counts), spans_of(gone, t.offsets), strict=True):
+                to.append(v)
+        joined = np.concatenate([np.zeros(0, np.uint8), *data])
+        kept = pa.Array.from_buffers(pa.large_binary(), docs.num_rows, [None, pa.py_buffer(offsets_of(sizes)), pa.py_buffer(joined)]).cast(pa.binary())
+        spans = lists_of([cat(starts), cat(ends)], offsets_of(counts), ("start", "end"))
+        return add_columns(plain_columns(docs), kept=kept, n_bytes=cat(n_bytes), n_removed=cat(n_removed), n_spans=cat(counts), removed=spans)
 
     return step
 
 
-_ADDED = ("kept", "n_bytes", "n_removed", "n_spans", "removed")
-
-
 def dedup_bytes(docs: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs plus the bytes left once every ``depth``-byte string that also starts elsewhere is gone.
 
@@ -240,15 +240,13 @@ def dedup_bytes(docs: DataFrame, depth: int = DEPTH, id_column: str = "doc_id",
     """
     n = buckets(docs.sparkSession, text_bytes(docs, text_column), BUCKET_BYTES)
     keyed = docs.select(row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
-    answer = "key long, at binary"
-    candidates = keyed.mapInArrow(send_runs(n, depth), block_schema(_RUN)).groupBy("bucket").applyInArrow(answer_runs, answer)
-    texts = dealt(docs, id_column, text_column, _ADDED)
-    asked = attach(texts, candidates, ["at"], "inner").mapInArrow(send_suffixes(n, depth), block_schema(_SUFFIX))
-    repeated = asked.groupBy("bucket").applyInArrow(answer_suffixes, answer)
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    added = [T.StructField(c, k) for c, k in zip(_ADDED, (T.BinaryType(), T.LongType(), T.LongType(), T.LongType(), span), strict=True)]
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name not in _ADDED), *added])
-    return _reorder(attach(texts, candidates.unionByName(repeated), ["at"], "left"), docs).mapInArrow(remove_bytes(depth), schema)
+    answer = block_schema(_ANSWER)
+    candidates = keyed.mapInArrow(send_runs(n, depth), block_schema(_RUN)).groupBy("bucket").applyInArrow(answer_runs(n), answer)
+    added = {"kept": T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "removed": SPANS}
+    texts = dealt(docs, n, id_column, text_column, tuple(added))
+    asked = meet(texts, candidates, send_suffixes(n, depth), block_schema(_SUFFIX))
+    repeated = asked.groupBy("bucket").applyInArrow(answer_suffixes(n), answer)
+    return meet(texts, candidates.unionByName(repeated), remove_bytes(depth), schema_with(docs, **added))
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
