@@ -1,0 +1 @@
+"""Quota-panel survey analytics as compositions of Spark DataFrame operators."""
