@@ -115,8 +115,8 @@ def measure_table(table: DataFrame, most_options: int) -> DataFrame:
 
 def display(wide: DataFrame, shares: Sequence[str], means: Sequence[str] = ()) -> DataFrame:
     """Shares as 12.3%, means as 3.21, nulls as -."""
-    text = lambda c, form, scale: F.when(F.col(c).isNull(), "-").otherwise(F.format_string(form, F.col(c) * scale)).alias(c)
-    return wide.select(*(text(c, "%.1f%%", 100) if c in shares else text(c, "%.2f", 1) if c in means else F.col(c) for c in wide.columns))
+    text = lambda c, form, scale, places: F.when(F.col(c).isNull(), "-").otherwise(F.format_string(form, F.round(F.col(c) * scale, places))).alias(c)
+    return wide.select(*(text(c, "%.1f%%", 100, 1) if c in shares else text(c, "%.2f", 1, 2) if c in means else F.col(c) for c in wide.columns))
 
 
 def off_target(answers: DataFrame, cells: DataFrame) -> DataFrame:

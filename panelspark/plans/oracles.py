@@ -310,7 +310,7 @@ frame("quality_split", "select survey_id, count(*) as n, count(*) filter (flagge
 frame("concept_complete", "select 's1' as survey_id, g.measure, g.stimulus_id, g.code, coalesce(x.n, 0) as n, round(x.share, 6) as share from (select m.measure, s.stimulus_id, unnest(range(1, 6)) as code from (values ('q_intent'), ('q_multi')) m(measure), (values ('c1'), ('c2'), ('c3'), ('c9')) s(stimulus_id)) g left join xt x on x.axis = 'total' and x.measure = g.measure and x.stimulus_id = g.stimulus_id and x.code = g.code")
 _wide = "select survey_id, measure, stimulus_id, axis, segment, n, n_unflagged, " + ", ".join(f"round(max(share) filter (code = {k}), 6) as option_{k}" for k in range(1, 7)) + " from xt group by all"
 frame("crosstab_measure", f"select * from ({_wide}) x where measure = 'q_intent'")
-frame("crosstab_stacked", "select survey_id, measure, stimulus_id, axis, segment, n, n_unflagged, " + ", ".join(f"coalesce(format('{{:.1f}}%', option_{k} * 100), '-') as option_{k}" for k in range(1, 7)) + f" from ({_wide}) x")
+frame("crosstab_stacked", "select survey_id, measure, stimulus_id, axis, segment, n, n_unflagged, " + ", ".join(f"coalesce(format('{{:.1f}}%', round(option_{k} * 100, 1)), '-') as option_{k}" for k in range(1, 7)) + f" from ({_wide}) x")
 frame("off_target", "select distinct survey_id, 'cell_id' as kind, cell_id as value from frame where cell_id not in (select cell_id from panel_cells) union all select distinct survey_id, 'sex', sex from frame where sex <> '' and sex not in (select sex from panel_cells)", "panel_cells")
 put("panel_composition", """
 select c.survey_id, c.cell_id, c.ord, c.n as target, count(*) filter (role = 'main') as main, count(*) filter (role = 'reserve') as reserve, count(*) filter (role = 'screened_out') as screened_out, count(*) filter (role = 'candidate') as candidate,

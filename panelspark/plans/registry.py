@@ -27,7 +27,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = dict(S.ORACLES)
 
-number = F.substring("persona_uuid", 2, 8).cast("int")
+
+def number() -> Column:
+    return F.substring("persona_uuid", 2, 8).cast("int")
 
 
 def query(f: Query) -> Query:
@@ -159,9 +161,9 @@ def person_lookup_missing(spark, sf):
 
 def _screener(spark, sf):
     c = _candidates(spark, sf)
-    codes = F.when(number % 3 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    flags = F.when(number % 5 == 0, None).otherwise(F.when(number % 17 == 0, F.array(F.lit("inferred"), F.lit("judge_error"))).otherwise(F.array(F.lit("inferred"))))
-    return c.filter(number % 7 != 0).select("survey_id", "persona_uuid", codes.alias("answer_codes"), F.array(F.lit(1)).alias("options_order"), flags.alias("flags"), F.when(number % 19 == 0, "old").otherwise("now").alias("config_hash"))
+    codes = F.when(number() % 3 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    flags = F.when(number() % 5 == 0, None).otherwise(F.when(number() % 17 == 0, F.array(F.lit("inferred"), F.lit("judge_error"))).otherwise(F.array(F.lit("inferred"))))
+    return c.filter(number() % 7 != 0).select("survey_id", "persona_uuid", codes.alias("answer_codes"), F.array(F.lit(1)).alias("options_order"), flags.alias("flags"), F.when(number() % 19 == 0, "old").otherwise("now").alias("config_hash"))
 
 
 def _verdicts(spark, sf):
@@ -181,7 +183,7 @@ def screen_batches(spark, sf):
 @query
 def screen_verdicts(spark, sf):
     batches = E.judge_batches(_candidates(spark, sf), 10)
-    named = F.array_join(F.array_sort(F.collect_list(F.when(number % 3 == 0, F.col("position")))), "、")
+    named = F.array_join(F.array_sort(F.collect_list(F.when(number() % 3 == 0, F.col("position")))), "、")
     replies = batches.groupBy("survey_id", "cell_id", "batch").agg(F.concat(F.lit("["), named, F.when(F.col("batch") % 7 == 3, "、99").otherwise(""), F.lit("]")).alias("reply"), (F.col("batch") % 5 == 4).alias("failed"))
     out = E.spread_replies(batches, replies)
     return out.select("survey_id", "persona_uuid", "cell_id", "batch", "position", text_of("answer_codes").alias("codes"), text_of("flags").alias("flags"))
@@ -316,7 +318,7 @@ def row_flags(spark, sf):
 
 def _responses(spark, sf):
     """Parsed, straightlining marked, with the options' order."""
-    order = F.when(number % 2 == 0, F.array(*map(F.lit, [3, 1, 2, 5, 4]))).otherwise(F.array(*map(F.lit, [1, 2, 3, 4, 5])))
+    order = F.when(number() % 2 == 0, F.array(*map(F.lit, [3, 1, 2, 5, 4]))).otherwise(F.array(*map(F.lit, [1, 2, 3, 4, 5])))
     parsed = O.parse_answers(view(spark, sf, "responses_raw"), C.questions(spark))
     return O.mark_straightlining(parsed, C.questions(spark)).withColumn("options_order", order)
 
