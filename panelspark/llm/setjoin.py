@@ -136,7 +136,7 @@ def judge(size: int, percent: int, kind: pa.DataType):
         row, x = received(replies, docs["_ps_key"].to_numpy(), _COUNT)
         repeated = np.bincount(row, x["n"], docs.num_rows).astype(np.int64)
         sizes, classes, sets, given = [], [], [], set()
-        for t in B.texts(docs["_ps_text"]):
+        for t in B.texts(docs["text"]):
             h, owner = shingle_sets(t, size)
             n = np.bincount(owner, minlength=len(t))
             sampled = np.bincount(owner[h % np.uint64(SAMPLE) == 0], minlength=len(t))

@@ -141,7 +141,7 @@ def send_anchors(n_buckets: int, window: int):
     return run
 
 
-def send_windows(n_buckets: int, window: int):
+def send_windows(n_buckets: int, window: int, text_column: str):
     v, _, size = cover_for(window)
 
     def run(_: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
@@ -149,7 +149,7 @@ def send_windows(n_buckets: int, window: int):
         if docs.num_rows and replies.num_rows:
             keys, order = docs["_ps_key"].to_numpy(), docs["_ps_order"].to_numpy()
             row, answers = received(replies, keys, _ANSWER)
-            for t in B.texts(docs["_ps_text"]):
+            for t in B.texts(docs[text_column]):
                 w = B.words(t)
                 a, b = np.searchsorted(row, (t.first, t.first + len(t)))
                 hit = np.zeros(len(w) + 1, np.int64)
@@ -214,7 +214,7 @@ def remove_words(text_column: str, window: int):
     def run(_: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
         row, answers = received(replies, docs["_ps_key"].to_numpy(), _ANSWER)
         data, sizes, n_words, n_removed, starts, ends, counts = [], [], [], [], [], [], []
-        for t in B.texts(docs["_ps_text"]):
+        for t in B.texts(docs[text_column]):
             w = B.words(t)
             a, b = np.searchsorted(row, (t.first, t.first + len(t)))
             start = w.offsets[row[a:b] - t.first] + answers["at"][a:b]
@@ -261,9 +261,9 @@ def meet(docs: DataFrame, replies: DataFrame, run, schema) -> DataFrame:
 
 
 def dealt(docs: DataFrame, homes: int, id_column: str, text_column: str, drop: tuple[str, ...]) -> DataFrame:
-    """The one exchange of the texts: rows by home, with their key, their place in the order and the text beside all columns."""
+    """The one exchange of the texts: rows by home, with their key and their place in the order beside all columns."""
     order = F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1))
-    keyed = docs.drop(*drop).select("*", row_key(id_column, text_column).alias("_ps_key"), order.alias("_ps_order"), F.col(text_column).alias("_ps_text"))
+    keyed = docs.drop(*drop).select("*", row_key(id_column, text_column).alias("_ps_key"), order.alias("_ps_order"))
     return keyed.withColumn("_ps_home", F.pmod("_ps_key", F.lit(homes)).cast("int")).repartition("_ps_home")
 
 
@@ -290,7 +290,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_i
     anchors = keyed.mapInArrow(send_anchors(n, window), block_schema(_ANCHOR)).groupBy("bucket").applyInArrow(answer_repeats(n), answer)
     added = {"n_words": T.LongType(), "n_removed": T.LongType(), "removed": SPANS}
     texts = dealt(docs, n, id_column, text_column, tuple(added))
-    asked = meet(texts, anchors, send_windows(n, window), block_schema(_WINDOW, _ORDER))
+    asked = meet(texts, anchors, send_windows(n, window, text_column), block_schema(_WINDOW, _ORDER))
     firsts = asked.groupBy("bucket").applyInArrow(answer_firsts(n), answer)
     return meet(texts, firsts, remove_words(text_column, window), schema_with(docs, **added))
 

@@ -178,7 +178,7 @@ def answer_suffixes(homes: int):
     return step
 
 
-def send_suffixes(n_buckets: int, depth: int):
+def send_suffixes(n_buckets: int, depth: int, text_column: str):
     def step(_: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
         box, out = Outbox(_SUFFIX, combine=combine_suffixes(n_buckets)), []
         if docs.num_rows and replies.num_rows:
@@ -186,7 +186,7 @@ def send_suffixes(n_buckets: int, depth: int):
             row, x = received(replies, keys, _ANSWER)
             keep = x["what"] != _SETTLED
             row, first, count, what = row[keep], *(x[c][keep].astype(np.int64) for c in ("at", "size", "what"))
-            for t in B.texts(docs["_ps_text"]):
+            for t in B.texts(docs[text_column]):
                 a, b = np.searchsorted(row, (t.first, t.first + len(t)))
                 if a == b:
                     continue
@@ -204,13 +204,13 @@ def send_suffixes(n_buckets: int, depth: int):
     return step
 
 
-def remove_bytes(depth: int):
+def remove_bytes(depth: int, text_column: str):
     def step(_: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
         row, x = received(replies, docs["_ps_key"].to_numpy(), _ANSWER)
         keep = x["what"] != _SORT
         row, first, count = row[keep], x["at"][keep].astype(np.int64), x["size"][keep].astype(np.int64)
         data, sizes, n_bytes, n_removed, starts, ends, counts = [], [], [], [], [], [], []
-        for t in B.texts(docs["_ps_text"]):
+        for t in B.texts(docs[text_column]):
             a, b = np.searchsorted(row, (t.first, t.first + len(t)))
             start = t.offsets[row[a:b] - t.first] + first[a:b]
             gone = covered(len(t.data), start, start + count[a:b] - 1 + depth)
@@ -244,9 +244,9 @@ def dedup_bytes(docs: DataFrame, depth: int = DEPTH, id_column: str = "doc_id",
     candidates = keyed.mapInArrow(send_runs(n, depth), block_schema(_RUN)).groupBy("bucket").applyInArrow(answer_runs(n), answer)
     added = {"kept": T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "removed": SPANS}
     texts = dealt(docs, n, id_column, text_column, tuple(added))
-    asked = meet(texts, candidates, send_suffixes(n, depth), block_schema(_SUFFIX))
+    asked = meet(texts, candidates, send_suffixes(n, depth, text_column), block_schema(_SUFFIX))
     repeated = asked.groupBy("bucket").applyInArrow(answer_suffixes(n), answer)
-    return meet(texts, candidates.unionByName(repeated), remove_bytes(depth), schema_with(docs, **added))
+    return meet(texts, candidates.unionByName(repeated), remove_bytes(depth, text_column), schema_with(docs, **added))
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
