@@ -210,9 +210,9 @@ def strip_lines(docs: DataFrame, hits: DataFrame, min_points: int = 1, id_column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.drop_columns(["_key", "_hits"])
+            rest = batch.drop_columns(["_ps_key", "_ps_hits"])
             at = rest.schema.get_field_index(text_column)
-            hits, owner = flat_binary(batch["_hits"], "u8")
+            hits, owner = flat_binary(batch["_ps_hits"], "u8")
             marks = B.mix(hits ^ B.mix(owner.astype(np.uint64), 3), 4)
             pieces, n_lines, n_dropped = [], [], []
             for t in B.texts(batch[text_column]):
@@ -234,10 +234,11 @@ def strip_lines(docs: DataFrame, hits: DataFrame, min_points: int = 1, id_column
             rest = rest.set_column(at, text_column, text)
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*rest.schema.names, "n_lines", "n_dropped"])
 
-    keyed = docs.withColumn("_key", row_key(id_column, text_column))
-    lists = hits.groupBy(F.col("key").alias("_key")).agg(F.collect_set("hits").alias("_hits"))
+    docs = docs.drop("n_lines", "n_dropped")
+    keyed = docs.withColumn("_ps_key", row_key(id_column, text_column))
+    lists = hits.groupBy(F.col("key").alias("_ps_key")).agg(F.collect_set("hits").alias("_ps_hits"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    joined = keyed.join(lists, "_key", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_key", "_hits")
+    joined = keyed.join(lists, "_ps_key", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_ps_key", "_ps_hits")
     return joined.mapInArrow(run, schema)
 
 
@@ -246,7 +247,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1, id_col
 
     Every row is a document, so repeated rows count each; a null or empty text
     is one empty line; a line without a key (nothing but separators) always
-    stays.  Null ids and extra columns pass through; an empty table stays empty.
+    stays.  Null ids and extra columns pass through (n_lines and n_dropped replace
+    columns of these names); an empty table stays empty.
     """
     hot = cut(line_counts(docs, min_points, text_column).filter(F.col("refs") >= min_docs))
     n_shards = hot.count() // SHARD_KEYS + 1
