@@ -39,17 +39,3 @@ def duck(sf):
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     return con
-
-
-def plain(value):
-    if value is None or value != value:
-        return None
-    if hasattr(value, "item"):
-        value = value.item()
-    return round(value, 6) if isinstance(value, float) else value
-
-
-def row_set(pdf):
-    columns = sorted(pdf.columns)
-    data = pdf[columns].astype(object)
-    return columns, sorted((tuple(repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else repr(v) for v in map(plain, row)) for row in data.itertuples(index=False)))
