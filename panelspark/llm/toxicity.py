@@ -104,21 +104,21 @@ def fit(lists: list[np.ndarray], grade: np.ndarray, n_grades: int, max_features:
     if not len(grade) or grade.min() == grade.max():
         base = np.where(np.arange(n_grades - 1) < (grade[0] if len(grade) else 0), -10.0, 10.0)
         return CumulativeLink(np.zeros(0, np.uint32), np.zeros(0), base)
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
-    number, inverse = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    count = np.bincount(inverse, minlength=len(number))
-    gap = np.bincount(inverse, grade[row] - grade.mean(), len(number))
-    z = np.abs(gap) / np.sqrt(np.maximum(count, 1) * max(grade.var(), 1e-9))
-    z[count < 3] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[:max_features])
-    place = np.full(len(number), -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[inverse] >= 0
-    indptr = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(lists)))])
-    w, theta = fit_ordinal(indptr, place[inverse[keep]], len(chosen), grade, n_grades)
+    count, gap = np.zeros(1 << FEATURE_BITS, np.float32), np.zeros(1 << FEATURE_BITS, np.float32)
+    mean, spread = grade.mean(), max(grade.var(), 1e-9)
+    for x, g in zip(lists, grade, strict=True):  # a text's features are distinct
+        count[x] += 1
+        gap[x] += g - mean
+    z = np.where(count < 3, 0, np.abs(gap) / np.sqrt(np.maximum(count, 1) * spread))
+    number = np.argpartition(-z, max_features)[:max_features]
+    number = np.sort(number[z[number] > 0]).astype(np.uint32)
+    place = np.full(1 << FEATURE_BITS, -1, np.int32)
+    place[number] = np.arange(len(number))
+    kept = [place[x][place[x] >= 0] for x in lists]
+    indptr = np.concatenate([[0], np.cumsum([len(x) for x in kept])])
+    w, theta = fit_ordinal(indptr, np.concatenate([np.zeros(0, np.int32), *kept]), len(number), grade, n_grades)
     some = np.flatnonzero(np.abs(w) > 1e-6)
-    return CumulativeLink(number[chosen[some]], w[some], theta)
+    return CumulativeLink(number[some], w[some], theta)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> CumulativeLink:
@@ -136,8 +136,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["_y"], pa.array(packed, pa.binary())], names=["doc_id", "_y", "features"])
 
     few = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "_y", "text")
-    got = few.mapInArrow(run, "doc_id long, _y int, features binary").orderBy("doc_id", "_y", "features").limit(max_rows).toArrow()
-    lists = [np.frombuffer(x, np.uint32) for x in got["features"].to_pylist()]
+    got = few.mapInArrow(run, "doc_id long, _y int, features binary").toArrow()  # as many rows as the sample
+    got = got.take(np.lexsort((got["_y"].to_numpy(), got["doc_id"].to_numpy())))
+    lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in got["features"]]
     grade = got["_y"].to_numpy().astype(np.int64)
     return fit(lists, grade, max(2, int(grade.max()) + 1 if len(grade) else 2), max_features)
 
