@@ -13,7 +13,6 @@ The bounds are strict, so the result is exact and no recall is lost.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -26,8 +25,6 @@ QUERY_ROWS = 4096
 CANDIDATE_ROWS = 32768
 FAN_IN = 32
 
-_LISTS = "query_block int, query_id long, ids array<long>, scores array<double>"
-
 
 def usable(vector: Column) -> Column:
     """Neither null nor empty nor zero, all components present and finite."""

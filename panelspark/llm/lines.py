@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from panelspark.llm import bytetext as B
 from panelspark.llm.common import buckets, cut, row_key, shared_folder, table, text_bytes
-from panelspark.llm.exchange import Outbox, block_schema, by_owner, flat_binary, record_batches, unpack
+from panelspark.llm.exchange import Outbox, block_schema, by_owner, flat_binary, unpack
 
 #: Keys in one shard, at most about.
 SHARD_KEYS = 1 << 15

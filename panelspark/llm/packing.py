@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import buckets, row_key, table, text_bytes
+from panelspark.llm.common import row_key, table, text_bytes
 
 CAPACITY = 2048
 OPEN_BINS = 1024

@@ -21,5 +21,6 @@ ORACLES = {
     "op1_nearest_neighbours": knn.ORACLE,
     "op3_substring_dedup": substrings.ORACLE,
     "op4_line_dedup": lines.ORACLE,
+    "op5_suffix_array_dedup": suffixes.ORACLE,
     "op8_ngram_jaccard_join": setjoin.ORACLE,
 }

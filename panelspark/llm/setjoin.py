@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelspark.llm import bytetext as B
 from panelspark.llm.common import buckets, cut, row_key, table, text_bytes

@@ -252,3 +252,15 @@ def dedup_bytes(docs: DataFrame, depth: int = DEPTH, id_column: str = "doc_id",
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+with b as (select doc_id, x, octet_length(x) as n from (select doc_id, encode(coalesce(text, '')) as x from documents) a),
+p as (select doc_id, i, md5(array_slice(x, i, i + 399)) as w, i + 399 <= n as whole, hex(array_slice(x, i, i)) as byte from (select *, unnest(range(1, n + 1)) as i from b) c),
+r as (select doc_id, i, byte, whole and count(*) filter (whole) over (partition by w) > 1 as again from p),
+g as (select doc_id, i, byte, bool_or(again) over (partition by doc_id order by i rows between 399 preceding and current row) as gone from r),
+s as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as first from g)
+select b.doc_id, b.n as n_bytes, count(*) filter (gone) as n_removed, count(*) filter (first) as n_spans,
+       sha256(unhex(coalesce(string_agg(byte, '' order by i) filter (not gone), ''))) as kept_sha256
+from b left join s on s.doc_id = b.doc_id group by b.doc_id, b.n
+"""
