@@ -18,7 +18,7 @@ def parse_answers(raw: DataFrame, questions: DataFrame) -> DataFrame:
     out_of_range, no code of a choice question parse_error, a refusal phrase
     refusal (even beside a code), more than one attempt retried.
     """
-    q = F.broadcast(questions.select("question_id", F.col("type").alias("_type"), F.col("n_options").alias("_k"), F.col("with_reason").alias("_why")))  # a survey's questions
+    q = questions.select("question_id", F.col("type").alias("_type"), F.col("n_options").alias("_k"), F.col("with_reason").alias("_why"))
     df = raw.join(q, "question_id")
     text, scan = F.coalesce("answer_raw", F.lit("")), ~F.col("_why")
     one = A.single_code(text, scan)
@@ -39,7 +39,7 @@ def parse_answers(raw: DataFrame, questions: DataFrame) -> DataFrame:
 
 def mark_straightlining(responses: DataFrame, questions: DataFrame, least: int = 3) -> DataFrame:
     """The flag straightline on all rows of a person whose coded single and scale answers, at least ``least``, stand at one place; taken off all others."""
-    asked = F.broadcast(questions.filter(F.col("type").isin("single", "scale")).select("question_id"))
+    asked = questions.filter(F.col("type").isin("single", "scale")).select("question_id")
     coded = responses.join(asked, "question_id", "left_semi").filter(F.size("answer_codes") > 0)
     place = F.col("answer_codes")[0]
     same = coded.groupBy("survey_id", "persona_uuid").agg(((F.count("*") >= least) & (F.min(place) == F.max(place))).alias("_same")).filter("_same")

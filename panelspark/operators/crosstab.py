@@ -21,7 +21,7 @@ def answer_frame(responses: DataFrame, panel: DataFrame, persons: DataFrame, que
     """
     main = panel.filter(F.col("role") == "main").select("survey_id", "persona_uuid", "cell_id", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     who = persons.select(F.col("uuid").alias("persona_uuid"), *columns)
-    df = responses.join(F.broadcast(questions.select("survey_id", "question_id", "measure", "type", "n_options")), ["survey_id", "question_id"])  # a survey's questions
+    df = responses.join(questions.select("survey_id", "question_id", "measure", "type", "n_options"), ["survey_id", "question_id"])
     df = df.join(main, ["survey_id", "persona_uuid"]).join(who, "persona_uuid", "left")
     return df.withColumn("codes", defined_codes(F.col("answer_codes"), F.col("options_order"))).withColumn("flagged", has_quality_flag(F.col("flags")))
 
@@ -69,14 +69,14 @@ def crosstab(answers: DataFrame, axes: Sequence[str]) -> DataFrame:
 
 def top_box(table: DataFrame, boxes: DataFrame) -> DataFrame:
     """Sum of the shares of a measure's top options; null where the measure has none.  boxes: survey_id, measure, top_box."""
-    df = table.join(F.broadcast(boxes), ["survey_id", "measure"])
+    df = table.join(boxes, ["survey_id", "measure"])
     share = F.sum(F.when(F.array_contains("top_box", F.col("code")), F.col("share")).otherwise(0.0))
     return df.groupBy(*GROUP).agg(F.when(F.bool_or(F.coalesce(F.size("top_box"), F.lit(0)) > 0), share).alias("top_box_share"))
 
 
 def mean_scores(answers: DataFrame, axes: Sequence[str], ordinal: DataFrame) -> DataFrame:
     """Weighted mean of K + 1 - code, by the first code inside the options, for ordinal measures.  ordinal: survey_id, measure."""
-    df = answers.join(F.broadcast(ordinal), ["survey_id", "measure"], "left_semi").filter(F.col("type") != "multi")
+    df = answers.join(ordinal, ["survey_id", "measure"], "left_semi").filter(F.col("type") != "multi")
     first = F.get(F.filter("codes", lambda c: (c >= 1) & (c <= F.col("n_options"))), F.lit(0))
     df = df.withColumn("code", first).filter("code is not null").groupBy("survey_id", "measure", "stimulus_id", "n_options", *_columns(axes), "code").agg(F.count("*").alias("rows"), F.sum("weight").alias("weight"))
     df = segment_rows(df, axes)
@@ -104,7 +104,7 @@ def complete_concepts(table: DataFrame, stimuli: DataFrame, measures: DataFrame)
     """Totals of every concept and measure of the definition; without an answer n is 0 and shares are null."""
     total = table.filter("axis = 'total'").select("survey_id", "measure", "stimulus_id", "code", "n", "share")
     grid = stimuli.join(measures, "survey_id").select("survey_id", "stimulus_id", "measure", F.explode(F.sequence(F.lit(1), F.col("n_options").cast("int"))).alias("code"))
-    return F.broadcast(grid).join(total, ["survey_id", "measure", "stimulus_id", "code"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return grid.join(total, ["survey_id", "measure", "stimulus_id", "code"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def measure_table(table: DataFrame, most_options: int) -> DataFrame:
@@ -127,7 +127,7 @@ def off_target(answers: DataFrame, cells: DataFrame) -> DataFrame:
     seen = answers.select("survey_id", F.explode(F.array(F.struct(F.lit("sex").alias("kind"), F.col("sex").alias("value")), F.struct(F.lit("cell_id").alias("kind"), F.col("cell_id").alias("value")))).alias("x")).select("survey_id", "x.*").filter("value is not null and value <> ''").distinct()
     named = cells.select("survey_id", F.explode(F.array(F.struct(F.lit("sex").alias("kind"), F.col("sex").alias("value")), F.struct(F.lit("cell_id").alias("kind"), F.col("cell_id").alias("value")))).alias("x")).select("survey_id", "x.*")
     open_sex = named.filter("kind = 'sex' and value is null").select("survey_id", "kind").distinct()
-    return seen.join(F.broadcast(open_sex), ["survey_id", "kind"], "left_anti").join(F.broadcast(named.distinct()), ["survey_id", "kind", "value"], "left_anti")
+    return seen.join(open_sex, ["survey_id", "kind"], "left_anti").join(named.distinct(), ["survey_id", "kind", "value"], "left_anti")
 
 
 def composition(panel: DataFrame, cells: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def labelled(answers: DataFrame, stimuli: DataFrame, options: DataFrame) -> Data
 
     stimuli: survey_id, stimulus_id, name.  options: survey_id, question_id, options (array).
     """
-    df = answers.join(F.broadcast(stimuli), ["survey_id", "stimulus_id"], "left").join(F.broadcast(options), ["survey_id", "question_id"], "left")
+    df = answers.join(stimuli, ["survey_id", "stimulus_id"], "left").join(options, ["survey_id", "question_id"], "left")
     none = F.array().cast("array<string>")
     label = lambda c: F.concat(c.cast("string"), F.lit(". "), F.coalesce(F.when(c >= 1, F.get(F.coalesce("options", none), c - 1)), F.lit(UNKNOWN)))
     return df.withColumn("labels", F.when(F.col("type").isin("open", "numeric"), "").otherwise(F.array_join(F.transform(F.array_sort("codes"), label), "|"))).drop("options")

@@ -71,12 +71,12 @@ def message_rows(units: DataFrame, edges: DataFrame, blocks: DataFrame, answers:
     """
     key = ["survey_id", "persona_uuid", "question_id"]
     now = units.select(*key, "profile", F.col("question_id").alias("turn"), F.lit(2**30).alias("pos"), F.lit(None).cast("string").alias("answer"), F.lit(False).alias("gap"))
-    back = units.join(F.broadcast(edges), ["survey_id", "question_id"]).select(*key, "profile", F.col("remembered").alias("turn"), F.col("remembered_pos").alias("pos"))
+    back = units.join(edges, ["survey_id", "question_id"]).select(*key, "profile", F.col("remembered").alias("turn"), F.col("remembered_pos").alias("pos"))
     given = answers.select("survey_id", "persona_uuid", F.col("question_id").alias("turn"), "answer")
     back = back.join(given, ["survey_id", "persona_uuid", "turn"], "left").withColumn("gap", F.col("answer").isNull())
     if missing is not None:
         back = back.withColumn("answer", F.coalesce("answer", F.lit(missing)))
-    turns = now.unionByName(back).join(F.broadcast(blocks.select("survey_id", F.col("question_id").alias("turn"), "block", "stimulus_block", "system", "slot")), ["survey_id", "turn"])
+    turns = now.unionByName(back).join(blocks.select("survey_id", F.col("question_id").alias("turn"), "block", "stimulus_block", "system", "slot"), ["survey_id", "turn"])
     unit = Window.partitionBy(*key)
     first_seen = F.min("pos").over(Window.partitionBy(*key, "slot")) == F.col("pos")
     content = F.concat_ws("\n\n", F.when(F.min("pos").over(unit) == F.col("pos"), F.concat(F.lit(HEADINGS["profile"] + "\n"), F.col("profile"))), F.when(first_seen, F.col("stimulus_block")), F.col("block"))

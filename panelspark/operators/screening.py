@@ -63,7 +63,7 @@ def finalise(candidates: DataFrame, verdicts: DataFrame, cells: DataFrame) -> Da
     cells: survey_id, cell_id, needed; a candidate in another cell is needed nowhere.
     """
     df = candidates.join(verdicts.select("survey_id", "persona_uuid", F.col("passed").alias("_passed"), F.lit(True).alias("_tested")), ["survey_id", "persona_uuid"], "left")
-    df = df.join(F.broadcast(cells.select("survey_id", "cell_id", "needed")), ["survey_id", "cell_id"], "left")
+    df = df.join(cells.select("survey_id", "cell_id", "needed"), ["survey_id", "cell_id"], "left")
     df = df.withColumn("_passed", F.coalesce("_passed", F.lit(False)))
     ranked = dense_number(df, ["survey_id", "cell_id", "_passed"], F.floor(F.col("cell_rank") / RANK_BUCKET), ["cell_rank", "persona_uuid"], "_at")
     main = F.col("_passed") & (F.col("_at") <= F.coalesce("needed", F.lit(0)))

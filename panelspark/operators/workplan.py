@@ -26,7 +26,7 @@ def asking_order(questions: DataFrame) -> DataFrame:
 def plan_work(panel: DataFrame, questions: DataFrame) -> DataFrame:
     """A unit per main panel row and question, with the concept its slot names; a slot without a concept is an error."""
     main = panel.filter(F.col("role") == "main").select("survey_id", "persona_uuid", "assigned_stimuli")
-    units = main.join(F.broadcast(questions.select("survey_id", "question_id", "slot", "ask_pos")), "survey_id")
+    units = main.join(questions.select("survey_id", "question_id", "slot", "ask_pos"), "survey_id")
     units = units.withColumn("stimulus_id", F.try_element_at("assigned_stimuli", F.col("slot")))
     fine = F.assert_true(F.col("stimulus_id").isNotNull(), "a slot has no assigned concept")
     return units.filter(fine.isNull()).select("survey_id", "persona_uuid", "question_id", "stimulus_id", F.col("slot").alias("sequence"), "ask_pos")

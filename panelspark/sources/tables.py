@@ -133,13 +133,17 @@ def append_run(spark: SparkSession, where: str, record: DataFrame) -> None:
     record.write.mode("append").parquet(where)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that its lineage ends there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; only where that is unset (tests), one of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/panelspark-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/panelspark-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, so that its lineage ends there and any executor can reread it."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
