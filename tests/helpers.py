@@ -1,8 +1,10 @@
 """Comparing results of two engines."""
 
+import pandas as pd
+
 
 def plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return None
     if hasattr(value, "item"):
         value = value.item()
