@@ -22,8 +22,13 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 
 def buckets(spark: SparkSession, nbytes: float, per_bucket: int) -> int:
-    """Enough buckets that one holds about per_bucket bytes, and at least as many as shuffle partitions."""
-    return max(shuffle_width(spark), int(nbytes // per_bucket) + 1)
+    """Enough buckets that one holds about per_bucket bytes, and at least as many as shuffle partitions.
+
+    Beyond 4096 buckets they grow up to eightfold before their number does: the
+    blocks that tasks and buckets exchange number tasks times buckets.
+    """
+    size = min(max(per_bucket, nbytes / 4096), 8 * per_bucket)
+    return max(shuffle_width(spark), int(nbytes // size) + 1)
 
 
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
