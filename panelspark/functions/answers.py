@@ -25,14 +25,23 @@ def narrow_digits(text: Column) -> Column:
 
 def as_json(text: Column) -> Column:
     """answer, answers and reasoning of the object that starts at the first brace; null if there is none."""
-    return F.from_json(F.regexp_extract(text, r"(?s)\{.*", 0), _JSON, {"allowSingleQuotes": "false"})
+    return F.when(F.contains(text, F.lit("{")), F.from_json(F.regexp_extract(text, r"(?s)\{.*", 0), _JSON, {"allowSingleQuotes": "false"}))
+
+
+def once(value: Column, f) -> Column:
+    """f(value) with value computed a single time, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def whole(text: Column) -> Column:
     """A number as a whole one (2.9 is 2, true is 1), null if it is none; capped, so that it stays out of range."""
-    value = F.when(text == "true", F.lit("1")).when(text == "false", F.lit("0")).otherwise(F.trim(text))
-    number = F.expr("try_cast(NULL as decimal(38, 4))") if value is None else value.try_cast("decimal(38,4)")
-    return F.when(F.abs(number) > BEYOND, F.lit(BEYOND)).otherwise(number.cast("long")).cast("int")
+    capped = lambda n: F.when(F.abs(n) > BEYOND, F.lit(BEYOND)).otherwise(n.cast("long")).cast("int")
+    number = lambda x: F.when(x == "true", F.lit("1")).when(x == "false", F.lit("0")).otherwise(F.trim(x)).try_cast("decimal(38,4)")
+    return once(once(text, number), capped)
+
+
+def capped_run(digits: Column) -> Column:
+    return F.when(F.length(digits) > 9, F.lit(BEYOND)).otherwise(digits.try_cast("int"))
 
 
 def digit_runs(text: Column) -> Column:
@@ -47,16 +56,15 @@ def integers_of(strings: Column) -> Column:
 def single_code(raw: Column, scan: bool | Column = True) -> Column:
     """The JSON answer as a whole number, else the first run of digits of the whole text."""
     text = narrow_digits(raw)
-    found = F.regexp_extract(text, r"\d+", 0)
-    scanned = F.when((found != "") & scan, F.coalesce(F.when(F.length(found) > 9, F.lit(BEYOND)), found.try_cast("int")))
-    return F.coalesce(whole(as_json(text)["answer"]), scanned)
+    scanned = once(F.regexp_extract(text, r"\d+", 0), capped_run)
+    return F.coalesce(whole(as_json(text)["answer"]), scanned if scan is True else F.when(scan, scanned))
 
 
 def multi_codes(raw: Column, scan: bool | Column = True) -> Column:
     """The JSON answers as sorted distinct whole numbers, else all runs of digits."""
     text = narrow_digits(raw)
     listed = F.filter(F.transform(F.coalesce(as_json(text)["answers"], F.array().cast("array<string>")), whole), lambda x: x.isNotNull())
-    runs = F.transform(digit_runs(text), lambda x: F.when(F.length(x) > 9, F.lit(BEYOND)).otherwise(x.try_cast("int")))
+    runs = F.transform(digit_runs(text), capped_run)
     none = F.array().cast("array<int>")
     return F.array_sort(F.array_distinct(F.when(F.size(listed) > 0, listed).when(F.lit(scan) if isinstance(scan, bool) else scan, runs).otherwise(none)))
 

@@ -23,7 +23,7 @@ def parse_answers(raw: DataFrame, questions: DataFrame) -> DataFrame:
     text, scan = F.coalesce("answer_raw", F.lit("")), ~F.col("_why")
     one = A.single_code(text, scan)
     none = F.array().cast("array<int>")
-    codes = F.when(F.col("_type").isin("single", "scale"), F.when(one.isNotNull(), F.array(one)).otherwise(none)).when(F.col("_type") == "multi", A.multi_codes(text, scan)).otherwise(none)
+    codes = F.when(F.col("_type").isin("single", "scale"), F.array_compact(F.array(one))).when(F.col("_type") == "multi", A.multi_codes(text, scan)).otherwise(none)
     reason = F.when(F.col("_why") & F.col("_type").isin(*CHOICE), A.reasoning(text))
     df = df.withColumn("answer_codes", codes).withColumn("answer_text", F.when(F.col("_type") == "open", F.trim(text)).when(F.col("_type") == "numeric", A.numeric_text(text))).withColumn("answer_reasoning", reason)
     flag = lambda cond, name: F.when(cond, name)
