@@ -44,6 +44,8 @@ _STEP_VALUE = B.mix(np.arange(16, dtype=np.uint64), 31) | np.uint64(1)
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[0x30:0x3A] = _NOT_WORD[0x41:0x5B] = _NOT_WORD[0x61:0x7B] = False
 _NOT_WORD[0x80:] = False
+#: The same separators as a pattern for Spark.
+_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def normal_words(t: B.Texts) -> B.Words:
@@ -195,13 +197,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     a stretch of the document; the exact check admits no false match.  Items of
     the same text are all reported.  Null or wordless texts and items match
     nothing; items with a null id are ignored; items longer than ITEM_WORDS are
-    cut into parts of that length, each of which counts.  Rows that repeat are
+    cut into the fewest parts of at most that length, all of nearly equal length
+    (so of half of it at least), each of which counts.  Rows that repeat are
     found each; either table may be empty.
     """
     spark = docs.sparkSession
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    words = F.split(F.trim(F.regexp_replace("text", _SEPARATORS, " ")), " ")
     parts = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), words.alias("w"))
-    parts = parts.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("w"), F.lit(1)) - 1) / ITEM_WORDS).cast("int")), lambda i: F.concat_ws(" ", F.slice("w", i * ITEM_WORDS + 1, ITEM_WORDS)))).alias("text"))
+    n, n_parts = F.size("w"), F.ceil(F.size("w") / ITEM_WORDS).cast("int")
+    begin = lambda i: F.floor(i.cast("long") * n / n_parts).cast("int")
+    parts = parts.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), n_parts - 1), lambda i: F.concat_ws(" ", F.slice("w", begin(i) + 1, begin(i + 1) - begin(i))))).alias("text"))
     n_blocks = max(1, -(-parts.count() // block_items))
     blocks = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
     kind = docs.schema[id_column].dataType

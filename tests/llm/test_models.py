@@ -88,6 +88,21 @@ def test_decontamination_recall_and_precision(spark, nothing):
     assert decontaminate.contaminated(nothing, bench).count() == 0 and decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    rnd = random.Random(8)
+    items = {n: [f"i{n}x{rnd.randrange(10**6)}" for _ in range(n)] for n in (512, 513, 516, 1025)}
+    items[700] = ["--"] * 600 + [f"i700x{j}" for j in range(100)]  # signs are no words
+    items[513 * 512] = [f"many{j}" for j in range(512 * 512 + 1)]
+    clean = lambda k: [f"c{rnd.randrange(5000)}" for _ in range(k)]
+    rows = [(n, " ".join(clean(30) + w[-1:] + clean(30))) for n, w in items.items()]
+    rows += [(516_000, " ".join(clean(30) + items[516][-4:] + clean(30)))]
+    rows += [(-n, " ".join(clean(20) + edited(rnd, w, len(w) // 20, ["zz"]) + clean(20))) for n, w in items.items() if n < 1000]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = decontaminate.contaminated(frame(spark, rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(-n, n) for n in items if n < 1000}
+    assert all(r["item_words"] <= decontaminate.ITEM_WORDS for r in got) and all(r["item_words"] >= 256 for r in got if r["item_id"] != 700)
+
+
 def test_edit_distance():
     rnd = np.random.default_rng(7)
     for _ in range(60):
