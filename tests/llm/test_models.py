@@ -88,6 +88,22 @@ def test_decontamination_recall_and_precision(spark, nothing):
     assert decontaminate.contaminated(nothing, bench).count() == 0 and decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [12, 13, 14, 15, 16, 18, 19, 20, 25, 40])
+def test_decontamination_recall_at_most_edits(n):
+    rnd = random.Random(n)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    text = lambda k: [rnd.choice(vocabulary) for _ in range(k)]
+    items, docs = [text(n) for _ in range(400)], []
+    for w in items:
+        body = [[x] for x in w]
+        for j in rnd.sample(range(n), n // 5):  # edits of different words
+            body[j] = rnd.choice([[rnd.choice(vocabulary)], [rnd.choice(vocabulary)], [], [rnd.choice(vocabulary), w[j]]])
+        docs.append(" ".join(text(rnd.randrange(10, 40)) + sum(body, []) + text(rnd.randrange(10, 40))))
+    index = decontaminate.build_indexes([(i, " ".join(w)) for i, w in enumerate(items)], decontaminate.STRIDE)
+    found = {(t.first + x, i) for t in B.texts(pa.array(docs, pa.large_string())) for x, i, *_ in decontaminate.find_in(t, index, 0.8)}
+    assert sum((d, d) in found for d in range(len(docs))) >= 0.99 * len(docs)
+
+
 def test_decontamination_of_long_items(spark):
     rnd = random.Random(8)
     items = {n: [f"i{n}x{rnd.randrange(10**6)}" for _ in range(n)] for n in (512, 513, 516, 1025)}
