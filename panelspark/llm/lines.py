@@ -163,6 +163,45 @@ def build_shards(keys: DataFrame, n_shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(run, "shard int, filter binary, hi binary, lo binary")
 
 
+def change_shards(shards: DataFrame, changed: DataFrame, n_shards: int) -> DataFrame:
+    """Shards after some keys came or went (changed: key_hi, key_lo, hot); those without such a key stay as they are."""
+    schema = pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("hi", pa.binary()), ("lo", pa.binary())])
+
+    def run(key: tuple, old: pa.Table, rows: pa.Table) -> pa.Table:
+        change = np.stack([rows[c].to_numpy().view(np.uint64) for c in ("key_hi", "key_lo")], axis=1)
+        hot = rows["hot"].to_numpy()
+        if old.num_rows:
+            keys = np.stack([np.frombuffer(old[c][0].as_py(), np.uint64) for c in ("hi", "lo")], axis=1)
+        else:
+            keys = np.zeros((0, 2), np.uint64)
+        gone = set(map(tuple, change[~hot].tolist()))
+        stays = np.array([k not in gone for k in map(tuple, keys.tolist())], bool)
+        keys = np.concatenate([keys[stays], change[hot]])
+        if not len(keys):
+            return schema.empty_table()
+        keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
+        try:
+            if not old.num_rows:
+                raise OverflowError("no filter yet")
+            cuckoo = CuckooFilter.load(old["filter"][0].as_py())
+            cuckoo.delete(change[~hot, 0])
+            cuckoo.insert(change[hot, 0])
+        except OverflowError:
+            cuckoo = build_filter(keys[:, 0])
+        return pa.table([[key[0].as_py()], [cuckoo.dump()], [keys[:, 0].tobytes()], [keys[:, 1].tobytes()]], schema=schema)
+
+    dealt = changed.select(F.pmod("key_lo", F.lit(n_shards)).cast("int").alias("shard"), "key_hi", "key_lo", "hot")
+    touched = dealt.select("shard").distinct()
+    met = shards.join(touched, "shard", "left_semi").groupBy("shard").cogroup(dealt.groupBy("shard"))
+    new = met.applyInArrow(run, "shard int, filter binary, hi binary, lo binary")
+    return shards.join(touched, "shard", "left_anti").select("shard", "filter", "hi", "lo").unionByName(new)
+
+
+def salts_of(docs: DataFrame, n_shards: int, text_column: str = "text") -> int:
+    """Over how many groups each shard's look-ups are dealt, by the bytes of text."""
+    return -(-buckets(docs.sparkSession, text_bytes(docs, text_column), 64 << 20) // n_shards)
+
+
 def probe(docs: DataFrame, shards: DataFrame, n_shards: int, salts: int, min_points: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """key, hits: for each row key with dropped lines, the lines' key_hi values as packed arrays."""
 
@@ -252,8 +291,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1, id_col
     """
     hot = cut(line_counts(docs, min_points, text_column).filter(F.col("refs") >= min_docs))
     n_shards = hot.count() // SHARD_KEYS + 1
-    groups = buckets(docs.sparkSession, text_bytes(docs, text_column), 64 << 20)
-    hits = probe(docs, build_shards(hot, n_shards), n_shards, -(-groups // n_shards), min_points, id_column, text_column)
+    hits = probe(docs, build_shards(hot, n_shards), n_shards, salts_of(docs, n_shards, text_column), min_points, id_column, text_column)
     return strip_lines(docs, hits, min_points, id_column, text_column)
 
 
@@ -279,13 +317,23 @@ class LineIndex:
         return self.spark.read.parquet(self._path("counts"))
 
     def _change(self, docs: DataFrame, sign: int) -> None:
-        delta = line_counts(docs, self.min_points).withColumn("refs", F.col("refs") * sign)
+        delta = cut(line_counts(docs, self.min_points).withColumn("refs", F.col("refs") * sign))
         new = self.counts().unionByName(delta).groupBy("key_hi", "key_lo").agg(F.sum("refs").alias("refs")).filter("refs <> 0")
+        key, before = ["key_hi", "key_lo"], self.counts().withColumnRenamed("refs", "old")
+        old = F.coalesce("old", F.lit(0))
+        crossed = delta.join(before, key, "left").select(*key, (old >= self.min_docs).alias("was"), (old + F.col("refs") >= self.min_docs).alias("hot"))
+        changed = cut(crossed.filter("was <> hot").select(*key, "hot"))
+        shards = self.spark.read.parquet(self._path("shards")) if self.version else None
         self.version += 1
         new.write.parquet(self._path("counts"))
         hot = self.counts().filter(F.col("refs") >= self.min_docs)
-        self.n_shards = hot.count() // SHARD_KEYS + 1
-        build_shards(hot, self.n_shards).write.parquet(self._path("shards"))
+        n_shards = hot.count() // SHARD_KEYS + 1
+        if shards is None or n_shards > self.n_shards:
+            self.n_shards = n_shards
+            shards = build_shards(hot, n_shards)
+        else:
+            shards = change_shards(shards, changed, self.n_shards)
+        shards.write.parquet(self._path("shards"))
 
     def insert(self, docs: DataFrame) -> None:
         self._change(docs, 1)
@@ -297,7 +345,7 @@ class LineIndex:
         if not self.version:
             return strip_lines(docs, self.spark.createDataFrame([], "key long, hits binary"), self.min_points)
         shards = self.spark.read.parquet(self._path("shards"))
-        return strip_lines(docs, probe(docs, shards, self.n_shards, 1, self.min_points), self.min_points)
+        return strip_lines(docs, probe(docs, shards, self.n_shards, salts_of(docs, self.n_shards), self.min_points), self.min_points)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -96,6 +96,33 @@ def test_bytes(docs, rows, depth):
     assert Counter(map(tuple, got.collect())) == brute_bytes(rows, depth)
 
 
+def test_line_index_deals_look_ups_and_changes_its_filters(spark, docs, monkeypatch):
+    used, probe = [], lines.probe
+    monkeypatch.setattr(lines, "probe", lambda *a: used.append(a[3]) or probe(*a))
+    built, build = [], lines.build_shards
+    monkeypatch.setattr(lines, "build_shards", lambda *a: built.append(a) or build(*a))
+    index, some = lines.LineIndex(spark, 3), docs.filter("doc_id % 2 = 0")
+
+    def keys():
+        out = set()
+        for r in spark.read.parquet(index._path("shards")).collect():
+            hi, lo = (np.frombuffer(r[c], np.uint64) for c in ("hi", "lo"))
+            assert lines.CuckooFilter.load(r["filter"]).contains(hi).all() and (np.diff(hi.astype(object)) >= 0).all()
+            out |= set(zip(hi.view(np.int64).tolist(), lo.view(np.int64).tolist(), strict=True))
+        return out
+
+    counted = lambda df: {(r["key_hi"], r["key_lo"]) for r in lines.line_counts(df).filter("refs >= 3").collect()}
+    for change, holds in ((lambda: index.insert(some), some), (lambda: index.insert(docs.exceptAll(some)), docs), (lambda: index.delete(docs.exceptAll(some)), some), (lambda: index.delete(some), docs.limit(0))):
+        change()
+        assert keys() == counted(holds)
+    assert len(built) == 1  # later changes insert into and delete from the filters
+    index.insert(docs)
+    want = Counter(map(tuple, lines.dedup_lines(docs, 3).select("doc_id", "text").collect()))
+    used.clear()
+    assert Counter(map(tuple, index.strip(docs).select("doc_id", "text").collect())) == want
+    assert used == [4]  # as many groups as shuffle partitions, not one
+
+
 def brute_components(rows, size, percent):
     sets = []
     for _, t in rows:
