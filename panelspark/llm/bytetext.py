@@ -16,12 +16,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once inside a task; one longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text handled at once inside a task (arrays of that many numbers fit a core's cache); one longer text is handled alone.
+CHUNK_BYTES = 1 << 18
+#: Longest table of powers that is kept.
+_KEPT = 1 << 21
 
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = np.uint64((1 << 31) - 1)
+_BITS = np.uint64(31)
+#: Bases of the two lanes; any two numbers drawn at random below the prime do.
+_BASES = (1_583_458_089, 784_588_716)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -40,30 +44,66 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 _BYTE_VALUE = mix(np.arange(256, dtype=np.uint64), 77)
 
 
-def _power(n: int, inverse: bool) -> np.ndarray:
-    key = "inverse" if inverse else "base"
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, but for a few multiples: below 2**31 + 2**(bits of x - 31)."""
+    return (x & _PRIME) + (x >> _BITS)
+
+
+def _power(n: int, lane: int, inverse: bool) -> np.ndarray:
+    """The first n powers of a lane's base (or of its inverse) modulo the prime."""
+    key = f"{lane}{inverse}"
     have = _powers.get(key)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        have = np.full(size, _INVERSE if inverse else _BASE, np.uint64)
-        have[0] = 1
-        _powers[key] = have = np.cumprod(have, dtype=np.uint64)
-        if size > 8 * CHUNK_BYTES:  # of one huge text: not kept
-            del _powers[key]
+        size, prime = max(n, CHUNK_BYTES + 1), int(_PRIME)
+        base = pow(_BASES[lane], -1, prime) if inverse else _BASES[lane]
+        have = np.ones(1, np.uint64)
+        while len(have) < size:
+            more = have * np.uint64(pow(base, len(have), prime)) % _PRIME
+            have = np.concatenate([have, more])
+        have = have[:size]
+        if size <= _KEPT:  # those of one huge text aren't kept
+            _powers[key] = have
     return have[:n]
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums from which :func:`span_hash` takes the hash of any span."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power(len(values), False), out=out[1:])
-    return out
+@dataclass
+class Prefix:
+    """Prefix sums of a sequence, in both lanes."""
 
+    sums: tuple[np.ndarray, np.ndarray]
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Hash of values[start:end], the same wherever the span lies."""
-    inverse = _power(len(prefix), True)
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64), salt)
+    def __len__(self) -> int:
+        return len(self.sums[0])
+
+
+def prefix_hash(values: np.ndarray) -> Prefix:
+    """Prefix sums from which :func:`span_hash` takes the hash of any span.
+
+    A span's hash is a polynomial in its values, taken twice: modulo the prime
+    2**31 - 1 at two bases, with 31 other bits of each value.  Different spans of
+    n values agree by chance with a probability of at most (n / 2**31) ** 2.
+    """
+    out = []
+    for lane, part in enumerate((values & _PRIME, values >> np.uint64(33))):
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(_fold(part * _power(len(values), lane, False)), out=sums[1:])  # terms below 2**32
+        out.append(sums)
+    return Prefix(tuple(out))
+
+
+def span_hash(prefix: Prefix, start: np.ndarray | slice, end: np.ndarray | slice, salt: int = 0) -> np.ndarray:
+    """Hash of values[start:end], the same wherever the span lies; slices stand for consecutive places."""
+    out = None
+    for lane, sums in enumerate(prefix.sums):
+        inverse = _power(len(prefix), lane, True)
+        x = _fold(_fold(_fold(_fold(sums[end] - sums[start])) * inverse[start]))
+        x = np.where(x >= _PRIME, x - _PRIME, x)
+        out = x if out is None else out | (x << _BITS)
+    if isinstance(start, slice):
+        length = np.full(1, end.start - start.start, np.uint64)
+    else:
+        length = (end - start).astype(np.uint64)
+    return mix(out ^ (length * np.uint64(0xD6E8FEB86659FD93)), salt)
 
 
 @dataclass
