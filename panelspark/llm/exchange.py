@@ -142,3 +142,28 @@ def flat_binary(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     rows = column.to_pylist()
     sizes = np.fromiter((sum(map(len, x or ())) for x in rows), np.int64, len(rows)) // np.dtype(dtype).itemsize
     return np.frombuffer(b"".join(p for x in rows for p in x or ()), dtype), np.repeat(np.arange(len(rows)), sizes)
+
+
+def deal(to: np.ndarray, column: str, **values: np.ndarray) -> pa.Table:
+    """Numbers as blocks, one row per addressee: the column that names it, and the packed arrays."""
+    order = np.argsort(to, kind="stable")
+    first = runs(to[order])
+    ends = np.append(first, len(order))[1:].tolist()
+    packed = {c: pa.array([v[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()) for c, v in ((c, v[order]) for c, v in values.items())}
+    return pa.table({column: pa.array(to[order[first]].astype(np.int32)), **packed})
+
+
+def opened(blocks: pa.Table, column: str, **dtypes: str) -> dict[str, np.ndarray]:
+    """The numbers of all blocks, and beside them the value of ``column`` of each one's block."""
+    out = {c: np.frombuffer(b"".join(blocks[c].to_pylist()), d) for c, d in dtypes.items()}
+    name, dtype = next(iter(dtypes.items()))
+    sizes = np.array([len(x) for x in blocks[name].to_pylist()], np.int64) // np.dtype(dtype).itemsize
+    return out | {column: np.repeat(blocks[column].to_numpy(), sizes)}
+
+
+def total_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, rising, and the sum of n over each."""
+    order = np.argsort(key, kind="stable")
+    first = runs(key[order])
+    sums = np.concatenate([[0], np.cumsum(n[order], dtype=np.int64)])
+    return key[order[first]], sums[np.append(first, len(order))[1:]] - sums[first]

@@ -1,22 +1,28 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
-The base is an exact unigram count of all training tokens.  Distinct words of a
-document travel in packed blocks; a bucket counts its words over the training
-documents and answers each document with its sums, so no count is broadcast.
-
-The model factors a token into its class and the token within the class, both
-softmaxes over hashed features of the context (the last word, the last two, and
-the one before the last alone).  Classes hold the commonest words; one more
-class stands for all others, whose share inside it comes from the exact counts,
-so that the probabilities of all tokens add up to one.  Every task runs over its
-part of the training texts in mini-batches of gradient updates from the same
-start; the weighted mean of the tasks' weights is the next start.
+The base is an exact unigram count of all training tokens: a task sends each
+distinct word of its flush once, a bucket adds the sums up.
+
+The model factors a token along a tree of classes: a word's hash names a branch
+of sixteen at each of its levels, and the leaf.  The tree is as deep as the
+number of distinct words asks for, so that a leaf holds a few of them.  At each
+node stands a softmax over the sixteen branches, of the branches' exact counts
+times weights of hashed features of the context: the last word, the one before
+it alone (a skip), and the shapes of the last two.  Inside a leaf a word has its exact share,
+with one place for every word never seen, so all probabilities add up to one.
+
+Every task runs over its part of the training texts in mini-batches of gradient
+updates from the same start; the mean of the tasks' weights, row by row in
+proportion to what each task saw of the row, is the next round's start.
+
+For scoring, texts are dealt into homes; a home asks for each of its distinct
+words once, so a word that all texts hold costs its bucket one entry per home.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,307 +30,314 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import bytetext as B
-from panelspark.llm.common import buckets, cut, fold_of, row_key, table, text_bytes
-from panelspark.llm.exchange import Outbox, block_schema, bucket_of, received, reply, runs, unpack
+from panelspark.llm.common import buckets, cut, fold_of, table, text_bytes
+from panelspark.llm.exchange import deal, opened, runs, total_by
+from panelspark.llm.substrings import dealt, meet
 
 BUCKET_BYTES = 16 << 20
-CLASSES, CLASS_WORDS = 16, 32
-FEATURES, WORD_FEATURES = 1 << 12, 1 << 10
-BATCH_TOKENS = 1 << 14
-RATE = 0.3
-ROUNDS = 1
-#: Tasks whose weights are averaged in one group.
-FAN_IN = 64
-
-_WORD = {"fp": "u8", "tf": "u4"}
-_TRAIN = {"train": "u1"}
-_SUMS = {"logs": "f8", "known": "i8"}
+#: Branches of a node, as bits; and the deepest tree (its leaves' masses go to every task: 16**5 numbers at most).
+BITS, DEEPEST = 4, 5
+BRANCHES = 1 << BITS
+#: Rows of feature weights: one for so many training tokens, between these bounds (of 64 bytes each, sent to every task).
+TOKENS_PER_ROW, LEAST_ROWS, MOST_ROWS = 16, 1 << 12, 1 << 18
+BATCH_TOKENS = 1 << 12
+#: Step of the updates, and how strongly each draws the rows it touches towards zero.
+RATE, PENALTY = 0.5, 0.1
+ROUNDS = 2
+#: Tasks whose weights are averaged in one group, and parts that the rows are averaged in.
+FAN_IN, PARTS = 64, 16
+FLUSH_TOKENS = 1 << 20
+
 END = np.uint64(0x5EED0FE2D0C0FFEE)
+#: Four bits for each pair of bytes.
+_PAIR = B.mix(np.arange(1 << 16, dtype=np.uint64), 80) >> np.uint64(60)
 
 
 def tokens(t: B.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's words and its end, and where each text begins."""
+    """Codes of each text's words and its end, and where each text begins.
+
+    A code's first four bits stand for the word's ending, the next four for its
+    beginning (two bytes each), the others for the word: its leading bits are
+    its way through the tree, whose upper classes thus hold words of like shape.
+    """
     w = B.words(t, lower=True)
+    two = lambda a, b: _PAIR[w.data[a].astype(np.int64) << 8 | w.data[b]]
+    shape = two(np.maximum(w.end - 2, w.start), w.end - 1) << np.uint64(4) | two(w.start, np.minimum(w.start + 1, w.end - 1))
     offsets = w.offsets + np.arange(len(w.offsets))
     out = np.full(int(offsets[-1]), END)
-    out[np.arange(len(w)) + w.owner()] = w.hash
+    out[np.arange(len(w)) + w.owner()] = shape << np.uint64(56) | B.mix(w.hash, 81) >> np.uint64(8)
     return out, offsets
 
 
-def _distinct(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of each text, how often each occurs, and its text."""
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))))
-    return h[new], np.diff(np.append(new, len(h))), owner[new]
+def bucket_of(code: np.ndarray, n: int) -> np.ndarray:
+    return (B.mix(code, 82) % np.uint64(n)).astype(np.int32)
 
 
-def send_words(n_buckets: int):
+def send_counts(n_buckets: int):
+    """Each flush's distinct words and how often they occur."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = Outbox(_WORD, _TRAIN)
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                code, n = total_by(*map(np.concatenate, zip(*held, strict=True)))
+                held.clear()
+                yield from deal(bucket_of(code, n_buckets), "bucket", code=code, n=n.astype(np.int64)).to_batches()
+
         for batch in batches:
-            keys, train = batch["key"].to_numpy(zero_copy_only=False), batch["train"].to_numpy(zero_copy_only=False)
             for t in B.texts(batch["text"]):
-                h, tf, owner = _distinct(*tokens(t))
-                row = t.first + owner
-                yield from box.add(bucket=bucket_of(B.mix(h, 81), n_buckets), owner=keys[row], train=train[row], fp=h, tf=tf)
-        yield from box.flush()
+                h, _ = tokens(t)
+                held.append(total_by(h, np.ones(len(h), np.int64)))
+                size += len(held[-1][0])
+                if size >= FLUSH_TOKENS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     return run
 
 
-def answer_counts(homes: int, vocabulary: int):
-    """Each document's sums to its home; and in bucket -1 this bucket's totals and commonest words."""
-
-    def run(_: tuple, blocks: pa.Table) -> pa.Table:
-        e = unpack(blocks, _WORD, _TRAIN)
-        word, inverse = np.unique(e["fp"], return_inverse=True)
-        count = np.bincount(inverse, np.where(e["train"] == 1, e["tf"], 0), len(word)).astype(np.int64)
-        c = count[inverse]
-        order = np.argsort(e["owner"], kind="stable")
-        owner, tf = e["owner"][order], e["tf"][order].astype(np.int64)
-        first = runs(owner)
-        logs = np.add.reduceat(tf * np.log10(c[order] + 1.0), first) if len(first) else np.zeros(0)
-        known = np.add.reduceat(np.where(c[order] > 0, tf, 0), first) if len(first) else np.zeros(0, np.int64)
-        out = reply(owner[first], homes, _SUMS, logs=logs, known=known)
-        top = np.lexsort((word, -count))[:vocabulary]
-        top = top[count[top] > 0]
-        stats = {"bucket": [-1], "owner": [word[top].tobytes()], "entries": [np.array([count.sum(), (count > 0).sum()], np.int64).tobytes()], "logs": [count[top].tobytes()], "known": [b""]}
-        return pa.concat_tables([out, pa.table(stats, schema=out.schema)])
+def add_up(key: tuple, blocks: pa.Table) -> pa.Table:
+    """A bucket's words (codes rising) and counts."""
+    e = opened(blocks, "bucket", code="u8", n="i8")
+    code, n = total_by(e["code"], e["n"])
+    out = {"bucket": [key[0].as_py()], "code": [code.tobytes()], "n": [n.tobytes()], "total": [int(n.sum())], "distinct": [len(code)]}
+    return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("code", pa.binary()), ("n", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())]))
+
+
+def leaf_masses(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = opened(pa.Table.from_batches([batch]), "bucket", code="u8", n="i8")
+            leaf, mass = total_by(e["code"] >> np.uint64(64 - BITS * depth), e["n"] + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(mass)], names=["leaf", "mass"])
 
     return run
 
 
+def depth_for(distinct: int) -> int:
+    """Levels of the tree: as many as leave about a dozen words to a leaf."""
+    return int(np.clip(np.rint(np.log2(max(distinct, 1)) / BITS) - 1, 1, DEEPEST))
+
+
 @dataclass
 class Model:
-    """Vocabulary (hashes by rank), its counts, totals, and the weights."""
+    """Totals, the masses of the leaves, and the weights (a row of branches for each hashed feature)."""
 
-    words: np.ndarray
-    counts: np.ndarray
     total: int
     distinct: int
-    classes: int = CLASSES
-    size: int = CLASS_WORDS
-    weights: list[np.ndarray] = field(default_factory=list)
+    mass: np.ndarray
+    weights: np.ndarray
 
     def __post_init__(self) -> None:
-        order = np.argsort(self.words, kind="stable")
-        self.sorted, self.rank = self.words[order], order
-        if not self.weights:
-            shapes = [(self.classes,), *[(FEATURES, self.classes)] * 3, (self.classes - 1, self.size), (WORD_FEATURES, self.classes - 1, self.size)]
-            self.weights = [np.zeros(s, np.float32) for s in shapes]
-            # the start: classes and words as often as they are
-            share = np.full((self.classes - 1) * self.size, 0.0)
-            share[: len(self.counts)] = self.counts
-            share = share.reshape(self.classes - 1, self.size)
-            rest = max(self.total - float(self.counts.sum()), 0)
-            self.weights[0] = np.log(np.concatenate([[rest], share.sum(axis=1)]) + 0.5).astype(np.float32)
-            # places without a word never occur
-            self.weights[4] = np.where(np.arange(share.size).reshape(share.shape) < len(self.counts), np.log(share + 0.5), -1e4).astype(np.float32)
-        self.empty = [i for i in range(1, self.classes) if (i - 1) * self.size >= len(self.counts)]
-        self.weights[0][self.empty] = -1e4
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Rank in the vocabulary, or -1."""
-        if not len(self.sorted):
-            return np.full(len(h), -1)
-        at = np.searchsorted(self.sorted, h)
-        at[at == len(self.sorted)] = 0
-        return np.where(self.sorted[at] == h, self.rank[at], -1)
-
-    def contexts(self, h: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Feature numbers of each token's context; before a text lie blanks."""
-        one, two = np.zeros_like(h), np.zeros_like(h)
-        one[1:], two[2:] = h[:-1], h[:-2]
-        starts = offsets[:-1]
-        one[starts] = two[starts] = 0
-        second = starts[np.diff(offsets) > 1] + 1
-        two[second] = 0
-        mask = np.uint64(FEATURES - 1)
-        numbers = [B.mix(one, 91) & mask, B.mix(two, 92) & mask, B.mix(one ^ B.mix(two, 93), 94) & mask]
-        return [n.astype(np.int64) for n in numbers]
-
-    def logits(self, f: list[np.ndarray]) -> np.ndarray:
-        w = self.weights
-        return w[0] + w[1][f[0]] + w[2][f[1]] + w[3][f[2]]
-
-    def inner(self, f: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
-        return self.weights[4][cls] + self.weights[5][f[0] & (WORD_FEATURES - 1), cls]
-
-    def score(self, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Natural log probability of each token's class, and of the token within it if that is in the vocabulary."""
-        out = np.zeros(len(h))
-        number = self.ids(h)
-        context = self.contexts(h, offsets)
-        for a in range(0, len(h), BATCH_TOKENS):
-            f, v = [c[a : a + BATCH_TOKENS] for c in context], number[a : a + BATCH_TOKENS]
-            y = np.where(v < 0, 0, v // self.size + 1)
-            z = self.logits(f)
-            out[a : a + BATCH_TOKENS] = _log_softmax_at(z, y)
-            some = np.flatnonzero(v >= 0)
-            if len(some):
-                out[a + some] += _log_softmax_at(self.inner([f[0][some]], y[some] - 1), v[some] % self.size)
-        return out
-
-    def rare_shares(self) -> float:
-        """log10 of the denominator of words outside the vocabulary."""
-        return float(np.log10(max(self.total - int(self.counts.sum()), 0) + self.distinct - len(self.words) + 1))
+        self.depth = int(np.log2(len(self.mass))) // BITS
+        self.logs = np.log10(self.mass)
+        sums = self.mass
+        self.offset: list[np.ndarray] = []
+        for _ in range(self.depth):
+            self.offset.insert(0, np.log(sums).reshape(-1, BRANCHES).astype(np.float32))
+            sums = sums.reshape(-1, BRANCHES).sum(axis=1)
+        self.shift = np.uint64(64 - int(np.log2(len(self.weights))))
+
+    def leaf(self, code: np.ndarray) -> np.ndarray:
+        return (code >> np.uint64(64 - BITS * self.depth)).astype(np.int64)
+
+    def contexts(self, code: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Hashes of each token's context features; before a text lie blanks."""
+        place = np.arange(len(code)) - np.repeat(offsets[:-1], np.diff(offsets))
+        back = []
+        for k in (1, 2):
+            word = np.zeros_like(code)
+            word[k:] = code[:-k]
+            word[place < k] = 0
+            back.append(word)
+        one, two = back
+        return [B.mix(one, 91), B.mix(two, 92), B.mix((one >> np.uint64(56)) << np.uint64(8) | two >> np.uint64(56), 93)]
+
+    def step(self, context: list[np.ndarray], code: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """At one level: the rows of the features, the logits of the branches, and the branch taken."""
+        node = code >> np.uint64(64 - BITS * level) if level else np.zeros_like(code)
+        salt = (node + np.uint64((level << 40) + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        rows = [(((c ^ salt) * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift).astype(np.int64) for c in context]
+        z = self.offset[level][node.astype(np.int64)]
+        for r in rows:
+            z += self.weights.take(r, axis=0)
+        return rows, z, ((code >> np.uint64(64 - BITS * (level + 1))) & np.uint64(BRANCHES - 1)).astype(np.int64)
+
+    def score(self, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """log10 probability of each token's leaf."""
+        out = np.zeros(len(code))
+        context = self.contexts(code, offsets)
+        for a in range(0, len(code), BATCH_TOKENS):
+            part = slice(a, a + BATCH_TOKENS)
+            for level in range(self.depth):
+                _, z, taken = self.step([c[part] for c in context], code[part], level)
+                out[part] += _log_softmax_at(z, taken)
+        return out / np.log(10)
 
 
 def _log_softmax_at(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     z = z - z.max(axis=1, keepdims=True)
-    return z[np.arange(len(y)), y].astype(np.float64) - np.log(np.exp(z).sum(axis=1))
-
-
-def _residual(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(y)), y] -= 1
-    return z
-
-
-def _scatter(w: np.ndarray, seen: np.ndarray, number: np.ndarray, g: np.ndarray, rate: float) -> None:
-    """An adaptive-rate update of the rows ``number`` by the summed gradients g."""
-    order = np.argsort(number.astype(np.uint16) if len(w) <= 1 << 16 else number, kind="stable")
-    first = runs(number[order])
-    rows = number[order[first]]
-    total = np.add.reduceat(g[order], first, axis=0)
-    seen[rows] += total * total
-    w[rows] -= rate * total / np.sqrt(seen[rows] + 1.0)
+    return z[np.arange(len(y)), y].astype(np.float64) - np.log(np.exp(z).sum(axis=1, dtype=np.float64))
 
 
 class Trainer:
-    """Mini-batch updates of one task, from a shared start."""
+    """Mini-batch updates of one task, from a shared start; seen holds each row's summed squared gradients."""
 
     def __init__(self, model: Model, rate: float = RATE):
-        self.model, self.rate, self.tokens = model, rate, 0
-        self.model.weights = [w.copy() for w in model.weights]
-        self.seen = [np.zeros_like(w) for w in self.model.weights]
-
-    def learn(self, h: np.ndarray, offsets: np.ndarray) -> None:
-        m, w = self.model, self.model.weights
-        number, context = m.ids(h), m.contexts(h, offsets)
-        for a in range(0, len(h), BATCH_TOKENS):
-            f, v = [c[a : a + BATCH_TOKENS] for c in context], number[a : a + BATCH_TOKENS]
-            y = np.where(v < 0, 0, v // m.size + 1)
-            g = _residual(m.logits(f), y)
-            for i in range(3):
-                _scatter(w[1 + i], self.seen[1 + i], f[i], g, self.rate)
-            some = np.flatnonzero(v >= 0)
-            if len(some):
-                cls = y[some] - 1
-                g = _residual(m.inner([f[0][some]], cls), v[some] % m.size)
-                flat, seen = (x[5].reshape(-1, m.size) for x in (w, self.seen))
-                _scatter(flat, seen, (f[0][some] & (WORD_FEATURES - 1)) * (m.classes - 1) + cls, g, self.rate)
-        self.tokens += len(h)
+        self.model, self.rate, self.tokens = model, np.float32(rate), 0
+        self.weights = model.weights.copy()
+        self.model = Model(model.total, model.distinct, model.mass, self.weights)
+        self.seen = np.zeros(len(self.weights), np.float32)
+
+    def learn(self, code: np.ndarray, offsets: np.ndarray) -> None:
+        context = self.model.contexts(code, offsets)
+        for a in range(0, len(code), BATCH_TOKENS):
+            part = slice(a, a + BATCH_TOKENS)
+            for level in range(self.model.depth):
+                rows, z, taken = self.model.step([c[part] for c in context], code[part], level)
+                z -= z.max(axis=1, keepdims=True)
+                np.exp(z, out=z)
+                z /= z.sum(axis=1, keepdims=True)
+                z[np.arange(len(z)), taken] -= 1
+                self.update(np.concatenate(rows), z)
+        self.tokens += len(code)
+
+    def update(self, row: np.ndarray, g: np.ndarray) -> None:
+        """Adds the gradients of each row up (g serves every feature) and moves the row."""
+        order = np.argsort(row)
+        first = runs(row[order])
+        at = row[order[first]]
+        total = np.add.reduceat(g.take(order % len(g), axis=0), first, axis=0)
+        total += np.float32(PENALTY) * self.weights[at]
+        self.seen[at] += np.einsum("ij,ij->i", total, total)
+        total *= (self.rate / np.sqrt(self.seen[at] + 1))[:, None]
+        self.weights[at] -= total
 
 
 def _mean(_: tuple, parts: pa.Table) -> pa.Table:
-    weight = parts["tokens"].to_numpy().astype(np.float64)
-    rows = [np.frombuffer(x, np.float32) for x in parts["weights"].to_pylist()]
-    total = sum(w * r.astype(np.float64) for w, r in zip(weight, rows, strict=True)) / max(weight.sum(), 1)
-    return pa.table([parts["part"].slice(0, 1), pa.array([0], pa.int32()), pa.array([int(weight.sum())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "branch", "tokens", "weights"])
+    """The tasks' weights, row by row in proportion to what each saw of the row; rows nobody saw stay."""
+    total = weight = None
+    for w, s in zip(parts["weights"].to_pylist(), parts["seen"].to_pylist(), strict=True):
+        s = np.frombuffer(s, np.float32).astype(np.float64) + 1e-9
+        w = np.frombuffer(w, np.float32).reshape(len(s), BRANCHES) * s[:, None]
+        total, weight = (w, s) if total is None else (total + w, weight + s)
+    mean = (total / weight[:, None]).astype(np.float32)
+    return pa.table([parts["part"].slice(0, 1), pa.array([0], pa.int32()), pa.array([mean.tobytes()], pa.binary()), pa.array([weight.astype(np.float32).tobytes()], pa.binary())], names=["part", "branch", "weights", "seen"])
 
 
 def train(docs: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """docs: column text.  Each round every task updates from the same weights; their token-weighted mean comes back."""
-    shapes = [w.shape for w in model.weights]
-    schema = "part int, branch int, tokens long, weights binary"
-    for _ in range(rounds):
+    """docs: column text.  Each round every task updates from the same weights; their mean comes back."""
+    schema = "part int, branch int, weights binary, seen binary"
+    for turn in range(rounds):
+        sent = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
-        def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            trainer = Trainer(model, rate)
+            trainer = Trainer(sent.value, rate / (turn + 1))
             for batch in batches:
                 for t in B.texts(batch["text"]):
                     trainer.learn(*tokens(t))
             if trainer.tokens:
-                n, branch = len(shapes), TaskContext.get().partitionId() // FAN_IN
-                columns = [pa.array(range(n), pa.int32()), pa.array([branch] * n, pa.int32()), pa.array([trainer.tokens] * n), pa.array([w.tobytes() for w in trainer.model.weights], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "branch", "tokens", "weights"])
+                n, branch = PARTS, TaskContext.get().partitionId() // FAN_IN
+                packed = [pa.array([x.tobytes() for x in np.split(v, n)], pa.binary()) for v in (trainer.weights, trainer.seen)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([branch] * n, pa.int32()), *packed], names=["part", "branch", "weights", "seen"])
 
         parts = docs.mapInArrow(run, schema).groupBy("part", "branch").applyInArrow(_mean, schema)
-        got = {r["part"]: r["weights"] for r in parts.groupBy("part", "branch").applyInArrow(_mean, schema).collect()}  # the model's fixed size
+        # the group of all branches: one row per part and FAN_IN tasks
+        got = {r["part"]: r["weights"] for r in parts.groupBy("part", "branch").applyInArrow(_mean, schema).collect()}  # the model's bounded size
         if got:
-            weights = [np.frombuffer(got[i], np.float32).reshape(s).copy() for i, s in enumerate(shapes)]
-            model = Model(model.words, model.counts, model.total, model.distinct, model.classes, model.size, weights)
+            weights = np.concatenate([np.frombuffer(got[i], np.float32).reshape(-1, BRANCHES) for i in range(PARTS)])
+            model = Model(model.total, model.distinct, model.mass, weights)
     return model
 
 
-def score_documents(docs: DataFrame, training=None, rounds: int = ROUNDS, classes: int = CLASSES, class_words: int = CLASS_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def count_words(training: DataFrame, n_buckets: int) -> DataFrame:
+    """The exact table: for each bucket its words' codes and counts, and their totals.  training: column text."""
+    sent = training.mapInArrow(send_counts(n_buckets), "bucket int, code binary, n binary")
+    return cut(sent.groupBy("bucket").applyInArrow(add_up, "bucket int, code binary, n binary, total long, distinct long"))
+
+
+def start_model(counts: DataFrame, depth: int | None = None, rows: int | None = None) -> Model:
+    """The untrained model: each leaf weighs as much as its words, and one for those never seen."""
+    got = counts.agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
+    total, distinct = int(got["total"] or 0), int(got["distinct"] or 0)
+    depth = depth or depth_for(distinct)
+    leaves = counts.select("bucket", "code", "n").mapInArrow(leaf_masses(depth), "leaf long, mass long").groupBy("leaf").agg(F.sum("mass").alias("mass")).toArrow()  # 16**DEEPEST rows at most
+    mass = np.ones(1 << BITS * depth)
+    mass[leaves["leaf"].to_numpy()] += leaves["mass"].to_numpy()
+    rows = rows or int(2 ** np.ceil(np.log2(np.clip(total / TOKENS_PER_ROW, LEAST_ROWS, MOST_ROWS))))
+    return Model(total, distinct, mass, np.zeros((rows, BRANCHES), np.float32))
+
+
+def ask_counts(n_buckets: int):
+    """A home's distinct words, one entry each."""
+
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        held = [np.unique(tokens(t)[0]) for t in B.texts(docs["text"])]
+        code = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]))
+        out = deal(bucket_of(code, n_buckets), "bucket", code=code)
+        return out.append_column("home", pa.array([key[0].as_py()] * out.num_rows, pa.int32()))
+
+    return run
+
+
+def answer_counts(_: tuple, asks: pa.Table, counts: pa.Table) -> pa.Table:
+    """To each home the counts of the words it asked for, but for those that training texts lack."""
+    e, c = opened(asks, "home", code="u8"), opened(counts.select(["bucket", "code", "n"]), "bucket", code="u8", n="i8")
+    at = np.searchsorted(c["code"], e["code"])
+    at[at == len(c["code"])] = 0
+    known = c["code"][at] == e["code"] if len(c["code"]) else np.zeros(len(at), bool)
+    return deal(e["home"][known], "bucket", code=e["code"][known], n=c["n"][at[known]])
+
+
+def score_documents(docs: DataFrame, training=None, rounds: int = ROUNDS, depth: int | None = None, rows: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     ``training`` is a Column that says which rows to learn from (all if None; a
     null counts as no).  A null or empty text is the end token alone; repeated
-    rows count as often as they occur and score alike; null ids pass through; an
-    empty table gives no rows, and without training rows every count is zero.
+    rows count as often as they occur and score alike; null ids pass through;
+    extra columns are ignored; an empty table gives no rows, and without
+    training rows every count is zero.
     """
     spark = docs.sparkSession
     n = buckets(spark, text_bytes(docs, text_column), BUCKET_BYTES)
-    plain = docs.select(F.col(id_column).alias("doc_id"), row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"), F.coalesce(F.lit(True) if training is None else training, F.lit(False)).cast("int").alias("train"))
-    vocabulary = (classes - 1) * class_words
-    sent = plain.select("key", "train", "text").mapInArrow(send_words(n), block_schema(_WORD, _TRAIN))
-    answers = cut(sent.groupBy("bucket").applyInArrow(answer_counts(n, vocabulary), block_schema(_SUMS)))
-    stats = answers.filter("bucket = -1").select("owner", "entries", "logs")
-    model = gather(stats, classes, class_words)
-    model = train(plain.filter("train = 1").select("text"), model, rounds)
-    shared = spark.sparkContext.broadcast(model)  # of fixed size
+    plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.lit(True) if training is None else training, F.lit(False)).alias("train"))
+    learned = plain.filter("train").select("text")
+    counts = count_words(learned, n)
+    model = train(learned, start_model(counts, depth, rows), rounds)
+    shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_column].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        logs = np.log10(m.counts + 1.0)
-        for batch in batches:
-            size, score = [], []
-            for t in B.texts(batch["text"]):
-                h, offsets = tokens(t)
-                number = m.ids(h)
-                # of a token outside the vocabulary, the count's share is added from the answers
-                inside = np.where(number >= 0, logs[number] if len(logs) else 0.0, m.rare_shares())
-                value = m.score(h, offsets) / np.log(10) - inside
-                size.append(np.diff(offsets))
-                score.append(np.add.reduceat(value, offsets[:-1]))
-            columns = [batch["doc_id"], batch["key"], pa.array(np.concatenate([np.zeros(0, np.int64), *size])), pa.array(np.concatenate([np.zeros(0), *score]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_tokens", "part"])
-
-    scored = plain.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key long, n_tokens long, part double")
-    homed = scored.withColumn("home", F.pmod("key", F.lit(n)).cast("int"))
-    base = float(np.log10(model.total + model.distinct + 1))
+    texts = dealt(plain.select("doc_id", "text"), n, "doc_id", "text", ())
+    asked = texts.groupBy("_ps_home").applyInArrow(ask_counts(n), "bucket int, code binary, home int")
+    answers = asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(answer_counts, "bucket int, code binary, n binary")
 
     def finish(_: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
-        row, x = received(replies, rows["key"].to_numpy(), _SUMS)
-        _, inverse, count = np.unique(rows["key"].to_numpy(), return_inverse=True, return_counts=True)
-        alike = count[inverse]  # rows that repeat each other were summed together
-        logs = np.bincount(row, x["logs"], rows.num_rows) / alike
-        known = np.bincount(row, x["known"], rows.num_rows).astype(np.int64) // alike
-        size = rows["n_tokens"].to_numpy()
-        return pa.table([rows["doc_id"], rows["n_tokens"], pa.array(known), pa.array(np.full(len(size), model_total)), pa.array(logs - size * base), pa.array(rows["part"].to_numpy() + logs)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    model_total = model.total
-    schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return homed.groupBy("home").cogroup(answers.filter("bucket >= 0").groupBy("bucket")).applyInArrow(finish, schema)
-
-
-def gather(stats: DataFrame, classes: int, class_words: int) -> Model:
-    """Totals, and the commonest words of the buckets' commonest."""
-    k = (classes - 1) * class_words
-    schema = "word long, count long, total long, distinct long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, totals, counts in zip(batch["owner"].to_pylist(), batch["entries"].to_pylist(), batch["logs"].to_pylist(), strict=True):
-                w, c = np.frombuffer(words, np.int64), np.frombuffer(counts, np.int64)
-                n, v = np.frombuffer(totals, np.int64).tolist()
-                zero = np.zeros(len(w), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([*w.tolist(), None], pa.int64()), pa.array(np.append(c, 0)), pa.array(np.append(zero, n)), pa.array(np.append(zero, v))], names=["word", "count", "total", "distinct"])
-
-    rows = stats.mapInArrow(run, schema)
-    total = rows.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
-    top = rows.filter("word is not null").orderBy(F.desc("count"), "word").limit(k).collect()  # at most k rows
-    words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    return Model(words, np.array([r["count"] for r in top], np.int64), int(total["n"] or 0), int(total["v"] or 0), classes, class_words)
+        m = shared.value
+        base = float(np.log10(m.total + m.distinct + 1))
+        e = opened(replies, "bucket", code="u8", n="i8")
+        order = np.argsort(e["code"])
+        code, count = e["code"][order], e["n"][order]
+        size, known, plain_sum, score = ([np.zeros(0, d)] for d in (np.int64, np.int64, np.float64, np.float64))
+        for t in B.texts(rows["text"]):
+            mine, offsets = tokens(t)
+            c = np.zeros(len(mine), np.int64)
+            if len(code):
+                at = np.searchsorted(code, mine)
+                at[at == len(code)] = 0
+                c = np.where(code[at] == mine, count[at], 0)
+            logs = np.log10(c + 1.0)
+            size.append(np.diff(offsets))
+            known.append(np.add.reduceat((c > 0).astype(np.int64), offsets[:-1]))
+            plain_sum.append(np.add.reduceat(logs - base, offsets[:-1]))
+            score.append(np.add.reduceat(m.score(mine, offsets) + logs - m.logs[m.leaf(mine)], offsets[:-1]))
+        n_tokens = np.concatenate(size)
+        columns = [rows["doc_id"], pa.array(n_tokens), pa.array(np.concatenate(known)), pa.array(np.full(len(n_tokens), m.total, np.int64)), pa.array(np.concatenate(plain_sum)), pa.array(np.concatenate(score))]
+        return pa.table(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return meet(texts, answers, finish, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -244,21 +244,57 @@ def test_language_model(spark, docs, rows, nothing):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in empty)
 
 
-def test_model_is_a_distribution_and_learns():
-    rnd = np.random.default_rng(10)
-    texts = pa.array([" ".join(x) for x in rnd.choice([["a", "b", "a", "b"], ["c", "d", "c", "d"]], size=300)])
-    h, offsets = maxent.tokens(next(iter(B.texts(texts))))
-    w, c = np.unique(h, return_counts=True)
-    keep = np.argsort(-c)[:4]
-    m = maxent.Model(w[keep], c[keep], int(c.sum()), len(w), 3, 2)
-    f = m.contexts(h, offsets)
-    p = np.exp(m.logits(f))
-    assert np.allclose((p / p.sum(axis=1, keepdims=True)).sum(axis=1), 1)
-    before = m.score(h, offsets).sum()
-    trainer = maxent.Trainer(m)
-    for _ in range(20):
-        trainer.learn(h, offsets)
-    assert trainer.model.score(h, offsets).sum() > before + 50
+def test_scores_are_log_probabilities(spark, docs, rows):
+    """The query's scores against a plain walk through the tree, and the sum over all words and places of unseen ones."""
+    training = docs.filter(fold_of("doc_id", 7) != 2).select("text")
+    counts = maxent.count_words(training, 4)
+    model = maxent.train(training, maxent.start_model(counts, 2, 1 << 12), 2)
+    assert np.abs(model.weights).max() > 0.1
+    seen = {c: n for r in counts.collect() for c, n in zip(np.frombuffer(r["code"], np.uint64).tolist(), np.frombuffer(r["n"], np.int64).tolist(), strict=True)}
+
+    def leaf_log(code, level, context):
+        z = model.step([np.array([c], np.uint64) for c in context], np.array([code], np.uint64), level)[1][0].astype(float)
+        return z[(code >> (60 - 4 * level)) & 15] - math.log(sum(map(math.exp, z)))
+
+    def log10(code, context):
+        leaf = code >> 56
+        return sum(leaf_log(code, level, context) for level in range(2)) / math.log(10) + math.log10((seen.get(code, 0) + 1) / model.mass[leaf])
+
+    code, offsets = maxent.tokens(next(B.texts(pa.array([rows[4][1], "never seen words", ""]))))
+    contexts = np.stack(model.contexts(code, offsets), axis=1).tolist()
+    mine = [sum(log10(c, x) for c, x in list(zip(code.tolist(), contexts, strict=True))[a:b]) for a, b in zip(offsets, offsets[1:])]
+    kept = np.array([seen.get(c, 0) for c in code.tolist()])
+    fast = np.add.reduceat(model.score(code, offsets) + np.log10(kept + 1) - model.logs[model.leaf(code)], offsets[:-1])
+    assert np.allclose(mine, fast, atol=1e-4)
+    for x in contexts[:3]:
+        total = sum(10 ** log10(c, x) for c in seen) + sum(10 ** log10(leaf << 56 | 0xABCDEF, x) for leaf in range(256))
+        assert abs(total - 1) < 1e-4
+
+
+def test_language_model_learns_from_contexts(spark, nothing):
+    rnd = random.Random(11)
+    follows = {f"w{i}": [f"w{(7 * i + j) % 60}" for j in (1, 2)] for i in range(60)}
+    rows = []
+    for d in range(700):
+        w = ["w0"]
+        while len(w) < 60:
+            w.append(rnd.choice(follows[w[-1]]))
+        rows.append((d, " ".join(w)))
+    got = maxent.score_documents(frame(spark, rows), F.col("doc_id") < 600).filter("doc_id >= 600").collect()
+    gain = np.mean([(r["score"] - r["base_score"]) / r["n_tokens"] for r in got])
+    assert gain > 0.5, gain  # of 1.47, from 60 words to 2
+    deep = maxent.score_documents(frame(spark, rows), F.col("doc_id") < 600, depth=3, rounds=1).filter("doc_id >= 600").collect()
+    assert np.mean([(r["score"] - r["base_score"]) / r["n_tokens"] for r in deep]) > 0.4
+
+
+def test_common_words_cost_an_entry_per_home(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common words of all texts x"), F.col("id")).alias("text"))
+    texts = maxent.dealt(docs, 8, "doc_id", "text", ())
+    asks = texts.groupBy("_ps_home").applyInArrow(maxent.ask_counts(8), "bucket int, code binary, home int")
+    most = asks.groupBy("bucket").agg((F.sum(F.octet_length("code")) / 8).alias("n")).agg(F.max("n")).first()[0]
+    assert most < 1.2 * (20_000 + 8 * 6) / 8
+    sent = docs.select("text").mapInArrow(maxent.send_counts(8), "bucket int, code binary, n binary")
+    assert sent.agg(F.sum(F.octet_length("code")) / 8).first()[0] < 20_000 + 6 * 16
 
 
 def test_pipeline_stages(spark, sf, duck):
