@@ -24,8 +24,8 @@ _KEPT = 1 << 21
 _MASK = (1 << 64) - 1
 _PRIME = np.uint64((1 << 31) - 1)
 _BITS = np.uint64(31)
-#: Bases of the two lanes; any two numbers drawn at random below the prime do.
-_BASES = (1_583_458_089, 784_588_716)
+#: Bases of the two lanes, and of two more for hashes of their own; any numbers drawn at random below the prime do.
+_BASES = (1_583_458_089, 784_588_716, 1_914_544_919, 305_368_281)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,33 +68,35 @@ def _power(n: int, lane: int, inverse: bool) -> np.ndarray:
 
 @dataclass
 class Prefix:
-    """Prefix sums of a sequence, in both lanes."""
+    """Prefix sums of a sequence, in both lanes (0 and 1, or 2 and 3)."""
 
     sums: tuple[np.ndarray, np.ndarray]
+    lane: int
 
     def __len__(self) -> int:
         return len(self.sums[0])
 
 
-def prefix_hash(values: np.ndarray) -> Prefix:
+def prefix_hash(values: np.ndarray, other: bool = False) -> Prefix:
     """Prefix sums from which :func:`span_hash` takes the hash of any span.
 
     A span's hash is a polynomial in its values, taken twice: modulo the prime
     2**31 - 1 at two bases, with 31 other bits of each value.  Different spans of
-    n values agree by chance with a probability of at most (n / 2**31) ** 2.
+    n values agree by chance with a probability of at most (n / 2**31) ** 2; the
+    other pair of bases gives a hash that agrees by chance independently.
     """
-    out = []
-    for lane, part in enumerate((values & _PRIME, values >> np.uint64(33))):
+    out, first = [], 2 * other
+    for lane, part in enumerate((values & _PRIME, values >> np.uint64(33)), first):
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(_fold(part * _power(len(values), lane, False)), out=sums[1:])  # terms below 2**32
         out.append(sums)
-    return Prefix(tuple(out))
+    return Prefix(tuple(out), first)
 
 
 def span_hash(prefix: Prefix, start: np.ndarray | slice, end: np.ndarray | slice, salt: int = 0) -> np.ndarray:
     """Hash of values[start:end], the same wherever the span lies; slices stand for consecutive places."""
     out = None
-    for lane, sums in enumerate(prefix.sums):
+    for lane, sums in enumerate(prefix.sums, prefix.lane):
         inverse = _power(len(prefix), lane, True)
         x = _fold(_fold(_fold(_fold(sums[end] - sums[start])) * inverse[start]))
         x = np.where(x >= _PRIME, x - _PRIME, x)
@@ -183,6 +185,19 @@ def windows(w: Words, size: int, salts: tuple[int, ...] = (1, 2)) -> tuple[np.nd
     return start, [span_hash(prefix_hash(mix(w.hash, 100 + s)), start, start + size, s) for s in salts]
 
 
+def join_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray, count: np.ndarray, between: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces data[start:end] of each text (count says how many) with one byte between them, as bytes and offsets."""
+    length = end - start + 1
+    to = np.cumsum(length)
+    source = np.repeat(start - (to - length), length) + np.arange(int(length.sum()))
+    out = np.append(data, np.uint8(between))[source]
+    out[to - 1] = between
+    ends = np.concatenate([[0], to])[np.concatenate([[0], np.cumsum(count)])]
+    some = count > 0
+    out = np.delete(out, ends[1:][some] - 1)  # the byte after each text's last piece
+    return out, ends - np.concatenate([[0], np.cumsum(some)])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return np.ascontiguousarray(x).view(np.int64)

@@ -1,11 +1,15 @@
 """Line dedup with sharded cuckoo filters over exact reference-count tables.
 
-A line's key is a 128-bit fingerprint of its stripped, lower-cased bytes.  The
-exact table counts for each key the documents that hold it.  Keys that reached
-the threshold are dealt into shards of bounded size; a shard is a cuckoo filter
-plus its sorted exact keys, so a filter hit is always confirmed.  Documents can
-be added and deleted again (:class:`LineIndex`): counts move both ways, and keys
-that cross the threshold enter or leave the filters.
+A line's key is two 62-bit fingerprints of its stripped, lower-cased bytes, each
+modulo a prime at bases of its own.  The exact table counts for each key the
+documents that hold it.  Keys that reached the threshold are dealt into shards of
+bounded size; a shard is a cuckoo filter plus its sorted exact keys, so a filter
+hit is always confirmed.  Documents can be added and deleted again
+(:class:`LineIndex`): counts move both ways, and keys that cross the threshold
+enter or leave the filters.
+
+Texts are dealt into homes; a home asks the shards for each of its distinct keys
+once, so a line that all documents hold costs its shard one entry per home.
 """
 
 from __future__ import annotations
@@ -14,19 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import bytetext as B
-from panelspark.llm.common import buckets, cut, row_key, shared_folder, table, text_bytes
-from panelspark.llm.exchange import Outbox, block_schema, by_owner, flat_binary, unpack
+from panelspark.llm.common import buckets, cut, shared_folder, table, text_bytes
+from panelspark.llm.exchange import deal, opened
+from panelspark.llm.substrings import add_columns, cat, dealt, meet, offsets_of, plain_columns, schema_with
 
 #: Keys in one shard, at most about.
 SHARD_KEYS = 1 << 15
 SLOTS = 4
-_KEYS = {"hi": "u8", "lo": "u8"}
-_BYTE_VALUE_2 = B.mix(np.arange(256, dtype=np.uint64), 78)
+#: Bytes of text that make one home.
+HOME_BYTES = 16 << 20
 
 
 def line_spans(t: B.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,7 +52,7 @@ def line_keys(t: B.Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     s, e = np.zeros_like(start), np.zeros_like(end)
     s[some], e[some] = solid[a[some]], solid[b[some] - 1] + 1
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return B.span_hash(B.prefix_hash(B._BYTE_VALUE[data]), s, e, 5), B.span_hash(B.prefix_hash(_BYTE_VALUE_2[data]), s, e, 6), points[e] - points[s]
+    return B.span_hash(B.prefix_hash(B._BYTE_VALUE[data]), s, e, 5), B.span_hash(B.prefix_hash(B._BYTE_VALUE[data], True), s, e, 6), points[e] - points[s]
 
 
 def _distinct(t: B.Texts, min_points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,6 +68,26 @@ def _distinct(t: B.Texts, min_points: int) -> tuple[np.ndarray, np.ndarray, np.n
     return hi[new], lo[new], owner[new]
 
 
+def distinct_pairs(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hi, lo), rising, and how often each occurs."""
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(hi)), bool), (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
+    return hi[new], lo[new], np.diff(np.append(new, len(hi)))
+
+
+def is_among(hi: np.ndarray, lo: np.ndarray, known_hi: np.ndarray, known_lo: np.ndarray) -> np.ndarray:
+    """Which pairs are among the known ones (rising by known_hi); equal high halves are few, so the loop is short."""
+    place, found = np.searchsorted(known_hi, hi), np.zeros(len(hi), bool)
+    while True:
+        inside = place < len(known_hi)
+        inside[inside] = known_hi[place[inside]] == hi[inside]
+        if not inside.any():
+            return found
+        found[inside] |= known_lo[place[inside]] == lo[inside]
+        place = np.where(inside, place + 1, len(known_hi))
+
+
 def line_counts(docs: DataFrame, min_points: int = 1, text_column: str = "text") -> DataFrame:
     """The exact table: key_hi, key_lo, refs = documents (rows) that hold a line of that key."""
     schema = pa.schema([("key_hi", pa.int64()), ("key_lo", pa.int64()), ("refs", pa.int64())])
@@ -70,11 +96,8 @@ def line_counts(docs: DataFrame, min_points: int = 1, text_column: str = "text")
         for batch in batches:
             for t in B.texts(batch["text"]):
                 hi, lo, _ = _distinct(t, min_points)
-                order = np.lexsort((lo, hi))
-                hi, lo = hi[order], lo[order]
-                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(hi)), bool), (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
-                refs = np.diff(np.append(new, len(hi)))
-                yield pa.RecordBatch.from_arrays([pa.array(B.signed(hi[new])), pa.array(B.signed(lo[new])), pa.array(refs.astype(np.int64))], schema=schema)
+                hi, lo, refs = distinct_pairs(hi, lo)
+                yield pa.RecordBatch.from_arrays([pa.array(B.signed(hi)), pa.array(B.signed(lo)), pa.array(refs.astype(np.int64))], schema=schema)
 
     counts = docs.select(F.col(text_column).alias("text")).mapInArrow(run, "key_hi long, key_lo long, refs long")
     return counts.groupBy("key_hi", "key_lo").agg(F.sum("refs").alias("refs"))
@@ -202,97 +225,74 @@ def salts_of(docs: DataFrame, n_shards: int, text_column: str = "text") -> int:
     return -(-buckets(docs.sparkSession, text_bytes(docs, text_column), 64 << 20) // n_shards)
 
 
-def probe(docs: DataFrame, shards: DataFrame, n_shards: int, salts: int, min_points: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """key, hits: for each row key with dropped lines, the lines' key_hi values as packed arrays."""
+def probe(texts: DataFrame, shards: DataFrame, n_shards: int, salts: int, min_points: int = 1, text_column: str = "text") -> DataFrame:
+    """For each home its keys that the shards hold, as blocks (bucket is the home).  Keys are dealt over the salts of their shard."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = Outbox(_KEYS)
-        for batch in batches:
-            keys = batch["key"].to_numpy(zero_copy_only=False)
-            for t in B.texts(batch["text"]):
-                hi, lo, owner = _distinct(t, min_points)
-                own = keys[t.first + owner]
-                # 64 bits of a row key deal its lines out over the salts of a shard
-                shard = np.mod(B.signed(lo), n_shards) * salts + (B.mix(own.view(np.uint64)) % np.uint64(salts)).astype(np.int64)
-                yield from box.add(bucket=shard, owner=own, hi=hi, lo=lo)
-        yield from box.flush()
-
-    out = pa.schema([("key", pa.int64()), ("hits", pa.binary())])
-
-    def look(_: tuple, blocks: pa.Table, shard: pa.Table) -> pa.Table:
-        rows: list[dict] = []
-        if blocks.num_rows and shard.num_rows:
-            e = unpack(blocks, _KEYS)
-            at = np.flatnonzero(CuckooFilter.load(shard["filter"][0].as_py()).contains(e["hi"]))
+    def ask(key: tuple, docs: pa.Table) -> pa.Table:
+        held = [_distinct(t, min_points)[:2] for t in B.texts(docs["text"])]
+        hi, lo, _ = distinct_pairs(*map(np.concatenate, zip((np.zeros(0, np.uint64),) * 2, *held, strict=True)))
+        group = B.signed(lo) % n_shards * salts + (B.mix(hi, 7) % np.uint64(salts)).astype(np.int64)
+        out = deal(group, "bucket", hi=hi, lo=lo)
+        return out.append_column("home", pa.array([key[0].as_py()] * out.num_rows, pa.int32()))
+
+    def look(_: tuple, asks: pa.Table, shard: pa.Table) -> pa.Table:
+        e = opened(asks, "home", hi="u8", lo="u8")
+        if shard.num_rows:
+            maybe = np.flatnonzero(CuckooFilter.load(shard["filter"][0].as_py()).contains(e["hi"]))
             hi, lo = (np.frombuffer(shard[c][0].as_py(), np.uint64) for c in ("hi", "lo"))
-            # confirmed on the exact keys: equal high halves are few, so each step of the loop settles nearly all
-            place, found = np.searchsorted(hi, e["hi"][at]), np.zeros(len(at), bool)
-            while True:
-                inside = place < len(hi)
-                inside[inside] = hi[place[inside]] == e["hi"][at[inside]]
-                if not inside.any():
-                    break
-                found[inside] |= lo[place[inside]] == e["lo"][at[inside]]
-                place = np.where(inside, place + 1, len(hi))
-            at = at[found]
-            rows = [{"key": k, "hits": v.tobytes()} for k, v in by_owner(e["owner"][at], e["hi"][at])]
-        return pa.Table.from_pylist(rows, schema=out)
+            at = maybe[is_among(e["hi"][maybe], e["lo"][maybe], hi, lo)]
+        else:
+            at = np.zeros(0, np.int64)
+        return deal(e["home"][at], "bucket", hi=e["hi"][at], lo=e["lo"][at])
 
-    sent = docs.select(row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text")).mapInArrow(send, block_schema(_KEYS))
+    asked = texts.select("_ps_home", F.col(text_column).alias("text")).groupBy("_ps_home").applyInArrow(ask, "bucket int, hi binary, lo binary, home int")
     places = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda x: (F.col("shard") * salts + x).cast("int"))
-    copies = shards.select(F.explode(places).alias("shard_bucket"), F.col("filter").alias("filter"), F.col("hi").alias("hi"), F.col("lo").alias("lo"))
-    return sent.groupBy("bucket").cogroup(copies.groupBy("shard_bucket")).applyInArrow(look, "key long, hits binary")
-
-
-def strip_lines(docs: DataFrame, hits: DataFrame, min_points: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs with the hit lines gone, plus n_lines and n_dropped."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = batch.drop_columns(["_ps_key", "_ps_hits"])
-            at = rest.schema.get_field_index(text_column)
-            hits, owner = flat_binary(batch["_ps_hits"], "u8")
-            marks = B.mix(hits ^ B.mix(owner.astype(np.uint64), 3), 4)
-            pieces, n_lines, n_dropped = [], [], []
-            for t in B.texts(batch[text_column]):
-                start, end, own = line_spans(t)
-                hi, _, points = line_keys(t, start, end)
-                gone = np.isin(B.mix(hi ^ B.mix((own + t.first).astype(np.uint64), 3), 4), marks) & (points >= min_points)
-                total = np.bincount(own, minlength=len(t))
-                dropped = np.bincount(own[gone], minlength=len(t))
-                n_lines += total.tolist()
-                n_dropped += dropped.tolist()
-                first = np.concatenate([[0], np.cumsum(total)])
-                for i in range(len(t)):
-                    if not dropped[i]:
-                        pieces.append(t.text(i))
-                    else:
-                        mine = np.arange(first[i], first[i + 1])
-                        pieces.append(b"\n".join(t.data[start[j] : end[j]].tobytes() for j in mine[~gone[mine]].tolist()))
-            text = B.string_array(pieces).cast(rest.schema.field(at).type)
-            rest = rest.set_column(at, text_column, text)
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*rest.schema.names, "n_lines", "n_dropped"])
-
-    docs = docs.drop("n_lines", "n_dropped")
-    keyed = docs.withColumn("_ps_key", row_key(id_column, text_column))
-    lists = hits.groupBy(F.col("key").alias("_ps_key")).agg(F.collect_set("hits").alias("_ps_hits"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    joined = keyed.join(lists, "_ps_key", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_ps_key", "_ps_hits")
-    return joined.mapInArrow(run, schema)
+    copies = shards.select(F.explode(places).alias("group"), "filter", "hi", "lo")
+    return asked.groupBy("bucket").cogroup(copies.groupBy("group")).applyInArrow(look, "bucket int, hi binary, lo binary")
+
+
+def strip_lines(docs: DataFrame, shards: DataFrame, n_shards: int, min_points: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs without the lines whose keys the shards hold, plus n_lines and n_dropped."""
+
+    def run(_: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        hot = opened(replies, "bucket", hi="u8", lo="u8")
+        order = np.argsort(hot["hi"])
+        data, sizes, n_lines, n_dropped = [], [], [], []
+        for t in B.texts(rows[text_column]):
+            start, end, own = line_spans(t)
+            hi, lo, points = line_keys(t, start, end)
+            gone = (points >= min_points) & is_among(hi, lo, hot["hi"][order], hot["lo"][order])
+            total, dropped = np.bincount(own, minlength=len(t)), np.bincount(own[gone], minlength=len(t))
+            piece, offsets = B.join_pieces(t.data, start[~gone], end[~gone], total - dropped, 0x0A)
+            data.append(piece)
+            sizes.append(np.diff(offsets))
+            n_lines.append(total)
+            n_dropped.append(dropped)
+        kept = pa.LargeStringArray.from_buffers(rows.num_rows, pa.py_buffer(offsets_of(sizes)), pa.py_buffer(np.concatenate([np.zeros(0, np.uint8), *data])))
+        rest = plain_columns(rows)
+        at = rest.schema.get_field_index(text_column)
+        kept = pc.if_else(pc.is_null(rest[text_column]), pa.scalar(None, pa.large_string()), kept)
+        rest = rest.set_column(at, text_column, kept.cast(rest.schema.field(at).type))
+        return add_columns(rest, n_lines=cat(n_lines), n_dropped=cat(n_dropped))
+
+    added = {"n_lines": T.LongType(), "n_dropped": T.LongType()}
+    homes = buckets(docs.sparkSession, text_bytes(docs, text_column), HOME_BYTES)
+    texts = dealt(docs, homes, id_column, text_column, tuple(added))
+    hits = probe(texts, shards, n_shards, salts_of(docs, n_shards, text_column), min_points, text_column)
+    return meet(texts, hits, run, schema_with(docs, **added))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs without the lines whose key at least ``min_docs`` documents hold, plus n_lines and n_dropped.
 
     Every row is a document, so repeated rows count each; a null or empty text
-    is one empty line; a line without a key (nothing but separators) always
-    stays.  Null ids and extra columns pass through (n_lines and n_dropped replace
+    is one empty line and stays as it is; a line without a key (nothing but
+    separators) always stays.  Null ids and extra columns pass through (n_lines and n_dropped replace
     columns of these names); an empty table stays empty.
     """
     hot = cut(line_counts(docs, min_points, text_column).filter(F.col("refs") >= min_docs))
     n_shards = hot.count() // SHARD_KEYS + 1
-    hits = probe(docs, build_shards(hot, n_shards), n_shards, salts_of(docs, n_shards, text_column), min_points, id_column, text_column)
-    return strip_lines(docs, hits, min_points, id_column, text_column)
+    return strip_lines(docs, build_shards(hot, n_shards), n_shards, min_points, id_column, text_column)
 
 
 class LineIndex:
@@ -342,10 +342,11 @@ class LineIndex:
         self._change(docs, -1)
 
     def strip(self, docs: DataFrame) -> DataFrame:
-        if not self.version:
-            return strip_lines(docs, self.spark.createDataFrame([], "key long, hits binary"), self.min_points)
-        shards = self.spark.read.parquet(self._path("shards"))
-        return strip_lines(docs, probe(docs, shards, self.n_shards, salts_of(docs, self.n_shards), self.min_points), self.min_points)
+        if self.version:
+            shards = self.spark.read.parquet(self._path("shards"))
+        else:
+            shards = self.spark.createDataFrame([], "shard int, filter binary, hi binary, lo binary")
+        return strip_lines(docs, shards, self.n_shards, self.min_points)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

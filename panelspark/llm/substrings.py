@@ -176,20 +176,8 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def join_words(w: B.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Kept words of each text joined by one space, as bytes and offsets."""
-    start, end = w.start[keep], w.end[keep]
-    length = end - start + 1
-    to = np.cumsum(length)
-    source = np.repeat(start - (to - length), length) + np.arange(int(length.sum()))
-    data = np.append(w.data, np.uint8(0x20))[source]
-    data[to - 1] = 0x20
-    count = np.add.reduceat(np.append(keep, False).astype(np.int64), w.offsets[:-1]) if len(w.offsets) > 1 else np.zeros(0, np.int64)
-    count[np.diff(w.offsets) == 0] = 0
-    words = np.concatenate([[0], np.cumsum(count)])
-    ends = np.concatenate([[0], to])[words]
-    some = count > 0
-    drop = ends[1:][some] - 1  # the space after each text's last word
-    data = np.delete(data, drop)
-    return data, ends - np.concatenate([[0], np.cumsum(some)])
+    count = np.diff(np.concatenate([[0], np.cumsum(keep)])[w.offsets])
+    return B.join_pieces(w.data, w.start[keep], w.end[keep], count, 0x20)
 
 
 def lists_of(values: list[np.ndarray], offsets: np.ndarray, names: tuple[str, ...]) -> pa.Array:
@@ -261,10 +249,14 @@ def meet(docs: DataFrame, replies: DataFrame, run, schema) -> DataFrame:
 
 
 def dealt(docs: DataFrame, homes: int, id_column: str, text_column: str, drop: tuple[str, ...]) -> DataFrame:
-    """The one exchange of the texts: rows by home, with their key and their place in the order beside all columns."""
+    """The one exchange of the texts: rows by home, with their key and their place in the order beside all columns.
+
+    Empty texts, which may all repeat one row, are dealt out evenly: nothing is ever sent to them.
+    """
     order = F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1))
     keyed = docs.drop(*drop).select("*", row_key(id_column, text_column).alias("_ps_key"), order.alias("_ps_order"))
-    return keyed.withColumn("_ps_home", F.pmod("_ps_key", F.lit(homes)).cast("int")).repartition("_ps_home")
+    place = F.when(F.octet_length(F.col(text_column).cast("string")) > 0, F.col("_ps_key")).otherwise(F.monotonically_increasing_id())
+    return keyed.withColumn("_ps_home", F.pmod(place, F.lit(homes)).cast("int")).repartition("_ps_home")
 
 
 def schema_with(docs: DataFrame, **added: T.DataType) -> T.StructType:
