@@ -229,7 +229,7 @@ def probe(texts: DataFrame, shards: DataFrame, n_shards: int, salts: int, min_po
     """For each home its keys that the shards hold, as blocks (bucket is the home).  Keys are dealt over the salts of their shard."""
 
     def ask(key: tuple, docs: pa.Table) -> pa.Table:
-        held = [_distinct(t, min_points)[:2] for t in B.texts(docs["text"])]
+        held = [_distinct(t, min_points)[:2] for t in B.texts(docs[text_column])]
         hi, lo, _ = distinct_pairs(*map(np.concatenate, zip((np.zeros(0, np.uint64),) * 2, *held, strict=True)))
         group = B.signed(lo) % n_shards * salts + (B.mix(hi, 7) % np.uint64(salts)).astype(np.int64)
         out = deal(group, "bucket", hi=hi, lo=lo)
@@ -245,7 +245,8 @@ def probe(texts: DataFrame, shards: DataFrame, n_shards: int, salts: int, min_po
             at = np.zeros(0, np.int64)
         return deal(e["home"][at], "bucket", hi=e["hi"][at], lo=e["lo"][at])
 
-    asked = texts.select("_ps_home", F.col(text_column).alias("text")).groupBy("_ps_home").applyInArrow(ask, "bucket int, hi binary, lo binary, home int")
+    # all columns, so that both uses of the texts share one exchange
+    asked = texts.groupBy("_ps_home").applyInArrow(ask, "bucket int, hi binary, lo binary, home int")
     places = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda x: (F.col("shard") * salts + x).cast("int"))
     copies = shards.select(F.explode(places).alias("group"), "filter", "hi", "lo")
     return asked.groupBy("bucket").cogroup(copies.groupBy("group")).applyInArrow(look, "bucket int, hi binary, lo binary")
