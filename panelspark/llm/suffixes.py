@@ -1,20 +1,25 @@
 """Repeated byte strings by a depth-limited most-significant-digit sort of suffixes.
 
-Only equality up to ``depth`` bytes matters, so suffixes are split digit by
-digit, a digit being a fingerprint of the next stretch, and a group of one is
-dropped at each pass.  Three digits decide:
+Suffixes are ordered only through their first ``depth`` bytes, digit by digit,
+and a group of one is dropped at each pass.  Two passes go before the bytes, to
+keep one suffix per byte of text out of the shuffle:
 
 1. the minimiser of the window, a gram of ``depth - reach + 1`` bytes.  Windows
    with the same minimiser at the same place follow each other, so a whole run
-   of suffixes is one entry;
+   of suffixes is one entry, and a run whose gram occurs once is dropped;
 2. the run's bytes and place.  A run that occurs twice is settled as a whole;
    only runs that share their gram but not their bytes go on, with one
-   representative of each settled run of that gram;
-3. each remaining suffix's whole ``depth`` bytes.
+   representative of each settled run of that gram.
 
-Groups left after the last pass are exactly the repeated windows.  A pass sorts
-packed blocks inside a bucket of bounded size, a task settles what repeats in
-its own flush, and texts are shuffled once.
+What is left is radix-sorted where its text lies, by the suffixes' bytes, eight
+to a digit, from the most significant one to ``depth``: the groups left after
+the last pass are exactly the windows repeated there.  One suffix of each
+distinct window then meets those of other places in the bucket of its window, by
+two fingerprints modulo a prime, at bases of their own.
+
+A task settles what repeats in its own flush, and a gram that it meets with
+different runs costs the gram's bucket two entries, however many runs there are.
+Texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import types as T
 
 from panelspark.llm import bytetext as B
 from panelspark.llm.common import buckets, row_key, table, text_bytes
-from panelspark.llm.exchange import ASK, COUNT, ECHO, Outbox, arrow_schema, block_schema, bucket_of, received, reply, runs, spread, unpack
+from panelspark.llm.exchange import ASK, COUNT, ECHO, FLUSH_ENTRIES, Outbox, arrow_schema, block_schema, bucket_of, pack, received, reply, runs, spread, unpack
 from panelspark.llm.substrings import SPANS, add_columns, cat, covered, dealt, lists_of, meet, offsets_of, plain_columns, schema_with, spans_of
 
 DEPTH = 400
@@ -37,7 +42,11 @@ BUCKET_BYTES = 16 << 20
 
 _RUN = {"gram": "u4", "run": "u8", "at": "i4", "size": "i4", "state": "u1"}
 _SUFFIX = {"fp": "u8", "at": "i4", "state": "u1"}
+#: What becomes of a run: it repeats as a whole, its suffixes are sorted, or both (a representative of settled runs).
 _SETTLED, _SORT, _BOTH = 1, 2, 3
+#: States beyond those of the exchange: a gram with different runs in one flush; and echoes of decisions but _SETTLED.
+MARK, ECHO_SORT, ECHO_BOTH = 3, 4, 5
+_DIGIT_BYTES = 8
 #: First suffix, number of suffixes, and what to do with them.
 _ANSWER = {"at": "i4", "size": "i4", "what": "u1"}
 
@@ -70,7 +79,7 @@ def suffix_runs(t: B.Texts, depth: int) -> tuple[np.ndarray, ...]:
         return none.view(np.uint64), none.view(np.uint64), none, none, none
     prefix = B.prefix_hash(B._BYTE_VALUE[t.data])
     place = np.arange(n - size + 1)
-    grams = B.span_hash(prefix, place, place + size)
+    grams = B.span_hash(prefix, slice(0, n - size + 1), slice(size, n + 1))
     # 32 bits of the gram, then the place: the leftmost of equal grams
     least = sliding_min((grams & ~np.uint64(0xFFFFFFFF)) | place.astype(np.uint64), reach) & np.uint64(0xFFFFFFFF)
     text = np.repeat(np.arange(len(t)), count)
@@ -79,23 +88,37 @@ def suffix_runs(t: B.Texts, depth: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (text[1:] != text[:-1]))))
     length = np.diff(np.append(first, total))
     s, p, text = start[first], own[first], text[first]
-    run = B.mix(B.span_hash(prefix, s, s + length - 1 + depth, 2) ^ B.mix((p - s).astype(np.uint64), 11), 12)
+    run = B.mix(B.span_hash(B.prefix_hash(B._BYTE_VALUE[t.data], True), s, s + length - 1 + depth, 2) ^ B.mix((p - s).astype(np.uint64), 11), 12)
     return grams[p], run, s - t.offsets[text], length, text
 
 
 def combine_runs(n_buckets: int):
-    """Equal runs of one flush are settled; the first asks for all, and counts as two."""
+    """Settles what one flush can.
+
+    Equal runs are settled, and the first of them asks for all and counts as
+    two.  Where a gram has different runs, all are to be sorted whatever others
+    hold, so they need no answer: two marks tell the gram's bucket.
+    """
 
     def step(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        order = np.argsort(e["run"], kind="stable")
-        first = runs(e["run"][order])
+        gram = (e["bucket"].astype(np.uint64) << np.uint64(32)) | e["gram"]
+        order = np.lexsort((e["run"], gram))
+        gram, run = gram[order], e["run"][order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), (gram[1:] != gram[:-1]) | (run[1:] != run[:-1]))))
         length = np.diff(np.append(first, len(order)))
+        of_gram = runs(gram[first])
+        kinds = np.diff(np.append(of_gram, len(first)))
+        mixed = np.repeat(kinds, kinds) > 1
         state = np.full(len(order), ECHO, np.uint8)
-        state[first] = np.where(length > 1, COUNT, ASK)
+        state[first] = np.where(mixed, np.where(length > 1, ECHO_BOTH, ECHO_SORT), np.where(length > 1, COUNT, ASK))
         e["state"][order] = state
-        echo = e["state"] == ECHO
+        two = of_gram[kinds > 1]
+        mark = order[first[np.concatenate([two, two + 1])]]
+        marks = {c: v[mark] for c, v in e.items()}
+        marks["state"] = np.full(len(mark), MARK, np.uint8)
+        echo = ~np.isin(e["state"], (ASK, COUNT))
         e["bucket"] = np.where(echo, spread(e["owner"], e["at"], n_buckets), e["bucket"])
-        return e
+        return {c: np.concatenate([v, marks[c]]) for c, v in e.items()}
 
     return step
 
@@ -113,24 +136,26 @@ def answer_runs(homes: int):
 
 
 def judge_runs(e: dict[str, np.ndarray]) -> np.ndarray:
-    """What to do with each run: nothing (it is unique), or one of the three below."""
-    what = np.where(e["state"] == ECHO, _SETTLED, 0)
-    asks = np.flatnonzero(e["state"] != ECHO)
-    order = asks[np.lexsort((e["run"][asks], e["gram"][asks]))]
-    gram, run = e["gram"][order], e["run"][order]
+    """What to do with each run: nothing (it is unique, or a mark), or one of the three above."""
+    what = np.select([e["state"] == s for s in (ECHO, ECHO_SORT, ECHO_BOTH)], [_SETTLED, _SORT, _BOTH], 0)
+    asks = np.flatnonzero(np.isin(e["state"], (ASK, COUNT, MARK)))
+    order = asks[np.lexsort((e["state"][asks] == MARK, e["run"][asks], e["gram"][asks]))]  # marks last among equal runs
+    gram, run, asked = e["gram"][order], e["run"][order], e["state"][order] != MARK
     new = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), (gram[1:] != gram[:-1]) | (run[1:] != run[:-1]))))
     length = np.diff(np.append(new, len(order)))
-    many = (length > 1) | (e["state"][order[new]] == COUNT) if len(new) else np.zeros(0, bool)
+    many = np.add.reduceat(asked.astype(np.int64), new) > 1 if len(new) else np.zeros(0, bool)
+    many |= e["state"][order[new]] == COUNT
     kinds = np.diff(np.append(runs(gram[new]), len(new)))
     mixed = np.repeat(kinds, kinds) > 1
-    what[order] = np.repeat(np.where(many, _SETTLED, np.where(mixed, _SORT, 0)), length)
-    what[order[new[many & mixed]]] = _BOTH
+    what[order] = np.where(asked, np.repeat(np.where(many, _SETTLED, np.where(mixed, _SORT, 0)), length), 0)
+    both = order[new[many & mixed]]
+    what[both] = _BOTH
     return what
 
 
-def send_runs(n_buckets: int, depth: int):
+def send_runs(n_buckets: int, depth: int, flush_entries: int = FLUSH_ENTRIES):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = Outbox(_RUN, combine=combine_runs(n_buckets))
+        box = Outbox(_RUN, combine=combine_runs(n_buckets), flush_entries=flush_entries)
         for batch in batches:
             keys = batch["key"].to_numpy(zero_copy_only=False)
             for t in B.texts(batch["text"]):
@@ -141,18 +166,42 @@ def send_runs(n_buckets: int, depth: int):
     return step
 
 
-def combine_suffixes(n_buckets: int):
-    """Equal suffixes of one flush are settled; the bucket gets one entry that counts as two."""
+def radix_groups(data: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
+    """The number of each suffix's group among those that share its first ``depth`` bytes; -1 for one alone.
+
+    Sorts by most significant digits, and goes on only with groups of two or more.
+    """
+    padded = np.concatenate([data, np.zeros(_DIGIT_BYTES, np.uint8)])
+    label = np.full(len(start), -1)
+    alive, group = np.arange(len(start)), np.zeros(len(start), np.int64)
+    for at in range(0, depth, _DIGIT_BYTES):
+        digit = padded[(start[alive] + at)[:, None] + np.arange(_DIGIT_BYTES)].view(">u8").ravel().astype(np.uint64)
+        digit >>= np.uint64(8 * max(0, at + _DIGIT_BYTES - depth))
+        order = np.lexsort((digit, group))
+        alive, group, digit = alive[order], group[order], digit[order]
+        new = np.ones(len(alive), bool)
+        new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        first = np.flatnonzero(new)
+        length = np.diff(np.append(first, len(alive)))
+        keep = np.repeat(length > 1, length)
+        alive, group = alive[keep], np.repeat(np.arange(len(first)), length)[keep]
+        if not len(alive):
+            break
+    label[alive] = group
+    return label
+
+
+def combine_suffixes(n_buckets: int, label: np.ndarray):
+    """Suffixes in one group of the sort are settled; the bucket gets one entry of them that counts as two."""
 
     def step(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        order = np.argsort(e["fp"], kind="stable")
-        first = runs(e["fp"][order])
-        length = np.diff(np.append(first, len(order)))
-        again = np.zeros(len(order), bool)
-        again[order] = np.repeat(length > 1, length)
-        mark = order[first[length > 1]]
+        order = np.argsort(label, kind="stable")
+        first = runs(label[order])
+        first = first[label[order[first]] >= 0]
+        mark = order[first]
         marks = {c: v[mark] for c, v in e.items()}
         marks["state"] = np.full(len(mark), 2 * COUNT, np.uint8)
+        again = label >= 0
         keep = ~(again & (e["state"] == COUNT))
         echo = again & (e["state"] == ASK)
         e["state"] = np.where(echo, np.uint8(ECHO), e["state"])
@@ -178,9 +227,20 @@ def answer_suffixes(homes: int):
     return step
 
 
-def send_suffixes(n_buckets: int, depth: int, text_column: str):
+def send_suffixes(n_buckets: int, depth: int, text_column: str, flush_entries: int = FLUSH_ENTRIES):
+    """Radix-sorts the suffixes that are left in a home, some texts at a time, and sends one of each window."""
+
     def step(_: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
-        box, out = Outbox(_SUFFIX, combine=combine_suffixes(n_buckets)), []
+        out, held, data, size = [], [], [], 0
+
+        def flush() -> None:
+            if held:
+                e = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+                label = radix_groups(np.concatenate(data), e.pop("place"), depth)
+                out.append(pack(combine_suffixes(n_buckets, label)(e), _SUFFIX))
+                held.clear()
+                data.clear()
+
         if docs.num_rows and replies.num_rows:
             keys = docs["_ps_key"].to_numpy()
             row, x = received(replies, keys, _ANSWER)
@@ -190,15 +250,20 @@ def send_suffixes(n_buckets: int, depth: int, text_column: str):
                 a, b = np.searchsorted(row, (t.first, t.first + len(t)))
                 if a == b:
                     continue
-                size = count[a:b]
-                text = np.repeat(row[a:b] - t.first, size)
-                at = np.repeat(first[a:b] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                n = count[a:b]
+                text = np.repeat(row[a:b] - t.first, n)
+                at = np.repeat(first[a:b] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
                 # a representative of settled runs needs no answer
-                state = np.repeat(np.where(what[a:b] == _BOTH, COUNT, ASK), size)
-                prefix = B.prefix_hash(B._BYTE_VALUE[t.data])
+                state = np.repeat(np.where(what[a:b] == _BOTH, COUNT, ASK), n).astype(np.uint8)
                 start = t.offsets[text] + at
-                out += box.add(bucket=bucket_of(B.span_hash(prefix, start, start + depth, 3), n_buckets), owner=keys[t.first + text], fp=B.span_hash(prefix, start, start + depth, 4), at=at, state=state)
-            out += box.flush()
+                one, two = (B.span_hash(B.prefix_hash(B._BYTE_VALUE[t.data], other), start, start + depth, 3) for other in (False, True))
+                held.append({"bucket": bucket_of(one, n_buckets), "owner": keys[t.first + text], "fp": two, "at": at.astype(np.int32), "state": state, "place": start + sum(map(len, data))})
+                data.append(t.data)
+                size += len(start)
+                if size >= flush_entries:
+                    flush()
+                    size = 0
+            flush()
         return pa.Table.from_batches(out, schema=arrow_schema(_SUFFIX))
 
     return step
@@ -229,7 +294,7 @@ def remove_bytes(depth: int, text_column: str):
     return step
 
 
-def dedup_bytes(docs: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_bytes(docs: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", text_column: str = "text", flush_entries: int = FLUSH_ENTRIES) -> DataFrame:
     """docs plus the bytes left once every ``depth``-byte string that also starts elsewhere is gone.
 
     Adds kept (binary), n_bytes, n_removed, n_spans (maximal removed runs) and
@@ -241,10 +306,10 @@ def dedup_bytes(docs: DataFrame, depth: int = DEPTH, id_column: str = "doc_id",
     n = buckets(docs.sparkSession, text_bytes(docs, text_column), BUCKET_BYTES)
     keyed = docs.select(row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
     answer = block_schema(_ANSWER)
-    candidates = keyed.mapInArrow(send_runs(n, depth), block_schema(_RUN)).groupBy("bucket").applyInArrow(answer_runs(n), answer)
+    candidates = keyed.mapInArrow(send_runs(n, depth, flush_entries), block_schema(_RUN)).groupBy("bucket").applyInArrow(answer_runs(n), answer)
     added = {"kept": T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "removed": SPANS}
     texts = dealt(docs, n, id_column, text_column, tuple(added))
-    asked = meet(texts, candidates, send_suffixes(n, depth, text_column), block_schema(_SUFFIX))
+    asked = meet(texts, candidates, send_suffixes(n, depth, text_column, flush_entries), block_schema(_SUFFIX))
     repeated = asked.groupBy("bucket").applyInArrow(answer_suffixes(n), answer)
     return meet(texts, candidates.unionByName(repeated), remove_bytes(depth, text_column), schema_with(docs, **added))
 

@@ -96,6 +96,54 @@ def test_bytes(docs, rows, depth):
     assert Counter(map(tuple, got.collect())) == brute_bytes(rows, depth)
 
 
+@pytest.mark.parametrize("flush", [50, 1 << 20])
+def test_bytes_at_the_registered_depth(spark, flush):
+    """Passages of 399, 400 and 401 bytes and more, overlapping, inside one text and across partitions and flushes."""
+    rnd = np.random.default_rng(12)
+    text = lambda k: "".join(map(chr, rnd.integers(97, 123, k)))
+    passages, rows = [text(k) for k in (380, 399, 400, 401, 466, 467, 900)], []
+    for i in range(90):
+        p, q = passages[i % 7], passages[(i // 7) % 7]
+        rows.append((i, text(i % 50) + p + text(int(rnd.integers(0, 300))) + "é" * (i % 3) + q[i % 5 :] + text(i % 90)))
+    rows += [(100, passages[6] + passages[6]), (101, text(300_000) + passages[2] + text(500)), (102, "a" * 1200), (103, "ab" * 399), (104, None), (None, ""), rows[5], rows[5]]
+    rows += [(200 + i, text(100) + passages[0] + text(100)) for i in range(60)]
+    got = suffixes.dedup_bytes(frame(spark, rows), flush_entries=flush).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert Counter(map(tuple, got.collect())) == brute_bytes(rows, 400)
+
+
+def test_radix_groups():
+    rnd = np.random.default_rng(13)
+    data = rnd.integers(97, 99, 3000).astype(np.uint8)
+    for depth in (1, 7, 8, 9, 20):
+        start = rnd.permutation(len(data) - depth)[:1500]
+        label = suffixes.radix_groups(data, start, depth)
+        keys = [data[s : s + depth].tobytes() for s in start.tolist()]
+        count = Counter(keys)
+        assert [x >= 0 for x in label.tolist()] == [count[k] > 1 for k in keys]
+        assert len({(x, k) for x, k in zip(label.tolist(), keys, strict=True) if x >= 0}) == len(set(label[label >= 0].tolist()))
+
+
+def test_a_shared_block_costs_its_bucket_little(spark):
+    """20,000 texts with one block of 380 bytes, each in surroundings of its own."""
+    block = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(380))
+    around = lambda salt: F.concat(*(F.sha2(F.concat(F.lit(f"{salt}{j}"), F.col("id").cast("string")), 256) for j in range(2)))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(around("a"), F.lit(block), around("b")).alias("text")).repartition(4)
+    sent = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(suffixes.send_runs(64, 400), suffixes.block_schema(suffixes._RUN))
+    sizes = sent.groupBy("bucket").agg((F.sum(F.octet_length("run")) / 8).alias("n")).collect()
+    n = sum(r["n"] for r in sizes)
+    assert max(r["n"] for r in sizes) < 2 * n / 64
+    got = suffixes.dedup_bytes(docs, 400)
+    assert got.agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_a_line_of_all_documents_costs_an_entry_per_home(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one line\n"), F.col("id")).alias("text"))
+    shards = lines.build_shards(lines.line_counts(docs).filter("refs >= 10"), 1)
+    texts = lines.dealt(docs, 8, "doc_id", "text", ())
+    assert lines.probe(texts, shards, 1, 4).agg(F.sum(F.octet_length("hi")) / 8).first()[0] == 8
+    assert lines.strip_lines(docs, shards, 1).agg(F.sum("n_dropped")).first()[0] == 20_000
+
+
 def test_line_index_deals_look_ups_and_changes_its_filters(spark, docs, monkeypatch):
     used, probe = [], lines.probe
     monkeypatch.setattr(lines, "probe", lambda *a: used.append(a[3]) or probe(*a))
