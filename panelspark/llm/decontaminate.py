@@ -10,18 +10,22 @@ key; the repetitions together reach the target recall.
 
 Keys of the benchmark are indexed at the starts of an item.  An item of twenty
 words or more has many of them, so documents look up every ``stride``-th start
-for these; shorter items are looked up at every start, by walks that fit their
-length.  The settings of each length aim at 99 % of the passages with exactly as
-many edits as the similarity allows.
+for these; items of twelve words or more are looked up at every start, by walks
+that fit their length.  The settings of each length aim at 99 % of the passages
+with exactly as many edits as the similarity allows.  Shorter items have an exact
+way instead: of e + 1 parts of an item, e edits leave one whole, so its words
+stand in the document as they are.
 A look-up proposes an alignment of the whole item with the document, and the
-exact edit distance of the item against that item-sized window decides.
+exact edit distance of the item, whole however long, against that item-sized
+window decides.
 
-The benchmark goes to the tasks in blocks of a fixed number of items, one pass
+The benchmark goes to the tasks in blocks bounded by items and bytes, one pass
 over the documents per block; nothing that grows with the documents is sent.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +37,16 @@ from pyspark.sql import types as T
 from panelspark.llm import bytetext as B
 from panelspark.llm.common import table
 
-#: Items sent to the tasks at once (whole texts of at most ITEM_WORDS words a piece).
-BLOCK_ITEMS = 20_000
-ITEM_WORDS = 512
+#: Items sent to the tasks at once, and bytes of their texts (about; an item is never cut).
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 STEPS = 16
 SAMPLED = 7
 REPETITIONS = 8
-#: Steps, sampled steps, repetitions and stride for items of twelve words to LONG_WORDS, and for those below.
-LONG_WORDS = 20
-MIDDLE, SHORT = (12, 5, 6, 1), (3, 1, 3, 1)
+#: Steps, sampled steps, repetitions and stride for items of SHORT_WORDS to LONG_WORDS words.
+SHORT_WORDS, LONG_WORDS = 12, 20
+MIDDLE = (12, 5, 6, 1)
+#: Alignments proposed at once, and cells of a whole table of edits; larger ones are worked through in bands.
+PROPOSALS, CELLS = 1 << 20, 1 << 20
 STRIDE = 2
 SIMILARITY = 0.8
 
@@ -50,8 +55,6 @@ _STEP_VALUE = B.mix(np.arange(16, dtype=np.uint64), 31) | np.uint64(1)
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[0x30:0x3A] = _NOT_WORD[0x41:0x5B] = _NOT_WORD[0x61:0x7B] = False
 _NOT_WORD[0x80:] = False
-#: The same separators as a pattern for Spark.
-_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def normal_words(t: B.Texts) -> B.Words:
@@ -100,38 +103,68 @@ def edit_distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
-class Index:
-    """Keys of items' starts: for each repetition sorted keys with the item and start of each, behind a bitmap."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], steps: int, sampled: int, repetitions: int, stride: int):
-        self.walk, self.stride = {"steps": steps, "sampled": sampled, "repetitions": repetitions}, stride
-        self.ids, self.hashes = [i for i, _ in items], [h for _, h in items]
+def banded_distance(item: np.ndarray, window: np.ndarray, begin: int, allowed: int) -> tuple[int, int, int]:
+    """As edit_distance, for long items that begin near ``begin``: in bands of diagonals that widen until allowed edits are enough, or all are tried."""
+    never = len(item) + 1
+    width = 32
+    while True:
+        low, m = begin - width, 2 * width + 1
+        padded = np.concatenate([np.zeros(max(0, -low), np.uint64), window, np.zeros(max(0, low + m + len(item) - len(window)), np.uint64)])
+        at, place = low + max(0, -low), np.arange(m)
+        diagonal = low + place
+        inside = lambda i, d=diagonal: (d + i >= 0) & (d + i <= len(window))
+        cost, origin = np.where(inside(0), 0, never), diagonal.copy()
+        for i, word in enumerate(item):
+            put = np.where(inside(i) & (diagonal + i < len(window)), cost + (padded[at + i : at + i + m] != word), never)
+            left_out = np.append(cost[1:] + 1, never)
+            better = left_out < put
+            new, came = np.where(better, left_out, put), np.where(better, np.append(origin[1:], 0), origin)
+            new = np.where(inside(i + 1), new, never)
+            reach = np.minimum.accumulate(new - place) + place
+            longer = reach < new
+            if longer.any():
+                came = came[np.maximum.accumulate(np.where(longer, 0, place))]
+            cost, origin = np.where(inside(i + 1), np.minimum(reach, never), never), came
+        best = int(np.argmin(cost))
+        if cost[best] <= allowed or width >= begin + len(window):
+            return int(cost[best]), int(origin[best]), int(diagonal[best]) + len(item)
+        width *= 4
+
+
+class Lookup:
+    """Distinct items of one class of lengths, and sorted tables of keys with the item and the place in it of each, behind bitmaps."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        ids: dict[bytes, list[int]] = {}
+        for i, h in items:
+            ids.setdefault(h.tobytes(), []).append(i)
+        self.ids, self.hashes = list(ids.values()), [np.frombuffer(h, np.uint64) for h in ids]
         self.length = np.array([len(h) for h in self.hashes], np.int64)
         self.flat = np.concatenate(self.hashes)
         self.first = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        # starts whose walk would mostly leave the item aren't indexed, but for the first
-        starts = [np.arange(max(1, len(h) - steps // 2)) for h in self.hashes]
-        keys = np.concatenate([walk_keys(h, s, **self.walk) for h, s in zip(self.hashes, starts, strict=True)], axis=1)
-        item, start = np.repeat(np.arange(len(items)), list(map(len, starts))), np.concatenate(starts)
-        self.shift = np.uint64(64 - max(16, int(np.ceil(np.log2(32 * len(item))))))
-        self.tables = []
-        for k in keys:
-            order = np.argsort(k, kind="stable")
-            known = np.zeros(1 << (64 - int(self.shift)), bool)
-            known[k >> self.shift] = True
-            self.tables.append((known, k[order], item[order], start[order]))
-
-    def propose(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Items, the places where they would begin, and the start each came from, for the keys of the starts ``at``."""
-        out = []
-        for (bitmap, known, item, start), k in zip(self.tables, keys, strict=True):
-            hit = np.flatnonzero(bitmap[k >> self.shift])
-            a, n = np.searchsorted(known, k[hit], "left"), np.searchsorted(known, k[hit], "right")
-            n = n - a
-            where = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            source = np.repeat(at[hit], n)
-            out.append((item[where], source - start[where], source))
-        return tuple(map(np.concatenate, zip(*out, strict=True)))
+        self.tables: list[tuple] = []
+
+    def add_table(self, key: np.ndarray, item: np.ndarray, start: np.ndarray) -> None:
+        order = np.argsort(key, kind="stable")
+        shift = np.uint64(64 - max(16, int(np.ceil(np.log2(32 * len(key))))))
+        known = np.zeros(1 << (64 - int(shift)), bool)
+        known[key >> shift] = True
+        self.tables.append((shift, known, key[order], item[order], start[order]))
+
+    def look_up(self, table: tuple, key: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Items, the places where they would begin, and the place each came from, for the keys found at ``at``."""
+        shift, bitmap, known, item, start = table
+        hit = np.flatnonzero(bitmap[key >> shift])
+        a = np.searchsorted(known, key[hit], "left")
+        n = np.searchsorted(known, key[hit], "right") - a
+        for part in np.split(np.arange(len(hit)), np.searchsorted(np.cumsum(n), np.arange(PROPOSALS, int(n.sum()), PROPOSALS))):
+            count = n[part]
+            where = np.repeat(a[part] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            source = np.repeat(at[hit[part]], count)
+            yield item[where], source - start[where], source
+
+    def propose(self, w: B.Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        raise NotImplementedError
 
     def words_within(self, item: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """How many of the item's words occur among h[lo:hi], for each pair."""
@@ -142,55 +175,117 @@ class Index:
         return np.bincount(np.repeat(np.arange(len(item)), length), weights=np.isin(wanted, there), minlength=len(item)).astype(np.int64)
 
 
+class Walks(Lookup):
+    """Items looked up by sampled steps of CGK walks."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], steps: int, sampled: int, repetitions: int, stride: int):
+        super().__init__(items)
+        self.walk, self.stride = {"steps": steps, "sampled": sampled, "repetitions": repetitions}, stride
+        # starts whose walk would mostly leave the item aren't indexed, but for the first
+        starts = [np.arange(max(1, len(h) - steps // 2)) for h in self.hashes]
+        keys = np.concatenate([walk_keys(h, s, **self.walk) for h, s in zip(self.hashes, starts, strict=True)], axis=1)
+        item, start = np.repeat(np.arange(len(starts)), list(map(len, starts))), np.concatenate(starts)
+        for k in keys:
+            self.add_table(k, item, start)
+
+    def propose(self, w: B.Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        place = np.arange(len(w))
+        at = place[(place - np.repeat(w.offsets[:-1], np.diff(w.offsets))) % self.stride == 0]
+        for table, key in zip(self.tables, walk_keys(w.hash, at, **self.walk), strict=True):
+            yield from self.look_up(table, key, at)
+
+
+class Parts(Lookup):
+    """Short items, looked up by parts of which the edits allowed leave one whole."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float):
+        super().__init__(items)
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for i, (h, n) in enumerate(zip(self.hashes, self.length.tolist(), strict=True)):
+            parts = int((1 - similarity) * n + 1e-9) + 1
+            prefix = B.prefix_hash(h)
+            for k in range(parts):
+                a, b = k * n // parts, (k + 1) * n // parts
+                found.setdefault(b - a, []).append((int(B.span_hash(prefix, np.array([a]), np.array([b]))[0]), i, a))
+        self.sizes = sorted(found)
+        for size in self.sizes:
+            key, item, start = zip(*found[size], strict=True)
+            self.add_table(np.array(key, np.uint64), np.array(item), np.array(start))
+
+    def propose(self, w: B.Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        prefix = B.prefix_hash(w.hash)
+        left = np.repeat(w.offsets[1:], np.diff(w.offsets)) - np.arange(len(w))
+        for size, table in zip(self.sizes, self.tables, strict=True):
+            at = np.flatnonzero(left >= size)
+            yield from self.look_up(table, B.span_hash(prefix, at, at + size), at)
+
+
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
 
 
-def build_indexes(items: list[tuple[int, str]], stride: int) -> list[Index]:
-    """One index for each class of lengths: LONG_WORDS or more, twelve or more, and fewer."""
+def build_indexes(items: list[tuple[int, str]], stride: int = STRIDE, similarity: float = SIMILARITY) -> list[Lookup]:
+    """One index for each class of lengths: LONG_WORDS or more, SHORT_WORDS or more, and fewer."""
     long, middle, short = [], [], []
     for t in B.texts(pa.array([text for _, text in items], pa.large_string())):
         w = normal_words(t)
         for i in range(len(t)):
             h = w.hash[w.offsets[i] : w.offsets[i + 1]]
             if len(h):
-                (long if len(h) >= LONG_WORDS else middle if len(h) >= 12 else short).append((items[t.first + i][0], h))
-    classes = ((long, (STEPS, SAMPLED, REPETITIONS, stride)), (middle, MIDDLE), (short, SHORT))
-    return [Index(items, *settings) for items, settings in classes if items]
+                (long if len(h) >= LONG_WORDS else middle if len(h) >= SHORT_WORDS else short).append((items[t.first + i][0], h))
+    out: list[Lookup] = [Walks(some, *settings) for some, settings in ((long, (STEPS, SAMPLED, REPETITIONS, stride)), (middle, MIDDLE)) if some]
+    return out + ([Parts(short, similarity)] if short else [])
+
 
+_built: dict[str, list[Lookup]] = {}
 
-def find_in(t: B.Texts, indexes: list[Index], similarity: float) -> list[tuple[int, int, int, int, int, int]]:
+
+def indexes_of(name: str, items: list[tuple[int, str]], stride: int, similarity: float) -> list[Lookup]:
+    """The indexes of a block, built once for all tasks that a worker process runs in a row."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = build_indexes(items, stride, similarity)
+    return _built[name]
+
+
+def find_in(t: B.Texts, indexes: list[Lookup], similarity: float) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item_id, start, end, edits, item's words) of the best alignment of each item found in each text."""
     w = normal_words(t)
     out = []
     for index in indexes:
-        place = np.arange(len(w))
-        at = place[(place - np.repeat(w.offsets[:-1], np.diff(w.offsets))) % index.stride == 0]
-        item, begin, source = index.propose(walk_keys(w.hash, at, **index.walk), at)
-        text = np.searchsorted(w.offsets, source, "right") - 1
-        allowed = ((1 - similarity) * index.length[item] + 1e-9).astype(np.int64)
-        order = np.lexsort((begin, item, text))
-        text, item, begin, allowed = text[order], item[order], begin[order], allowed[order]
-        keep, seen, upto = [], None, 0
-        for o, k in enumerate(zip(text.tolist(), item.tolist(), strict=True)):
-            if k != seen or begin[o] > upto:  # else within the edits allowed of one that is checked
-                keep.append(o)
-                seen, upto = k, int(begin[o] + allowed[o])
-        text, item, begin, allowed = text[keep], item[keep], begin[keep], allowed[keep]
-        lo = np.maximum(w.offsets[text], begin - allowed)
-        hi = np.minimum(w.offsets[text + 1], begin + index.length[item] + 2 * allowed + 1)
-        shared = index.words_within(item, w.hash, lo, hi)
         best: dict[tuple[int, int], tuple] = {}
-        # each word of the item that the window lacks is an edit
-        for o in np.flatnonzero((hi > lo) & (index.length[item] - shared <= allowed)).tolist():
-            k, first = (int(text[o]), int(item[o])), int(w.offsets[text[o]])
-            edits, s, e = edit_distance(index.hashes[k[1]], w.hash[lo[o] : hi[o]])
-            if edits <= allowed[o] and (k not in best or edits < best[k][4]):
-                best[k] = (k[0], index.ids[k[1]], int(lo[o]) + s - first, int(lo[o]) + e - first, edits, int(index.length[k[1]]))
-        out += best.values()
+        for proposed in index.propose(w):
+            check(w, index, similarity, *proposed, best)
+        out += [(text, item_id, *found) for (text, item), found in best.items() for item_id in index.ids[item]]
     return out
 
 
+def check(w: B.Words, index: Lookup, similarity: float, item: np.ndarray, begin: np.ndarray, source: np.ndarray, best: dict[tuple[int, int], tuple]) -> None:
+    """Enters the proposals that hold into best: by text and item, (start, end, edits, item's words)."""
+    text = np.searchsorted(w.offsets, source, "right") - 1
+    allowed = ((1 - similarity) * index.length[item] + 1e-9).astype(np.int64)
+    order = np.lexsort((begin, item, text))
+    text, item, begin, allowed = text[order], item[order], begin[order], allowed[order]
+    keep, seen, upto = [], None, 0
+    for o, k in enumerate(zip(text.tolist(), item.tolist(), strict=True)):
+        if k != seen or begin[o] > upto:  # else within the edits allowed of one that is checked
+            keep.append(o)
+            seen, upto = k, int(begin[o] + allowed[o])
+    text, item, begin, allowed = text[keep], item[keep], begin[keep], allowed[keep]
+    lo = np.maximum(w.offsets[text], begin - allowed)
+    hi = np.minimum(w.offsets[text + 1], begin + index.length[item] + 2 * allowed + 1)
+    shared = index.words_within(item, w.hash, lo, hi)
+    # each word of the item that the window lacks is an edit
+    for o in np.flatnonzero((hi > lo) & (index.length[item] - shared <= allowed)).tolist():
+        k, first, h = (int(text[o]), int(item[o])), int(w.offsets[text[o]]), w.hash[lo[o] : hi[o]]
+        if k in best and best[k][2] == 0:
+            continue
+        mine = index.hashes[k[1]]
+        edits, s, e = edit_distance(mine, h) if len(mine) * len(h) <= CELLS else banded_distance(mine, h, int(begin[o] - lo[o]), int(allowed[o]))
+        if edits <= allowed[o] and (k not in best or edits < best[k][2]):
+            best[k] = (int(lo[o]) + s - first, int(lo[o]) + e - first, edits, len(mine))
+
+
 _FOUND = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("item_words", T.IntegerType())])
 
 
@@ -199,32 +294,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     One row per (document row, item) found: the id, item_id, start_word,
     end_word (of runs of letters and digits), edits, item_words.  An item of n
-    words is found when at most ``(1 - similarity) * n`` word edits turn it into
-    a stretch of the document; the exact check admits no false match.  Items of
-    the same text are all reported.  Null or wordless texts and items match
-    nothing; items with a null id are ignored; items longer than ITEM_WORDS are
-    cut into the fewest parts of at most that length, all of nearly equal length
-    (so of half of it at least), each of which counts.  Rows that repeat are
-    found each; either table may be empty.
+    words is found when at most ``(1 - similarity) * n`` word edits turn it, as a
+    whole, into a stretch of the document; the exact check admits no false match
+    (words are compared by 62-bit hashes).  Of several stretches the one with the
+    fewest edits among those proposed is given; for long items (over CELLS cells)
+    the one nearest to the proposal.  Items of the same text are all reported.
+    Null or wordless texts and items match nothing; items with a null id are
+    ignored.  Rows that repeat are found each; extra columns are ignored; either
+    table may be empty.
     """
     spark = docs.sparkSession
-    words = F.split(F.trim(F.regexp_replace("text", _SEPARATORS, " ")), " ")
-    parts = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), words.alias("w"))
-    n, n_parts = F.size("w"), F.ceil(F.size("w") / ITEM_WORDS).cast("int")
-    begin = lambda i: F.floor(i.cast("long") * n / n_parts).cast("int")
-    parts = parts.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), n_parts - 1), lambda i: F.concat_ws(" ", F.slice("w", begin(i) + 1, begin(i + 1) - begin(i))))).alias("text"))
-    n_blocks = max(1, -(-parts.count() // block_items))
-    blocks = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    n_blocks = max(1, -(-size["n"] // block_items), -(-(size["b"] or 0) // BLOCK_BYTES))
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
     kind = docs.schema[id_column].dataType
     plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     schema = T.StructType([T.StructField(id_column, kind), *_FOUND.fields])
     out = None
     for block in range(n_blocks):
-        items = [(r["item_id"], r["text"]) for r in blocks.filter(F.col("block") == block).collect()]
-        sent = spark.sparkContext.broadcast(items)
+        held = [(r["item_id"], r["text"]) for r in blocks.filter(F.col("block") == block).collect()]
+        sent, name = spark.sparkContext.broadcast(held), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            indexes = build_indexes(sent.value, stride)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            indexes = indexes_of(name, sent.value, stride, similarity)
             for batch in batches:
                 rows = [(t.first + x, *rest) for t in B.texts(batch["text"]) for x, *rest in find_in(t, indexes, similarity)]
                 doc = batch["doc_id"].take(pa.array([r[0] for r in rows], pa.int64()))

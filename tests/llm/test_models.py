@@ -99,24 +99,95 @@ def test_decontamination_recall_at_most_edits(n):
         for j in rnd.sample(range(n), n // 5):  # edits of different words
             body[j] = rnd.choice([[rnd.choice(vocabulary)], [rnd.choice(vocabulary)], [], [rnd.choice(vocabulary), w[j]]])
         docs.append(" ".join(text(rnd.randrange(10, 40)) + sum(body, []) + text(rnd.randrange(10, 40))))
-    index = decontaminate.build_indexes([(i, " ".join(w)) for i, w in enumerate(items)], decontaminate.STRIDE)
+    index = decontaminate.build_indexes([(i, " ".join(w)) for i, w in enumerate(items)])
     found = {(t.first + x, i) for t in B.texts(pa.array(docs, pa.large_string())) for x, i, *_ in decontaminate.find_in(t, index, 0.8)}
     assert sum((d, d) in found for d in range(len(docs))) >= 0.99 * len(docs)
 
 
-def test_decontamination_of_long_items(spark):
-    rnd = random.Random(8)
-    items = {n: [f"i{n}x{rnd.randrange(10**6)}" for _ in range(n)] for n in (512, 513, 516, 1025)}
-    items[700] = ["--"] * 600 + [f"i700x{j}" for j in range(100)]  # signs are no words
-    items[513 * 512] = [f"many{j}" for j in range(512 * 512 + 1)]
+def brute_contaminated(docs, items, similarity=0.8):
+    """(doc, item) where a stretch of the document lies within the edits allowed, by plain dynamic programming."""
+    out = set()
+    for d, text in docs:
+        for i, item in items:
+            row = [0] * (len(text) + 1)  # edits of the item's words so far against a stretch that ends here
+            for n, x in enumerate(item, 1):
+                last, row[0] = row[0], n
+                for j, y in enumerate(text):
+                    last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+            if item and min(row) <= int((1 - similarity) * len(item) + 1e-9):
+                out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("n", range(1, 12))
+def test_short_items_are_all_found(n):
+    rnd = random.Random(100 + n)
+    vocabulary = [f"v{i}" for i in range(40)]  # so few words that much nearly matches
+    text = lambda k: [rnd.choice(vocabulary) for _ in range(k)]
+    items = [(i, text(n)) for i in range(25)]
+    docs = [(d, text(rnd.randrange(0, 15)) + edited(rnd, items[d % 25][1], rnd.randrange(0, n // 5 + 1), vocabulary) + text(rnd.randrange(0, 15))) for d in range(100)]
+    index = decontaminate.build_indexes([(i, " ".join(w)) for i, w in items])
+    found = {(t.first + x, i) for t in B.texts(pa.array([" ".join(w) for _, w in docs], pa.large_string())) for x, i, *_ in decontaminate.find_in(t, index, 0.8)}
+    assert found == brute_contaminated(docs, items)
+
+
+@pytest.mark.parametrize("n", [511, 512, 513, 1025])
+def test_long_items_are_compared_whole(spark, n):
+    rnd = random.Random(n)
+    item = [f"i{rnd.randrange(10**6)}" for _ in range(n)]
     clean = lambda k: [f"c{rnd.randrange(5000)}" for _ in range(k)]
-    rows = [(n, " ".join(clean(30) + w[-1:] + clean(30))) for n, w in items.items()]
-    rows += [(516_000, " ".join(clean(30) + items[516][-4:] + clean(30)))]
-    rows += [(-n, " ".join(clean(20) + edited(rnd, w, len(w) // 20, ["zz"]) + clean(20))) for n, w in items.items() if n < 1000]
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
-    got = decontaminate.contaminated(frame(spark, rows), bench).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == {(-n, n) for n in items if n < 1000}
-    assert all(r["item_words"] <= decontaminate.ITEM_WORDS for r in got) and all(r["item_words"] >= 256 for r in got if r["item_id"] != 700)
+    allowed = n // 5
+    docs = [(0, clean(30) + item[-1:] + clean(30)), (1, clean(30) + item[: n // 2] + clean(30)), (2, clean(30) + item[n // 2 :])]
+    for d, edits in ((3, 0), (4, n // 20), (5, allowed - 1)):
+        docs.append((d, clean(20) + edited(rnd, item, edits, ["zz"]) + clean(20)))
+    body = list(item)
+    for j in rnd.sample(range(n), allowed + 1):
+        body[j] = "zz"
+    docs.append((6, clean(20) + body + clean(20)))
+    want = brute_contaminated(docs, [(7, item)])
+    assert {d for d, _ in want} == {3, 4, 5}
+    got = decontaminate.contaminated(frame(spark, [(d, " ".join(w)) for d, w in docs]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and {r["item_words"] for r in got} == {n}
+
+
+def test_banded_distance():
+    rnd = random.Random(14)
+    for _ in range(40):
+        item = [rnd.randrange(1, 9) for _ in range(rnd.randrange(1, 40))]
+        body = edited(rnd, item, rnd.randrange(0, max(1, len(item) // 3)), list(range(1, 9)))
+        before, after = ([rnd.randrange(1, 9) for _ in range(rnd.randrange(0, 9))] for _ in range(2))
+        window = np.array(before + body + after, np.uint64)
+        exact = decontaminate.edit_distance(np.array(item, np.uint64), window)[0]
+        edits, s, e = decontaminate.banded_distance(np.array(item, np.uint64), window, len(before), len(item))
+        assert edits == exact == _levenshtein(item, window[s:e].tolist())
+
+
+def test_very_long_and_repeated_items(spark):
+    many = " ".join(f"many{j}" for j in range(60_000))
+    bench = spark.createDataFrame([(1, many), (2, many), (3, "one two three four"), (4, "ONE two, three four")], "item_id long, text string")
+    docs = frame(spark, [(1, f"x {many} y"), (2, "many59999 many3"), (3, "zero one two three four five"), (3, "zero one two three four five"), (4, "one two four")])
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == Counter({(1, 1): 1, (1, 2): 1, (3, 3): 2, (3, 4): 2})
+
+
+def test_decontamination_query_against_brute_force(spark, sf):
+    """Every document of the smallest table against every item, by plain dynamic programming."""
+    from panelspark.llm.queries import QUERIES
+
+    def words_of(table, key):
+        rows = spark.read.parquet(f"{sf}/{table}.parquet").collect()
+        return [(r[key], "".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in r["text"] or "").split()) for r in rows]
+
+    docs, items = words_of("documents", "doc_id"), words_of("benchmark", "item_id")
+    vocabulary = {x for _, w in items for x in w}
+    near = [(d, w) for d, w in docs if sum(x in vocabulary for x in w)]
+    want = set()
+    for d, w in near:
+        counts = Counter(w)
+        some = [(i, x) for i, x in items if x and sum((Counter(x) & counts).values()) >= 0.8 * len(x) - 1e-9]  # else too many words lack
+        want |= brute_contaminated([(d, w)], some)
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op2_decontamination"](spark, sf).collect()}
+    assert want and got <= want and len(got) >= 0.99 * len(want)
 
 
 def test_edit_distance():
