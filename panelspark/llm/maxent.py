@@ -35,15 +35,18 @@ from panelspark.llm.exchange import deal, opened, runs, total_by
 from panelspark.llm.substrings import dealt, meet
 
 BUCKET_BYTES = 16 << 20
-#: Branches of a node, as bits; and the deepest tree (its leaves' masses go to every task: 16**5 numbers at most).
-BITS, DEEPEST = 4, 5
+#: Branches of a node, as bits; and the deepest tree (its leaves' masses go to every task).
+BITS, DEEPEST = 4, 3
 BRANCHES = 1 << BITS
 #: Rows of feature weights: one for so many training tokens, between these bounds (of 64 bytes each, sent to every task).
 TOKENS_PER_ROW, LEAST_ROWS, MOST_ROWS = 16, 1 << 12, 1 << 18
-BATCH_TOKENS = 1 << 12
+BATCH_TOKENS = 1 << 10
+SCORE_TOKENS = 1 << 12
 #: Step of the updates, and how strongly each draws the rows it touches towards zero.
-RATE, PENALTY = 0.5, 0.1
+RATE, PENALTY = 0.5, 0.02
 ROUNDS = 2
+#: Text that one task learns from, at least: its weights are smaller than that.
+TRAINER_BYTES = 32 << 20
 #: Tasks whose weights are averaged in one group, and parts that the rows are averaged in.
 FAN_IN, PARTS = 64, 16
 FLUSH_TOKENS = 1 << 20
@@ -88,7 +91,7 @@ def send_counts(n_buckets: int):
         for batch in batches:
             for t in B.texts(batch["text"]):
                 h, _ = tokens(t)
-                held.append(total_by(h, np.ones(len(h), np.int64)))
+                held.append(np.unique(h, return_counts=True))
                 size += len(held[-1][0])
                 if size >= FLUSH_TOKENS:
                     yield from flush()
@@ -155,25 +158,29 @@ class Model:
         one, two = back
         return [B.mix(one, 91), B.mix(two, 92), B.mix((one >> np.uint64(56)) << np.uint64(8) | two >> np.uint64(56), 93)]
 
-    def step(self, context: list[np.ndarray], code: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """At one level: the rows of the features, the logits of the branches, and the branch taken."""
+    def rows(self, context: np.ndarray, code: np.ndarray, level: int) -> np.ndarray:
+        """The row of weights of a context feature at the node that a code passes at a level."""
         node = code >> np.uint64(64 - BITS * level) if level else np.zeros_like(code)
         salt = (node + np.uint64((level << 40) + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        rows = [(((c ^ salt) * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift).astype(np.int64) for c in context]
-        z = self.offset[level][node.astype(np.int64)]
-        for r in rows:
-            z += self.weights.take(r, axis=0)
-        return rows, z, ((code >> np.uint64(64 - BITS * (level + 1))) & np.uint64(BRANCHES - 1)).astype(np.int64)
+        return (((context ^ salt) * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift).astype(np.int64)
+
+    def logits(self, context: list[np.ndarray], code: np.ndarray, level: int) -> np.ndarray:
+        z = self.offset[level].take((code >> np.uint64(64 - BITS * level)).astype(np.int64) if level else np.zeros(len(code), np.int64), axis=0)
+        for c in context:
+            z += self.weights.take(self.rows(c, code, level), axis=0)
+        return z
+
+    def branch(self, code: np.ndarray, level: int) -> np.ndarray:
+        return ((code >> np.uint64(64 - BITS * (level + 1))) & np.uint64(BRANCHES - 1)).astype(np.int64)
 
     def score(self, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each token's leaf."""
         out = np.zeros(len(code))
         context = self.contexts(code, offsets)
-        for a in range(0, len(code), BATCH_TOKENS):
-            part = slice(a, a + BATCH_TOKENS)
+        for a in range(0, len(code), SCORE_TOKENS):
+            part = slice(a, a + SCORE_TOKENS)
             for level in range(self.depth):
-                _, z, taken = self.step([c[part] for c in context], code[part], level)
-                out[part] += _log_softmax_at(z, taken)
+                out[part] += _log_softmax_at(self.logits([c[part] for c in context], code[part], level), self.branch(code[part], level))
         return out / np.log(10)
 
 
@@ -192,38 +199,40 @@ class Trainer:
         self.seen = np.zeros(len(self.weights), np.float32)
 
     def learn(self, code: np.ndarray, offsets: np.ndarray) -> None:
-        context = self.model.contexts(code, offsets)
+        """Every token is predicted; of those that fall on one row in a mini-batch, one gives the row's stochastic gradient."""
+        m, every = self.model, self.model.contexts(code, offsets)
         for a in range(0, len(code), BATCH_TOKENS):
-            part = slice(a, a + BATCH_TOKENS)
-            for level in range(self.model.depth):
-                rows, z, taken = self.model.step([c[part] for c in context], code[part], level)
+            mine, context = code[a : a + BATCH_TOKENS], [c[a : a + BATCH_TOKENS] for c in every]
+            at = np.arange(len(mine))
+            for level in range(m.depth):
+                z = m.offset[level].take((mine >> np.uint64(64 - BITS * level)).astype(np.int64) if level else np.zeros(len(mine), np.int64), axis=0)
+                rows = [m.rows(c, mine, level) for c in context]
+                held = [self.weights.take(r, axis=0) for r in rows]
+                for w in held:
+                    z += w
                 z -= z.max(axis=1, keepdims=True)
                 np.exp(z, out=z)
-                z /= z.sum(axis=1, keepdims=True)
-                z[np.arange(len(z)), taken] -= 1
-                self.update(np.concatenate(rows), z)
+                z *= 1 / z.sum(axis=1, keepdims=True)
+                z[at, m.branch(mine, level)] -= 1
+                square = np.einsum("ij,ij->i", z, z)
+                for r, w in zip(rows, held, strict=True):
+                    seen = self.seen.take(r) + square
+                    self.seen[r] = seen
+                    rate = (self.rate / np.sqrt(seen + 1))[:, None]
+                    w *= 1 - PENALTY * rate
+                    w -= z * rate
+                    self.weights[r] = w
         self.tokens += len(code)
 
-    def update(self, row: np.ndarray, g: np.ndarray) -> None:
-        """Adds the gradients of each row up (g serves every feature) and moves the row."""
-        order = np.argsort(row)
-        first = runs(row[order])
-        at = row[order[first]]
-        total = np.add.reduceat(g.take(order % len(g), axis=0), first, axis=0)
-        total += np.float32(PENALTY) * self.weights[at]
-        self.seen[at] += np.einsum("ij,ij->i", total, total)
-        total *= (self.rate / np.sqrt(self.seen[at] + 1))[:, None]
-        self.weights[at] -= total
-
 
 def _mean(_: tuple, parts: pa.Table) -> pa.Table:
     """The tasks' weights, row by row in proportion to what each saw of the row; rows nobody saw stay."""
     total = weight = None
     for w, s in zip(parts["weights"].to_pylist(), parts["seen"].to_pylist(), strict=True):
         s = np.frombuffer(s, np.float32).astype(np.float64) + 1e-9
-        w = np.frombuffer(w, np.float32).reshape(len(s), BRANCHES) * s[:, None]
+        w = np.frombuffer(w, np.float16).reshape(len(s), BRANCHES) * s[:, None]
         total, weight = (w, s) if total is None else (total + w, weight + s)
-    mean = (total / weight[:, None]).astype(np.float32)
+    mean = (total / weight[:, None]).astype(np.float16)
     return pa.table([parts["part"].slice(0, 1), pa.array([0], pa.int32()), pa.array([mean.tobytes()], pa.binary()), pa.array([weight.astype(np.float32).tobytes()], pa.binary())], names=["part", "branch", "weights", "seen"])
 
 
@@ -242,14 +251,14 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RAT
                     trainer.learn(*tokens(t))
             if trainer.tokens:
                 n, branch = PARTS, TaskContext.get().partitionId() // FAN_IN
-                packed = [pa.array([x.tobytes() for x in np.split(v, n)], pa.binary()) for v in (trainer.weights, trainer.seen)]
+                packed = [pa.array([x.tobytes() for x in np.split(v, n)], pa.binary()) for v in (trainer.weights.astype(np.float16), trainer.seen)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([branch] * n, pa.int32()), *packed], names=["part", "branch", "weights", "seen"])
 
         parts = docs.mapInArrow(run, schema).groupBy("part", "branch").applyInArrow(_mean, schema)
         # the group of all branches: one row per part and FAN_IN tasks
         got = {r["part"]: r["weights"] for r in parts.groupBy("part", "branch").applyInArrow(_mean, schema).collect()}  # the model's bounded size
         if got:
-            weights = np.concatenate([np.frombuffer(got[i], np.float32).reshape(-1, BRANCHES) for i in range(PARTS)])
+            weights = np.concatenate([np.frombuffer(got[i], np.float16).reshape(-1, BRANCHES) for i in range(PARTS)]).astype(np.float32)
             model = Model(model.total, model.distinct, model.mass, weights)
     return model
 
@@ -307,7 +316,8 @@ def score_documents(docs: DataFrame, training=None, rounds: int = ROUNDS, depth:
     plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.lit(True) if training is None else training, F.lit(False)).alias("train"))
     learned = plain.filter("train").select("text")
     counts = count_words(learned, n)
-    model = train(learned, start_model(counts, depth, rows), rounds)
+    trainers = -(-text_bytes(learned) // TRAINER_BYTES) or 1
+    model = train(learned.coalesce(trainers), start_model(counts, depth, rows), rounds)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_column].dataType.simpleString()
     texts = dealt(plain.select("doc_id", "text"), n, "doc_id", "text", ())

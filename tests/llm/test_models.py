@@ -324,7 +324,7 @@ def test_scores_are_log_probabilities(spark, docs, rows):
     seen = {c: n for r in counts.collect() for c, n in zip(np.frombuffer(r["code"], np.uint64).tolist(), np.frombuffer(r["n"], np.int64).tolist(), strict=True)}
 
     def leaf_log(code, level, context):
-        z = model.step([np.array([c], np.uint64) for c in context], np.array([code], np.uint64), level)[1][0].astype(float)
+        z = model.logits([np.array([c], np.uint64) for c in context], np.array([code], np.uint64), level)[0].astype(float)
         return z[(code >> (60 - 4 * level)) & 15] - math.log(sum(map(math.exp, z)))
 
     def log10(code, context):
