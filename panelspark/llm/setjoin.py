@@ -7,12 +7,15 @@
 2. Equal sets become one class; only classes go on.
 3. Tokens are ordered by document frequency, rarest first.  Two sets that link
    share a token of their prefixes; positions in the order bound the overlap.
-4. Answers come from answers: each list's members are compared with its leader,
+4. Answers come from answers.  Each list's members are compared with its leader,
    and what becomes connected is one component, whose inner pairs need no
-   comparison.  Then every list is searched for pairs across components; blocks
-   of a list, sorted by what remains after the token, are skipped whole when
-   their lengths and positions rule a link out or all lie in the probe's own
-   component.  Long lists are dealt over several tasks.
+   comparison.  Of two members whose overlaps with the leader are known, these
+   bound the overlap of both: many pairs are decided by that alone, either way.
+   Then every list is searched for pairs across components; blocks of a list,
+   sorted by what remains after the token, are skipped whole when their lengths
+   and positions rule a link out or all lie in the probe's own component.  Long
+   lists are cut into pieces by size; only members outside the list's largest
+   component visit other pieces, and only those whose sizes allow a link.
 5. Candidates are verified on the sets, and components are joined.
 
 No link between different sets is lost, and no group is ever paired off.
@@ -21,6 +24,7 @@ No link between different sets is lost, and no group is ever paired off.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +35,18 @@ from pyspark.sql import functions as F
 from panelspark.llm import bytetext as B
 from panelspark.llm.common import buckets, cut, row_key, table, text_bytes
 from panelspark.llm.components import components
-from panelspark.llm.exchange import ASK, COUNT, ECHO, Outbox, block_schema, bucket_of, received, reply, runs, spread, unpack
+from panelspark.llm.exchange import ASK, COUNT, ECHO, Outbox, block_schema, bucket_of, deal, opened, received, reply, runs, spread, unpack
 from panelspark.llm.substrings import dealt, meet
 
 BUCKET_BYTES = 16 << 20
 SAMPLE = 3
-#: Members of a list that one task probes.
-LIST_MEMBERS = 4096
+#: Members of one piece of a list.
+LIST_MEMBERS = 1024
 SKIP_BLOCK = 64
 TOKEN_BYTES = 6
 
 _SEEN = {"fp": "u4", "state": "u1"}
 _COUNT = {"n": "i4"}
-_TOKEN = {"fp": "u4", "at": "i4"}
-_FREQUENCY = {"at": "i4", "df": "i4"}
 
 
 def shingle_sets(t: B.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,29 +161,24 @@ def judge(size: int, percent: int, kind: pa.DataType):
     return run
 
 
-def send_tokens(n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = Outbox(_TOKEN)
-        for batch in batches:
-            for key, data in zip(batch["_ps_key"].to_pylist(), batch["set"].to_pylist(), strict=True):
-                h = B.mix(load_set(data), 72)
-                yield from box.add(bucket=bucket_of(h, n_buckets), owner=np.full(len(h), key), fp=h >> np.uint64(32), at=np.arange(len(h)))
-        yield from box.flush()
+def ask_frequency(n_buckets: int):
+    """A home's distinct tokens and in how many of its sets each occurs, one entry each."""
 
-    return run
+    def run(key: tuple, sets: pa.Table) -> pa.Table:
+        token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(load_set, sets["set"].to_pylist())]), return_counts=True)
+        out = deal(bucket_of(B.mix(token, 72), n_buckets), "bucket", token=token, n=n.astype(np.uint32))
+        return out.append_column("home", pa.array([key[0].as_py()] * out.num_rows, pa.int32()))
 
+    return run
 
-def answer_frequency(homes: int):
-    """In how many sets each token occurs, where more than one, to the homes of the sets."""
 
-    def run(_: tuple, blocks: pa.Table) -> pa.Table:
-        e = unpack(blocks, _TOKEN)
-        _, inverse, count = np.unique(e["fp"], return_inverse=True, return_counts=True)
-        df = count[inverse]
-        yes = df > 1
-        return reply(e["owner"][yes], homes, _FREQUENCY, at=e["at"][yes], df=df[yes])
-
-    return run
+def answer_frequency(_: tuple, asks: pa.Table) -> pa.Table:
+    """In how many sets each token occurs, where more than one, to the homes that asked."""
+    e = opened(asks, "home", token="u8", n="u4")
+    _, inverse = np.unique(e["token"], return_inverse=True)
+    df = np.bincount(inverse, e["n"]).astype(np.int32)[inverse]
+    yes = df > 1
+    return deal(e["home"][yes], "bucket", token=e["token"][yes], df=df[yes])
 
 
 def index_sets(percent: int):
@@ -190,12 +187,15 @@ def index_sets(percent: int):
 
     def run(_: tuple, sets: pa.Table, replies: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        row, x = received(replies, sets["_ps_key"].to_numpy(), _FREQUENCY)
-        cut_at = np.searchsorted(row, np.arange(sets.num_rows + 1))
-        for i, (key, name, n, data) in enumerate(zip(*(sets[c].to_pylist() for c in ("_ps_key", "class", "n", "set")), strict=True)):
+        known = opened(replies, "bucket", token="u8", df="i4")
+        by_token = np.argsort(known["token"])
+        token, frequency = known["token"][by_token], known["df"][by_token]
+        for key, name, n, data in zip(*(sets[c].to_pylist() for c in ("_ps_key", "class", "n", "set")), strict=True):
             h, df = load_set(data), np.ones(n, np.int32)
-            mine = slice(cut_at[i], cut_at[i + 1])
-            df[x["at"][mine]] = x["df"][mine]
+            if len(token):
+                at = np.searchsorted(token, h)
+                at[at == len(token)] = 0
+                df = np.where(token[at] == h, frequency[at], 1)
             unique = int((df == 1).sum())
             if 100 * (n - unique) < percent * n:
                 continue
@@ -210,65 +210,95 @@ def index_sets(percent: int):
 
 
 def search_lists(percent: int):
-    """Pairs across components that share a list's token and may link by sizes and positions."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Pairs across components that share a list's token and may link, and whether what is known of the leader makes that sure.
+
+    Rows are members of a piece of a list, or probes, or both; ``shared`` is
+    their overlap with the list's leader (null if unknown).
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
 
     def run(_: tuple, rows: pa.Table) -> pa.Table:
-        token, salt, key, component = (rows[c].to_numpy() for c in ("token", "salt", "key", "component"))
-        n, rest, probe = rows["n"].to_numpy().astype(np.int64), (rows["n"].to_numpy() - rows["at"].to_numpy()).astype(np.int64), rows["probe"].to_numpy(zero_copy_only=False)
-        order = np.lexsort((key, -rest, salt, token))
-        token, salt, key, component, n, rest, probe = (v[order] for v in (token, salt, key, component, n, rest, probe))
-        start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))) if len(token) else np.zeros(0, np.int64)
-        a_out, b_out = [], []
+        whole = lambda c: rows[c].fill_null(-1).to_numpy().astype(np.int64)
+        token, piece, key, component, n, at, shared, leader_n = map(whole, ("token", "piece", "key", "component", "n", "at", "shared", "leader_n"))
+        probe, member = (rows[c].to_numpy(zero_copy_only=False) for c in ("probe", "member"))
+        rest = n - at
+        order = np.lexsort((key, -rest, piece, token))
+        token, piece, key, component, n, rest, shared, leader_n, probe, member = (v[order] for v in (token, piece, key, component, n, rest, shared, leader_n, probe, member))
+        start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (piece[1:] != piece[:-1])))) if len(token) else np.zeros(0, np.int64)
+        a_out, b_out, sure_out = [], [], []
         for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(token)], strict=True):
-            c = component[lo:hi]
-            if (c == c[0]).all():
+            if (component[lo:hi] == component[lo]).all():
                 continue
-            ns, rs, ks = n[lo:hi], rest[lo:hi], key[lo:hi]
-            edge = np.arange(0, hi - lo, SKIP_BLOCK)
+            there = lo + np.flatnonzero(member[lo:hi])
+            if not len(there):
+                continue
+            c, ns, rs, ks, os, ps = (v[there] for v in (component, n, rest, key, shared, probe))
+            edge = np.arange(0, len(there), SKIP_BLOCK)
             least_n, most_n = np.minimum.reduceat(ns, edge), np.maximum.reduceat(ns, edge)
             most_rest = np.maximum.reduceat(rs, edge)
             same = np.minimum.reduceat(c, edge) == np.maximum.reduceat(c, edge)
-            for i in np.flatnonzero(probe[lo:hi]).tolist():
-                m = ns[i]
-                # overlap <= what remains, and 100 * overlap * 2 >= ... : (100 + percent) * overlap >= percent * (n + m)
+            size = np.diff(np.append(edge, len(there)))
+            for i in (lo + np.flatnonzero(probe[lo:hi])).tolist():
+                m = n[i]
+                # overlap <= what remains, and a link asks that (100 + percent) * overlap >= percent * (n + m)
                 may = (100 * least_n <= (100 * m * 100) // percent) & (100 * most_n >= percent * m)
-                may &= (100 + percent) * np.minimum(most_rest, rs[i]) >= percent * (least_n + m)
-                may &= ~(same & (c[edge] == c[i]))
+                may &= (100 + percent) * np.minimum(most_rest, rest[i]) >= percent * (least_n + m)
+                may &= ~(same & (c[edge] == component[i]))
                 if not may.any():
                     continue
-                at = np.flatnonzero(np.repeat(may, np.diff(np.append(edge, hi - lo))))
-                good = (ks[at] > ks[i]) & (c[at] != c[i]) & (100 * np.minimum(ns[at], m) >= percent * np.maximum(ns[at], m))
-                good &= (100 + percent) * np.minimum(rs[at], rs[i]) >= percent * (ns[at] + m)
-                at = at[good]
-                a_out.append(np.full(len(at), ks[i]))
-                b_out.append(ks[at])
-        cat = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
-        pair = np.unique(np.stack([cat(a_out), cat(b_out)], axis=1), axis=0)
-        return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=schema)
+                j = np.flatnonzero(np.repeat(may, size))
+                # of two probes in one piece, the one with the smaller key asks
+                good = (c[j] != component[i]) & (100 * np.minimum(ns[j], m) >= percent * np.maximum(ns[j], m)) & ((ks[j] > key[i]) | ~(ps[j] & member[i]))
+                good &= (100 + percent) * np.minimum(rs[j], rest[i]) >= percent * (ns[j] + m)
+                j = j[good]
+                need, o = percent * (ns[j] + m), shared[i]
+                known = (os[j] >= 0) & (o >= 0)
+                most = np.minimum(os[j], o) + np.minimum(ns[j] - os[j], m - o)
+                maybe = ~known | ((100 + percent) * most >= need)
+                sure = known & ((100 + percent) * (os[j] + o - leader_n[i]) >= need)
+                j, sure = j[maybe], sure[maybe]
+                a_out.append(np.minimum(ks[j], key[i]))
+                b_out.append(np.maximum(ks[j], key[i]))
+                sure_out.append(sure)
+        cat = lambda xs, d: np.concatenate([np.zeros(0, d), *xs])
+        pair = np.unique(np.stack([cat(a_out, np.int64), cat(b_out, np.int64), cat(sure_out, bool).astype(np.int64)], axis=1), axis=0)
+        return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(pair[:, 2] > 0)], schema=schema)
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets and of the intersection."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("shared", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for i, j, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "set_a", "set_b")), strict=True):
+            sizes = []
+            for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
                 p, q = load_set(x), load_set(y)
                 both = np.sort(np.concatenate([p, q]))
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    a.append(i)
-                    b.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+                sizes.append((len(p), len(q), int((both[1:] == both[:-1]).sum())))
+            n = np.array(sizes, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(n[:, i]) for i in range(3))], schema=schema)
 
     one = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
     two = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, n long, m long, shared long")
+
+
+def pieces(listed: DataFrame, percent: int) -> DataFrame:
+    """Members and probes of the pieces of all lists; listed has df and component of each member."""
+    short = listed.filter(F.col("df") <= LIST_MEMBERS).withColumns({"class": F.lit(0), "salt": F.lit(0), "member": F.lit(True), "probe": F.lit(True)})
+    # sets that may link lie in one class of sizes or in neighbouring ones
+    grain = math.log(max(100 / percent, 1.000001))
+    long = listed.filter(F.col("df") > LIST_MEMBERS).withColumn("class", F.floor(F.log("n") / grain).cast("int"))
+    sizes = long.groupBy("token", "class").agg(F.ceil(F.count("*") / LIST_MEMBERS).cast("int").alias("salts"))
+    largest = long.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    members = long.join(sizes, ["token", "class"]).withColumns({"salt": F.pmod(F.xxhash64("key"), "salts").cast("int"), "member": F.lit(True), "probe": F.lit(False)}).drop("salts")
+    outside = long.join(largest, "token").filter(F.col("component") != F.col("largest")).drop("largest")
+    near = outside.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    probes = near.join(sizes, ["token", "class"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumns({"member": F.lit(False), "probe": F.lit(True)})
+    return short.unionByName(members).unionByName(probes).withColumn("piece", F.xxhash64("class", "salt"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -290,24 +320,27 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, id_column
     judged = cut(meet(dealt(plain, n, "_ps_id", "text", ()), seen, judge(size, percent, pa.int64()), "id long, n long, class binary, set binary"))
 
     classes = judged.filter("set is not null").groupBy("class").agg(F.first("set").alias("set"), F.first("n").alias("n"))
-    homes = max(1, n // 4)
+    homes = max(1, n // 4)  # sets that may link are a part of the texts
     sets = classes.select("class", "n", "set", F.xxhash64("class").alias("_ps_key")).withColumn("_ps_home", F.pmod("_ps_key", F.lit(homes)).cast("int")).repartition("_ps_home")
-    frequent = sets.mapInArrow(send_tokens(homes), block_schema(_TOKEN)).groupBy("bucket").applyInArrow(answer_frequency(homes), block_schema(_FREQUENCY))
+    asked = sets.groupBy("_ps_home").applyInArrow(ask_frequency(homes), "bucket int, token binary, n binary, home int")
+    frequent = asked.groupBy("bucket").applyInArrow(answer_frequency, "bucket int, token binary, df binary")
     index = cut(meet(sets, frequent, index_sets(percent), "key long, class binary, n long, set binary, unique long, token array<long>, at array<int>, df array<int>"))
 
+    linking = (100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("m"))
     listed = index.select("key", "n", "unique", F.explode(F.arrays_zip("token", "at", "df")).alias("x")).select("key", F.col("n").cast("int").alias("n"), "unique", F.col("x.token").alias("token"), F.col("x.at").alias("at"), F.col("x.df").alias("df"))
     leaders = listed.groupBy("token").agg(F.min(F.struct("unique", "key", "n")).alias("leader"))
-    stars = listed.join(leaders, "token").select("key", F.col("leader.key").alias("other"), "n", F.col("leader.n").alias("m"))
-    stars = stars.filter((F.col("key") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    pairs = stars.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-    linked = components(verify(pairs, index, percent), "a", "b")
-
-    salts = F.greatest(F.ceil(F.col("df") / LIST_MEMBERS), F.lit(1)).cast("int")
-    placed = listed.join(linked.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    placed = placed.select("token", "key", "component", "n", "at", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), salts.alias("salts"))
-    placed = placed.withColumn("probe", F.pmod("key", "salts") == F.col("salt")).withColumn("bucket", F.pmod(F.xxhash64("token", "salt"), F.lit(4 * n)).cast("int")).drop("salts")
-    across = placed.groupBy("bucket").applyInArrow(search_lists(percent), "a long, b long").distinct()
-    joined = verify(across, index, percent)
+    led = listed.drop("unique").join(leaders, "token").select("*", F.col("leader.n").alias("leader_n"), F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).drop("leader")
+    stars = led.filter((F.col("a") != F.col("b")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")))
+    compared = cut(overlaps(stars.select("a", "b").distinct(), index))
+    linked = components(compared.filter(linking), "a", "b")
+
+    shared = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.col("shared"))
+    known = led.join(compared.select("a", "b", "shared"), ["a", "b"], "left").withColumn("shared", shared).drop("a", "b")
+    known = known.join(linked.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = pieces(known, percent).withColumn("bucket", F.pmod(F.xxhash64("token", "piece"), F.lit(4 * n)).cast("int"))
+    across = cut(placed.groupBy("bucket").applyInArrow(search_lists(percent), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    checked = overlaps(across.filter(~F.col("sure")).select("a", "b"), index).filter(linking)
+    joined = checked.select("a", "b").unionByName(across.filter("sure").select("a", "b"))
     of_a, of_b = (linked.select(F.col("node").alias(k), F.col("component").alias(f"component_{k}")) for k in ("a", "b"))
     contracted = joined.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
     upper = components(contracted, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("top"))
