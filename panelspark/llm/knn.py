@@ -1,28 +1,35 @@
 """Nearest neighbours by a block matrix join over int8 product tiles.
 
-Queries and candidates are dealt into blocks of a fixed number of rows.  Each
-(query block, candidate block) tile is one task-sized unit: the tile's int8
-codes are multiplied as a matrix, which with the per-vector quantisation error
-gives a lower and an upper bound of every distance.  A candidate whose lower
-bound exceeds the k-th smallest upper bound of its query in the tile cannot be
-among the k nearest; the rest is recomputed from the original vectors in double
-precision.  Tiles' short lists are merged by heaps, in rounds of bounded fan-in.
-The bounds are strict, so the result is exact and no recall is lost.
+Queries and candidates are dealt into blocks bounded by rows and bytes.  Each
+(query block, candidate block) tile is one task-sized unit, to which only int8
+codes, scales and quantisation errors travel: the codes are multiplied as a
+matrix, which with the errors gives a lower and an upper bound of every distance.
+A candidate whose lower bound exceeds the k-th smallest upper bound of its query
+cannot be among the k nearest; that is decided in the tile, and again over all
+tiles of a query.  The pairs left fetch their original vectors, are recomputed in
+double precision and merged by heaps.  The bounds are strict, so the result is
+exact and no recall is lost.
 """
 
 from __future__ import annotations
 
 import heapq
-from itertools import islice
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from panelspark.llm.common import cut, table
+from panelspark.llm.exchange import runs
 
 QUERY_ROWS = 4096
 CANDIDATE_ROWS = 32768
+#: Bytes of codes in a block; longer vectors make blocks of fewer rows.
+BLOCK_BYTES = 16 << 20
+#: Distances bounded at once in a tile.
+CELLS = 8 << 20
 FAN_IN = 32
 
 
@@ -44,64 +51,138 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = x.astype(np.float64)
     scale = np.abs(x).max(axis=1) / 127
     scale[scale == 0] = 1
-    codes = np.rint(x / scale[:, None]).astype(np.int8)
-    return codes, scale, np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
+    part = x / scale[:, None]
+    codes = np.rint(part).astype(np.int8)
+    # in units of the scale, whose square may be no double; the division rounds as well
+    return codes, scale, scale * (np.sqrt(((part - codes) ** 2).sum(axis=1)) + 1e-12 * np.sqrt(x.shape[1]))
 
 
-def bounds(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def code_bounds(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of all distances: that of the decoded vectors, less and plus both errors."""
-    (qc, qs, qe), (cc, cs, ce) = quantise(q), quantise(c)
-    if q.shape[1] <= 1024:  # then every sum of products of codes is a whole number below 2**24: exact in float32
-        products = (qc.astype(np.float32) @ cc.astype(np.float32).T).astype(np.float64)
-    else:
-        products = qc.astype(np.float64) @ cc.astype(np.float64).T
+    (qc, qs, qe), (cc, cs, ce) = q, c
+    unit = max(qs.max(), cs.max())  # squares of large and small scales stay doubles
+    qs, cs = qs / unit, cs / unit
+    products = np.zeros((len(qc), len(cc)))
+    for at in range(0, qc.shape[1], 1024):  # every sum of as many products of codes is a whole number below 2**24: exact in float32
+        products += qc[:, at : at + 1024].astype(np.float32) @ cc[:, at : at + 1024].astype(np.float32).T
     qn = (qs * qs) * (qc.astype(np.int64) ** 2).sum(axis=1)
     cn = (cs * cs) * (cc.astype(np.int64) ** 2).sum(axis=1)
     total = qn[:, None] + cn[None, :]
     d = np.sqrt(np.maximum(total - 2 * qs[:, None] * cs[None, :] * products, 0))
-    slack = qe[:, None] + ce[None, :] + 1e-7 * np.sqrt(total) + 1e-300  # rounding in double is far below
-    return d - slack, d + slack
+    slack = qe[:, None] / unit + ce[None, :] / unit + 1e-7 * np.sqrt(total) + 1e-150  # rounding in double is far below
+    with np.errstate(over="ignore"):
+        return (d - slack) * unit, (d + slack) * unit
+
+
+def bounds(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return code_bounds(quantise(q), quantise(c))
+
+
+def distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Euclidean distances of vectors pair by pair; where squares leave the range of doubles, in units of the largest difference."""
+    with np.errstate(over="ignore", under="ignore"):
+        diff = (c.astype(np.float64) - q.astype(np.float64)).T
+        out = np.add.reduce(diff * diff, axis=0)
+        odd = np.flatnonzero(~((out > 1e-280) & (out < np.inf)))
+        out = np.sqrt(out)
+        unit = np.abs(diff[:, odd]).max(axis=0) if len(diff) else np.zeros(0)
+        some = (unit > 0) & (unit < np.inf)
+        out[odd[some]] = unit[some] * np.sqrt(np.add.reduce((diff[:, odd[some]] / unit[some]) ** 2, axis=0))
+    return out
+
+
+def add_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a number of their own, and their codes."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        length = batch["length"].to_numpy()
+        codes, scale, error = [b""] * len(length), np.zeros(len(length)), np.zeros(len(length))
+        for n in np.unique(length).tolist():
+            mine = np.flatnonzero(length == n)
+            c, s, e = quantise(_matrix(pa.chunked_array([batch["vector"].take(pa.array(mine))])))
+            scale[mine], error[mine] = s, e
+            for i, x in zip(mine.tolist(), c, strict=True):
+                codes[i] = x.tobytes()
+        rows = at + np.arange(len(length))
+        at += len(length)
+        columns = [pa.array(rows), batch["id"], batch["is_query"], batch["length"], batch["vector"], pa.array(codes, pa.binary()), pa.array(scale), pa.array(error)]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "is_query", "length", "vector", "codes", "scale", "error"])
+
+
+def _codes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.int8)
+    return flat.reshape(rows.num_rows, -1), rows["scale"].to_numpy(), rows["error"].to_numpy()
+
+
+_PAIRS = "query_block int, stripe int, query_row long, row long, low double, high double"
 
 
-def _tile(k: int, measure: str):
+def _pairs(block: int, stripe: int, query: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
+    n = len(query)
+    return pa.table({"query_block": pa.array(np.full(n, block, np.int32)), "stripe": pa.array(np.full(n, stripe, np.int32)), "query_row": pa.array(query), "row": pa.array(row), "low": pa.array(low), "high": pa.array(high)})
+
+
+def _tile(k: int):
+    """The pairs of a tile whose bounds leave them in question."""
+
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, scores, owners = [], [], []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
         if left.num_rows and right.num_rows:
-            q, c = _matrix(left["vector"]), _matrix(right["vector"])
-            qi, ci = left["id"].to_numpy(), right["id"].to_numpy()
-            step = max(1, (8 << 20) // len(ci))
+            q, c = _codes(left), _codes(right)
+            qi, ci, qr, cr = left["id"].to_numpy(), right["id"].to_numpy(), left["row"].to_numpy(), right["row"].to_numpy()
+            step = max(1, CELLS // len(ci))
             for at in range(0, len(qi), step):
-                low, high = bounds(q[at : at + step], c)
+                low, high = code_bounds(tuple(x[at : at + step] for x in q), c)
                 same = qi[at : at + step, None] == ci[None, :]
-                low[same] = high[same] = np.inf
-                if len(ci) > k:
-                    limit = np.partition(high, k - 1, axis=1)[:, k - 1]
-                else:
-                    limit = np.full(len(low), np.inf)
-                survives = low <= limit[:, None]
-                survives &= ~same
-                for i in range(len(low)):
-                    s = np.flatnonzero(survives[i])
-                    diff = c[s].astype(np.float64).T - q[at + i].astype(np.float64)[:, None]
-                    exact = np.sqrt(np.add.reduce(diff * diff, axis=0))
-                    best = np.lexsort((ci[s], exact))[:k]
-                    owners.append(qi[at + i])
-                    ids.append(ci[s][best].tolist())
-                    scores.append(exact[best].tolist())
-        block = key[0].as_py()
-        return pa.table({"query_block": pa.array([block] * len(owners), pa.int32()), "stripe": pa.array([key[1].as_py() // FAN_IN] * len(owners), pa.int32()), "query_id": pa.array(owners, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64()))})
+                reach = np.where(same | np.isnan(high), np.inf, high)
+                limit = np.partition(reach, k - 1, axis=1)[:, k - 1] if len(ci) > k else np.full(len(low), np.inf)
+                # a bound that is no number decides nothing
+                i, j = np.nonzero(~(low > limit[:, None]) & ~same)
+                out.append((qr[at + i], cr[j], low[i, j], high[i, j]))
+        return _pairs(key[0].as_py(), key[1].as_py() // FAN_IN, *map(np.concatenate, zip(*out, strict=True)))
 
     return run
 
 
+def _narrow(k: int):
+    """Of the pairs of several tiles those that the k-th smallest upper bound of their query leaves in question."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        query, row, low, high = (rows[c].to_numpy() for c in ("query_row", "row", "low", "high"))
+        reach = np.where(np.isnan(high), np.inf, high)
+        order = np.lexsort((reach, query))
+        query, row, low, high, reach = (v[order] for v in (query, row, low, high, reach))
+        first = runs(query)
+        n = np.diff(np.append(first, len(query)))
+        limit = np.where(n > k, reach[np.minimum(first + k - 1, first + n - 1)], np.inf) if len(first) else np.zeros(0)
+        keep = ~(low > np.repeat(limit, n))
+        return _pairs(key[0].as_py(), key[1].as_py() // FAN_IN, query[keep], row[keep], low[keep], high[keep])
+
+    return run
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        length, score = batch["length"].to_numpy(), np.zeros(batch.num_rows)
+        for n in np.unique(length).tolist():
+            mine = np.flatnonzero(length == n)
+            q, c = (_matrix(pa.chunked_array([batch[v].take(pa.array(mine))])) for v in ("query_vector", "vector"))
+            score[mine] = distances(q, c)
+        yield pa.RecordBatch.from_arrays([batch["query_row"], batch["query_id"], batch["id"], pa.array(score)], names=["query_row", "query_id", "vec_id", "score"])
+
+
 def _merge(k: int):
+    """The k nearest of each query row, off a heap of (score, id)."""
+
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         by: dict[int, list] = {}
-        for q, i, s in zip(rows["query_id"].to_pylist(), rows["ids"].to_pylist(), rows["scores"].to_pylist(), strict=True):
-            by.setdefault(q, []).append(list(zip(s, i, strict=True)))
-        best = {q: list(islice(heapq.merge(*lists), k)) for q, lists in by.items()}
-        stripe = key[1].as_py() // FAN_IN
-        return pa.table({"query_block": pa.array([key[0].as_py()] * len(best), pa.int32()), "stripe": pa.array([stripe] * len(best), pa.int32()), "query_id": pa.array(list(best), pa.int64()), "ids": pa.array([[i for _, i in b] for b in best.values()], pa.list_(pa.int64())), "scores": pa.array([[s for s, _ in b] for b in best.values()], pa.list_(pa.float64()))})
+        for r, q, i, s in zip(*(rows[c].to_pylist() for c in ("query_row", "query_id", "vec_id", "score")), strict=True):
+            by.setdefault((r, q), []).append((s, i))
+        best = [(q, rank + 1, i, s) for (_, q), near in by.items() for rank, (s, i) in enumerate(heapq.nsmallest(k, near))]
+        columns = list(zip(*best, strict=True)) or [()] * 4
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(("query_id", "rank", "vec_id", "score"), columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)})
 
     return run
 
@@ -121,34 +202,38 @@ def nearest(
     take no part, nor do rows with a null id; vectors are only compared with
     vectors of the same length.  Repeated vectors tie and go to the smaller id;
     rows with a query's own id are never its neighbours; an id that occurs on
-    several rows is listed once per such row.  A query without candidates has
-    no rows; an empty table gives an empty result.
+    several rows is listed once per such row, and asks once per such row.  Other
+    columns are ignored.  A query without candidates has no rows; an empty table
+    gives an empty result.
     """
-    spark = vectors.sparkSession
     v = F.col(vector_column).cast("array<double>")
-    plain = vectors.select(F.col(id_column).cast("long").alias("_id"), F.col(vector_column).alias("_v"), is_query.alias("_q"), usable(v).alias("_ok")).filter("_ok and _id is not null").drop("_ok")
-    plain = plain.withColumn("_d", F.size("_v"))
-    sizes = plain.agg(F.count("*").alias("n"), F.count_if("_q").alias("q"), F.max("_d").alias("d")).first()
-    n_c, n_q = -(-sizes["n"] // candidate_rows) or 1, -(-sizes["q"] // query_rows) or 1
-    mixed = F.xxhash64("_id", F.lit(7))
+    plain = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"), usable(v).alias("_ok")).filter("_ok and id is not null").drop("_ok")
+    kind = plain.schema["vector"].dataType.simpleString()
+    schema = f"row long, id long, is_query boolean, length int, vector {kind}, codes binary, scale double, error double"
+    coded = cut(plain.withColumn("length", F.size("vector")).select("id", "is_query", "length", "vector").mapInArrow(add_codes, schema))
+    sizes = coded.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"), F.max("length").alias("d")).first()
+    fit = max(1, BLOCK_BYTES // (sizes["d"] or 1))
+    n_c, n_q = -(-sizes["n"] // min(candidate_rows, fit)) or 1, -(-sizes["q"] // min(query_rows, fit)) or 1
+    mixed = F.xxhash64("row", F.lit(7))
+    code = [F.col(x).alias(x) for x in ("length", "id", "row", "codes", "scale", "error")]  # a cogroup's sides share no column
     # the length is a part of both block keys, so that a tile holds vectors of one length
-    q = plain.filter("_q").select(F.pmod(mixed, F.lit(n_q)).cast("int").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("block"), F.col("_d").alias("length"), F.col("_id").alias("id"), F.col("_v").alias("vector"))
-    c = plain.select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("query_block"), F.pmod(mixed, F.lit(n_c)).cast("int").alias("block"), F.col("_d").alias("length"), F.col("_id").alias("id"), F.col("_v").alias("vector"))
-    schema = T._parse_datatype_string("query_block int, stripe int, query_id long, ids array<long>, scores array<double>")
+    q = coded.filter("is_query").select(F.pmod(mixed, F.lit(n_q)).cast("int").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("block"), *code)
+    c = coded.select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("query_block"), F.pmod(mixed, F.lit(n_c)).cast("int").alias("block"), *code)
     keys = ["query_block", "block", "length"]
-    lists = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(_tile(k, "l2"), schema)
+    pairs = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(_tile(k), _PAIRS)
     stripes = -(-n_c // FAN_IN)
     while True:
-        lists = lists.groupBy("query_block", "stripe").applyInArrow(_merge(k), schema)
+        pairs = pairs.groupBy("query_block", "stripe").applyInArrow(_narrow(k), _PAIRS)
         if stripes <= 1:
             break
         stripes = -(-stripes // FAN_IN)
-    return lists.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    ours = coded.filter("is_query").select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), "length")
+    met = pairs.select("query_row", "row").join(coded.select("row", "id", "vector"), "row").join(ours, "query_row").select("query_row", "query_id", "id", "length", "query_vector", "vector")
+    scored = met.mapInArrow(_exact, "query_row long, query_id long, vec_id long, score double")
+    return scored.withColumn("part", F.pmod("query_row", F.lit(n_q * 8))).groupBy("part").applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op1_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
-    from panelspark.llm.common import table
-
     v = table(spark, sf_dir, "embeddings")
     return nearest(v, F.col("vec_id") % 100 == 0, 10)
 

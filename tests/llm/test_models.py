@@ -40,6 +40,24 @@ def test_nearest(spark, blocks):
     assert knn.nearest(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_nearest_of_extreme_and_repeated_rows(spark):
+    """Components near the ends of the range, null and repeated ids, a null query flag, and 1,100 dimensions."""
+    rows = [(i, [1e200 * (i + 1), -1e200 * i, 3.0]) for i in range(5)] + [(10 + i, [1e-200 * (i + 1), 0.0, 2e-200]) for i in range(5)] + [(20, [1e308, 1e308, 0.0]), (21, [-1e308, 0.0, 1e308])]
+    rows += [(None, [1e200, 0.0, 3.0]), (30, [7.0, 7.0, 7.0]), (30, [8.0, 8.0, 8.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = knn.nearest(df, F.col("vec_id").isin(0, 12, 30), 4).collect()
+    near = {q: [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 12, 30)}
+    assert [i for i, _ in near[0]] == [10, 11, 12, 13] or near[0][0][1] <= 1e200
+    assert [i for i, _ in near[12]][:4] == [11, 13, 10, 14] and all(0.9e-200 < s < 2.1e-200 for _, s in near[12])
+    assert len(near[0]) == 4 and len(near[30]) == 8 and 30 not in [i for i, _ in near[30]]
+    exact = sorted((math.hypot(*(a - b for a, b in zip(v, rows[0][1], strict=True))), i) for i, v in rows[1:] if i is not None)[:4]
+    assert all(math.isclose(a, b, rel_tol=1e-12) for (a, _), (_, b) in zip(exact, near[0], strict=True))
+    rnd = np.random.default_rng(15)
+    wide = [(i, v.tolist()) for i, v in enumerate(rnd.normal(size=(30, 1100)))]
+    got = knn.nearest(spark.createDataFrame(wide, "vec_id long, embedding array<double>"), F.col("vec_id") < 3, 5)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in got.collect()) == brute_nearest(wide, [0, 1, 2], 5)
+
+
 def test_bounds_hold():
     rnd = np.random.default_rng(5)
     q, c = rnd.normal(size=(20, 64)), rnd.normal(size=(300, 64)) * rnd.uniform(0.01, 100, (300, 1))
