@@ -287,48 +287,56 @@ def check(w: B.Words, index: Lookup, similarity: float, item: np.ndarray, begin:
 
 
 _FOUND = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("item_words", T.IntegerType())])
+_FOUND_ARROW = pa.struct([(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.int32()) for f in _FOUND.fields])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, stride: int = STRIDE, block_items: int = BLOCK_ITEMS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Passages of documents that lie within an edit similarity of a benchmark item.
+def with_passages(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, stride: int = STRIDE, block_items: int = BLOCK_ITEMS, text_column: str = "text") -> DataFrame:
+    """docs plus passages (replacing a column of that name): what each row's text holds of benchmark items.
 
-    One row per (document row, item) found: the id, item_id, start_word,
-    end_word (of runs of letters and digits), edits, item_words.  An item of n
+    A passage is item_id, start_word, end_word (of runs of letters and digits),
+    edits, item_words; there is one for each item found.  An item of n
     words is found when at most ``(1 - similarity) * n`` word edits turn it, as a
     whole, into a stretch of the document; the exact check admits no false match
     (words are compared by 62-bit hashes).  Of several stretches the one with the
     fewest edits among those proposed is given; for long items (over CELLS cells)
     the one nearest to the proposal.  Items of the same text are all reported.
     Null or wordless texts and items match nothing; items with a null id are
-    ignored.  Rows that repeat are found each; extra columns are ignored; either
-    table may be empty.
+    ignored.  Rows that repeat are searched each; other columns and null ids
+    pass through; either table may be empty.
     """
     spark = docs.sparkSession
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     n_blocks = max(1, -(-size["n"] // block_items), -(-(size["b"] or 0) // BLOCK_BYTES))
     blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
-    kind = docs.schema[id_column].dataType
-    plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    schema = T.StructType([T.StructField(id_column, kind), *_FOUND.fields])
-    out = None
+    out = docs.drop("passages").withColumn("passages", F.array().cast(T.ArrayType(_FOUND)))
     for block in range(n_blocks):
         held = [(r["item_id"], r["text"]) for r in blocks.filter(F.col("block") == block).collect()]
+        if not held:
+            continue
         sent, name = spark.sparkContext.broadcast(held), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
             indexes = indexes_of(name, sent.value, stride, similarity)
             for batch in batches:
-                rows = [(t.first + x, *rest) for t in B.texts(batch["text"]) for x, *rest in find_in(t, indexes, similarity)]
-                doc = batch["doc_id"].take(pa.array([r[0] for r in rows], pa.int64()))
-                columns = [doc, pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], k) for c, k in ((2, pa.int64()), (3, pa.int64()), (4, pa.int32()), (5, pa.int32())))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-        found = plain.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
+                found = batch["passages"].to_pylist()
+                for t in B.texts(batch[text_column]):
+                    for x, *rest in find_in(t, indexes, similarity):
+                        found[t.first + x].append(dict(zip(_FOUND.names, rest, strict=True)))
+                at = batch.schema.get_field_index("passages")
+                yield batch.set_column(at, "passages", pa.array(found, pa.list_(_FOUND_ARROW)))
+
+        out = out.mapInArrow(run, out.schema)
     return out
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, stride: int = STRIDE, block_items: int = BLOCK_ITEMS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The passages of :func:`with_passages`, a row for each: the document's id and the passage's fields."""
+    plain = docs.select(F.col(id_column).alias(id_column), F.col(text_column).alias("text"))
+    found = with_passages(plain, benchmark, similarity, stride, block_items)
+    return found.select(id_column, F.explode("passages").alias("p")).select(id_column, "p.*")
+
+
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start_word", "end_word", "edits", "item_words")

@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import bytetext as B
-from panelspark.llm.common import table
+from panelspark.llm.common import cut, table
 from panelspark.llm.decontaminate import normal_words
 from panelspark.llm.exchange import runs
 
 #: Labelled rows a model is fitted on, at most: those with the smallest hash.
 MAX_ROWS = 20_000
-#: Features that may get a weight: those most unlike between the grades.
+#: Features that may get a weight: those most unlike between the grades (65,536 at most).
 MAX_FEATURES = 2048
 FEATURE_BITS = 22
 #: Expected severity from which a document counts as toxic.
@@ -99,48 +99,70 @@ def fit_ordinal(indptr: np.ndarray, columns: np.ndarray, n_features: int, grade:
     return w, old
 
 
-def fit(lists: list[np.ndarray], grade: np.ndarray, n_grades: int, max_features: int = MAX_FEATURES) -> CumulativeLink:
-    """Keeps the features whose mean grade is furthest from the rest's (in standard errors), then fits."""
-    if not len(grade) or grade.min() == grade.max():
-        base = np.where(np.arange(n_grades - 1) < (grade[0] if len(grade) else 0), -10.0, 10.0)
-        return CumulativeLink(np.zeros(0, np.uint32), np.zeros(0), base)
-    count, gap = np.zeros(1 << FEATURE_BITS, np.float32), np.zeros(1 << FEATURE_BITS, np.float32)
-    mean, spread = grade.mean(), max(grade.var(), 1e-9)
-    for x, g in zip(lists, grade, strict=True):  # a text's features are distinct
-        count[x] += 1
-        gap[x] += g - mean
-    z = np.where(count < 3, 0, np.abs(gap) / np.sqrt(np.maximum(count, 1) * spread))
-    number = np.argpartition(-z, max_features)[:max_features]
-    number = np.sort(number[z[number] > 0]).astype(np.uint32)
-    place = np.full(1 << FEATURE_BITS, -1, np.int32)
-    place[number] = np.arange(len(number))
-    kept = [place[x][place[x] >= 0] for x in lists]
-    indptr = np.concatenate([[0], np.cumsum([len(x) for x in kept])])
-    w, theta = fit_ordinal(indptr, np.concatenate([np.zeros(0, np.int32), *kept]), len(number), grade, n_grades)
-    some = np.flatnonzero(np.abs(w) > 1e-6)
-    return CumulativeLink(number[some], w[some], theta)
+def base_rates(grade: int, n_grades: int) -> CumulativeLink:
+    """The model where all rows have one grade: no features."""
+    return CumulativeLink(np.zeros(0, np.uint32), np.zeros(0), np.where(np.arange(n_grades - 1) < grade, -10.0, 10.0))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for t in B.texts(batch["text"]):
+            number, owner = features(t)
+            cut_at = np.searchsorted(owner, np.arange(len(t) + 1))
+            packed = [number[a:b].tobytes() for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)]
+            part = batch.slice(t.first, len(t))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["_y"], pa.array(packed, pa.binary())], names=["doc_id", "_y", "features"])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of a batch hold each feature, and the sum of their grades."""
+    for batch in batches:
+        packed = batch["features"].to_pylist()
+        number = np.frombuffer(b"".join(packed), np.uint32)
+        grade = np.repeat(batch["_y"].to_numpy(), [len(x) // 4 for x in packed])
+        distinct, inverse = np.unique(number, return_inverse=True)
+        n, s = np.bincount(inverse, minlength=len(distinct)), np.bincount(inverse, grade, len(distinct))
+        yield pa.RecordBatch.from_arrays([pa.array(distinct.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(s)], names=["feature", "n", "s"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> CumulativeLink:
-    """Fits on at most max_rows labelled rows; grades are the whole numbers 0, 1, ... of the label column."""
+    """Fits on at most max_rows labelled rows; grades are the whole numbers 0, 1, ... of the label column.
+
+    The features kept are those whose mean grade is furthest from the rest's, in
+    standard errors.  Only they come to the driver: max_rows rows of at most
+    max_features numbers of two bytes.  Labels that are null or negative and
+    rows with a null id aren't learnt from; labelled ids that repeat count once
+    for each pair of rows, within max_rows.
+    """
+    spark = docs.sparkSession
     rows = labels.filter(F.col(label).isNotNull() & (F.col(label) >= 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
     sample = rows.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)  # bounded, so it may go to every task
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    few = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "_y", "text")
+    few = few.mapInArrow(_packed, "doc_id long, _y int, features binary")
+    few = cut(few.orderBy(F.xxhash64("doc_id"), "doc_id", "_y", "features").limit(max_rows))
+    grades = few.agg(F.count("*").alias("n"), F.avg("_y").alias("mean"), F.var_pop("_y").alias("var"), F.min("_y").alias("low"), F.max("_y").alias("high")).first()
+    if not grades["n"] or grades["low"] == grades["high"]:
+        top = grades["high"] or 0
+        return base_rates(top, max(2, top + 1))
+    spread = max(grades["var"], 1e-9)
+    tally = few.mapInArrow(_tally, "feature long, n long, s double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).filter("n >= 3")
+    z = F.abs(F.col("s") - grades["mean"] * F.col("n")) / F.sqrt(F.col("n") * spread)
+    best = tally.select("feature", z.alias("z")).filter("z > 0").orderBy(F.desc("z"), "feature").limit(max_features).collect()
+    number = np.sort(np.array([r["feature"] for r in best], np.uint32))
+    sent = spark.sparkContext.broadcast(number)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in B.texts(batch["text"]):
-                number, owner = features(t)
-                cut = np.searchsorted(owner, np.arange(len(t) + 1))
-                packed = [number[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                part = batch.slice(t.first, len(t))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["_y"], pa.array(packed, pa.binary())], names=["doc_id", "_y", "features"])
+            kept = [np.flatnonzero(np.isin(sent.value, np.frombuffer(x, np.uint32), kind="sort")).astype(np.uint16).tobytes() for x in batch["features"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_y"], pa.array(kept, pa.binary())], names=["doc_id", "_y", "kept"])
 
-    few = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "_y", "text")
-    got = few.mapInArrow(run, "doc_id long, _y int, features binary").toArrow()  # as many rows as the sample
-    got = got.take(np.lexsort((got["_y"].to_numpy(), got["doc_id"].to_numpy())))
-    lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in got["features"]]
+    got = few.mapInArrow(pick, "doc_id long, _y int, kept binary").orderBy("doc_id", "_y", "kept").limit(max_rows).toArrow()
+    lists = [np.frombuffer(x.as_buffer(), np.uint16) for x in got["kept"]]
     grade = got["_y"].to_numpy().astype(np.int64)
-    return fit(lists, grade, max(2, int(grade.max()) + 1 if len(grade) else 2), max_features)
+    indptr = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    w, theta = fit_ordinal(indptr, np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64), len(number), grade, int(grade.max()) + 1)
+    some = np.flatnonzero(np.abs(w) > 1e-6)
+    return CumulativeLink(number[some], w[some], theta)
 
 
 def severity(docs: DataFrame, model: CumulativeLink, text_column: str = "text") -> DataFrame:

@@ -318,6 +318,35 @@ def test_toxicity_grades(spark, nothing):
     assert max(r["expected_severity"] for r in toxicity.severity(docs, flat).collect()) < 0.01
 
 
+def test_toxicity_sample_is_bounded_after_the_join(spark, monkeypatch):
+    """Two labelled ids that repeat in 3,000 rows: as many rows are learnt from as asked; ties at the threshold count as toxic."""
+    docs = frame(spark, [(i % 2, "vile words" if i % 2 else "calm words") for i in range(3000)] + [(2, "long " * 100_000)])
+    sizes, fit = [], toxicity.fit_ordinal
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda *a: sizes.append(len(a[3])) or fit(*a))
+    model = toxicity.learn(docs, spark.createDataFrame([(0, 0), (1, 1), (1, 1)], "doc_id long, toxic int"), max_rows=50)
+    assert all(n <= 50 for n in sizes)
+    flat = toxicity.CumulativeLink(np.zeros(0, np.uint32), np.zeros(0), np.array([np.log(1 / toxicity.THRESHOLD - 1)]))
+    got = toxicity.severity(docs, flat).select("expected_severity").distinct().collect()
+    assert len(got) == 1 and abs(got[0][0] - toxicity.THRESHOLD) < 1e-12
+    scores = toxicity.severity(docs, model).groupBy("doc_id").agg(F.count_distinct("expected_severity").alias("n")).collect()
+    assert all(r["n"] == 1 for r in scores) and len(scores) == 3
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Scores of the operator against a plain sum over each text's distinct words and beginnings."""
+    rows = [(1, "Vile, vile things"), (2, "calm"), (3, None), (3, None), (4, "")]
+    number = lambda w: toxicity.features(next(B.texts(pa.array([w]))))[0].tolist()
+    weight = {x: 0.5 + i for i, x in enumerate(dict.fromkeys(number("vile things")))}
+    keys = np.array(sorted(weight), np.uint32)
+    model = toxicity.CumulativeLink(keys, np.array([weight[k] for k in keys.tolist()]), np.array([0.25, 1.5]))
+    for r in toxicity.severity(frame(spark, rows), model).collect():
+        eta = sum(weight.get(x, 0.0) for x in set(number(r["text"] or "")))
+        above = [1 / (1 + math.exp(t - eta)) for t in (0.25, 1.5)]
+        assert math.isclose(r["expected_severity"], sum(above) / 2, rel_tol=1e-9)
+        p = [1 - above[0], above[0] - above[1], above[1]]
+        assert r["grade"] == p.index(max(p))
+
+
 def test_language_model(spark, docs, rows, nothing):
     got = maxent.score_documents(docs, fold_of("doc_id", 7) != 2).collect()
     train = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
