@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over the documents, each written as Parquet and read again.
 
 Every stage works on all that its predecessor kept, with one of the corpus
-operators, and all but the last return the columns of documents.
+operators, and all but the last return the columns of documents.  Operators see
+an id and a text; all other columns travel beside them in one struct, so columns
+of any name come out as they went in.
 """
 
 from __future__ import annotations
@@ -12,38 +14,59 @@ from pyspark.sql import functions as F
 from panelspark.llm import decontaminate, lines, packing, setjoin, toxicity
 from panelspark.llm.common import cut, table
 
+OWN = ("doc_id", "text")
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns as the struct rest (absent if there are none)."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in OWN]
+    return docs.select(*OWN, *([F.struct(*rest).alias("rest")] if rest else []))
+
+
+def together(parts: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents again, in their order."""
+    return parts.select(*(F.col(c) if c in OWN else F.col(f"rest.`{c}`").alias(c) for c in columns))
+
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are not rejected as toxic; a null text is not toxic."""
+    """Keeps the documents that are not rejected as toxic; a null or empty text is as toxic as the labels' base rate, so it stays."""
     model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = toxicity.severity(docs.withColumn("_text", F.col("text")), model, "_text")
-    return scored.filter(F.col("expected_severity") < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.severity(apart(docs), model)
+    return together(scored.filter(F.col("expected_severity") < toxicity.THRESHOLD), docs.columns)
 
 
 def common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines that at least ten of the documents hold; n_chars follows the text."""
-    out = lines.dedup_lines(docs, 10, 1)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Drops the lines that at least ten of the documents hold; n_chars follows a text that changed."""
+    out = lines.dedup_lines(apart(docs), 10, 1)
+    whole = together(out, docs.columns)
+    if "n_chars" not in docs.columns:
+        return whole
+    n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))
+    return out.select(*(F.col(c) if c in OWN else n_chars.alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id; wordless texts and null ids stay."""
-    groups = setjoin.near_duplicates(docs, size=5, percent=80)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Keeps one row of each group of near duplicates: that with the smallest id (null ids last), of repeated rows any one.
+
+    Wordless texts are in no group and stay.
+    """
+    numbered = cut(apart(docs).withColumn("row", F.monotonically_increasing_id()))  # written, so that the numbers stand
+    groups = setjoin.near_duplicates(numbered.select("row", "text"), 5, 80, "row", "text").filter("n_shingles > 0")
+    members = groups.select(F.col("doc_id").alias("row"), "component_id").join(numbered.select("row", "doc_id"), "row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    gone = members.join(first, "component_id").filter(F.col("row") != F.col("least.row")).select("row")
+    return together(numbered.join(gone, "row", "left_anti"), docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents that hold a passage of the benchmark."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    marked = decontaminate.with_passages(apart(docs), table(spark, sf_dir, "benchmark"))
+    return together(marked.filter(F.size("passages") == 0), docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences: a row per piece."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs.select(*OWN))
 
 
 STAGES = [
@@ -54,7 +77,7 @@ STAGES = [
     ("best_fit_packing", packed_sequences),
 ]
 
-#: SQL can express neither the classifier nor the packing; tests compare the stages with brute force.
+#: SQL can express neither the classifier nor the packing; tests hold every stage's rows against plain Python.
 ORACLE_SQL = None
 
 
