@@ -145,7 +145,8 @@ def best_fit(items: DataFrame, n_groups: int, capacity: int = CAPACITY, open_bin
             kept = batch.drop_columns(["pack_group"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=[*kept.schema.names, "sequence_id", "offset"])
 
-    dealt = items.withColumn("pack_group", F.pmod(F.xxhash64(key, "piece", F.lit(11)), F.lit(n_groups)).cast("int"))
+    # the row's number too, so that rows that repeat each other are dealt out as evenly
+    dealt = items.withColumn("pack_group", F.pmod(F.xxhash64(key, "piece", F.monotonically_increasing_id(), F.lit(11)), F.lit(n_groups)).cast("int"))
     order = [c for c in dealt.columns if c != "pack_group"]
     dealt = dealt.repartition("pack_group").sortWithinPartitions("pack_group", F.xxhash64(key, "piece"), *order)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema), "sequence_id long", "offset long"])
