@@ -40,7 +40,7 @@ BITS, DEEPEST = 4, 3
 BRANCHES = 1 << BITS
 #: Rows of feature weights: one for so many training tokens, between these bounds (of 64 bytes each, sent to every task).
 TOKENS_PER_ROW, LEAST_ROWS, MOST_ROWS = 16, 1 << 12, 1 << 18
-BATCH_TOKENS = 1 << 10
+BATCH_TOKENS = 1 << 11
 SCORE_TOKENS = 1 << 12
 #: Step of the updates, and how strongly each draws the rows it touches towards zero.
 RATE, PENALTY = 0.5, 0.02
@@ -139,8 +139,9 @@ class Model:
         sums = self.mass
         self.offset: list[np.ndarray] = []
         for _ in range(self.depth):
-            self.offset.insert(0, np.log(sums).reshape(-1, BRANCHES).astype(np.float32))
-            sums = sums.reshape(-1, BRANCHES).sum(axis=1)
+            branches = sums.reshape(-1, BRANCHES)
+            sums = branches.sum(axis=1)
+            self.offset.insert(0, np.log(branches / sums[:, None]).astype(np.float32))  # shares, so that exp stays small
         self.shift = np.uint64(64 - int(np.log2(len(self.weights))))
 
     def leaf(self, code: np.ndarray) -> np.ndarray:
@@ -185,7 +186,6 @@ class Model:
 
 
 def _log_softmax_at(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
     return z[np.arange(len(y)), y].astype(np.float64) - np.log(np.exp(z).sum(axis=1, dtype=np.float64))
 
 
@@ -210,7 +210,6 @@ class Trainer:
                 held = [self.weights.take(r, axis=0) for r in rows]
                 for w in held:
                     z += w
-                z -= z.max(axis=1, keepdims=True)
                 np.exp(z, out=z)
                 z *= 1 / z.sum(axis=1, keepdims=True)
                 z[at, m.branch(mine, level)] -= 1
