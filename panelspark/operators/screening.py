@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.answers import defined_codes, digit_runs, integers_of
 from panelspark.operators.draw import dense_number
+from panelspark.operators.quotas import cell_weights
 
 RANK_BUCKET = 100_000
 
@@ -57,25 +59,58 @@ def spread_replies(batches: DataFrame, replies: DataFrame) -> DataFrame:
     return df.select(*(c for c in batches.columns), codes.alias("answer_codes"), flags.alias("flags"))
 
 
-def finalise(candidates: DataFrame, verdicts: DataFrame, cells: DataFrame) -> DataFrame:
-    """Roles: of each cell's passers in draw order the first ``needed`` are main, later ones reserve, the rest screened_out.
+def finalise(candidates: DataFrame, verdicts: DataFrame, cells: DataFrame, stimuli: Sequence[str] = ()) -> DataFrame:
+    """Panel rows: of each cell's passers in draw order the first n are main, later ones reserve, the rest screened_out.
 
-    cells: survey_id, cell_id, needed; a candidate in another cell is needed nowhere.
+    Main members are ranked anew from 0, with the concepts and the cell's
+    weight; the others have no rank, no concept and weight 1.
+    cells: survey_id, cell_id, n, size, proportion; a candidate in another cell
+    is needed nowhere.
     """
     df = candidates.join(verdicts.select("survey_id", "persona_uuid", F.col("passed").alias("_passed"), F.lit(True).alias("_tested")), ["survey_id", "persona_uuid"], "left")
-    df = df.join(cells.select("survey_id", "cell_id", "needed"), ["survey_id", "cell_id"], "left")
+    df = df.join(cells.select("survey_id", "cell_id", F.col("n").alias("_n")), ["survey_id", "cell_id"], "left")
     df = df.withColumn("_passed", F.coalesce("_passed", F.lit(False)))
     ranked = dense_number(df, ["survey_id", "cell_id", "_passed"], F.floor(F.col("cell_rank") / RANK_BUCKET), ["cell_rank", "persona_uuid"], "_at")
-    main = F.col("_passed") & (F.col("_at") <= F.coalesce("needed", F.lit(0)))
+    main = F.col("_passed") & (F.col("_at") <= F.coalesce("_n", F.lit(0)))
     role = F.when(main, "main").when(F.col("_passed"), "reserve").otherwise("screened_out")
-    rank = F.when(role == "screened_out", None).when(role == "main", F.col("_at") - 1).otherwise(F.col("_at") - 1 - F.coalesce("needed", F.lit(0)))
-    return ranked.select("survey_id", "persona_uuid", "cell_id", role.alias("role"), rank.cast("int").alias("cell_rank"), F.col("_tested").isNull().alias("untested"))
+    roles = ranked.select("survey_id", "persona_uuid", "cell_id", role.alias("role"), F.when(main, F.col("_at") - 1).cast("int").alias("cell_rank"), F.col("_tested").isNull().alias("untested"))
+    # a cell's main members number its passers, up to n
+    achieved = df.filter("_passed").groupBy("survey_id", "cell_id").agg(F.least(F.count("*"), F.coalesce(F.max("_n"), F.lit(0))).alias("achieved"))
+    weights = cell_weights(cells, achieved).select("survey_id", "cell_id", F.col("weight").alias("_weight"))
+    none = F.array().cast("array<string>")
+    is_main = F.col("role") == "main"
+    concepts = F.when(is_main, F.array(*map(F.lit, stimuli)) if stimuli else none).otherwise(none)
+    return roles.join(weights, ["survey_id", "cell_id"], "left").withColumns({"assigned_stimuli": concepts, "weight": F.when(is_main, F.col("_weight")).otherwise(1.0)}).drop("_weight")
+
+
+def refuse_short(final: DataFrame, cells: DataFrame) -> DataFrame:
+    """final, but an error that names the short cells if there are any: such a panel must not be written."""
+    short = shortfalls(final, cells).filter("short > 0").orderBy("survey_id", "cell_id").limit(20).collect()
+    if short:
+        raise ValueError("cells are short: " + ", ".join(f"{r['survey_id']}/{r['cell_id']} by {r['short']}" for r in short))
+    return final
+
+
+def judge_totals(rows: DataFrame, batch: Sequence[str]) -> DataFrame:
+    """Calls, tokens, latency and output-budget counts of a survey's judging, once per batch.
+
+    rows: verdict rows, each with its batch's figures (failed, input_tokens,
+    output_tokens, latency_ms, escalated, exhausted); summing rows would count a
+    call as often as it has candidates.
+    """
+    figures = ("failed", "input_tokens", "output_tokens", "latency_ms", "escalated", "exhausted")
+    calls = rows.groupBy(*batch).agg(*(F.max(c).alias(c) for c in figures))
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c)
+    return calls.groupBy("survey_id").agg(
+        F.count("*").alias("batches_total"), F.count_if(~F.col("failed")).alias("batches_ok"), F.count_if("failed").alias("batches_failed"),
+        total("input_tokens"), total("output_tokens"), total("latency_ms"), F.count_if("escalated").alias("budget_escalated"), F.count_if("exhausted").alias("budget_exhausted"),
+    )
 
 
 def shortfalls(final: DataFrame, cells: DataFrame) -> DataFrame:
-    """survey_id, cell_id, needed, achieved, short of every cell, those without a candidate included."""
+    """cells: survey_id, cell_id, n.  Gives survey_id, cell_id, needed, achieved, short of every cell, those without a candidate included."""
     got = final.groupBy("survey_id", "cell_id").agg(F.count_if(F.col("role") == "main").alias("achieved"))
-    df = cells.join(got, ["survey_id", "cell_id"], "full").select("survey_id", "cell_id", F.coalesce("needed", F.lit(0)).alias("needed"), F.coalesce("achieved", F.lit(0)).alias("achieved"))
+    df = cells.join(got, ["survey_id", "cell_id"], "full").select("survey_id", "cell_id", F.coalesce("n", F.lit(0)).alias("needed"), F.coalesce("achieved", F.lit(0)).alias("achieved"))
     return df.withColumn("short", F.greatest(F.col("needed") - F.col("achieved"), F.lit(0)))
 
 

@@ -123,13 +123,20 @@ put("screen_batches", "select survey_id, persona_uuid, cell_id, cell_rank, batch
 put("screen_verdicts", f"""
 select survey_id, persona_uuid, cell_id, batch, position, case when batch % 5 <> 4 and {NUM} % 3 = 0 then '1' else '' end as codes,
        concat('inferred', case when batch % 5 = 4 then ',judge_error' when batch % 7 = 3 then ',out_of_range' else '' end) as flags from batches""", "persons", also=BATCHES)
-put("screen_finalize", """
-select f.survey_id, f.persona_uuid, f.cell_id, role, cast(case role when 'main' then rn - 1 when 'reserve' then rn - 1 - n end as int) as cell_rank, untested, s.short
+put("screen_finalize", f"""
+select f.survey_id, f.persona_uuid, f.cell_id, role, cast(case role when 'main' then rn - 1 end as int) as cell_rank, untested, s.short,
+       case role when 'main' then '{",".join(C.STIMULI)}' else '' end as assigned_stimuli,
+       case role when 'main' then round((f.n / {_total}) / (count(*) filter (role = 'main') over (partition by f.cell_id) / count(*) filter (role = 'main') over ()), 6) else 1.0 end as weight
 from (select c.*, d.n, v.passed is null as untested, row_number() over w as rn,
              case when not coalesce(v.passed, false) then 'screened_out' when row_number() over w <= d.n then 'main' else 'reserve' end as role
       from candidates c left join verdicts v on v.persona_uuid = c.persona_uuid join dim d on d.cell_id = c.cell_id
       window w as (partition by c.cell_id, coalesce(v.passed, false) order by c.cell_rank)) f
 join (select d.cell_id, greatest(d.n - count(v.persona_uuid), 0) as short from dim d left join candidates c on c.cell_id = d.cell_id left join verdicts v on v.persona_uuid = c.persona_uuid and v.passed group by d.cell_id, d.n) s on s.cell_id = f.cell_id""", "persons", also=VERDICTS)
+put("judge_totals", """
+select run_id as survey_id, count(*) as batches_total, count(*) filter (not failed) as batches_ok, count(*) filter (failed) as batches_failed,
+       sum(coalesce(input_tokens, 0))::bigint as input_tokens, sum(coalesce(output_tokens, 0))::bigint as output_tokens, sum(latency_ms)::bigint as latency_ms,
+       count(*) filter (escalated) as budget_escalated, count(*) filter (exhausted) as budget_exhausted
+from call_log group by run_id""", "call_log")
 INCIDENCE = {"inc": """
 select survey_id, cell_id, count(*) filter (role = 'main') as main, count(*) filter (role = 'reserve') as reserve, count(*) filter (role = 'screened_out') as screened_out, count(*) filter (role = 'candidate') as candidate,
        round(count(*) filter (role in ('main', 'reserve')) / nullif(count(*) filter (role <> 'candidate'), 0), 6) as incidence
@@ -145,7 +152,7 @@ QUESTION_ROWS = {"q": rows("question_id, measure, slot, ord, type, k, top_box",
 PLAN = QUESTION_ROWS | {"units": "select survey_id, persona_uuid, question_id, concat('c', slot) as stimulus_id, slot as sequence, cast((slot - 1) * 3 + ord as int) as ask_pos from panel cross join q where role = 'main'"}
 put("slot_expand", """
 select b.survey_id, concat(b.question_id, '_s', s) as question_id, b.type, b.ord, s as slot, b.question_id as measure
-from (select *, unnest(range(1, cast(max(ord) over (partition by survey_id) + 2 as int))) as s from clean_questions where ord < 4) b""", "clean_questions")
+from (select *, unnest(range(1, cast(max(ord) over (partition by survey_id) + 2 as int))) as s from clean_questions) b""", "clean_questions")
 put("work_plan", "select * from units", "panel", also=PLAN)
 put("work_volume", f"""
 select u.*, j.judge_calls, cast(answers * {C.RATES['input_tokens']} as bigint) as input_tokens, cast(answers * {C.RATES['output_tokens']} as bigint) as output_tokens,
@@ -204,8 +211,11 @@ select survey_id, persona_uuid, stimulus_id, question_id, sequence as group_pos
 for _name, _measure, _columns in (("parse_single", "q_intent", "array_to_string(codes, ',') as codes"), ("parse_multi", "q_multi", "array_to_string(codes, ',') as codes"), ("parse_numeric", "q_price", "answer_text")):
     put(_name, f"select persona_uuid, question_id, {_columns} from parsed where measure = '{_measure}'", "responses_raw", also=PARSED)
 put("parse_reasoning", f"""
-select persona_uuid, question_id, case attempt when 1 then '2' when 2 then '' else '3' end as codes, case when attempt = 1 then concat('わかりません "', persona_uuid, '"') end as answer_reasoning,
-       case attempt when 1 then '' when 2 then 'parse_error,refusal,retried' else 'retried' end as flags from responses_raw where question_id like 'q_intent%'""", "responses_raw")
+select persona_uuid, question_id, case attempt % 3 when 1 then '2' when 2 then '' else cast(length(answer_raw) as string) end as codes,
+       case when attempt % 3 = 1 then concat('わかりません "', replace(answer_raw, '"', chr(39)), '"') end as answer_reasoning,
+       array_to_string(list_filter([case when attempt % 3 = 2 then 'parse_error' end, case when attempt % 3 = 0 and length(answer_raw) not between 1 and 5 then 'out_of_range' end,
+         case when attempt % 3 = 2 then 'refusal' end, case when attempt > 1 then 'retried' end], lambda x: x is not null), ',') as flags
+from responses_raw where question_id like 'q_intent%'""", "responses_raw")
 put("refusal", f"select persona_uuid, question_id, regexp_matches(answer_raw, '{REFUSAL}') as refusal from responses_raw", "responses_raw")
 put("row_flags", "select persona_uuid, question_id, array_to_string(flags, ',') as flags from parsed", "responses_raw", also=PARSED)
 RESPONSES = PARSED | {
@@ -322,3 +332,10 @@ frame("labelled_raw", "select persona_uuid, stimulus_id, concat('Concept ', subs
 # history
 put("latest_runs", "select survey_id, run_id from runs where survey_type = 'main' qualify row_number() over (partition by survey_id order by finished_at desc, run_id desc) = 1", "runs")
 put("latest_definition", "select survey_id, cast(json_extract_string(metadata_json, '$.survey.size') as int) as size from runs qualify row_number() over (partition by survey_id order by finished_at desc, run_id desc) = 1", "runs")
+
+# tables
+_ROW = ", ".join(f"case when {c} is null then 'null' else concat(length(cast({c} as string)), ':', cast({c} as string)) end" for c in ("answer_raw", "attempt", "persona_uuid", "question_id", "sequence", "stimulus_id", "survey_id", "ts"))
+put("table_fingerprint", f"select count(*) as n_rows, cast(sum(cast(concat('0x', substring(sha256(concat({_ROW})), 1, 15)) as bigint)) as string) as content from responses_raw", "responses_raw")
+put("latency_profile", """
+select run_id, count(*) as n, round(avg(attempt), 6) as avg_attempt, quantile_disc(latency_ms, 0.5) as p50, quantile_disc(latency_ms, 0.95) as p95, max(latency_ms) as max_ms
+from call_log group by run_id""", "call_log")

@@ -191,10 +191,18 @@ def screen_verdicts(spark, sf):
 
 @query
 def screen_finalize(spark, sf):
-    cells = C.cells(spark).select("survey_id", "cell_id", F.col("n").alias("needed"))
-    final = E.finalise(_candidates(spark, sf), _verdicts(spark, sf), cells)
+    cells = C.cells(spark)
+    final = E.finalise(_candidates(spark, sf), _verdicts(spark, sf), cells, C.STIMULI)
     short = E.shortfalls(final, cells).select("survey_id", "cell_id", F.col("short").cast("long"))
-    return final.join(F.broadcast(short), ["survey_id", "cell_id"])
+    return rounded(final.join(F.broadcast(short), ["survey_id", "cell_id"]), "weight").withColumn("assigned_stimuli", text_of("assigned_stimuli"))
+
+
+@query
+def judge_totals(spark, sf):
+    calls = view(spark, sf, "call_log").select(F.col("run_id").alias("survey_id"), F.col("call_id").alias("batch"), "failed", "input_tokens", "output_tokens", "latency_ms", "escalated", "exhausted")
+    # the verdict rows of a batch all carry its call's figures
+    rows = calls.withColumn("position", F.explode(F.sequence(F.lit(1), (1 + F.col("batch") % 10).cast("int"))))
+    return E.judge_totals(rows, ["survey_id", "batch"])
 
 
 @query
@@ -231,7 +239,7 @@ def _plan(spark, sf):
 
 @query
 def slot_expand(spark, sf):
-    q = view(spark, sf, "clean_questions").filter("ord < 4").select("survey_id", "question_id", "type", "ord")
+    q = view(spark, sf, "clean_questions").select("survey_id", "question_id", "type", "ord")
     return W.expand_slots(q, q.groupBy("survey_id").agg((F.max("ord") + 1).alias("concepts")))
 
 
@@ -300,7 +308,9 @@ def parse_numeric(spark, sf):
 
 @query
 def parse_reasoning(spark, sf):
-    raw = F.when(F.col("attempt") == 1, F.concat(F.lit('{"answer": 2, "reasoning": " わかりません \\"'), "persona_uuid", F.lit('\\" "}'))).when(F.col("attempt") == 2, F.concat(F.lit("わかりません 3 "), "persona_uuid")).otherwise('{"answer": 3, "reasoning": ""}')
+    # each raw answer in a reply of its own shape: quoted as the reason, as plain text, or without a reason
+    said = F.replace(F.col("answer_raw"), F.lit('"'), F.lit("'"))
+    raw = F.when(F.col("attempt") % 3 == 1, F.concat(F.lit('{"answer": 2, "reasoning": " わかりません \\"'), said, F.lit('\\" "}'))).when(F.col("attempt") % 3 == 2, F.concat(F.lit("わかりません 3 "), said)).otherwise(F.concat(F.lit('{"answer": '), F.length(said).cast("string"), F.lit(', "reasoning": ""}')))
     q = C.questions(spark).withColumn("with_reason", F.lit(True))
     out = O.parse_answers(view(spark, sf, "responses_raw").withColumn("answer_raw", raw).filter("question_id like 'q_intent%'"), q)
     return out.select("persona_uuid", "question_id", text_of("answer_codes").alias("codes"), "answer_reasoning", text_of("flags").alias("flags"))

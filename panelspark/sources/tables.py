@@ -47,9 +47,15 @@ def table_exists(spark: SparkSession, where: str) -> bool:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """n_rows and an order-independent content hash: two tables agree if these do."""
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns)))
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content"))
+    """n_rows and an order-independent content hash: two tables agree if these do.
+
+    A row's text names its columns by order and gives each value with its
+    length, a null as itself, so that values can't move between columns.
+    """
+    value = lambda c: F.col(f"`{c}`").cast("string")
+    row = F.concat(*(F.coalesce(F.concat(F.length(value(c)).cast("string"), F.lit(":"), value(c)), F.lit("null")) for c in sorted(df.columns)))
+    part = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("content"))
 
 
 def reject_duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

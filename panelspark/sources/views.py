@@ -25,21 +25,22 @@ select concat('u', lpad(cast(c_custkey as string), 8, '0')) as uuid,
               case c_custkey % 5 when 0 then ' 大手' when 1 then ' 中堅' when 2 then ' 中小' when 3 then ' 大手 経営' else '' end,
               case c_custkey % 7 when 0 then ' (現在は引退)' when 1 then ' (現在は離職)' else '' end) as occupation
 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""),
+    # every order is a reply to one of nine units of its customer; the last reply to a unit stands, with the attempts of all
     "responses_raw": ((), """
-select 's1' as survey_id, persona_uuid, concat('c', cast(slot as string)) as stimulus_id,
+select 's1' as survey_id, concat('u', lpad(cast(o_custkey as string), 8, '0')) as persona_uuid, concat('c', cast(slot as string)) as stimulus_id,
        concat(measure, '_s', cast(slot as string)) as question_id, slot as sequence,
        case o_orderkey % 13
          when 0 then concat('{"answer": ', code, '}') when 1 then 'わかりません'
          when 2 then '9' when 3 then concat('{"answers": [3, ', code, ', 3]}')
          when 4 then '３番です' when 5 then '1、3' when 6 then ''
-         else o_orderpriority end as answer_raw,
-       cast(1 + o_orderkey % 3 as int) as attempt, o_orderdate as ts
-from (select o_orderkey, o_orderpriority, o_orderdate, substring(o_orderpriority, 1, 1) as code,
-             concat('u', lpad(cast(o_custkey as string), 8, '0')) as persona_uuid,
-             cast(floor((rn - 1) / 3) + 1 as int) as slot,
-             case (rn - 1) % 3 when 0 then 'q_intent' when 1 then 'q_multi' else 'q_price' end as measure
-      from (select *, row_number() over (partition by o_custkey order by o_orderkey) as rn from orders) a
-      where rn <= 9) b"""),
+         else priority end as answer_raw,
+       attempt, ts
+from (select o_custkey, o_orderkey, priority, substring(priority, 1, 1) as code, attempt, ts,
+             cast(floor(unit / 3) + 1 as int) as slot,
+             case unit % 3 when 0 then 'q_intent' when 1 then 'q_multi' else 'q_price' end as measure
+      from (select o_custkey, o_orderkey % 9 as unit, max(o_orderkey) as o_orderkey, max_by(o_orderpriority, o_orderkey) as priority,
+                   max_by(o_orderdate, o_orderkey) as ts, cast(sum(1 + o_orderkey % 3) as int) as attempt
+            from orders group by o_custkey, o_orderkey % 9) a) b"""),
     "call_log": ((), """
 select concat('run', cast(user_id % 5 as string)) as run_id, event_id as call_id, ts,
        event_type = 'error' as failed, cast(floor(value * 100) as int) as latency_ms,
@@ -86,13 +87,13 @@ select concat('v', cast(v as string)) as survey_id,
        concat('q', cast((k + 11 - p_partkey % 3) % 12 as string)) as ref_a,
        concat('q', cast(case when p_partkey % 43 = 0 then 40 when p_partkey % 7 = 0 then (k + 1) % 12 else (k + 10) % 12 end as string)) as ref_b
 from (select p_partkey, p_size, cast(floor(p_partkey / 12) as int) as v, cast(p_partkey % 12 as int) as k from part) p"""),
-    # clean definitions: list references only point backwards in the asking order
+    # the definitions repaired: ids by place, and list references that only point backwards in the asking order
     "clean_questions": (("typed_questions",), """
 select survey_id, concat('q', cast(ord as string)) as question_id, ord, cast(1 + floor(ord / 4) as int) as slot,
        case when type = 'open' then 'open' else type end as type, measure, n_options, remember,
        case when remember = 'list' and ord >= 3 then concat('q', cast(ord - 3 as string)) end as ref_a,
        case when remember = 'list' and ord >= 6 then concat('q', cast(ord - 6 as string)) end as ref_b
-from typed_questions where ord % 3 <> 2 and survey_id <> 'v0'"""),
+from typed_questions"""),
     "panel": (("persons",), """
 select 's1' as survey_id, uuid as persona_uuid,
        concat(case when sex = '男' then 'M' else 'F' end, case when age < 40 then '_18_39' when age < 60 then '_40_59' else '_60_100' end) as cell_id,

@@ -196,6 +196,29 @@ def test_fingerprint_ignores_order_and_partitions(spark):
     assert T.fingerprint(df).first() == T.fingerprint(df.repartition(7).orderBy(F.desc("id"))).first()
 
 
+def test_fingerprint_tells_nulls_and_columns_apart(spark):
+    schema = "a int, b int, c string"
+    rows = [(None, 5, "x"), (5, None, "x"), (5, 5, None), (5, 5, "null"), (55, None, "x"), (5, 5, "")]
+    assert len({T.fingerprint(spark.createDataFrame([r], schema)).first()["content"] for r in rows}) == len(rows)
+
+
+def test_finalised_panel(spark):
+    """Reserves and screened-out rows have no rank, no concept and weight 1; main members are ranked anew."""
+    people = [("s", f"p{i}", "a" if i < 6 else "b", i) for i in range(9)] + [("s", "p9", "gone", 0)]
+    candidates = spark.createDataFrame(people, "survey_id string, persona_uuid string, cell_id string, cell_rank int")
+    verdicts = spark.createDataFrame([("s", f"p{i}", i not in (0, 3)) for i in range(10) if i != 5], "survey_id string, persona_uuid string, passed boolean")
+    cells = spark.createDataFrame([("s", "a", 2, 4, None), ("s", "b", 2, 4, None)], "survey_id string, cell_id string, n int, size int, proportion double")
+    got = {r["persona_uuid"]: (r["role"], r["cell_rank"], r["assigned_stimuli"], r["weight"], r["untested"]) for r in E.finalise(candidates, verdicts, cells, ["c1", "c2"]).collect()}
+    assert got["p1"] == ("main", 0, ["c1", "c2"], 1.0, False) and got["p2"] == ("main", 1, ["c1", "c2"], 1.0, False)
+    assert got["p4"] == ("reserve", None, [], 1.0, False) == got["p9"] and got["p0"] == ("screened_out", None, [], 1.0, False)
+    assert got["p5"] == ("screened_out", None, [], 1.0, True) and got["p6"][1] == 0 and got["p7"][1] == 1 and got["p8"][0] == "reserve"
+    final = E.finalise(candidates, verdicts, cells)
+    assert E.refuse_short(final, cells) is final
+    more = cells.withColumn("n", F.lit(4))
+    with pytest.raises(ValueError, match="s/a by 1, s/b by 1"):
+        E.refuse_short(E.finalise(candidates, verdicts, more), more)
+
+
 def test_streamed_windows_equal_batch(spark, sf, tmp_path):
     from panelspark.sources.views import view
     from panelspark.streaming.monitor import failure_windows
