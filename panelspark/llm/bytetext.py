@@ -198,6 +198,21 @@ def join_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray, count: np.
     return out, ends - np.concatenate([[0], np.cumsum(some)])
 
 
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which numbers are among the known ones, which rise."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(known, x)
+    at[at == len(known)] = 0
+    return known[at] == x
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct numbers, rising, by a sort (which is much faster than hashing here)."""
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return np.ascontiguousarray(x).view(np.int64)

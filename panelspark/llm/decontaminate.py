@@ -46,8 +46,10 @@ REPETITIONS = 8
 SHORT_WORDS, LONG_WORDS = 12, 20
 MIDDLE = (12, 5, 6, 1)
 #: Alignments proposed at once, and cells of a whole table of edits; larger ones are worked through in bands.
-PROPOSALS, CELLS = 1 << 20, 1 << 20
+PROPOSALS, CELLS = 1 << 18, 1 << 20
 STRIDE = 2
+#: Words of at most so many items count as rare.
+RARE_ITEMS = 3
 SIMILARITY = 0.8
 
 #: One random odd factor per step (steps are at most 16, one random bit each).
@@ -142,6 +144,12 @@ class Lookup:
         self.length = np.array([len(h) for h in self.hashes], np.int64)
         self.flat = np.concatenate(self.hashes)
         self.first = np.concatenate([[0], np.cumsum(self.length)[:-1]])
+        # words of few items, and how many stand in each item: an edit each, but for those that a window holds as many of
+        owner = np.repeat(np.arange(len(self.length)), self.length)
+        word, inverse = np.unique(self.flat, return_inverse=True)
+        in_items = np.bincount(np.unique(np.stack([inverse, owner], axis=1), axis=0)[:, 0], minlength=len(word))
+        self.rare_words = word[in_items <= RARE_ITEMS]
+        self.rare = np.bincount(owner, weights=in_items[inverse] <= RARE_ITEMS, minlength=len(self.length)).astype(np.int64)
         self.tables: list[tuple] = []
 
     def add_table(self, key: np.ndarray, item: np.ndarray, start: np.ndarray) -> None:
@@ -172,7 +180,7 @@ class Lookup:
         pair = B.mix(np.arange(len(item), dtype=np.uint64), 41)
         there = h[_ranges(lo, size)] ^ np.repeat(pair, size)
         wanted = self.flat[_ranges(self.first[item], length)] ^ np.repeat(pair, length)
-        return np.bincount(np.repeat(np.arange(len(item)), length), weights=np.isin(wanted, there), minlength=len(item)).astype(np.int64)
+        return np.bincount(np.repeat(np.arange(len(item)), length), weights=B.among(wanted, np.sort(there)), minlength=len(item)).astype(np.int64)
 
 
 class Walks(Lookup):
@@ -254,16 +262,31 @@ def find_in(t: B.Texts, indexes: list[Lookup], similarity: float) -> list[tuple[
     out = []
     for index in indexes:
         best: dict[tuple[int, int], tuple] = {}
+        rare = np.concatenate([[0], np.cumsum(B.among(w.hash, index.rare_words))])  # before each place
+        held, size = [], 0
         for proposed in index.propose(w):
-            check(w, index, similarity, *proposed, best)
+            held.append(proposed)
+            size += len(proposed[0])
+            if size >= PROPOSALS:
+                check(w, index, similarity, rare, *map(np.concatenate, zip(*held, strict=True)), best)
+                held, size = [], 0
+        if size:
+            check(w, index, similarity, rare, *map(np.concatenate, zip(*held, strict=True)), best)
         out += [(text, item_id, *found) for (text, item), found in best.items() for item_id in index.ids[item]]
     return out
 
 
-def check(w: B.Words, index: Lookup, similarity: float, item: np.ndarray, begin: np.ndarray, source: np.ndarray, best: dict[tuple[int, int], tuple]) -> None:
+def check(w: B.Words, index: Lookup, similarity: float, rare: np.ndarray, item: np.ndarray, begin: np.ndarray, source: np.ndarray, best: dict[tuple[int, int], tuple]) -> None:
     """Enters the proposals that hold into best: by text and item, (start, end, edits, item's words)."""
     text = np.searchsorted(w.offsets, source, "right") - 1
     allowed = ((1 - similarity) * index.length[item] + 1e-9).astype(np.int64)
+
+    def window() -> tuple[np.ndarray, np.ndarray]:
+        return np.maximum(w.offsets[text], begin - allowed), np.minimum(w.offsets[text + 1], begin + index.length[item] + 2 * allowed + 1)
+
+    lo, hi = window()
+    may = np.flatnonzero((hi > lo) & (index.rare[item] - (rare[hi] - rare[lo]) <= allowed))
+    text, item, begin, allowed = text[may], item[may], begin[may], allowed[may]
     order = np.lexsort((begin, item, text))
     text, item, begin, allowed = text[order], item[order], begin[order], allowed[order]
     keep, seen, upto = [], None, 0
@@ -272,11 +295,10 @@ def check(w: B.Words, index: Lookup, similarity: float, item: np.ndarray, begin:
             keep.append(o)
             seen, upto = k, int(begin[o] + allowed[o])
     text, item, begin, allowed = text[keep], item[keep], begin[keep], allowed[keep]
-    lo = np.maximum(w.offsets[text], begin - allowed)
-    hi = np.minimum(w.offsets[text + 1], begin + index.length[item] + 2 * allowed + 1)
+    lo, hi = window()
     shared = index.words_within(item, w.hash, lo, hi)
     # each word of the item that the window lacks is an edit
-    for o in np.flatnonzero((hi > lo) & (index.length[item] - shared <= allowed)).tolist():
+    for o in np.flatnonzero(index.length[item] - shared <= allowed).tolist():
         k, first, h = (int(text[o]), int(item[o])), int(w.offsets[text[o]]), w.hash[lo[o] : hi[o]]
         if k in best and best[k][2] == 0:
             continue

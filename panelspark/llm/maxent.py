@@ -284,8 +284,8 @@ def ask_counts(n_buckets: int):
     """A home's distinct words, one entry each."""
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        held = [np.unique(tokens(t)[0]) for t in B.texts(docs["text"])]
-        code = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]))
+        held = [B.distinct(tokens(t)[0]) for t in B.texts(docs["text"])]
+        code = B.distinct(np.concatenate([np.zeros(0, np.uint64), *held]))
         out = deal(bucket_of(code, n_buckets), "bucket", code=code)
         return out.append_column("home", pa.array([key[0].as_py()] * out.num_rows, pa.int32()))
 
