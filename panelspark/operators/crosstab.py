@@ -50,21 +50,22 @@ def pre_aggregated(answers: DataFrame, axes: Sequence[str]) -> DataFrame:
     return segment_rows(grain, axes)
 
 
-def closed_metrics(answers: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """n, n_unflagged, sum of weights of each group of choice answers; n counts rows with a code inside the options."""
-    rows = pre_aggregated(answers.filter(F.col("type").isin("single", "multi", "scale")), axes)
-    valid = F.size("codes") > 0
-    return rows.groupBy(*GROUP, "type", "n_options").agg(F.sum(F.when(valid, F.col("rows")).otherwise(0)).alias("n"), F.sum(F.when(valid & ~F.col("flagged"), F.col("rows")).otherwise(0)).alias("n_unflagged"), F.sum(F.when(valid, F.col("weight")).otherwise(0.0)).alias("total_weight"))
-
-
 def crosstab(answers: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """A row per group and option: n, n_unflagged, share (weighted; options nobody chose are 0, as is a weight of 0)."""
-    groups = closed_metrics(answers, axes)
+    """A row per group and option: n, n_unflagged, share (weighted; options nobody chose are 0, as is a weight of 0).
+
+    n counts rows with a code inside the options.  Totals and options come from
+    one pass over the grain: code 0 stands for the whole row.
+    """
     rows = pre_aggregated(answers.filter(F.col("type").isin("single", "multi", "scale")), axes)
-    chosen = rows.select(*GROUP, "weight", F.explode("codes").alias("code")).groupBy(*GROUP, "code").agg(F.sum("weight").alias("w"))
-    dense = groups.select("*", F.explode(F.sequence(F.lit(1), F.col("n_options").cast("int"))).alias("code"))
-    share = F.when(F.col("total_weight") > 0, F.coalesce("w", F.lit(0.0)) / F.col("total_weight")).otherwise(0.0)
-    return dense.join(chosen, [*GROUP, "code"], "left").select(*GROUP, "type", "n_options", "code", "n", "n_unflagged", share.alias("share"))
+    valid = F.size("codes") > 0
+    unflagged = F.when(F.col("flagged"), 0).otherwise(F.col("rows"))
+    each = rows.select(*GROUP, "type", "n_options", F.when(valid, F.col("rows")).otherwise(0).alias("rows"), F.when(valid, unflagged).otherwise(0).alias("unflagged"), F.when(valid, F.col("weight")).otherwise(0.0).alias("weight"), F.explode(F.array_append("codes", F.lit(0))).alias("code"))
+    sums = each.groupBy(*GROUP, "type", "n_options", "code").agg(F.sum("rows").alias("n"), F.sum("unflagged").alias("n_unflagged"), F.sum("weight").alias("w"))
+    whole = F.col("code") == 0
+    one = sums.groupBy(*GROUP, "type", "n_options").agg(F.max(F.when(whole, F.col("n"))).alias("n"), F.max(F.when(whole, F.col("n_unflagged"))).alias("n_unflagged"), F.max(F.when(whole, F.col("w"))).alias("total"), F.map_from_entries(F.collect_list(F.struct("code", "w"))).alias("by_code"))  # a group has as many codes as options
+    dense = one.select("*", F.explode(F.sequence(F.lit(1), F.col("n_options").cast("int"))).alias("code"))
+    share = F.when(F.col("total") > 0, F.coalesce(F.try_element_at("by_code", F.col("code")), F.lit(0.0)) / F.col("total")).otherwise(0.0)
+    return dense.select(*GROUP, "type", "n_options", "code", "n", "n_unflagged", share.alias("share"))
 
 
 def top_box(table: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -113,6 +114,27 @@ def measure_table(table: DataFrame, most_options: int) -> DataFrame:
     return wide.select(*GROUP, "n", "n_unflagged", *(F.col(f"`{k}`").alias(f"option_{k}") for k in range(1, most_options + 1)))
 
 
+def metric_table(table: DataFrame, boxes: DataFrame, means: DataFrame, most_options: int, numeric: DataFrame | None = None) -> DataFrame:
+    """measure_table with top_box_share and mean_score (null where a measure has none); numeric measures have their mean only."""
+    wide = measure_table(table, most_options).join(top_box(table, boxes), GROUP, "left").join(means.select(*GROUP, "mean_score"), GROUP, "left")
+    if numeric is None:
+        return wide
+    return wide.unionByName(numeric.select(*GROUP, "n", "n_unflagged", F.col("mean").alias("mean_score")), allowMissingColumns=True)
+
+
+def labelled_options(wide: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """The table of one measure with its options' columns named '1. label', and no others."""
+    names = {f"option_{k}": f"{k}. {label}" for k, label in enumerate(labels, 1)}
+    return wide.select(*(F.col(c).alias(names.get(c, c)) for c in wide.columns if c in names or not c.startswith("option_")))
+
+
+def require_answers(answers: DataFrame) -> DataFrame:
+    """The answer frame, but an error if nobody has answered: there is nothing to aggregate."""
+    if answers.isEmpty():
+        raise ValueError("no main panel member has answered")
+    return answers
+
+
 def display(wide: DataFrame, shares: Sequence[str], means: Sequence[str] = ()) -> DataFrame:
     """Shares as 12.3%, means as 3.21, nulls as -."""
     text = lambda c, form, scale, places: F.when(F.col(c).isNull(), "-").otherwise(F.format_string(form, F.round(F.col(c) * scale, places))).alias(c)
@@ -139,7 +161,9 @@ def composition(panel: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def open_ends(answers: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return answers.filter(F.col("type") == "open").select("survey_id", "stimulus_id", "question_id", "persona_uuid", *columns, "answer_text")
+    """Answers to open questions, in key order within and across partitions."""
+    keys = ["survey_id", "stimulus_id", "question_id", "persona_uuid"]
+    return answers.filter(F.col("type") == "open").select("survey_id", "stimulus_id", "question_id", "persona_uuid", *columns, "answer_text").repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def labelled(answers: DataFrame, stimuli: DataFrame, options: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ the persons are partitioned, and a larger draw extends a smaller one.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.quotas import cell_condition
+from panelspark.operators.quotas import IN_LISTS, cell_condition
 from panelspark.sources.tables import cut
 
 #: Hex digits of the rank key that make a bucket; 16**4 buckets a cell.
@@ -52,14 +54,24 @@ def ranked_candidates(persons: DataFrame, cells: list[dict], seed: int, everyone
     return dense_number(keyed, ["cell_id"], F.substring("rank_key", 1, BUCKET_DIGITS), ["rank_key", "uuid"], "rank", F.col("reach"))
 
 
-def draw(persons: DataFrame, cells: list[dict], seed: int, everyone: dict | None = None, disjoint: bool = False) -> DataFrame:
+def apart(one: dict, two: dict) -> bool:
+    """Whether no person can match both cells, by their definitions."""
+    if one.get("sex") is not None and two.get("sex") is not None and one["sex"] != two["sex"]:
+        return True
+    low = max(c["age_min"] if c.get("age_min") is not None else -1 for c in (one, two))
+    high = min(c["age_max"] if c.get("age_max") is not None else 1 << 30 for c in (one, two))
+    return low > high or any(one.get(c) and two.get(c) and not set(one[c]) & set(two[c]) for c in IN_LISTS)
+
+
+def draw(persons: DataFrame, cells: list[dict], seed: int, everyone: dict | None = None) -> DataFrame:
     """uuid, cell_id, cell_rank (from 0): cells in order, each its first n by rank, persons taken earlier excluded.
 
-    Disjoint cells need one window.  Cells that may overlap are taken in turn
-    from a pruned table whose size is the quota's, not the population's.
+    Cells that no person can share, by their definitions, need one window.
+    Others are taken in turn from a pruned table whose size is the quota's, not
+    the population's; each cell writes its own picks only.
     """
     pool = ranked_candidates(persons, cells, seed, everyone)
-    if disjoint:
+    if all(apart(a, b) for a, b in combinations(cells, 2)):
         return pool.filter("rank <= n").select("uuid", "cell_id", (F.col("rank") - 1).cast("int").alias("cell_rank"))
     pool = cut(pool)
     taken = None
@@ -68,11 +80,19 @@ def draw(persons: DataFrame, cells: list[dict], seed: int, everyone: dict | None
         if taken is not None:
             own = own.join(taken.select("uuid"), "uuid", "left_anti")
         place = F.row_number().over(Window.partitionBy("cell_id").orderBy("rank")) - 1
-        picked = own.withColumn("cell_rank", place.cast("int")).filter(F.col("cell_rank") < int(c["n"])).select("uuid", "cell_id", "cell_rank")
-        taken = cut(picked if taken is None else taken.unionByName(picked))
+        picked = cut(own.withColumn("cell_rank", place.cast("int")).filter(F.col("cell_rank") < int(c["n"])).select("uuid", "cell_id", "cell_rank"))
+        taken = picked if taken is None else taken.unionByName(picked)
     return taken
 
 
+def require_full(report: DataFrame) -> DataFrame:
+    """The report of a draw, but an error that names its short cells if there are any."""
+    short = report.filter("shortfall > 0").orderBy("cell_id").limit(20).collect()
+    if short:
+        raise ValueError("too few candidates: " + ", ".join(f"{r['cell_id']} {r['achieved']} of {r['requested']} (short by {r['shortfall']})" for r in short))
+    return report
+
+
 def draw_report(drawn: DataFrame, counts: DataFrame, cells: list[dict]) -> DataFrame:
     """cell_id, requested, achieved, candidates, shortfall of every cell, in definition order."""
     got = drawn.groupBy("cell_id").agg(F.count("*").alias("achieved"))

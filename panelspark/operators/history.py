@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def latest_runs(runs: DataFrame, survey_type: str) -> DataFrame:
-    """The last run of each survey of a type; equal times go to the larger run_id."""
+    """The last run of each survey of a type, newest first; equal times go to the larger run_id."""
     order = Window.partitionBy("survey_id").orderBy(F.desc("finished_at"), F.desc("run_id"))
-    return runs.filter(F.col("survey_type") == survey_type).withColumn("_at", F.row_number().over(order)).filter("_at = 1").drop("_at")
+    return runs.filter(F.col("survey_type") == survey_type).withColumn("_at", F.row_number().over(order)).filter("_at = 1").drop("_at").orderBy(F.desc("finished_at"), F.desc("run_id"))
 
 
 def latest_definition(runs: DataFrame, path: str = "$.survey") -> DataFrame:

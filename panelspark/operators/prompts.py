@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed values: the text of an empty card, and the headings
 EMPTY_CARD = "（情報なし）"
 HEADINGS = {"profile": "■あなたのプロフィール", "stimulus": "■コンセプト", "question": "■質問"}
 
@@ -42,7 +43,7 @@ def judge_prompts(batches: DataFrame) -> DataFrame:
     """One numbered list of cards per batch (its size is the setting batch_size)."""
     rows = F.array_sort(F.collect_list(F.struct("position", "card")))
     text = F.array_join(F.transform(rows, lambda x: F.concat(x["position"].cast("string"), F.lit(". "), x["card"])), "\n")
-    return batches.groupBy("survey_id", "cell_id", "batch").agg(text.alias("cards"), F.count("*").alias("members"))
+    return batches.groupBy("survey_id", "batch").agg(text.alias("cards"), F.count("*").alias("members"))
 
 
 def question_block(text: Column, kind: Column, options: Column, rules: dict[str, str], reason_rules: dict[str, str], with_reason: Column, max_length: Column, reason_length: Column, heading: str = HEADINGS["question"]) -> Column:
@@ -58,6 +59,22 @@ def question_block(text: Column, kind: Column, options: Column, rules: dict[str,
     return F.concat_ws("\n", F.lit(heading), text, F.when(choice, numbered), F.concat(F.lit("\n"), rule))
 
 
+def with_images(text: Column, uris: Column) -> Column:
+    """A message's content as JSON: the text alone, or its part followed by one part per image (a null or empty uri is none)."""
+    held = F.filter(F.coalesce(uris, F.array().cast("array<string>")), lambda u: u.isNotNull() & (u != ""))
+    string = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    image = lambda u: F.concat(F.lit('{"type":"image_url","image_url":{"url":'), string(u), F.lit("}}"))
+    parts = F.concat(F.lit('[{"type":"text","text":'), string(text), F.lit("},"), F.array_join(F.transform(held, image), ","), F.lit("]"))
+    return F.when(F.size(held) > 0, parts).otherwise(string(text))
+
+
+def prompt_sample(units: DataFrame) -> DataFrame:
+    """Of each survey the units of its first person, in key order."""
+    first = units.groupBy("survey_id").agg(F.min("persona_uuid").alias("persona_uuid"))
+    keys = ["survey_id", "persona_uuid", "ask_pos"]
+    return units.join(first, ["survey_id", "persona_uuid"], "left_semi").repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def message_rows(units: DataFrame, edges: DataFrame, blocks: DataFrame, answers: DataFrame, missing: str | None = None) -> DataFrame:
     """messages: array of (role, content) for each unit: system, replayed turns in asking order, then the question.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.answers import defined_codes, digit_runs, integers_of
 from panelspark.operators.draw import dense_number
 from panelspark.operators.quotas import cell_weights
+from panelspark.sources.tables import cut
 
 RANK_BUCKET = 100_000
 
@@ -36,8 +37,9 @@ def still_to_judge(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def judge_batches(candidates: DataFrame, size: int) -> DataFrame:
-    """batch and position (from 1) of each candidate, in draw order within its cell; stable when run again."""
-    df = dense_number(candidates, ["survey_id", "cell_id"], F.floor(F.col("cell_rank") / RANK_BUCKET), ["cell_rank", "persona_uuid"], "_at")
+    """batch and position (from 1) of each candidate: a survey's whole list in cell and draw order, cut every ``size``; stable when run again."""
+    place = F.struct("cell_id", F.floor(F.col("cell_rank") / RANK_BUCKET))
+    df = dense_number(candidates, ["survey_id"], place, ["cell_rank", "persona_uuid"], "_at")
     at = F.col("_at") - 1
     return df.withColumn("batch", F.floor(at / size).cast("int")).withColumn("position", (at % size + 1).cast("int")).drop("_at")
 
@@ -45,11 +47,11 @@ def judge_batches(candidates: DataFrame, size: int) -> DataFrame:
 def spread_replies(batches: DataFrame, replies: DataFrame) -> DataFrame:
     """One verdict per candidate from one reply per batch.
 
-    replies: survey_id, cell_id, batch, reply, failed.  Named positions pass
+    replies: survey_id, batch, reply, failed.  Named positions pass
     with [1]; a position that the batch lacks flags the whole batch; a failed
     batch has no verdict and judge_error; every row is inferred.
     """
-    key = ["survey_id", "cell_id", "batch"]
+    key = ["survey_id", "batch"]
     sizes = batches.groupBy(*key).agg(F.max("position").alias("members"))
     named = integers_of(digit_runs(F.col("reply")))
     judged = replies.join(sizes, key).select(*key, "failed", named.alias("_named"), F.exists(named, lambda x: (x < 1) | (x > F.col("members"))).alias("_outside"))
@@ -152,6 +154,44 @@ def next_round(n_short: int, n_unreachable: int, n_untested: int, grew: bool, fa
     return "extend", factor * 2
 
 
+def screen(draw: Callable[[int], DataFrame], judge: Callable[[DataFrame], DataFrame], stored: DataFrame, cells: DataFrame, config_hash: str, factor: int, stimuli: Sequence[str] = (), most: int = 3) -> tuple[DataFrame, list[dict]]:
+    """Rounds of screening until every cell is full: the final panel rows, and a log of the rounds.
+
+    draw(factor) gives the candidates (survey_id, persona_uuid, cell_id,
+    cell_rank) at an oversampling factor; a larger draw extends a smaller one.
+    judge(todo) gives verdict rows of those candidates; verdicts of these
+    settings, those in ``stored`` included, are never asked for again.  Ends
+    with an error that names the short cells if none of the rounds allowed can
+    fill them.  What comes to the driver is a few totals a round.
+    """
+    verdicts, log, people = stored, [], -1
+    for attempt in range(most + 1):
+        candidates = cut(draw(factor))
+        todo = still_to_judge(candidates, valid_verdicts(verdicts, config_hash))
+        verdicts = cut(verdicts.unionByName(judge(todo)))
+        valid = valid_verdicts(verdicts, config_hash)
+        final = cut(finalise(candidates, valid, cells, stimuli))
+        report = composition(final, cells)
+        totals = report.agg(F.count_if(F.col("achieved") < F.col("needed")).alias("short")).first()
+        seen = final.agg(F.count("*").alias("n"), F.count_if("untested").alias("untested")).first()
+        out = unreachable(report, factor, most - attempt).count() if totals["short"] else 0
+        what, next_factor = next_round(totals["short"], out, seen["untested"], seen["n"] > people, factor, attempt, most)
+        log.append({"attempt": attempt + 1, "factor": factor, "candidates": seen["n"], "short": totals["short"], "untested": seen["untested"], "decision": what})
+        if what == "complete":
+            return final, log
+        if what in ("unreachable", "exhausted") or attempt == most:
+            refuse_short(final, cells)
+        factor, people = next_factor, seen["n"]
+    raise AssertionError("the last round either fills the cells or refuses")
+
+
+def composition(final: DataFrame, cells: DataFrame) -> DataFrame:
+    """survey_id, cell_id, needed, achieved, reserve, screened_out of every cell of the definition."""
+    got = final.groupBy("survey_id", "cell_id").agg(*(F.count_if(F.col("role") == r).alias(n) for r, n in (("main", "achieved"), ("reserve", "reserve"), ("screened_out", "screened_out"))))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return cells.select("survey_id", "cell_id", F.col("n").alias("needed")).join(got, ["survey_id", "cell_id"], "left").select("survey_id", "cell_id", "needed", zero("achieved"), zero("reserve"), zero("screened_out"))
+
+
 def with_premise(people: DataFrame, verdicts: DataFrame, premise: str) -> DataFrame:
     """The premise text for persons who passed; null for everyone else."""
     passed = verdicts.filter("passed").select("survey_id", "persona_uuid").distinct().withColumn("premise", F.lit(premise))

@@ -89,17 +89,32 @@ def submission_order(units: DataFrame, single_units: bool) -> DataFrame:
     return units.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def work_volume(plan: DataFrame, candidates: DataFrame, batch_size: int, rates: dict[str, float]) -> DataFrame:
-    """Answers, sessions, people, concepts, judge calls, and what they take at the given rates, per survey.
+def work_volume(plan: DataFrame, candidates: DataFrame, batch_size: int, rates: dict[str, float], measures: DataFrame | None = None) -> DataFrame:
+    """Answers, sessions, people, concepts, judge calls, what they take at the given rates, and a budget, per survey.
 
-    plan: units with group_pos.  candidates: survey_id, cell_id, persona_uuid.
+    plan: units with group_pos.  candidates: survey_id, persona_uuid.  measures:
+    survey_id, question_id, measure, for the number of measures asked.
+    n_per_concept_min and _max are the people of the least and the most asked concept.
     """
     work = plan.groupBy("survey_id").agg(F.count("*").alias("answers"), F.count_distinct("persona_uuid").alias("people"), F.count_distinct("persona_uuid", "group_pos").alias("sessions"), F.count_distinct("stimulus_id").alias("concepts"))
-    calls = candidates.groupBy("survey_id", "cell_id").agg(F.ceil(F.count("*") / batch_size).alias("c")).groupBy("survey_id").agg(F.sum("c").alias("judge_calls"))
+    per = plan.groupBy("survey_id", "stimulus_id").agg(F.count_distinct("persona_uuid").alias("n")).groupBy("survey_id").agg(F.min("n").alias("n_per_concept_min"), F.max("n").alias("n_per_concept_max"))
+    work = work.join(per, "survey_id")
+    if measures is not None:
+        asked = plan.select("survey_id", "question_id").distinct().join(measures, ["survey_id", "question_id"]).groupBy("survey_id").agg(F.count_distinct("measure").alias("measures"))
+        work = work.join(asked, "survey_id", "left")
+    calls = candidates.groupBy("survey_id").agg(F.ceil(F.count("*") / batch_size).alias("judge_calls"))
     df = work.join(calls, "survey_id", "left").withColumn("judge_calls", F.coalesce("judge_calls", F.lit(0)))
-    tokens = lambda kind: (F.col("answers") * rates[f"{kind}_tokens"]).cast("long").alias(f"{kind}_tokens")
+    tokens = lambda kind: (F.col("answers") * rates[f"{kind}_tokens"] + F.col("judge_calls") * rates[f"judge_{kind}_tokens"]).cast("long").alias(f"{kind}_tokens")
     minutes = F.col("answers") / rates["answers_per_minute"] + F.col("judge_calls") / rates["judge_calls_per_minute"]
-    return df.select("*", tokens("input"), tokens("output"), F.round(minutes, 6).alias("minutes"))
+    usd = (F.col("input_tokens") * rates["input_usd_per_million"] + F.col("output_tokens") * rates["output_usd_per_million"]) / 1_000_000
+    return df.select("*", tokens("input"), tokens("output"), F.round(minutes, 6).alias("minutes")).withColumn("budget_jpy", F.round(usd * rates["jpy_per_usd"] * rates["budget_margin"], 4))
+
+
+def skipped_calls(candidates: DataFrame, todo: DataFrame, batch_size: int) -> DataFrame:
+    """survey_id, skipped: candidates that needn't be judged again, in batches, the unit of all calls."""
+    left = todo.groupBy("survey_id").agg(F.count("*").alias("_todo"))
+    df = candidates.groupBy("survey_id").agg(F.count("*").alias("_all")).join(left, "survey_id", "left")
+    return df.select("survey_id", F.ceil((F.col("_all") - F.coalesce("_todo", F.lit(0))) / batch_size).alias("skipped"))
 
 
 def question_audit(questions: DataFrame, concepts: int) -> DataFrame:

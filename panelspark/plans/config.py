@@ -32,7 +32,12 @@ QUESTIONS = [(f"{b}_s{s}", b, s, i, kind, k, top, why) for s in (1, 2, 3) for i,
 ATTRIBUTES = [("age", "歳"), ("sex", ""), ("marital_status", ""), ("education_level", "卒")]
 FIELDS = [("prefecture", "居住地"), ("occupation", "職業")]
 PREMISE = "【条件】\n- 直近1か月に購入した"
-RATES = {"input_tokens": 1600, "output_tokens": 15, "answers_per_minute": 1190.6, "judge_calls_per_minute": 640.0}
+# fixed values: measured tokens and speeds, prices, exchange rate and margin of a budget
+RATES = {
+    "input_tokens": 1600, "output_tokens": 15, "answers_per_minute": 1190.6,
+    "judge_input_tokens": 4500, "judge_output_tokens": 60, "judge_calls_per_minute": 640.0,
+    "input_usd_per_million": 1.0, "output_usd_per_million": 6.0, "jpy_per_usd": 150, "budget_margin": 1.1,
+}
 RULES = {"single": "番号1つで答えてください。", "scale": "番号1つで答えてください。", "multi": "あてはまる番号をすべて答えてください。", "numeric": "数字で答えてください。", "open": "{max_length}字以内で答えてください。"}
 REASON_RULES = {"single": "番号1つと理由（{max_length}字以内）を答えてください。", "scale": "番号1つと理由（{max_length}字以内）を答えてください。", "multi": "番号すべてと理由（{max_length}字以内）を答えてください。"}
 

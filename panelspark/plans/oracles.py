@@ -118,7 +118,7 @@ union all select uuid, null, null, true from w where uuid not in (select uuid fr
 # screening
 VERDICTS = CANDIDATES | {"verdicts": f"select survey_id, persona_uuid, {NUM} % 3 = 0 as passed from candidates where {NUM} % 7 <> 0 and {NUM} % 19 <> 0 and ({NUM} % 5 = 0 or {NUM} % 17 <> 0)"}
 put("screen_todo", "select * from candidates where persona_uuid not in (select persona_uuid from verdicts)", "persons", also=VERDICTS)
-BATCHES = CANDIDATES | {"batches": "select *, cast(i // 10 as int) as batch, cast(i % 10 + 1 as int) as position from (select *, row_number() over (partition by cell_id order by cell_rank) - 1 as i from candidates) x"}
+BATCHES = CANDIDATES | {"batches": "select *, cast(i // 10 as int) as batch, cast(i % 10 + 1 as int) as position from (select *, row_number() over (order by cell_id, cell_rank) - 1 as i from candidates) x"}
 put("screen_batches", "select survey_id, persona_uuid, cell_id, cell_rank, batch, position from batches", "persons", also=BATCHES)
 put("screen_verdicts", f"""
 select survey_id, persona_uuid, cell_id, batch, position, case when batch % 5 <> 4 and {NUM} % 3 = 0 then '1' else '' end as codes,
@@ -154,11 +154,15 @@ put("slot_expand", """
 select b.survey_id, concat(b.question_id, '_s', s) as question_id, b.type, b.ord, s as slot, b.question_id as measure
 from (select *, unnest(range(1, cast(max(ord) over (partition by survey_id) + 2 as int))) as s from clean_questions) b""", "clean_questions")
 put("work_plan", "select * from units", "panel", also=PLAN)
+_R = C.RATES
 put("work_volume", f"""
-select u.*, j.judge_calls, cast(answers * {C.RATES['input_tokens']} as bigint) as input_tokens, cast(answers * {C.RATES['output_tokens']} as bigint) as output_tokens,
-       round(answers / {C.RATES['answers_per_minute']}::double + judge_calls / {C.RATES['judge_calls_per_minute']}::double, 6) as minutes
-from (select survey_id, count(*) as answers, count(distinct persona_uuid) as people, count(distinct (persona_uuid, sequence)) as sessions, count(distinct stimulus_id) as concepts from units group by survey_id) u
-join (select sum(c) as judge_calls from (select ceil(count(*) / 10) as c from candidates group by cell_id) x) j on true""", "panel", also=PLAN | CANDIDATES)
+select *, round((input_tokens * {_R['input_usd_per_million']} + output_tokens * {_R['output_usd_per_million']}) / 1000000.0 * {_R['jpy_per_usd']} * {_R['budget_margin']}, 4) as budget_jpy from (
+select u.*, j.judge_calls, cast(answers * {_R['input_tokens']} + judge_calls * {_R['judge_input_tokens']} as bigint) as input_tokens, cast(answers * {_R['output_tokens']} + judge_calls * {_R['judge_output_tokens']} as bigint) as output_tokens,
+       round(answers / {_R['answers_per_minute']}::double + judge_calls / {_R['judge_calls_per_minute']}::double, 6) as minutes
+from (select survey_id, count(*) as answers, count(distinct persona_uuid) as people, count(distinct (persona_uuid, sequence)) as sessions, count(distinct stimulus_id) as concepts,
+             count(distinct measure) as measures, min(per) as n_per_concept_min, max(per) as n_per_concept_max
+      from (select v.*, q.measure, p.per from units v join q on q.question_id = v.question_id join (select survey_id, stimulus_id, count(distinct persona_uuid) as per from units group by all) p on p.survey_id = v.survey_id and p.stimulus_id = v.stimulus_id) y group by survey_id) u
+join (select ceil(count(*) / 10) as judge_calls from candidates) j on true) z""", "panel", also=PLAN | CANDIDATES)
 put("question_audit", """
 select survey_id, question_id, 'duplicate_id' as issue from a group by all having count(*) > 1
 union all select distinct survey_id, question_id, 'too_few_options' from a where type in ('single', 'multi', 'scale') and n_options < 2
@@ -313,14 +317,22 @@ put("code_remap", "select persona_uuid, question_id, array_to_string(list_transf
 frame("answer_frame", "select survey_id, persona_uuid, question_id, measure, stimulus_id, cell_id, weight, sex, age, area, education_level, marital_status, array_to_string(codes, ',') as codes, flagged from frame")
 frame("segment_rows", "select persona_uuid, question_id, axis, segment from seg")
 frame("crosstab_long", "select * replace (round(share, 6) as share) from xt")
-frame("top_box", "select survey_id, measure, stimulus_id, axis, segment, case when max(measure) = 'q_intent' then round(sum(share) filter (code in (1, 2)), 6) end as top_box_share from xt group by survey_id, measure, stimulus_id, axis, segment")
-frame("mean_score", "select survey_id, measure, stimulus_id, axis, segment, count(*) as n, round(sum(weight * (k + 1 - c)) / sum(weight), 6) as mean_score from (select *, list_filter(codes, lambda c: c >= 1 and c <= k)[1] as c from seg where measure = 'q_intent') x where c is not null group by all")
-frame("numeric_metric", "select survey_id, measure, stimulus_id, axis, segment, count(*) as n, count(*) filter (not flagged) as n_unflagged, round(sum(weight * v) / sum(weight), 6) as mean from (select *, try_cast(replace(answer_text, ',', '') as double) as v from seg where type = 'numeric') x where v is not null group by all")
+_top = "select survey_id, measure, stimulus_id, axis, segment, case when max(measure) = 'q_intent' then round(sum(share) filter (code in (1, 2)), 6) end as top_box_share from xt group by survey_id, measure, stimulus_id, axis, segment"
+frame("top_box", _top)
+_mean = "select survey_id, measure, stimulus_id, axis, segment, count(*) as n, round(sum(weight * (k + 1 - c)) / sum(weight), 6) as mean_score from (select *, list_filter(codes, lambda c: c >= 1 and c <= k)[1] as c from seg where measure = 'q_intent') x where c is not null group by all"
+frame("mean_score", _mean)
+_numeric = "select survey_id, measure, stimulus_id, axis, segment, count(*) as n, count(*) filter (not flagged) as n_unflagged, round(sum(weight * v) / sum(weight), 6) as mean from (select *, try_cast(replace(answer_text, ',', '') as double) as v from seg where type = 'numeric') x where v is not null group by all"
+frame("numeric_metric", _numeric)
 frame("quality_split", "select survey_id, count(*) as n, count(*) filter (flagged) as n_flagged, round(count(*) filter (flagged) / count(*), 6) as share, count(*) filter (flagged) / count(*) > 0.05 as note from frame group by survey_id")
 frame("concept_complete", "select 's1' as survey_id, g.measure, g.stimulus_id, g.code, coalesce(x.n, 0) as n, round(x.share, 6) as share from (select m.measure, s.stimulus_id, unnest(range(1, 6)) as code from (values ('q_intent'), ('q_multi')) m(measure), (values ('c1'), ('c2'), ('c3'), ('c9')) s(stimulus_id)) g left join xt x on x.axis = 'total' and x.measure = g.measure and x.stimulus_id = g.stimulus_id and x.code = g.code")
 _wide = "select survey_id, measure, stimulus_id, axis, segment, n, n_unflagged, " + ", ".join(f"round(max(share) filter (code = {k}), 6) as option_{k}" for k in range(1, 7)) + " from xt group by all"
-frame("crosstab_measure", f"select * from ({_wide}) x where measure = 'q_intent'")
-frame("crosstab_stacked", "select survey_id, measure, stimulus_id, axis, segment, n, n_unflagged, " + ", ".join(f"coalesce(format('{{:.1f}}%', round(option_{k} * 100, 1)), '-') as option_{k}" for k in range(1, 7)) + f" from ({_wide}) x")
+_GROUP = "survey_id, measure, stimulus_id, axis, segment"
+_metrics = f"""
+select x.*, t.top_box_share, m.mean_score from ({_wide}) x left join ({_top}) t using ({_GROUP}) left join (select {_GROUP}, mean_score from ({_mean}) y) m using ({_GROUP})
+union all select {_GROUP}, n, n_unflagged, {", ".join(["null"] * 7)}, mean from ({_numeric}) z"""
+frame("crosstab_measure", "select survey_id, measure, stimulus_id, axis, segment, n, n_unflagged, " + ", ".join(f'option_{k} as "{k}. opt{k}"' for k in range(1, 6)) + f", top_box_share, mean_score from ({_metrics}) x where measure = 'q_intent'")
+_percent = [*(f"option_{k}" for k in range(1, 7)), "top_box_share"]
+frame("crosstab_stacked", f"select {_GROUP}, n, n_unflagged, " + ", ".join(f"coalesce(format('{{:.1f}}%', round({c} * 100, 1)), '-') as {c}" for c in _percent) + f", coalesce(format('{{:.2f}}', round(mean_score, 2)), '-') as mean_score from ({_metrics}) x")
 frame("off_target", "select distinct survey_id, 'cell_id' as kind, cell_id as value from frame where cell_id not in (select cell_id from panel_cells) union all select distinct survey_id, 'sex', sex from frame where sex <> '' and sex not in (select sex from panel_cells)", "panel_cells")
 put("panel_composition", """
 select c.survey_id, c.cell_id, c.ord, c.n as target, count(*) filter (role = 'main') as main, count(*) filter (role = 'reserve') as reserve, count(*) filter (role = 'screened_out') as screened_out, count(*) filter (role = 'candidate') as candidate,

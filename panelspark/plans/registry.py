@@ -119,7 +119,7 @@ def target_summary(spark, sf):
 
 
 def _drawn(spark, sf, times: int = 1):
-    return D.draw(view(spark, sf, "persons"), [c | {"n": c["n"] * times} for c in C.CELLS], C.SEED, disjoint=True)
+    return D.draw(view(spark, sf, "persons"), [c | {"n": c["n"] * times} for c in C.CELLS], C.SEED)
 
 
 def _candidates(spark, sf):
@@ -140,7 +140,7 @@ def panel_draw_overlap(spark, sf):
 def panel_shortfall(spark, sf):
     cells = [c | {"n": c["n"] * 6} for c in C.CELLS]
     persons = view(spark, sf, "persons")
-    return D.draw_report(D.draw(persons, cells, C.SEED, disjoint=True), Q.match_counts(persons, cells), cells)
+    return D.draw_report(D.draw(persons, cells, C.SEED), Q.match_counts(persons, cells), cells)
 
 
 @query
@@ -184,7 +184,7 @@ def screen_batches(spark, sf):
 def screen_verdicts(spark, sf):
     batches = E.judge_batches(_candidates(spark, sf), 10)
     named = F.array_join(F.array_sort(F.collect_list(F.when(number() % 3 == 0, F.col("position")))), "、")
-    replies = batches.groupBy("survey_id", "cell_id", "batch").agg(F.concat(F.lit("["), named, F.when(F.col("batch") % 7 == 3, "、99").otherwise(""), F.lit("]")).alias("reply"), (F.col("batch") % 5 == 4).alias("failed"))
+    replies = batches.groupBy("survey_id", "batch").agg(F.concat(F.lit("["), named, F.when(F.col("batch") % 7 == 3, "、99").otherwise(""), F.lit("]")).alias("reply"), (F.col("batch") % 5 == 4).alias("failed"))
     out = E.spread_replies(batches, replies)
     return out.select("survey_id", "persona_uuid", "cell_id", "batch", "position", text_of("answer_codes").alias("codes"), text_of("flags").alias("flags"))
 
@@ -250,7 +250,7 @@ def work_plan(spark, sf):
 
 @query
 def work_volume(spark, sf):
-    return W.work_volume(_plan(spark, sf), _candidates(spark, sf), 10, C.RATES)
+    return W.work_volume(_plan(spark, sf), _candidates(spark, sf), 10, C.RATES, C.questions(spark).select("survey_id", "question_id", "measure"))
 
 
 @query
@@ -483,18 +483,22 @@ def concept_complete(spark, sf):
     return rounded(X.complete_concepts(X.crosstab(_frame(spark, sf), ["total"]), stimuli, measures), "share")
 
 
-def _wide(spark, sf):
-    return X.measure_table(X.crosstab(_frame(spark, sf), C.AXES), 6)
+def _metrics(spark, sf, frame):
+    boxes = C.questions(spark).filter("slot = 1").select("survey_id", "measure", "top_box")
+    ordinal = C.questions(spark).filter("type = 'scale' or size(top_box) > 0").select("survey_id", "measure").distinct()
+    table = X.metric_table(X.crosstab(frame, C.AXES), boxes, X.mean_scores(frame, C.AXES, ordinal), 6, X.numeric_metrics(frame, C.AXES))
+    return rounded(table, *(f"option_{k}" for k in range(1, 7)), "top_box_share", "mean_score")
 
 
 @query
 def crosstab_measure(spark, sf):
-    return rounded(_wide(spark, sf).filter("measure = 'q_intent'"), *(f"option_{k}" for k in range(1, 7)))
+    one = _metrics(spark, sf, _frame(spark, sf)).filter("measure = 'q_intent'")
+    return X.labelled_options(one, [f"opt{k}" for k in range(1, 6)])
 
 
 @query
 def crosstab_stacked(spark, sf):
-    return X.display(rounded(_wide(spark, sf), *(f"option_{k}" for k in range(1, 7))), [f"option_{k}" for k in range(1, 7)])
+    return X.display(_metrics(spark, sf, _frame(spark, sf)), [*(f"option_{k}" for k in range(1, 7)), "top_box_share"], ["mean_score"])
 
 
 @query

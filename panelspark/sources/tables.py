@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,13 +18,27 @@ def is_path(where: str) -> bool:
 
 
 def read_table(spark: SparkSession, where: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A catalog table, or a Parquet path."""
+    """A catalog table, or a Parquet path (with the columns of all its files, unless a schema is given)."""
     if not is_path(where):
         return spark.read.table(where)
-    reader = spark.read if schema is None else spark.read.schema(schema)
+    reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
     return reader.parquet(where)
 
 
+def location(spark: SparkSession, where: str) -> str:
+    """The folder of a table given by path or by catalog name."""
+    if is_path(where):
+        return where
+    return spark.sql(f"describe formatted {where}").filter("col_name = 'Location'").first()["data_type"]
+
+
+def refresh(spark: SparkSession, where: str) -> None:
+    """Tells the catalog which partitions a table has now."""
+    if not is_path(where):
+        spark.sql(f"msck repair table {where} sync partitions")
+        spark.catalog.refreshTable(where)
+
+
 def read_persons(spark: SparkSession, paths: Sequence[str], version: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Shards of a person table, with the version they came in as a column."""
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -81,12 +95,19 @@ def merge_upsert(spark: SparkSession, source: DataFrame, where: str, keys: Seque
         write_table(source, where)
         return
     touched = source.select(PARTITION).distinct()
-    target = read_table(spark, where).join(touched, PARTITION, "left_semi")
-    replace_partitions(cut(merged(target, source, keys, evolve_schema)), where)
+    table = read_table(spark, where)
+    new = cut(merged(table.join(touched, PARTITION, "left_semi"), source, keys, evolve_schema))
+    added = [f for f in new.schema.fields if f.name not in table.columns]
+    if added and not is_path(where):
+        spark.sql(f"alter table {where} add columns ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in added)})")
+    replace_partitions(new, where)
 
 
 def replace_partitions(df: DataFrame, where: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(where)
+    """Overwrites the partitions that df has rows of."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(location(spark, where))
+    refresh(spark, where)
 
 
 def replace_survey(spark: SparkSession, df: DataFrame, where: str, survey_ids: Sequence[str]) -> None:
@@ -101,8 +122,9 @@ def replace_survey(spark: SparkSession, df: DataFrame, where: str, survey_ids: S
 def delete_survey(spark: SparkSession, where: str, survey_id: str) -> None:
     """Drops the partition of one survey."""
     escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(survey_id)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/{PARTITION}={escaped}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{location(spark, where)}/{PARTITION}={escaped}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    refresh(spark, where)
 
 
 def read_census(spark: SparkSession, path: str) -> DataFrame | None:
@@ -135,14 +157,29 @@ def write_outputs(folder: str, by_measure: DataFrame, stacked: DataFrame, compos
         write_csv(df, f"{folder}/{name}")
 
 
+def run_record(outcome: DataFrame, **payload) -> DataFrame:
+    """Rows of the run history: the outcome's columns and metadata_json, an object of the payload's columns and values.
+
+    outcome: survey_id, survey_name, survey_type, run_id, started_at,
+    finished_at, sessions_total, _ok, _failed, _skipped, aborted_reason, and
+    whatever columns the payload names.
+    """
+    own = ["survey_id", "survey_name", "survey_type", "run_id", "started_at", "finished_at", "sessions_total", "sessions_ok", "sessions_failed", "sessions_skipped", "aborted_reason"]
+    value = lambda v: v if isinstance(v, Column) else F.lit(v)
+    held = F.struct(F.col("run_id"), *(value(v).alias(k) for k, v in payload.items()))
+    return outcome.select(*own, F.to_json(held).alias("metadata_json"))
+
+
 def append_run(spark: SparkSession, where: str, record: DataFrame) -> None:
     record.write.mode("append").parquet(where)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), one of this machine."""
+    """A new folder below spark.checkpoint.dir; where that is unset, one of this machine, which only a local session may use."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all can reach")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/panelspark-{uuid.uuid4().hex}"

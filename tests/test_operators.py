@@ -1,6 +1,7 @@
 """Small hand-made cases of the survey operators."""
 
 import hashlib
+import json
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,7 +13,9 @@ from panelspark.functions import persons as P
 from panelspark.operators import answers as O
 from panelspark.operators import crosstab as X
 from panelspark.operators import draw as D
+from panelspark.operators import history as I
 from panelspark.operators import monitor as G
+from panelspark.operators import prompts as M
 from panelspark.operators import quotas as Q
 from panelspark.operators import screening as E
 from panelspark.operators import workplan as W
@@ -113,7 +116,7 @@ def test_overlapping_draw_equals_sequential(spark):
 
 def test_larger_draw_extends_a_smaller_one(spark):
     df = spark.range(300).select(F.concat(F.lit("u"), "id").alias("uuid"), F.lit("男").alias("sex"), F.lit(30).alias("age"))
-    small, large = (sorted(map(tuple, D.draw(df, [{"cell_id": "x", "sex": "男", "n": n}], 1, disjoint=True).collect()), key=lambda r: r[2]) for n in (20, 50))
+    small, large = (sorted(map(tuple, D.draw(df, [{"cell_id": "x", "sex": "男", "n": n}], 1).collect()), key=lambda r: r[2]) for n in (20, 50))
     assert large[:20] == small
 
 
@@ -219,6 +222,108 @@ def test_finalised_panel(spark):
         E.refuse_short(E.finalise(candidates, verdicts, more), more)
 
 
+def test_cells_apart_by_definition():
+    assert D.apart({"sex": "男"}, {"sex": "女"}) and not D.apart({"sex": "男"}, {"age_min": 20})
+    assert D.apart({"age_max": 39}, {"age_min": 40}) and not D.apart({"age_max": 40}, {"age_min": 40})
+    assert D.apart({"area": ["east"]}, {"area": ["west"]}) and not D.apart({"area": ["east", "west"]}, {"area": ["west"]})
+
+
+def test_overlapping_cells_never_share_a_person(spark):
+    df = spark.createDataFrame([(f"u{i}", "男", 20 + i % 30) for i in range(60)], "uuid string, sex string, age int")
+    got = D.draw(df, [{"cell_id": "a", "sex": "男", "n": 40}, {"cell_id": "b", "age_min": 25, "n": 40}], 1).collect()
+    assert len({r["uuid"] for r in got}) == len(got) <= 60 and sum(r["cell_id"] == "a" for r in got) == 40
+    report = D.draw_report(spark.createDataFrame(got), spark.createDataFrame([("a", 60), ("b", 50)], "cell_id string, candidates long"), [{"cell_id": "a", "n": 40}, {"cell_id": "b", "n": 40}])
+    with pytest.raises(ValueError, match="b .* of 40"):
+        D.require_full(report)
+
+
+def test_screening_rounds(spark):
+    """Every third candidate passes: draws grow until both cells are full, and no verdict is asked for twice."""
+    cells = spark.createDataFrame([("s", "a", 4, 8, None), ("s", "b", 4, 8, None)], "survey_id string, cell_id string, n int, size int, proportion double")
+    people = spark.createDataFrame([("s", f"{c}{i:03d}", c, i) for c in "ab" for i in range(60)], "survey_id string, persona_uuid string, cell_id string, cell_rank int")
+    asked = []
+
+    def judge(todo):
+        asked.extend(r["persona_uuid"] for r in todo.collect())
+        number = F.substring("persona_uuid", 2, 3).cast("int")
+        codes = F.when(number % 3 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+        return todo.select("survey_id", "persona_uuid", codes.alias("answer_codes"), F.array(F.lit(1)).alias("options_order"), F.array(F.lit("inferred")).alias("flags"), F.lit("now").alias("config_hash"))
+
+    stored = judge(people.limit(0))
+    final, log = E.screen(lambda f: people.filter(F.col("cell_rank") < 4 * f), judge, stored, cells, "now", 1, ["c1"])
+    assert [x["decision"] for x in log] == ["extend", "extend", "complete"] and [x["factor"] for x in log] == [1, 2, 4]
+    assert len(asked) == len(set(asked)) == 32
+    roles = {(r["cell_id"], r["role"]): r["count"] for r in final.groupBy("cell_id", "role").count().collect()}
+    assert roles["a", "main"] == roles["b", "main"] == 4
+    with pytest.raises(ValueError, match="short"):
+        E.screen(lambda f: people.filter(F.col("cell_rank") < 2), judge, stored, cells, "now", 1)
+
+
+def test_judge_prompts_and_batches(spark):
+    rows = [("s", f"p{i}", "ab"[i % 2], i // 2, f"card {i}") for i in range(7)]
+    df = E.judge_batches(spark.createDataFrame(rows, "survey_id string, persona_uuid string, cell_id string, cell_rank int, card string"), 4)
+    got = {r["batch"]: (r["cards"], r["members"]) for r in M.judge_prompts(df).collect()}
+    assert got == {0: ("1. card 0\n2. card 2\n3. card 4\n4. card 6", 4), 1: ("1. card 1\n2. card 3\n3. card 5", 3)}
+    todo = spark.createDataFrame([("s", "p0")], "survey_id string, persona_uuid string")
+    assert W.skipped_calls(df, todo, 4).first()["skipped"] == 2
+
+
+def test_image_parts(spark):
+    df = spark.createDataFrame([('a "b"\n', ["u/1.png", "", None, "u/2.png"]), ("plain", []), ("none", None)], "t string, u array<string>")
+    got = [json.loads(r[0]) for r in df.select(M.with_images(F.col("t"), F.col("u"))).collect()]
+    assert got[0] == [{"type": "text", "text": 'a "b"\n'}, {"type": "image_url", "image_url": {"url": "u/1.png"}}, {"type": "image_url", "image_url": {"url": "u/2.png"}}]
+    assert got[1:] == ["plain", "none"]
+
+
+def test_submission_orders(spark):
+    units = spark.createDataFrame([("s", f"p{i % 5}", f"c{i % 3}", f"q{i % 4}", i) for i in range(60)], "survey_id string, persona_uuid string, stimulus_id string, question_id string, ask_pos int")
+    one = [(r["stimulus_id"], r["question_id"], r["persona_uuid"]) for r in W.submission_order(units, True).collect()]
+    many = [(r["persona_uuid"], r["ask_pos"]) for r in W.submission_order(units, False).collect()]
+    assert one == sorted(one) and many == sorted(many)
+    first = M.prompt_sample(units).collect()
+    assert {r["persona_uuid"] for r in first} == {"p0"} and [r["ask_pos"] for r in first] == sorted(r["ask_pos"] for r in first)
+
+
+def test_history_helpers(spark):
+    df = spark.createDataFrame([("[1, 2]",), ("broken",), (None,), ("[]",)], "t string")
+    assert [r[0] for r in df.select(I.array_of_json(F.col("t"), "int")).collect()] == [[1, 2], [], [], []]
+    panel = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "survey_id string, x int")
+    assert [r["x"] for r in I.panel_rows(panel, "b").collect()] == [2]
+    runs = spark.createDataFrame([("a", "main", "r1", 1), ("a", "main", "r2", 3), ("b", "main", "r3", 2), ("b", "screening", "r4", 9)], "survey_id string, survey_type string, run_id string, finished_at int")
+    assert [r["run_id"] for r in I.latest_runs(runs, "main").collect()] == ["r2", "r3"]
+
+
+def test_run_records(spark):
+    own = "survey_id string, survey_name string, survey_type string, run_id string, started_at int, finished_at int, sessions_total int, sessions_ok int, sessions_failed int, sessions_skipped int, aborted_reason string, tokens int"
+    got = T.run_record(spark.createDataFrame([("s", "n", "main", "r", 1, 2, 3, 2, 1, 0, None, 7)], own), tokens=F.col("tokens"), model="m").first()
+    assert json.loads(got["metadata_json"]) == {"run_id": "r", "tokens": 7, "model": "m"} and "tokens" not in got.asDict()
+
+
+def test_catalog_tables_are_upserted_and_evolve(spark, tmp_path):
+    spark.sql(f"create table kept_answers (k string, v int, survey_id string) using parquet partitioned by (survey_id) location '{tmp_path}/kept'")
+    try:
+        T.write_table(spark.createDataFrame([("a", 1, "s1"), ("b", 2, "s2")], "k string, v int, survey_id string"), "kept_answers", "append")
+        T.merge_upsert(spark, spark.createDataFrame([("a", 9, "s1", "x"), ("c", 3, "s3", None)], "k string, v int, survey_id string, more string"), "kept_answers", ["survey_id", "k"], evolve_schema=True)
+        got = sorted((r["k"], r["v"], r["survey_id"], r["more"]) for r in T.read_table(spark, "kept_answers").collect())
+        assert got == [("a", 9, "s1", "x"), ("b", 2, "s2", None), ("c", 3, "s3", None)]
+        T.delete_survey(spark, "kept_answers", "s1")
+        T.replace_survey(spark, spark.createDataFrame([("d", 4, "s2", "y")], "k string, v int, survey_id string, more string"), "kept_answers", ["s2", "s3"])
+        assert [tuple(r[c] for c in ("k", "v", "survey_id", "more")) for r in T.read_table(spark, "kept_answers").collect()] == [("d", 4, "s2", "y")]
+    finally:
+        spark.sql("drop table kept_answers")
+    path = f"{tmp_path}/files"
+    T.merge_upsert(spark, spark.createDataFrame([("a", 1, "s1"), ("b", 2, "s2")], "k string, v int, survey_id string"), path, ["survey_id", "k"])
+    T.merge_upsert(spark, spark.createDataFrame([("b", 3, "s2", "z")], "k string, v int, survey_id string, more string"), path, ["survey_id", "k"], evolve_schema=True)
+    assert sorted((r["k"], r["more"]) for r in T.read_table(spark, path).collect()) == [("a", None), ("b", "z")]
+
+
+def test_no_answers_is_an_error(spark):
+    with pytest.raises(ValueError, match="answered"):
+        X.require_answers(spark.range(0))
+    df = spark.range(1)
+    assert X.require_answers(df) is df
+
+
 def test_streamed_windows_equal_batch(spark, sf, tmp_path):
     from panelspark.sources.views import view
     from panelspark.streaming.monitor import failure_windows
