@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.quotas import IN_LISTS, cell_condition
-from panelspark.sources.tables import cut
+from panelspark.sources.tables import cut, forget
 
 #: Hex digits of the rank key that make a bucket; 16**4 buckets a cell.
 BUCKET_DIGITS = 4
@@ -82,6 +82,7 @@ def draw(persons: DataFrame, cells: list[dict], seed: int, everyone: dict | None
         place = F.row_number().over(Window.partitionBy("cell_id").orderBy("rank")) - 1
         picked = cut(own.withColumn("cell_rank", place.cast("int")).filter(F.col("cell_rank") < int(c["n"])).select("uuid", "cell_id", "cell_rank"))
         taken = picked if taken is None else taken.unionByName(picked)
+    forget(pool)
     return taken
 
 

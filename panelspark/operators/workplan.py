@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.sources.tables import cut
+from panelspark.sources.tables import cut, forget
 
 
 def expand_slots(questions: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -68,7 +68,8 @@ def session_groups(questions: DataFrame, edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "group_pos")
         total = now
         best = both.join(labels.select("survey_id", F.col("question_id").alias("b"), F.col("label").alias("near")), ["survey_id", "b"]).groupBy("survey_id", F.col("a").alias("question_id")).agg(F.min("near").alias("near"))
-        labels = cut(labels.join(best, ["survey_id", "question_id"], "left").select("survey_id", "question_id", F.least("label", F.coalesce("near", "label")).alias("label")))
+        before, labels = labels, cut(labels.join(best, ["survey_id", "question_id"], "left").select("survey_id", "question_id", F.least("label", F.coalesce("near", "label")).alias("label")))
+        forget(before)
 
 
 def pending(plan: DataFrame, responses: DataFrame) -> DataFrame:

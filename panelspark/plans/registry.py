@@ -99,8 +99,9 @@ def cell_filter_match(spark, sf):
 @query
 def cell_weights(spark, sf):
     cells = Q.candidate_sizes(Q.apportion(Q.equal_shares(_cells(spark, sf))))
-    persons = view(spark, sf, "persons").select("sex", "age")
-    got = cells.join(persons, "sex").filter(F.col("age").between(F.col("age_min"), F.col("age_max"))).groupBy("survey_id", "cell_id").agg(F.count("*").alias("achieved"))
+    # persons by sex and age first: a few hundred rows, whatever their number
+    persons = view(spark, sf, "persons").groupBy("sex", "age").agg(F.count("*").alias("people"))
+    got = cells.join(persons, "sex").filter(F.col("age").between(F.col("age_min"), F.col("age_max"))).groupBy("survey_id", "cell_id").agg(F.sum("people").alias("achieved"))
     return rounded(Q.cell_weights(cells, got), "weight").select("survey_id", "cell_id", "candidates", "achieved", "weight")
 
 

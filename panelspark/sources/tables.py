@@ -189,4 +189,15 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, so that its lineage ends there and any executor can reread it."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(written: DataFrame) -> None:
+    """Deletes what :func:`cut` wrote, once nothing reads it any more; other tables stay."""
+    path = getattr(written, "written_to", None)
+    if path:
+        spark = written.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
