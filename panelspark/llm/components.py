@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut
+from panelspark.llm.common import cut, forget
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,5 +38,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if (count["n"], count["s"]) == mark or not count["n"]:
             break
         mark = (count["n"], count["s"])
-        now = cut(_star(_star(now, True), False))
+        before, now = now, cut(_star(_star(now, True), False))
+        forget(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import bytetext as B
-from panelspark.llm.common import cut, table
+from panelspark.llm.common import cut, forget, table
 from panelspark.llm.decontaminate import normal_words
 from panelspark.llm.exchange import runs
 
@@ -157,6 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_y"], pa.array(kept, pa.binary())], names=["doc_id", "_y", "kept"])
 
     got = few.mapInArrow(pick, "doc_id long, _y int, kept binary").orderBy("doc_id", "_y", "kept").limit(max_rows).toArrow()
+    forget(few)
     lists = [np.frombuffer(x.as_buffer(), np.uint16) for x in got["kept"]]
     grade = got["_y"].to_numpy().astype(np.int64)
     indptr = np.concatenate([[0], np.cumsum([len(x) for x in lists])])

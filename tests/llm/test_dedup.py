@@ -171,6 +171,21 @@ def test_line_index_deals_look_ups_and_changes_its_filters(spark, docs, monkeypa
     assert used == [4]  # as many groups as shuffle partitions, not one
 
 
+def test_line_index_over_several_shards(spark, docs, rows, monkeypatch):
+    """Keys exactly at min_docs, in several shards, as documents come and go."""
+    monkeypatch.setattr(lines, "SHARD_KEYS", 4)
+    index = lines.LineIndex(spark, 2)
+    index.insert(docs)
+    assert index.n_shards > 1
+    strip = lambda: Counter((r["doc_id"], r["n_dropped"]) for r in index.strip(docs).collect())
+    assert strip() == Counter((i, n) for i, _, n, _ in brute_lines(rows, 2).elements())
+    index.delete(docs.filter("doc_id % 3 = 0"))
+    left = [(i, t) for i, t in rows if i is None or i % 3]
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    count = Counter(k for _, t in left for k in {key(x) for x in (t or "").split("\n")})
+    assert strip() == Counter((i, sum(1 for x in (t or "").split("\n") if key(x) and count[key(x)] >= 2)) for i, t in rows)
+
+
 def brute_components(rows, size, percent):
     sets = []
     for _, t in rows:
