@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate, lines, packing, setjoin, toxicity
-from panelspark.llm.common import cut, table
+from panelspark.llm.common import cut, forget, table
 
 OWN = ("doc_id", "text")
 
@@ -84,5 +84,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        forget(before)  # but for the given table, which no stage wrote
     return docs
