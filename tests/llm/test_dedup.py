@@ -223,6 +223,35 @@ def test_sets_of_other_corpora(spark, seed, monkeypatch):
     assert Counter(map(tuple, got.collect())) == brute_components(rows, 3, 70)
 
 
+def test_a_token_of_all_sets_costs_an_entry_per_home(spark):
+    """20,000 sets of one common token and two of their own: the common one reaches its bucket once from each home."""
+    token = lambda x: F.substring(F.sha2(x, 256), 1, 12)
+    mine = F.unhex(F.concat(F.lit("0123456789ab"), token(F.concat(F.lit("a"), "id")), token(F.concat(F.lit("b"), "id"))))
+    sets = spark.range(20_000).select(mine.alias("set"), F.pmod(F.xxhash64("id"), F.lit(8)).cast("int").alias("_ps_home"))
+    asked = sets.groupBy("_ps_home").applyInArrow(setjoin.ask_frequency(16), "bucket int, token binary, n binary, home int")
+    sizes = [r[0] for r in asked.groupBy("bucket").agg((F.sum(F.octet_length("token")) / 8).alias("n")).select("n").collect()]
+    assert sum(sizes) == 40_000 + 8 and max(sizes) < 1.2 * 40_000 / 16
+    got = asked.groupBy("bucket").applyInArrow(setjoin.answer_frequency, "bucket int, token binary, df binary").collect()
+    assert {tuple(np.frombuffer(r["df"], np.int32)) for r in got} == {(20_000,)} and len(got) == 8
+
+
+def test_pieces_of_a_long_list(spark, monkeypatch):
+    """Only members outside the largest component visit other pieces, and no pair of sizes that may link is kept apart."""
+    monkeypatch.setattr(setjoin, "LIST_MEMBERS", 10)
+    rows = [(1, k, 100 + k % 40, k % 200, 1 if k % 50 else k, 500) for k in range(500)]
+    placed = setjoin.pieces(spark.createDataFrame(rows, "token long, key long, n int, at int, component long, df int"), 85).collect()
+    pieces = {}
+    for r in placed:
+        pieces.setdefault(r["piece"], []).append(r)
+    members = {r["key"]: r["piece"] for r in placed if r["member"]}
+    assert len(members) == 500 and max(sum(r["member"] for r in p) for p in pieces.values()) <= 40
+    visits = {(r["key"], r["piece"]) for r in placed if r["probe"]}
+    assert {k for k, _ in visits} == {k for k in range(500) if k % 50 == 0}
+    n = {r[1]: r[2] for r in rows}
+    for a in range(0, 500, 50):
+        assert all((a, members[b]) in visits for b in range(500) if 100 * min(n[a], n[b]) >= 85 * max(n[a], n[b]))
+
+
 def test_empty_tables(nothing):
     for out in (lines.dedup_lines(nothing), substrings.dedup_windows(nothing), suffixes.dedup_bytes(nothing), setjoin.near_duplicates(nothing)):
         assert out.count() == 0
