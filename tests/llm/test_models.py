@@ -428,7 +428,7 @@ def test_pipeline_stages(spark, sf, duck):
     assert C.run(spark, sf).count() == packed.count()
 
 
-@pytest.mark.parametrize("name", ["op1_nearest_neighbours", "op3_substring_dedup", "op4_line_dedup", "op8_ngram_jaccard_join"])
+@pytest.mark.parametrize("name", ["op1_nearest_neighbours", "op3_substring_dedup", "op4_line_dedup", "op5_suffix_array_dedup", "op8_ngram_jaccard_join"])
 def test_registered_queries_match_sql(name, spark, sf, duck):
     from helpers import row_set
 
