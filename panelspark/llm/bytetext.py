@@ -216,13 +216,3 @@ def distinct(x: np.ndarray) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return np.ascontiguousarray(x).view(np.int64)
-
-
-def string_array(pieces: list[bytes]) -> pa.Array:
-    """UTF-8 pieces as an Arrow string column, without decoding them."""
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    offsets = np.zeros(len(pieces) + 1, np.int64)
-    np.cumsum(lengths, out=offsets[1:])
-    data = b"".join(pieces)
-    big = pa.LargeStringArray.from_buffers(len(pieces), pa.py_buffer(offsets), pa.py_buffer(data))
-    return big.cast(pa.string()) if len(data) < 2**31 - 1 else big

@@ -122,28 +122,10 @@ def runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
 
 
-def by_owner(owner: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """Runs of values by owner, after sorting by owner."""
-    if len(owner) == 0:
-        return
-    order = np.argsort(owner, kind="stable")
-    owner, values = owner[order], [v[order] for v in values]
-    cut = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-    for a, b in zip([0, *cut], [*cut, len(owner)], strict=True):
-        yield int(owner[a]), *(v[a:b] for v in values)
-
-
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return (h % np.uint64(n)).astype(np.int32)
 
 
-def flat_binary(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """A list<binary> column as one array of all numbers, and the row that each belongs to."""
-    rows = column.to_pylist()
-    sizes = np.fromiter((sum(map(len, x or ())) for x in rows), np.int64, len(rows)) // np.dtype(dtype).itemsize
-    return np.frombuffer(b"".join(p for x in rows for p in x or ()), dtype), np.repeat(np.arange(len(rows)), sizes)
-
-
 def deal(to: np.ndarray, column: str, **values: np.ndarray) -> pa.Table:
     """Numbers as blocks, one row per addressee: the column that names it, and the packed arrays."""
     order = np.argsort(to, kind="stable")

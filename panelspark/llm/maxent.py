@@ -3,10 +3,9 @@
 The base is an exact unigram count of all training tokens: a task sends each
 distinct word of its flush once, a bucket adds the sums up.
 
-The model factors a token along a tree of classes: a word's hash names a branch
-of sixteen at each of its levels, and the leaf.  The tree is as deep as the
-number of distinct words asks for, so that a leaf holds a few of them.  At each
-node stands a softmax over the sixteen branches, of the branches' exact counts
+The model factors a token along a tree of classes: a word's ending, its beginning
+and its hash name a branch of sixteen at each of up to three levels, and the
+leaf; few words make a shallower tree.  At each node stands a softmax over the sixteen branches, of the branches' exact counts
 times weights of hashed features of the context: the last word, the one before
 it alone (a skip), and the shapes of the last two.  Inside a leaf a word has its exact share,
 with one place for every word never seen, so all probabilities add up to one.
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import bytetext as B
 from panelspark.llm.common import buckets, cut, fold_of, table, text_bytes
-from panelspark.llm.exchange import deal, opened, runs, total_by
+from panelspark.llm.exchange import deal, opened, total_by
 from panelspark.llm.substrings import dealt, meet
 
 BUCKET_BYTES = 16 << 20
