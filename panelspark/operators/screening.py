@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -196,8 +195,3 @@ def with_premise(people: DataFrame, verdicts: DataFrame, premise: str) -> DataFr
     """The premise text for persons who passed; null for everyone else."""
     passed = verdicts.filter("passed").select("survey_id", "persona_uuid").distinct().withColumn("premise", F.lit(premise))
     return people.join(passed, ["survey_id", "persona_uuid"], "left")
-
-
-def rounds_needed(rate: float, factor: int) -> int | None:
-    """Doublings after which a cell of this incidence can be filled, if ever."""
-    return None if rate <= 0 else max(0, math.ceil(math.log2(1 / (rate * factor)))) if rate * factor < 1 else 0
