@@ -255,6 +255,7 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RAT
         parts = docs.mapInArrow(run, schema).groupBy("part", "branch").applyInArrow(_mean, schema)
         # the group of all branches: one row per part and FAN_IN tasks
         got = {r["part"]: r["weights"] for r in parts.groupBy("part", "branch").applyInArrow(_mean, schema).collect()}  # the model's bounded size
+        sent.unpersist()
         if got:
             weights = np.concatenate([np.frombuffer(got[i], np.float16).reshape(-1, BRANCHES) for i in range(PARTS)]).astype(np.float32)
             model = Model(model.total, model.distinct, model.mass, weights)
