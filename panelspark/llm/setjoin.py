@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import bytetext as B
@@ -286,18 +286,30 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, n long, m long, shared long")
 
 
+def parts_of(df: Column) -> Column:
+    """Over how many parts the members of a list are dealt."""
+    return F.ceil(df / LIST_MEMBERS).cast("int")
+
+
+def on_lists(members: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+    """Members (key, df) joined with what is known of their lists (df too), so that a long list meets in parts, not in one task."""
+    part = F.pmod(F.xxhash64("key"), parts_of(F.col("df"))).cast("int")
+    copies = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), parts_of(F.col("df")) - 1))).drop("df")
+    return members.withColumn("_part", part).join(copies, [*keys, "_part"]).drop("_part")
+
+
 def pieces(listed: DataFrame, percent: int) -> DataFrame:
     """Members and probes of the pieces of all lists; listed has df and component of each member."""
     short = listed.filter(F.col("df") <= LIST_MEMBERS).withColumns({"class": F.lit(0), "salt": F.lit(0), "member": F.lit(True), "probe": F.lit(True)})
     # sets that may link lie in one class of sizes or in neighbouring ones
     grain = math.log(max(100 / percent, 1.000001))
     long = listed.filter(F.col("df") > LIST_MEMBERS).withColumn("class", F.floor(F.log("n") / grain).cast("int"))
-    sizes = long.groupBy("token", "class").agg(F.ceil(F.count("*") / LIST_MEMBERS).cast("int").alias("salts"))
-    largest = long.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    members = long.join(sizes, ["token", "class"]).withColumns({"salt": F.pmod(F.xxhash64("key"), "salts").cast("int"), "member": F.lit(True), "probe": F.lit(False)}).drop("salts")
-    outside = long.join(largest, "token").filter(F.col("component") != F.col("largest")).drop("largest")
+    sizes = long.groupBy("token", "class").agg(parts_of(F.count("*")).alias("salts"), F.max("df").alias("df"))
+    largest = long.groupBy("token", "component").agg(F.count("*").alias("n"), F.max("df").alias("df")).groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("df").alias("df"))
+    members = on_lists(long, sizes, ["token", "class"]).withColumns({"salt": F.pmod(F.xxhash64("key"), "salts").cast("int"), "member": F.lit(True), "probe": F.lit(False)}).drop("salts")
+    outside = on_lists(long, largest, ["token"]).filter(F.col("component") != F.col("largest")).drop("largest")
     near = outside.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
-    probes = near.join(sizes, ["token", "class"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumns({"member": F.lit(False), "probe": F.lit(True)})
+    probes = on_lists(near, sizes, ["token", "class"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumns({"member": F.lit(False), "probe": F.lit(True)})
     return short.unionByName(members).unionByName(probes).withColumn("piece", F.xxhash64("class", "salt"))
 
 
@@ -328,8 +340,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, id_column
 
     linking = (100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("m"))
     listed = index.select("key", "n", "unique", F.explode(F.arrays_zip("token", "at", "df")).alias("x")).select("key", F.col("n").cast("int").alias("n"), "unique", F.col("x.token").alias("token"), F.col("x.at").alias("at"), F.col("x.df").alias("df"))
-    leaders = listed.groupBy("token").agg(F.min(F.struct("unique", "key", "n")).alias("leader"))
-    led = listed.drop("unique").join(leaders, "token").select("*", F.col("leader.n").alias("leader_n"), F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).drop("leader")
+    leaders = listed.groupBy("token").agg(F.min(F.struct("unique", "key", "n")).alias("leader"), F.max("df").alias("df"))
+    led = on_lists(listed.drop("unique"), leaders, ["token"]).select("*", F.col("leader.n").alias("leader_n"), F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).drop("leader")
     stars = led.filter((F.col("a") != F.col("b")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")))
     compared = cut(overlaps(stars.select("a", "b").distinct(), index))
     linked = components(compared.filter(linking), "a", "b")
