@@ -288,6 +288,18 @@ def test_quality_on_held_out_rows(spark, nothing):
     assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
 
 
+def test_quality_of_repeated_and_very_long_rows(spark):
+    docs, labels = labelled(spark)
+    model = quality.learn(docs, labels)
+    rows = [(1, "the river walks. " * 60_000), (1, "the river walks. " * 60_000), (2, "BUY!! NOW$$ " * 40), (2, "BUY!! NOW$$ " * 40), (3, None), (4, ""), (None, "BUY!! NOW$$ " * 40)]
+    got = quality.score(frame(spark, rows), model).collect()
+    scores = {}
+    for r in got:
+        scores.setdefault(r["doc_id"], set()).add(round(r["score"], 12))
+    assert len(got) == 7 and all(len(x) == 1 for x in scores.values())
+    assert scores[2] == scores[None] and scores[3] == scores[4] and all(r["held_out"] is None for r in got if r["doc_id"] is None)
+
+
 def test_statistics_by_hand():
     s = quality.statistics(next(iter(B.texts(pa.array(["Ab c!\nAb c!", None, "1 2"])))))
     assert s["n_words"].tolist() == [4, 0, 2] and s["n_lines"].tolist() == [2, 1, 1]
