@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once inside a task (arrays of that many numbers fit a core's cache); one longer text is handled alone.
 CHUNK_BYTES = 1 << 18
-#: Longest table of powers that is kept.
-_KEPT = 1 << 21
+#: Longest table of powers that is kept (eight of them, of 4 MB each, in a worker).
+_KEPT = 1 << 19
 
 _MASK = (1 << 64) - 1
 _PRIME = np.uint64((1 << 31) - 1)
