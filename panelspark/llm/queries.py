@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.llm import decontaminate, knn, lines, maxent, packing, quality, setjoin, substrings, suffixes, toxicity
+from panelspark.llm import decontaminate, fim, knn, lines, maxent, packing, quality, setjoin, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": knn.op1_nearest_neighbours,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": setjoin.op8_ngram_jaccard_join,
     "op9_lm_scoring": maxent.op9_lm_scoring,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_line_dedup": lines.ORACLE,
     "op5_suffix_array_dedup": suffixes.ORACLE,
     "op8_ngram_jaccard_join": setjoin.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }
