@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.llm import decontaminate, fim, knn, lines, maxent, packing, periodic, quality, setjoin, substrings, suffixes, toxicity
+from panelspark.llm import decontaminate, fim, knn, lines, maxent, packing, periodic, quality, setjoin, simhash, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": knn.op1_nearest_neighbours,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": setjoin.op8_ngram_jaccard_join,
     "op9_lm_scoring": maxent.op9_lm_scoring,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_simhash_near_dedup": simhash.op11_simhash_near_dedup,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
