@@ -1,21 +1,24 @@
 """The deterministic stratified draw, and panels built from it.
 
 Ranks come from a hash of (person, seed, cell), so a draw doesn't depend on how
-the persons are partitioned, and a larger draw extends a smaller one.
+the persons are partitioned, and a larger draw extends a smaller one.  A histogram
+of rank keys comes first: it tells which keys the quotas can reach, so that no
+more persons than these are shuffled, whatever the population.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.quotas import IN_LISTS, cell_condition
-from panelspark.sources.tables import cut, forget
+from panelspark.sources.tables import cut
 
-#: Hex digits of the rank key that make a bucket; 16**4 buckets a cell.
-BUCKET_DIGITS = 4
+#: Hex digits of the rank key that make a bucket of a cell's histogram.
+BUCKET_DIGITS = 3
 
 
 def rank_key(uuid: Column, seed: int, cell_id: Column) -> Column:
@@ -39,19 +42,53 @@ def dense_number(df: DataFrame, keys: list[str], bucket: Column, order: list, ou
     return (near.filter(F.col(out) <= limit) if limit is not None else near).drop("_bucket", "_before")
 
 
+def matches(persons: DataFrame, cells: list[dict], seed: int, everyone: dict | None = None) -> DataFrame:
+    """uuid and choices: the cells that a person matches, in their order, each with its rank key."""
+    spec = lambda i, c: F.when(F.coalesce(cell_condition(c), F.lit(False)), F.struct(F.lit(i).alias("cell_ord"), rank_key(F.col("uuid"), seed, F.lit(c["cell_id"])).alias("key")))
+    hit = F.filter(F.array(*(spec(i, c) for i, c in enumerate(cells))), lambda x: x.isNotNull())
+    some = reduce(Column.__or__, (cell_condition(c) for c in cells), F.lit(False))
+    return persons.filter(cell_condition(everyone or {}) & some).select("uuid", hit.alias("choices"))
+
+
+def histogram(found: DataFrame, cells: list[dict], reach: list[int]) -> list[list[tuple[str, int]]]:
+    """For each cell the buckets of rank keys that its reach touches, rising, and the persons before each.
+
+    The persons are counted by bucket in one pass; what comes to the driver is a
+    number per bucket, of which a cell has at most 16 ** BUCKET_DIGITS.
+    """
+    bucket = F.substring("choice.key", 1, BUCKET_DIGITS)
+    counts = found.select(F.explode("choices").alias("choice")).groupBy(F.col("choice.cell_ord").alias("cell_ord"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    out: list[list[tuple[str, int]]] = [[] for _ in cells]
+    before = [0] * len(cells)
+    for r in sorted(counts.collect()):
+        i = r["cell_ord"]
+        if before[i] < reach[i]:
+            out[i].append((r["bucket"], before[i]))
+        before[i] += r["n"]
+    return out
+
+
+def within(found: DataFrame, touched: list[list[tuple[str, int]]]) -> DataFrame:
+    """The choices of the buckets touched alone, before anything is shuffled."""
+    last = F.array(*(F.lit(b[-1][0] if b else "") for b in touched))
+    near = F.filter("choices", lambda x: F.substring(x["key"], 1, BUCKET_DIGITS) <= F.get(last, x["cell_ord"]))
+    return found.select("uuid", near.alias("choices")).filter(F.size("choices") > 0)
+
+
 def ranked_candidates(persons: DataFrame, cells: list[dict], seed: int, everyone: dict | None = None) -> DataFrame:
-    """uuid, cell_id, cell_ord, n, rank_key, rank: of each cell the persons that can be drawn at all.
+    """uuid, cell_id, cell_ord, rank_key, rank: of each cell its first n persons, as if no other cell took any.
 
-    Earlier cells can take at most the sum of their n from a later one, so its
-    picks are among its first n + that sum.
+    A histogram of rank keys says which of them can be among the first n; only
+    these, and one bucket a cell, are shuffled, once.
     """
-    reach, specs = 0, []
-    for i, c in enumerate(cells):
-        specs.append(F.when(F.coalesce(cell_condition(c), F.lit(False)), F.struct(F.lit(c["cell_id"]).alias("cell_id"), F.lit(i).alias("cell_ord"), F.lit(int(c["n"])).alias("n"), F.lit(int(c["n"]) + reach).alias("reach"))))
-        reach += int(c["n"])
-    hit = persons.filter(cell_condition(everyone or {})).select("uuid", F.explode(F.filter(F.array(*specs), lambda x: x.isNotNull())).alias("x")).select("uuid", "x.*")
-    keyed = hit.withColumn("rank_key", rank_key(F.col("uuid"), seed, F.col("cell_id")))
-    return dense_number(keyed, ["cell_id"], F.substring("rank_key", 1, BUCKET_DIGITS), ["rank_key", "uuid"], "rank", F.col("reach"))
+    found = matches(persons, cells, seed, everyone)
+    touched = histogram(found, cells, [int(c["n"]) for c in cells])
+    rows = [(i, c["cell_id"], int(c["n"]), bucket, before) for i, c in enumerate(cells) for bucket, before in touched[i]]
+    offsets = persons.sparkSession.createDataFrame(rows, "cell_ord int, cell_id string, n long, bucket string, before long")
+    near = within(found, touched).select("uuid", F.explode("choices").alias("choice")).select("uuid", "choice.cell_ord", F.col("choice.key").alias("rank_key"), F.substring("choice.key", 1, BUCKET_DIGITS).alias("bucket"))
+    placed = near.join(F.broadcast(offsets), ["cell_ord", "bucket"])  # at most 16 ** BUCKET_DIGITS rows a cell
+    inside = F.row_number().over(Window.partitionBy("cell_ord", "bucket").orderBy("rank_key", "uuid"))
+    return placed.withColumn("rank", (F.col("before") + inside).cast("long")).filter("rank <= n").select("uuid", "cell_id", "cell_ord", "rank_key", "rank")
 
 
 def apart(one: dict, two: dict) -> bool:
@@ -63,27 +100,59 @@ def apart(one: dict, two: dict) -> bool:
     return low > high or any(one.get(c) and two.get(c) and not set(one[c]) & set(two[c]) for c in IN_LISTS)
 
 
+def still_free(choices: DataFrame, cutoffs: list[tuple[str, str] | None]) -> DataFrame:
+    """uuid, cell_ord, key of the choices whose person no earlier cell takes, where a cell takes all it can up to its cutoff (None: all)."""
+    line = F.array(*(F.struct(F.lit(c[0] if c else "~").alias("key"), F.lit(c[1] if c else "").alias("uuid")) for c in cutoffs))  # ~ comes after any hexadecimal digit
+    takes = lambda y: F.struct(y["key"].alias("key"), F.col("uuid").alias("uuid")) <= F.get(line, y["cell_ord"])
+    free = F.filter("choices", lambda x: ~F.exists("choices", lambda y: (y["cell_ord"] < x["cell_ord"]) & takes(y)))
+    return choices.select("uuid", F.explode(free).alias("x")).select("uuid", "x.cell_ord", "x.key")
+
+
+def settled_cutoffs(choices: DataFrame, cells: list[dict], guess: list[tuple[str, str] | None]) -> list[tuple[str, str] | None]:
+    """The last (rank key, uuid) that each cell takes when cells take persons in turn (None: it takes all that are left).
+
+    All cells move at once: each cutoff is that of the n-th person whom the last
+    round's cutoffs of earlier cells leave.  From any guess, the first round
+    settles the first cell and each round one more at least; cells seldom draw
+    the same person, so the rounds follow the chains of such meetings, not the
+    cells.
+    """
+    wanted = F.array(*(F.lit(int(c["n"])) for c in cells))
+    place = F.row_number().over(Window.partitionBy("cell_ord").orderBy("key", "uuid"))
+
+    def after(cutoffs: list) -> list:
+        nth = still_free(choices, cutoffs).withColumn("at", place).filter(F.col("at") == F.get(wanted, F.col("cell_ord"))).select("cell_ord", "key", "uuid")
+        found = {r["cell_ord"]: (r["key"], r["uuid"]) for r in nth.collect()}  # one row a cell at most
+        return [found.get(i) if int(c["n"]) > 0 else ("", "") for i, c in enumerate(cells)]
+
+    cutoffs = after(guess)
+    while (moved := after(cutoffs)) != cutoffs:
+        cutoffs = moved
+    return cutoffs
+
+
 def draw(persons: DataFrame, cells: list[dict], seed: int, everyone: dict | None = None) -> DataFrame:
     """uuid, cell_id, cell_rank (from 0): cells in order, each its first n by rank, persons taken earlier excluded.
 
     Cells that no person can share, by their definitions, need one window.
-    Others are taken in turn from a pruned table whose size is the quota's, not
-    the population's; each cell writes its own picks only.
+    Otherwise earlier cells can take at most the sum of their n from a later one,
+    so its picks are among its first n + that sum: a table of that size, one row
+    a person, is written without a shuffle, and rounds over it settle all cells.
     """
-    pool = ranked_candidates(persons, cells, seed, everyone)
     if all(apart(a, b) for a, b in combinations(cells, 2)):
-        return pool.filter("rank <= n").select("uuid", "cell_id", (F.col("rank") - 1).cast("int").alias("cell_rank"))
-    pool = cut(pool)
-    taken = None
-    for c in cells:
-        own = pool.filter(F.col("cell_id") == c["cell_id"])
-        if taken is not None:
-            own = own.join(taken.select("uuid"), "uuid", "left_anti")
-        place = F.row_number().over(Window.partitionBy("cell_id").orderBy("rank")) - 1
-        picked = cut(own.withColumn("cell_rank", place.cast("int")).filter(F.col("cell_rank") < int(c["n"])).select("uuid", "cell_id", "cell_rank"))
-        taken = picked if taken is None else taken.unionByName(picked)
-    forget(pool)
-    return taken
+        pool = ranked_candidates(persons, cells, seed, everyone)
+        return pool.select("uuid", "cell_id", (F.col("rank") - 1).cast("int").alias("cell_rank"))
+    found = matches(persons, cells, seed, everyone)
+    reach = [sum(int(c["n"]) for c in cells[: i + 1]) for i in range(len(cells))]
+    touched = histogram(found, cells, reach)
+    choices = cut(within(found, touched))
+    # the middle of the bucket of each cell's own n-th person
+    guess = [(max((bucket for bucket, before in touched[i] if before < int(c["n"])), default="") + "8", "") for i, c in enumerate(cells)]
+    free = still_free(choices, settled_cutoffs(choices, cells, guess))
+    ids, wanted = F.array(*(F.lit(c["cell_id"]) for c in cells)), F.array(*(F.lit(int(c["n"])) for c in cells))
+    place = F.row_number().over(Window.partitionBy("cell_ord").orderBy("key", "uuid")) - 1
+    picked = free.withColumn("cell_rank", place.cast("int")).filter(F.col("cell_rank") < F.get(wanted, F.col("cell_ord")))
+    return picked.select("uuid", F.get(ids, F.col("cell_ord")).alias("cell_id"), "cell_rank")
 
 
 def require_full(report: DataFrame) -> DataFrame:
