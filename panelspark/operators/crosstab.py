@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.answers import defined_codes, has_quality_flag
 
+# fixed values: texts of tables
 UNKNOWN = "(不明)"
+LEGEND = " の選択肢: "
+UNANSWERED = "回答が1件も無いため n=0 で出している: "
 GROUP = ["survey_id", "measure", "stimulus_id", "axis", "segment"]
 
 
@@ -122,6 +126,85 @@ def metric_table(table: DataFrame, boxes: DataFrame, means: DataFrame, most_opti
     return wide.unionByName(numeric.select(*GROUP, "n", "n_unflagged", F.col("mean").alias("mean_score")), allowMissingColumns=True)
 
 
+def segment_sums(answers: DataFrame, axes: Sequence[str], most_options: int) -> DataFrame:
+    """One row of sums per group of every axis, from one pass over the answers: rows, weights, weights by option, scores and numbers.
+
+    Answers are summed at the finest grain of the axes first; grouping sets then
+    add up the grain once for each axis.  All sums can be merged with those of
+    other answers.
+    """
+    columns = _columns(axes)
+    choice = F.col("type").isin("single", "multi", "scale")
+    inside = F.filter("codes", lambda c: (c >= 1) & (c <= F.col("n_options")))
+    number = F.when(F.col("type") == "numeric", F.replace("answer_text", F.lit(","), F.lit("")).try_cast("double"))
+    plain = answers.select("survey_id", "measure", "stimulus_id", "type", "n_options", *(known(c).alias(c) for c in columns), "flagged", "weight", F.when(choice, F.array_distinct(inside)).alias("codes"), F.when(choice & (F.col("type") != "multi"), F.get(inside, F.lit(0))).alias("first"), number.alias("number"))
+    what = ["survey_id", "measure", "stimulus_id", "type", "n_options"]
+    grain = plain.filter("codes is not null or number is not null").groupBy(*what, *columns, "codes", "first", "flagged").agg(F.count("*").alias("rows"), F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("number")).alias("number"))
+    sets = {"total": [], **{a: a.split("_x_") for a in axes if a != "total"}}
+    counted = (F.size("codes") > 0) | F.col("codes").isNull()
+    weight = F.when(counted, F.col("weight"))
+    score = F.col("n_options") + 1 - F.col("first")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = grain.groupingSets([[*what, *(c for c in columns if c in s)] for s in sets.values()], *what, *columns).agg(
+        zero(F.when(counted, F.col("rows"))).alias("n"), zero(F.when(counted & ~F.col("flagged"), F.col("rows"))).alias("n_unflagged"), zero(weight).alias("w"),
+        *(zero(F.when(F.array_contains("codes", k), F.col("weight"))).alias(f"w_{k}") for k in range(1, most_options + 1)),
+        F.sum(F.when(F.col("first").isNotNull(), F.col("weight"))).alias("score_w"), F.sum(F.col("weight") * score).alias("score"), F.sum("number").alias("number"),
+        *(F.grouping(c).alias(f"without_{c}") for c in columns),
+    )
+    is_set = lambda s: reduce(Column.__and__, (F.col(f"without_{c}") == int(c not in s) for c in columns), F.lit(True))
+    name = F.coalesce(*(F.when(is_set(s), a) for a, s in sets.items()))
+    segment = F.coalesce(*(F.when(is_set(s), F.concat_ws(" × ", *s) if s else F.lit("total")) for s in sets.values()))
+    return sums.select(*what, name.alias("axis"), segment.alias("segment"), "n", "n_unflagged", "w", *(f"w_{k}" for k in range(1, most_options + 1)), "score_w", "score", "number")
+
+
+def stacked_metrics(answers: DataFrame, axes: Sequence[str], measures: DataFrame, most_options: int) -> DataFrame:
+    """Every measure, concept and segment in one table: n, n_unflagged, option_1 ..., top_box_share, mean_score.
+
+    Shares of the options that a measure has (0 if their weights are), the share
+    of its top box if it has one, and the mean score of an ordinal measure or the
+    mean of a numeric one; anything else is null.
+    measures: survey_id, measure, top_box (array), ordinal.
+    """
+    sums = segment_sums(answers, axes, most_options).join(measures.select("survey_id", "measure", "top_box", "ordinal"), ["survey_id", "measure"])
+    numeric = F.col("type") == "numeric"
+    share = lambda k: F.when(~numeric & (F.col("n_options") >= k), F.when(F.col("w") > 0, F.col(f"w_{k}") / F.col("w")).otherwise(0.0))
+    options = {f"option_{k}": share(k) for k in range(1, most_options + 1)}
+    top = reduce(Column.__add__, (F.when(F.array_contains("top_box", k), F.coalesce(c, F.lit(0.0))).otherwise(0.0) for k, c in enumerate(options.values(), 1)), F.lit(0.0))
+    mean = F.when(numeric, F.col("number") / F.nullif("w", F.lit(0.0))).when(F.col("ordinal"), F.col("score") / F.nullif("score_w", F.lit(0.0)))
+    return sums.select(*GROUP, "n", "n_unflagged", *(c.alias(n) for n, c in options.items()), F.when(~numeric & (F.size("top_box") > 0), top).alias("top_box_share"), mean.alias("mean_score"))
+
+
+def with_unanswered(table: DataFrame, stimuli: DataFrame, measures: DataFrame) -> DataFrame:
+    """The stacked table with a row of n = 0, and nothing else, for each concept and measure of the definition without one."""
+    grid = stimuli.select("survey_id", "stimulus_id").join(measures.select("survey_id", "measure"), "survey_id")
+    empty = grid.join(table.select("survey_id", "measure", "stimulus_id").distinct(), ["survey_id", "measure", "stimulus_id"], "left_anti")
+    zero = F.lit(0).cast("long")
+    return table.unionByName(empty.select("survey_id", "measure", "stimulus_id", zero.alias("n"), zero.alias("n_unflagged")), allowMissingColumns=True)
+
+
+def legend(questions: DataFrame) -> DataFrame:
+    """survey_id, ord, measure, note: what stands below a stacked table, whose option columns have numbers only.
+
+    For each measure, in the order in which measures first occur, its question
+    and, if it has options, their labels.  Open questions aren't tabulated.
+    questions: survey_id, ord, measure, type, text, options (array).
+    """
+    first = questions.filter("type <> 'open'").groupBy("survey_id", "measure").agg(F.min_by(F.struct("ord", "text", "options"), "ord").alias("q")).select("survey_id", "measure", "q.*")
+    labels = F.array_join(F.transform("options", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), " / ")
+    notes = F.array(F.concat("measure", F.lit(": "), "text"), F.when(F.size("options") > 0, F.concat("measure", F.lit(LEGEND), labels)))
+    return first.select("survey_id", "measure", "ord", F.posexplode(F.filter(notes, lambda x: x.isNotNull())).alias("line", "note")).select("survey_id", "ord", "line", "measure", "note")
+
+
+def unanswered_note(table: DataFrame, stimuli: DataFrame) -> DataFrame:
+    """survey_id, note: one line that names the concepts and measures of n = 0 rows; surveys without any have none.
+
+    stimuli: survey_id, stimulus_id, name, of which a survey has few.
+    """
+    empty = table.filter("axis is null").join(stimuli, ["survey_id", "stimulus_id"])
+    names = F.transform(F.array_sort(F.collect_list(F.struct("measure", "stimulus_id", "name"))), lambda x: F.concat(x["name"], F.lit(" / "), x["measure"]))
+    return empty.groupBy("survey_id").agg(F.concat(F.lit(UNANSWERED), F.array_join(names, "・")).alias("note"))
+
+
 def labelled_options(wide: DataFrame, labels: Sequence[str]) -> DataFrame:
     """The table of one measure with its options' columns named '1. label', and no others."""
     names = {f"option_{k}": f"{k}. {label}" for k, label in enumerate(labels, 1)}

@@ -333,6 +333,17 @@ union all select {_GROUP}, n, n_unflagged, {", ".join(["null"] * 7)}, mean from
 frame("crosstab_measure", "select survey_id, measure, stimulus_id, axis, segment, n, n_unflagged, " + ", ".join(f'option_{k} as "{k}. opt{k}"' for k in range(1, 6)) + f", top_box_share, mean_score from ({_metrics}) x where measure = 'q_intent'")
 _percent = [*(f"option_{k}" for k in range(1, 7)), "top_box_share"]
 frame("crosstab_stacked", f"select {_GROUP}, n, n_unflagged, " + ", ".join(f"coalesce(format('{{:.1f}}%', round({c} * 100, 1)), '-') as {c}" for c in _percent) + f", coalesce(format('{{:.2f}}', round(mean_score, 2)), '-') as mean_score from ({_metrics}) x")
+put("crosstab_legend", """
+select survey_id, measure, line, case line when 0 then concat(measure, ': Question ', question_id)
+       else concat(measure, ' の選択肢: ', array_to_string(list_transform(range(1, n_options + 1), lambda k: concat(k, '. opt', k)), ' / ')) end as note
+from (select *, unnest(case when type = 'numeric' then [0] else [0, 1] end) as line from typed_questions where type <> 'open'
+      qualify row_number() over (partition by survey_id, measure order by ord) = 1) x""", "typed_questions")
+_answered = "select distinct survey_id, measure, stimulus_id from frame where type <> 'numeric' or try_cast(replace(answer_text, ',', '') as double) is not null"
+frame("crosstab_unanswered", f"""
+select g.*, 0 as n, 0 as n_unflagged, cast(null as double) as option_1, cast(null as double) as mean_score,
+       concat('回答が1件も無いため n=0 で出している: ', string_agg(concat('Concept ', substring(stimulus_id, 2), ' / ', measure), '・' order by measure, stimulus_id) over (partition by survey_id rows between unbounded preceding and unbounded following)) as note
+from (select 's1' as survey_id, m.measure, s.stimulus_id from (values ('q_intent'), ('q_multi'), ('q_price')) m(measure), (values ('c1'), ('c2'), ('c3'), ('c8'), ('c9')) s(stimulus_id)) g
+where (survey_id, measure, stimulus_id) not in ({_answered})""")
 frame("off_target", "select distinct survey_id, 'cell_id' as kind, cell_id as value from frame where cell_id not in (select cell_id from panel_cells) union all select distinct survey_id, 'sex', sex from frame where sex <> '' and sex not in (select sex from panel_cells)", "panel_cells")
 put("panel_composition", """
 select c.survey_id, c.cell_id, c.ord, c.n as target, count(*) filter (role = 'main') as main, count(*) filter (role = 'reserve') as reserve, count(*) filter (role = 'screened_out') as screened_out, count(*) filter (role = 'candidate') as candidate,

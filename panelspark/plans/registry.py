@@ -20,7 +20,7 @@ from panelspark.operators import screening as E
 from panelspark.operators import workplan as W
 from panelspark.plans import config as C
 from panelspark.plans import oracles as S
-from panelspark.sources.tables import fingerprint, merged
+from panelspark.sources.tables import cut, fingerprint, merged
 from panelspark.sources.views import base, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,7 +124,8 @@ def _drawn(spark, sf, times: int = 1):
 
 
 def _candidates(spark, sf):
-    return _drawn(spark, sf, 4).select(F.lit("s1").alias("survey_id"), F.col("uuid").alias("persona_uuid"), "cell_id", "cell_rank")
+    """Written once, as candidates are before they are judged."""
+    return cut(_drawn(spark, sf, 4)).select(F.lit("s1").alias("survey_id"), F.col("uuid").alias("persona_uuid"), "cell_id", "cell_rank")
 
 
 @query
@@ -160,20 +161,20 @@ def person_lookup_missing(spark, sf):
 # screening
 
 
-def _screener(spark, sf):
-    c = _candidates(spark, sf)
+def _screener(c):
     codes = F.when(number() % 3 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     flags = F.when(number() % 5 == 0, None).otherwise(F.when(number() % 17 == 0, F.array(F.lit("inferred"), F.lit("judge_error"))).otherwise(F.array(F.lit("inferred"))))
     return c.filter(number() % 7 != 0).select("survey_id", "persona_uuid", codes.alias("answer_codes"), F.array(F.lit(1)).alias("options_order"), flags.alias("flags"), F.when(number() % 19 == 0, "old").otherwise("now").alias("config_hash"))
 
 
-def _verdicts(spark, sf):
-    return E.valid_verdicts(_screener(spark, sf), "now")
+def _verdicts(candidates):
+    return E.valid_verdicts(_screener(candidates), "now")
 
 
 @query
 def screen_todo(spark, sf):
-    return E.still_to_judge(_candidates(spark, sf), _verdicts(spark, sf))
+    candidates = _candidates(spark, sf)
+    return E.still_to_judge(candidates, _verdicts(candidates))
 
 
 @query
@@ -192,8 +193,8 @@ def screen_verdicts(spark, sf):
 
 @query
 def screen_finalize(spark, sf):
-    cells = C.cells(spark)
-    final = E.finalise(_candidates(spark, sf), _verdicts(spark, sf), cells, C.STIMULI)
+    cells, candidates = C.cells(spark), _candidates(spark, sf)
+    final = E.finalise(candidates, _verdicts(candidates), cells, C.STIMULI)
     short = E.shortfalls(final, cells).select("survey_id", "cell_id", F.col("short").cast("long"))
     return rounded(final.join(F.broadcast(short), ["survey_id", "cell_id"]), "weight").withColumn("assigned_stimuli", text_of("assigned_stimuli"))
 
@@ -219,7 +220,8 @@ def screen_unreachable(spark, sf):
 
 @query
 def premises(spark, sf):
-    return E.with_premise(_candidates(spark, sf), _verdicts(spark, sf), C.PREMISE).select("survey_id", "persona_uuid", "premise")
+    candidates = _candidates(spark, sf)
+    return E.with_premise(candidates, _verdicts(candidates), C.PREMISE).select("survey_id", "persona_uuid", "premise")
 
 
 # work plan
@@ -484,10 +486,12 @@ def concept_complete(spark, sf):
     return rounded(X.complete_concepts(X.crosstab(_frame(spark, sf), ["total"]), stimuli, measures), "share")
 
 
+def _measures(spark):
+    return C.questions(spark).groupBy("survey_id", "measure").agg(F.min_by("top_box", "slot").alias("top_box"), F.bool_or((F.col("type") == "scale") | (F.size("top_box") > 0)).alias("ordinal"))
+
+
 def _metrics(spark, sf, frame):
-    boxes = C.questions(spark).filter("slot = 1").select("survey_id", "measure", "top_box")
-    ordinal = C.questions(spark).filter("type = 'scale' or size(top_box) > 0").select("survey_id", "measure").distinct()
-    table = X.metric_table(X.crosstab(frame, C.AXES), boxes, X.mean_scores(frame, C.AXES, ordinal), 6, X.numeric_metrics(frame, C.AXES))
+    table = X.stacked_metrics(frame, C.AXES, _measures(spark), 6)
     return rounded(table, *(f"option_{k}" for k in range(1, 7)), "top_box_share", "mean_score")
 
 
@@ -502,6 +506,22 @@ def crosstab_stacked(spark, sf):
     return X.display(_metrics(spark, sf, _frame(spark, sf)), [*(f"option_{k}" for k in range(1, 7)), "top_box_share"], ["mean_score"])
 
 
+@query
+def crosstab_legend(spark, sf):
+    q = view(spark, sf, "typed_questions").withColumn("text", F.concat(F.lit("Question "), "question_id"))
+    options = F.when(F.col("type").isin("single", "multi", "scale"), F.transform(F.sequence(F.lit(1), "n_options"), lambda k: F.concat(F.lit("opt"), k.cast("string"))))
+    return X.legend(q.withColumn("options", F.coalesce(options, F.array().cast("array<string>")))).drop("ord")
+
+
+@query
+def crosstab_unanswered(spark, sf):
+    """Concepts that were in the field and got no answer keep a row, and are named."""
+    stimuli = C.stimuli(spark).unionByName(spark.createDataFrame([("s1", "c8", "Concept 8"), ("s1", "c9", "Concept 9")], "survey_id string, stimulus_id string, name string"))
+    table = X.with_unanswered(_metrics(spark, sf, _frame(spark, sf)), stimuli, _measures(spark))
+    rows = table.filter("axis is null").select("survey_id", "measure", "stimulus_id", "n", "n_unflagged", "option_1", "mean_score")
+    return rows.join(X.unanswered_note(table, stimuli), "survey_id")
+
+
 @query
 def off_target(spark, sf):
     return X.off_target(_frame(spark, sf), view(spark, sf, "panel_cells"))
