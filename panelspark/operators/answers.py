@@ -13,13 +13,13 @@ CHOICE = ("single", "scale", "multi")
 def parse_answers(raw: DataFrame, questions: DataFrame) -> DataFrame:
     """raw plus answer_codes, answer_text, answer_reasoning and flags.
 
-    questions: question_id, type, n_options, with_reason.  Questions that ask
+    questions: survey_id, question_id, type, n_options, with_reason.  Questions that ask
     for a reason are read from JSON only.  A code beyond the options flags
     out_of_range, no code of a choice question parse_error, a refusal phrase
     refusal (even beside a code), more than one attempt retried.
     """
-    q = questions.select("question_id", F.col("type").alias("_type"), F.col("n_options").alias("_k"), F.col("with_reason").alias("_why"))
-    df = raw.join(q, "question_id")
+    q = questions.select("survey_id", "question_id", F.col("type").alias("_type"), F.col("n_options").alias("_k"), F.col("with_reason").alias("_why"))
+    df = raw.join(q, ["survey_id", "question_id"])
     text, scan = F.coalesce("answer_raw", F.lit("")), ~F.col("_why")
     one = A.single_code(text, scan)
     none = F.array().cast("array<int>")
@@ -39,8 +39,8 @@ def parse_answers(raw: DataFrame, questions: DataFrame) -> DataFrame:
 
 def mark_straightlining(responses: DataFrame, questions: DataFrame, least: int = 3) -> DataFrame:
     """The flag straightline on all rows of a person whose coded single and scale answers, at least ``least``, stand at one place; taken off all others."""
-    asked = questions.filter(F.col("type").isin("single", "scale")).select("question_id")
-    coded = responses.join(asked, "question_id", "left_semi").filter(F.size("answer_codes") > 0)
+    asked = questions.filter(F.col("type").isin("single", "scale")).select("survey_id", "question_id")
+    coded = responses.join(asked, ["survey_id", "question_id"], "left_semi").filter(F.size("answer_codes") > 0)
     place = F.col("answer_codes")[0]
     same = coded.groupBy("survey_id", "persona_uuid").agg(((F.count("*") >= least) & (F.min(place) == F.max(place))).alias("_same")).filter("_same")
     df = responses.join(same, ["survey_id", "persona_uuid"], "left")

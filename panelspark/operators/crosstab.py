@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.answers import defined_codes, has_quality_flag
@@ -236,11 +236,15 @@ def off_target(answers: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def composition(panel: DataFrame, cells: DataFrame) -> DataFrame:
-    """Target, roles, incidence and weight (4 places, 1 by default) of each cell, in definition order ord."""
+    """Target, roles, incidence and weight (4 places, 1 by default) of each cell, in definition order ord.
+
+    A survey in which nobody is reserve or screened out wasn't screened and has no incidence.
+    """
     got = panel.groupBy("survey_id", "cell_id").agg(*(F.count_if(F.col("role") == r).alias(r) for r in ("main", "reserve", "screened_out", "candidate")), F.max(F.when(F.col("role") == "main", F.col("weight"))).alias("weight"))
-    df = cells.join(got, ["survey_id", "cell_id"], "left")
+    screened = F.max(F.col("reserve") + F.col("screened_out")).over(Window.partitionBy("survey_id")) > 0  # of all cells, those that the definition lacks included
+    df = cells.join(got.withColumn("_screened", screened), ["survey_id", "cell_id"], "left")
     passed, out = F.coalesce(F.col("main") + F.col("reserve"), F.lit(0)), F.coalesce("screened_out", F.lit(0))
-    return df.select("survey_id", "cell_id", "ord", F.col("n").alias("target"), *(F.coalesce(r, F.lit(0)).alias(r) for r in ("main", "reserve", "screened_out", "candidate")), F.when(out + F.coalesce("reserve", F.lit(0)) > 0, F.round(passed / (passed + out), 6)).alias("incidence"), F.round(F.coalesce("weight", F.lit(1.0)), 4).alias("weight"))
+    return df.select("survey_id", "cell_id", "ord", F.col("n").alias("target"), *(F.coalesce(r, F.lit(0)).alias(r) for r in ("main", "reserve", "screened_out", "candidate")), F.when(F.col("_screened") & (passed + out > 0), F.round(passed / (passed + out), 6)).alias("incidence"), F.round(F.coalesce("weight", F.lit(1.0)), 4).alias("weight"))
 
 
 def open_ends(answers: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SEED = 7
 AXES = ["total", "sex", "education_level", "sex_x_area"]
@@ -42,9 +43,12 @@ RULES = {"single": "番号1つで答えてください。", "scale": "番号1つ
 REASON_RULES = {"single": "番号1つと理由（{max_length}字以内）を答えてください。", "scale": "番号1つと理由（{max_length}字以内）を答えてください。", "multi": "番号すべてと理由（{max_length}字以内）を答えてください。"}
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    rows = [("s1", q, b, s, i, kind, k, top, why) for q, b, s, i, kind, k, top, why in QUESTIONS]
-    return spark.createDataFrame(rows, "survey_id string, question_id string, measure string, slot int, ord int, type string, n_options int, top_box array<int>, with_reason boolean")
+def questions(surveys: DataFrame) -> DataFrame:
+    """The same nine questions in each survey (surveys: survey_id)."""
+    fields = ("question_id", "measure", "slot", "ord", "type", "n_options", "top_box", "with_reason")
+    value = lambda x: F.array(*map(F.lit, x)).cast("array<int>") if isinstance(x, list) else F.lit(x)
+    asked = F.array(*(F.struct(*(value(x).alias(c) for c, x in zip(fields, q, strict=True))) for q in QUESTIONS))
+    return surveys.select("survey_id", F.explode(asked).alias("q")).select("survey_id", "q.*")
 
 
 def cells(spark: SparkSession) -> DataFrame:
@@ -52,5 +56,6 @@ def cells(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("s1", c["cell_id"], i, c["n"], total, c["sex"]) for i, c in enumerate(CELLS)], "survey_id string, cell_id string, ord int, n int, size int, sex string").selectExpr("*", "cast(null as double) as proportion")
 
 
-def stimuli(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("s1", s, f"Concept {s[1:]}") for s in STIMULI], "survey_id string, stimulus_id string, name string")
+def stimuli(surveys: DataFrame) -> DataFrame:
+    shown = F.array(*(F.struct(F.lit(x).alias("stimulus_id"), F.lit(f"Concept {x[1:]}").alias("name")) for x in STIMULI))
+    return surveys.select("survey_id", F.explode(shown).alias("s")).select("survey_id", "s.*")

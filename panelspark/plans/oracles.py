@@ -139,7 +139,8 @@ select run_id as survey_id, count(*) as batches_total, count(*) filter (not fail
 from call_log group by run_id""", "call_log")
 INCIDENCE = {"inc": """
 select survey_id, cell_id, count(*) filter (role = 'main') as main, count(*) filter (role = 'reserve') as reserve, count(*) filter (role = 'screened_out') as screened_out, count(*) filter (role = 'candidate') as candidate,
-       round(count(*) filter (role in ('main', 'reserve')) / nullif(count(*) filter (role <> 'candidate'), 0), 6) as incidence
+       case when max(count(*) filter (role in ('reserve', 'screened_out'))) over (partition by survey_id) > 0
+            then round(count(*) filter (role in ('main', 'reserve')) / nullif(count(*) filter (role <> 'candidate'), 0), 6) end as incidence
 from panel group by grouping sets ((survey_id, cell_id), (survey_id))"""}
 put("incidence", "select *, true as finalised from inc", "panel", also=INCIDENCE)
 put("screen_unreachable", """
@@ -157,8 +158,8 @@ put("work_plan", "select * from units", "panel", also=PLAN)
 _R = C.RATES
 put("work_volume", f"""
 select *, round((input_tokens * {_R['input_usd_per_million']} + output_tokens * {_R['output_usd_per_million']}) / 1000000.0 * {_R['jpy_per_usd']} * {_R['budget_margin']}, 4) as budget_jpy from (
-select u.*, j.judge_calls, cast(answers * {_R['input_tokens']} + judge_calls * {_R['judge_input_tokens']} as bigint) as input_tokens, cast(answers * {_R['output_tokens']} + judge_calls * {_R['judge_output_tokens']} as bigint) as output_tokens,
-       round(answers / {_R['answers_per_minute']}::double + judge_calls / {_R['judge_calls_per_minute']}::double, 6) as minutes
+select u.*, case when u.survey_id = 's1' then j.judge_calls else 0 end as judge_calls, cast(answers * {_R['input_tokens']} + case when u.survey_id = 's1' then j.judge_calls else 0 end * {_R['judge_input_tokens']} as bigint) as input_tokens, cast(answers * {_R['output_tokens']} + case when u.survey_id = 's1' then j.judge_calls else 0 end * {_R['judge_output_tokens']} as bigint) as output_tokens,
+       round(answers / {_R['answers_per_minute']}::double + case when u.survey_id = 's1' then j.judge_calls else 0 end / {_R['judge_calls_per_minute']}::double, 6) as minutes
 from (select survey_id, count(*) as answers, count(distinct persona_uuid) as people, count(distinct (persona_uuid, sequence)) as sessions, count(distinct stimulus_id) as concepts,
              count(distinct measure) as measures, min(per) as n_per_concept_min, max(per) as n_per_concept_max
       from (select v.*, q.measure, p.per from units v join q on q.question_id = v.question_id join (select survey_id, stimulus_id, count(distinct persona_uuid) as per from units group by all) p on p.survey_id = v.survey_id and p.stimulus_id = v.stimulus_id) y group by survey_id) u
@@ -254,7 +255,7 @@ MESSAGES = PLAN | {
 select u.survey_id, u.persona_uuid, u.question_id, x.measure as system, b.ord, b.question_id as turn, b.ord = x.ord as last, r.answer_raw as answer,
        'user:' || case when b.ord = 0 then concat('{HEADINGS["profile"]}', chr(10), card, chr(10), chr(10), '{HEADINGS["stimulus"]}', chr(10), 'Concept ', b.slot, chr(10), chr(10)) else '' end || b.block as said
 from units u join blocks x on x.question_id = u.question_id join blocks b on b.slot = x.slot and b.ord <= x.ord join cards on cards.uuid = u.persona_uuid
-left join responses_raw r on r.persona_uuid = u.persona_uuid and r.question_id = b.question_id""",
+left join responses_raw r on r.survey_id = u.survey_id and r.persona_uuid = u.persona_uuid and r.question_id = b.question_id""",
 }
 
 
@@ -265,7 +266,7 @@ select survey_id, persona_uuid, question_id, concat('system:system ', max(system
 
 
 put("message_rows", f"select survey_id, persona_uuid, question_id, messages from ({talk('answer')}) x where missing = ''", "panel", "persons", "responses_raw", also=MESSAGES)
-put("prompt_sample", talk("coalesce(answer, '(no answer)')"), "panel", "persons", "responses_raw", also={k: v.replace("where role = 'main'", "where persona_uuid = (select min(persona_uuid) from responses_raw)") for k, v in MESSAGES.items()})
+put("prompt_sample", talk("coalesce(answer, '(no answer)')"), "panel", "persons", "responses_raw", also={k: v.replace("where role = 'main'", "where (survey_id, persona_uuid) in (select survey_id, min(persona_uuid) from responses_raw group by survey_id)") for k, v in MESSAGES.items()})
 
 # monitoring
 put("flag_rates", " union all ".join(f"select survey_id, '{f}' as flag, count(*) filter (list_contains(flags, '{f}')) as n, round(count(*) filter (list_contains(flags, '{f}')) / count(*), 6) as rate, {literal(f in ('parse_error', 'refusal'))} and count(*) filter (list_contains(flags, '{f}')) / count(*) > 0.05 as warn from responses group by survey_id" for f in ("parse_error", "out_of_range", "retried", "refusal", "straightline", "output_limit")), "responses_raw", also=RESPONSES)
@@ -295,7 +296,7 @@ FRAME = RESPONSES | {
 select r.survey_id, r.persona_uuid, r.question_id, r.measure, r.type, r.k, r.stimulus_id, r.answer_text, p.cell_id, coalesce(p.weight, 1) as weight, sex, age, area, education_level, marital_status,
        list_transform(r.codes, lambda c: case when c between 1 and 5 then r.options_order[c] else c end) as codes,
        len(list_intersect(r.flags, ['parse_error', 'out_of_range', 'refusal', 'straightline', 'output_limit'])) > 0 as flagged
-from responses r join panel p on p.persona_uuid = r.persona_uuid and p.role = 'main' left join persons on uuid = r.persona_uuid""",
+from responses r join panel p on p.survey_id = r.survey_id and p.persona_uuid = r.persona_uuid and p.role = 'main' left join persons on uuid = r.persona_uuid""",
     "seg": """
 select f.*, x.axis, x.segment from frame f, lateral (
   select 'total' as axis, 'total' as segment union all select 'sex', coalesce(nullif(f.sex, ''), '(不明)') union all select 'education_level', coalesce(nullif(f.education_level, ''), '(不明)')
@@ -305,7 +306,7 @@ select f.*, x.axis, x.segment from frame f, lateral (
     "xt": """
 select g.survey_id, g.measure, g.stimulus_id, g.axis, g.segment, g.code, g.n, g.n_unflagged, case when g.w > 0 then coalesce(c.w, 0) / g.w else 0 end as share
 from (select *, unnest(range(1, k + 1)) as code from grp) g left join (select survey_id, measure, stimulus_id, axis, segment, code, sum(weight) as w from (select *, unnest(ok) as code from val) y group by survey_id, measure, stimulus_id, axis, segment, code) c
-  on c.measure = g.measure and c.stimulus_id = g.stimulus_id and c.axis = g.axis and c.segment = g.segment and c.code = g.code""",
+  on c.survey_id = g.survey_id and c.measure = g.measure and c.stimulus_id = g.stimulus_id and c.axis = g.axis and c.segment = g.segment and c.code = g.code""",
 }
 
 
@@ -324,7 +325,7 @@ frame("mean_score", _mean)
 _numeric = "select survey_id, measure, stimulus_id, axis, segment, count(*) as n, count(*) filter (not flagged) as n_unflagged, round(sum(weight * v) / sum(weight), 6) as mean from (select *, try_cast(replace(answer_text, ',', '') as double) as v from seg where type = 'numeric') x where v is not null group by all"
 frame("numeric_metric", _numeric)
 frame("quality_split", "select survey_id, count(*) as n, count(*) filter (flagged) as n_flagged, round(count(*) filter (flagged) / count(*), 6) as share, count(*) filter (flagged) / count(*) > 0.05 as note from frame group by survey_id")
-frame("concept_complete", "select 's1' as survey_id, g.measure, g.stimulus_id, g.code, coalesce(x.n, 0) as n, round(x.share, 6) as share from (select m.measure, s.stimulus_id, unnest(range(1, 6)) as code from (values ('q_intent'), ('q_multi')) m(measure), (values ('c1'), ('c2'), ('c3'), ('c9')) s(stimulus_id)) g left join xt x on x.axis = 'total' and x.measure = g.measure and x.stimulus_id = g.stimulus_id and x.code = g.code")
+frame("concept_complete", "select g.survey_id, g.measure, g.stimulus_id, g.code, coalesce(x.n, 0) as n, round(x.share, 6) as share from (select f.survey_id, m.measure, s.stimulus_id, unnest(range(1, 6)) as code from fielded f, (values ('q_intent'), ('q_multi')) m(measure), (values ('c1'), ('c2'), ('c3'), ('c9')) s(stimulus_id)) g left join xt x on x.axis = 'total' and x.survey_id = g.survey_id and x.measure = g.measure and x.stimulus_id = g.stimulus_id and x.code = g.code", "fielded")
 _wide = "select survey_id, measure, stimulus_id, axis, segment, n, n_unflagged, " + ", ".join(f"round(max(share) filter (code = {k}), 6) as option_{k}" for k in range(1, 7)) + " from xt group by all"
 _GROUP = "survey_id, measure, stimulus_id, axis, segment"
 _metrics = f"""
@@ -342,14 +343,14 @@ _answered = "select distinct survey_id, measure, stimulus_id from frame where ty
 frame("crosstab_unanswered", f"""
 select g.*, 0 as n, 0 as n_unflagged, cast(null as double) as option_1, cast(null as double) as mean_score,
        concat('回答が1件も無いため n=0 で出している: ', string_agg(concat('Concept ', substring(stimulus_id, 2), ' / ', measure), '・' order by measure, stimulus_id) over (partition by survey_id rows between unbounded preceding and unbounded following)) as note
-from (select 's1' as survey_id, m.measure, s.stimulus_id from (values ('q_intent'), ('q_multi'), ('q_price')) m(measure), (values ('c1'), ('c2'), ('c3'), ('c8'), ('c9')) s(stimulus_id)) g
-where (survey_id, measure, stimulus_id) not in ({_answered})""")
-frame("off_target", "select distinct survey_id, 'cell_id' as kind, cell_id as value from frame where cell_id not in (select cell_id from panel_cells) union all select distinct survey_id, 'sex', sex from frame where sex <> '' and sex not in (select sex from panel_cells)", "panel_cells")
+from (select f.survey_id, m.measure, s.stimulus_id from fielded f, (values ('q_intent'), ('q_multi'), ('q_price')) m(measure), (values ('c1'), ('c2'), ('c3'), ('c8'), ('c9')) s(stimulus_id)) g
+where (survey_id, measure, stimulus_id) not in ({_answered})""", "fielded")
+frame("off_target", "select distinct survey_id, 'cell_id' as kind, cell_id as value from frame where (survey_id, cell_id) not in (select survey_id, cell_id from panel_cells) union all select distinct survey_id, 'sex', sex from frame where sex <> '' and (survey_id, sex) not in (select survey_id, sex from panel_cells)", "panel_cells")
 put("panel_composition", """
 select c.survey_id, c.cell_id, c.ord, c.n as target, count(*) filter (role = 'main') as main, count(*) filter (role = 'reserve') as reserve, count(*) filter (role = 'screened_out') as screened_out, count(*) filter (role = 'candidate') as candidate,
-       round(count(*) filter (role in ('main', 'reserve')) / nullif(count(*) filter (role <> 'candidate'), 0), 6) as incidence, round(coalesce(max(weight) filter (role = 'main'), 1), 4) as weight
-from panel_cells c join panel p on p.cell_id = c.cell_id group by c.survey_id, c.cell_id, c.ord, c.n""", "panel_cells")
-frame("open_ends", "select survey_id, stimulus_id, r.question_id, r.persona_uuid, sex, age, area, education_level, marital_status, trim(coalesce(answer_raw, '')) as answer_text from responses_raw r join (select distinct persona_uuid as pu, sex, age, area, education_level, marital_status from frame) f on f.pu = r.persona_uuid where r.question_id like 'q_price%'")
+       case when c.survey_id in (select survey_id from panel where role in ('reserve', 'screened_out')) then round(count(*) filter (role in ('main', 'reserve')) / nullif(count(*) filter (role <> 'candidate'), 0), 6) end as incidence, round(coalesce(max(weight) filter (role = 'main'), 1), 4) as weight
+from panel_cells c join panel p on p.survey_id = c.survey_id and p.cell_id = c.cell_id group by c.survey_id, c.cell_id, c.ord, c.n""", "panel_cells")
+frame("open_ends", "select r.survey_id, stimulus_id, r.question_id, r.persona_uuid, sex, age, area, education_level, marital_status, trim(coalesce(answer_raw, '')) as answer_text from responses_raw r join (select survey_id as ps, p.persona_uuid as pu, sex, age, area, education_level, marital_status from panel p join persons on uuid = p.persona_uuid where role = 'main') f on f.ps = r.survey_id and f.pu = r.persona_uuid where r.question_id like 'q_price%'")
 frame("labelled_raw", "select persona_uuid, stimulus_id, concat('Concept ', substring(stimulus_id, 2)) as name, question_id, case when type = 'numeric' then '' else array_to_string(list_transform(list_sort(codes), lambda c: concat(c, '. ', case when c between 1 and k then concat('opt', c) else '(不明)' end)), '|') end as labels from frame")
 
 # history

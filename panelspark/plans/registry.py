@@ -227,6 +227,14 @@ def premises(spark, sf):
 # work plan
 
 
+def _questions(spark, sf):
+    return C.questions(view(spark, sf, "fielded"))
+
+
+def _stimuli(spark, sf):
+    return C.stimuli(view(spark, sf, "fielded"))
+
+
 def _refs(df):
     return df.withColumn("refs", F.filter(F.array("ref_a", "ref_b"), lambda x: x.isNotNull()))
 
@@ -236,7 +244,7 @@ def _panel(spark, sf):
 
 
 def _plan(spark, sf):
-    plan = W.plan_work(_panel(spark, sf), W.asking_order(C.questions(spark)))
+    plan = W.plan_work(_panel(spark, sf), W.asking_order(_questions(spark, sf)))
     return plan.withColumn("group_pos", F.col("sequence"))
 
 
@@ -248,12 +256,12 @@ def slot_expand(spark, sf):
 
 @query
 def work_plan(spark, sf):
-    return W.plan_work(_panel(spark, sf), W.asking_order(C.questions(spark)))
+    return W.plan_work(_panel(spark, sf), W.asking_order(_questions(spark, sf)))
 
 
 @query
 def work_volume(spark, sf):
-    return W.work_volume(_plan(spark, sf), _candidates(spark, sf), 10, C.RATES, C.questions(spark).select("survey_id", "question_id", "measure"))
+    return W.work_volume(_plan(spark, sf), _candidates(spark, sf), 10, C.RATES, _questions(spark, sf).select("survey_id", "question_id", "measure"))
 
 
 @query
@@ -274,8 +282,8 @@ def session_groups(spark, sf):
 
 
 def _parsed(spark, sf):
-    q = C.questions(spark)
-    return O.parse_answers(view(spark, sf, "responses_raw"), q).join(F.broadcast(q.select("question_id", "measure", "type")), "question_id")
+    q = _questions(spark, sf)
+    return O.parse_answers(view(spark, sf, "responses_raw"), q).join(q.select("survey_id", "question_id", "measure", "type"), ["survey_id", "question_id"])
 
 
 @query
@@ -314,7 +322,7 @@ def parse_reasoning(spark, sf):
     # each raw answer in a reply of its own shape: quoted as the reason, as plain text, or without a reason
     said = F.replace(F.col("answer_raw"), F.lit('"'), F.lit("'"))
     raw = F.when(F.col("attempt") % 3 == 1, F.concat(F.lit('{"answer": 2, "reasoning": " わかりません \\"'), said, F.lit('\\" "}'))).when(F.col("attempt") % 3 == 2, F.concat(F.lit("わかりません 3 "), said)).otherwise(F.concat(F.lit('{"answer": '), F.length(said).cast("string"), F.lit(', "reasoning": ""}')))
-    q = C.questions(spark).withColumn("with_reason", F.lit(True))
+    q = _questions(spark, sf).withColumn("with_reason", F.lit(True))
     out = O.parse_answers(view(spark, sf, "responses_raw").withColumn("answer_raw", raw).filter("question_id like 'q_intent%'"), q)
     return out.select("persona_uuid", "question_id", text_of("answer_codes").alias("codes"), "answer_reasoning", text_of("flags").alias("flags"))
 
@@ -332,8 +340,8 @@ def row_flags(spark, sf):
 def _responses(spark, sf):
     """Parsed, straightlining marked, with the options' order."""
     order = F.when(number() % 2 == 0, F.array(*map(F.lit, [3, 1, 2, 5, 4]))).otherwise(F.array(*map(F.lit, [1, 2, 3, 4, 5])))
-    parsed = O.parse_answers(view(spark, sf, "responses_raw"), C.questions(spark))
-    return O.mark_straightlining(parsed, C.questions(spark)).withColumn("options_order", order)
+    parsed = O.parse_answers(view(spark, sf, "responses_raw"), _questions(spark, sf))
+    return O.mark_straightlining(parsed, _questions(spark, sf)).withColumn("options_order", order)
 
 
 @query
@@ -366,7 +374,7 @@ def question_blocks(spark, sf):
 
 
 def _messages(spark, sf, people, missing=None):
-    q = W.asking_order(C.questions(spark))
+    q = W.asking_order(_questions(spark, sf))
     ids = F.filter(F.array(*(F.lit(x) for x, *_ in C.QUESTIONS)), lambda x: F.substring_index(x, "_s", -1) == F.col("slot").cast("string"))
     q = q.withColumn("remember", F.lit("list")).withColumn("refs", F.slice(ids, 1, F.col("ord")))
     edges = W.memory_edges(q)
@@ -386,7 +394,7 @@ def message_rows(spark, sf):
 
 @query
 def prompt_sample(spark, sf):
-    panel = _panel(spark, sf).withColumn("survey_id", F.lit("s1"))
+    panel = _panel(spark, sf)
     first = view(spark, sf, "responses_raw").groupBy("survey_id").agg(F.min("persona_uuid").alias("persona_uuid"))
     people = panel.withColumn("role", F.lit("main")).join(first, ["survey_id", "persona_uuid"], "left_semi")
     return _messages(spark, sf, people, missing="(no answer)")
@@ -433,7 +441,7 @@ def panel_summary(spark, sf):
 
 
 def _frame(spark, sf):
-    return X.answer_frame(_responses(spark, sf), view(spark, sf, "panel"), view(spark, sf, "persons"), C.questions(spark), C.PERSON_COLUMNS)
+    return X.answer_frame(_responses(spark, sf), view(spark, sf, "panel"), view(spark, sf, "persons"), _questions(spark, sf), C.PERSON_COLUMNS)
 
 
 @query
@@ -459,13 +467,13 @@ def crosstab_long(spark, sf):
 
 @query
 def top_box(spark, sf):
-    boxes = C.questions(spark).filter("slot = 1").select("survey_id", "measure", "top_box")
+    boxes = _questions(spark, sf).filter("slot = 1").select("survey_id", "measure", "top_box")
     return rounded(X.top_box(X.crosstab(_frame(spark, sf), C.AXES), boxes), "top_box_share")
 
 
 @query
 def mean_score(spark, sf):
-    ordinal = C.questions(spark).filter("type = 'scale' or size(top_box) > 0").select("survey_id", "measure").distinct()
+    ordinal = _questions(spark, sf).filter("type = 'scale' or size(top_box) > 0").select("survey_id", "measure").distinct()
     return rounded(X.mean_scores(_frame(spark, sf), C.AXES, ordinal), "mean_score")
 
 
@@ -481,17 +489,18 @@ def quality_split(spark, sf):
 
 @query
 def concept_complete(spark, sf):
-    stimuli = C.stimuli(spark).select("survey_id", "stimulus_id").unionByName(spark.createDataFrame([("s1", "c9")], "survey_id string, stimulus_id string"))
-    measures = C.questions(spark).filter("slot = 1 and n_options > 0").select("survey_id", "measure", "n_options")
+    more = view(spark, sf, "fielded").select("survey_id", F.lit("c9").alias("stimulus_id"))
+    stimuli = _stimuli(spark, sf).select("survey_id", "stimulus_id").unionByName(more)
+    measures = _questions(spark, sf).filter("slot = 1 and n_options > 0").select("survey_id", "measure", "n_options")
     return rounded(X.complete_concepts(X.crosstab(_frame(spark, sf), ["total"]), stimuli, measures), "share")
 
 
-def _measures(spark):
-    return C.questions(spark).groupBy("survey_id", "measure").agg(F.min_by("top_box", "slot").alias("top_box"), F.bool_or((F.col("type") == "scale") | (F.size("top_box") > 0)).alias("ordinal"))
+def _measures(spark, sf):
+    return _questions(spark, sf).groupBy("survey_id", "measure").agg(F.min_by("top_box", "slot").alias("top_box"), F.bool_or((F.col("type") == "scale") | (F.size("top_box") > 0)).alias("ordinal"))
 
 
 def _metrics(spark, sf, frame):
-    table = X.stacked_metrics(frame, C.AXES, _measures(spark), 6)
+    table = X.stacked_metrics(frame, C.AXES, _measures(spark, sf), 6)
     return rounded(table, *(f"option_{k}" for k in range(1, 7)), "top_box_share", "mean_score")
 
 
@@ -516,8 +525,10 @@ def crosstab_legend(spark, sf):
 @query
 def crosstab_unanswered(spark, sf):
     """Concepts that were in the field and got no answer keep a row, and are named."""
-    stimuli = C.stimuli(spark).unionByName(spark.createDataFrame([("s1", "c8", "Concept 8"), ("s1", "c9", "Concept 9")], "survey_id string, stimulus_id string, name string"))
-    table = X.with_unanswered(_metrics(spark, sf, _frame(spark, sf)), stimuli, _measures(spark))
+    surveys = view(spark, sf, "fielded")
+    more = [surveys.select("survey_id", F.lit(f"c{i}").alias("stimulus_id"), F.lit(f"Concept {i}").alias("name")) for i in (8, 9)]
+    stimuli = _stimuli(spark, sf).unionByName(more[0]).unionByName(more[1])
+    table = X.with_unanswered(_metrics(spark, sf, _frame(spark, sf)), stimuli, _measures(spark, sf))
     rows = table.filter("axis is null").select("survey_id", "measure", "stimulus_id", "n", "n_unflagged", "option_1", "mean_score")
     return rows.join(X.unanswered_note(table, stimuli), "survey_id")
 
@@ -534,7 +545,7 @@ def panel_composition(spark, sf):
 
 @query
 def open_ends(spark, sf):
-    q = C.questions(spark).withColumn("type", F.when(F.col("measure") == "q_price", "open").otherwise(F.col("type")))
+    q = _questions(spark, sf).withColumn("type", F.when(F.col("measure") == "q_price", "open").otherwise(F.col("type")))
     r = O.parse_answers(view(spark, sf, "responses_raw"), q).withColumn("options_order", F.array().cast("array<int>"))
     frame = X.answer_frame(r, view(spark, sf, "panel"), view(spark, sf, "persons"), q, C.PERSON_COLUMNS)
     return X.open_ends(frame, C.PERSON_COLUMNS)
@@ -542,8 +553,8 @@ def open_ends(spark, sf):
 
 @query
 def labelled_raw(spark, sf):
-    options = C.questions(spark).filter("n_options > 0").select("survey_id", "question_id", F.transform(F.sequence(F.lit(1), "n_options"), lambda i: F.concat(F.lit("opt"), i.cast("string"))).alias("options"))
-    return X.labelled(_frame(spark, sf), C.stimuli(spark), options).select("persona_uuid", "stimulus_id", "name", "question_id", "labels")
+    options = _questions(spark, sf).filter("n_options > 0").select("survey_id", "question_id", F.transform(F.sequence(F.lit(1), "n_options"), lambda i: F.concat(F.lit("opt"), i.cast("string"))).alias("options"))
+    return X.labelled(_frame(spark, sf), _stimuli(spark, sf), options).select("persona_uuid", "stimulus_id", "name", "question_id", "labels")
 
 
 # history

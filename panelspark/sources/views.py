@@ -25,22 +25,34 @@ select concat('u', lpad(cast(c_custkey as string), 8, '0')) as uuid,
               case c_custkey % 5 when 0 then ' 大手' when 1 then ' 中堅' when 2 then ' 中小' when 3 then ' 大手 経営' else '' end,
               case c_custkey % 7 when 0 then ' (現在は引退)' when 1 then ' (現在は離職)' else '' end) as occupation
 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""),
-    # every order is a reply to one of nine units of its customer; the last reply to a unit stands, with the attempts of all
-    "responses_raw": ((), """
-select 's1' as survey_id, concat('u', lpad(cast(o_custkey as string), 8, '0')) as persona_uuid, concat('c', cast(slot as string)) as stimulus_id,
+    # every order is a reply to one of nine units of its customer: the first to a unit belongs to survey s1, the next one to
+    # s2, and so on.  Replies are numbered inside parts of the order keys, whose counts are added up first, so that no
+    # window holds all orders of a customer
+    "replies": ((), """
+select r.o_custkey, r.o_orderkey, r.o_orderdate, r.o_orderpriority, r.unit, coalesce(c.earlier, 0) + row_number() over (partition by r.o_custkey, r.unit, r.part order by r.o_orderkey) as wave
+from (select o_custkey, o_orderkey, o_orderdate, o_orderpriority, o_orderkey % 9 as unit, floor(o_orderkey / 100000) as part from orders) r
+join (select o_custkey, unit, part, sum(n) over (partition by o_custkey, unit order by part rows between unbounded preceding and 1 preceding) as earlier
+      from (select o_custkey, o_orderkey % 9 as unit, floor(o_orderkey / 100000) as part, count(*) as n from orders group by o_custkey, o_orderkey % 9, floor(o_orderkey / 100000)) g) c
+  on c.o_custkey = r.o_custkey and c.unit = r.unit and c.part = r.part"""),
+    "responses_raw": (("replies",), """
+select concat('s', cast(cast(wave as bigint) as string)) as survey_id, concat('u', lpad(cast(o_custkey as string), 8, '0')) as persona_uuid, concat('c', cast(slot as string)) as stimulus_id,
        concat(measure, '_s', cast(slot as string)) as question_id, slot as sequence,
        case o_orderkey % 13
          when 0 then concat('{"answer": ', code, '}') when 1 then 'わかりません'
          when 2 then '9' when 3 then concat('{"answers": [3, ', code, ', 3]}')
          when 4 then '３番です' when 5 then '1、3' when 6 then ''
          else priority end as answer_raw,
-       attempt, ts
-from (select o_custkey, o_orderkey, priority, substring(priority, 1, 1) as code, attempt, ts,
+       cast(1 + o_orderkey % 3 as int) as attempt, ts
+from (select o_custkey, o_orderkey, wave, o_orderpriority as priority, substring(o_orderpriority, 1, 1) as code, o_orderdate as ts,
              cast(floor(unit / 3) + 1 as int) as slot,
              case unit % 3 when 0 then 'q_intent' when 1 then 'q_multi' else 'q_price' end as measure
-      from (select o_custkey, o_orderkey % 9 as unit, max(o_orderkey) as o_orderkey, max_by(o_orderpriority, o_orderkey) as priority,
-                   max_by(o_orderdate, o_orderkey) as ts, cast(sum(1 + o_orderkey % 3) as int) as attempt
-            from orders group by o_custkey, o_orderkey % 9) a) b"""),
+      from replies) b"""),
+    # survey s1 is open to everyone, a later one to those who took part
+    "takers": (("persons", "responses_raw"), """
+select 's1' as survey_id, uuid as persona_uuid from persons
+union all select distinct survey_id, persona_uuid from responses_raw where survey_id <> 's1'"""),
+    "fielded": (("responses_raw",), """
+select distinct survey_id from responses_raw union select 's1' as survey_id"""),
     "call_log": ((), """
 select concat('run', cast(user_id % 5 as string)) as run_id, event_id as call_id, ts,
        event_type = 'error' as failed, cast(floor(value * 100) as int) as latency_ms,
@@ -94,12 +106,12 @@ select survey_id, concat('q', cast(ord as string)) as question_id, ord, cast(1 +
        case when remember = 'list' and ord >= 3 then concat('q', cast(ord - 3 as string)) end as ref_a,
        case when remember = 'list' and ord >= 6 then concat('q', cast(ord - 6 as string)) end as ref_b
 from typed_questions"""),
-    "panel": (("persons",), """
-select 's1' as survey_id, uuid as persona_uuid,
+    "panel": (("persons", "takers"), """
+select survey_id, uuid as persona_uuid,
        concat(case when sex = '男' then 'M' else 'F' end, case when age < 40 then '_18_39' when age < 60 then '_40_59' else '_60_100' end) as cell_id,
        case when cast(substring(uuid, 2) as int) % 11 = 0 then 'reserve' when cast(substring(uuid, 2) as int) % 13 = 0 then 'screened_out' else 'main' end as role,
        case when cast(substring(uuid, 2) as int) % 9 = 0 then null else 0.5 + (cast(substring(uuid, 2) as int) % 4) * 0.25 end as weight
-from persons"""),
+from takers join persons on uuid = persona_uuid"""),
     "cell_report": (("persons",), """
 select region as survey_id, concat(prefecture, '_', cast(cast(floor(age / 20) as int) as string)) as cell_id, cast(5 as int) as needed,
        count(case when cast(substring(uuid, 2) as int) % 40 = 0 then 1 end) as achieved,
@@ -107,7 +119,7 @@ select region as survey_id, concat(prefecture, '_', cast(cast(floor(age / 20) as
        count(case when cast(substring(uuid, 2) as int) % 40 <> 0 and cast(substring(uuid, 2) as int) % 45 <> 1 then 1 end) as screened_out
 from persons group by region, concat(prefecture, '_', cast(cast(floor(age / 20) as int) as string))"""),
     "panel_cells": (("panel",), """
-select survey_id, cell_id, cast(floor(count(*) / 2) as int) as n, cast(500 as int) as size, cast(row_number() over (order by cell_id) as int) as ord, case when substring(cell_id, 1, 1) = 'M' then '男' else '女' end as sex
+select survey_id, cell_id, cast(floor(count(*) / 2) as int) as n, cast(500 as int) as size, cast(row_number() over (partition by survey_id order by cell_id) as int) as ord, case when substring(cell_id, 1, 1) = 'M' then '男' else '女' end as sex
 from panel where cell_id <> 'F_60_100' group by survey_id, cell_id"""),
     # runs of surveys, from orders
     "runs": ((), """

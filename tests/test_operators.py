@@ -145,10 +145,18 @@ def test_crosstab_by_hand(spark):
     assert X.mean_scores(df, ["total"], ordinal).first()["mean_score"] == 4.0
 
 
+def test_answers_are_parsed_by_their_own_survey(spark):
+    raw = spark.createDataFrame([("s", "q", "3", 1), ("t", "q", "3", 1)], "survey_id string, question_id string, answer_raw string, attempt int")
+    q = spark.createDataFrame([("s", "q", "single", 5, False), ("t", "q", "single", 2, False)], "survey_id string, question_id string, type string, n_options int, with_reason boolean")
+    got = {r["survey_id"]: r["flags"] for r in O.parse_answers(raw, q).collect()}
+    assert got == {"s": [], "t": ["out_of_range"]}
+
+
 def test_straightline_is_set_and_cleared(spark):
     rows = [("s", "a", f"q{i}", [2], ["refusal"]) for i in range(3)] + [("s", "b", f"q{i}", [i + 1], ["straightline"]) for i in range(3)]
     df = spark.createDataFrame(rows, "survey_id string, persona_uuid string, question_id string, answer_codes array<int>, flags array<string>")
-    q = spark.createDataFrame([(f"q{i}", "single") for i in range(3)], "question_id string, type string")
+    # the same question ids in another survey are other questions
+    q = spark.createDataFrame([("s", f"q{i}", "single") for i in range(3)] + [("t", f"q{i}", "open") for i in range(3)], "survey_id string, question_id string, type string")
     got = {(r["persona_uuid"], tuple(r["flags"])) for r in O.mark_straightlining(df, q).collect()}
     assert got == {("a", ("refusal", "straightline")), ("b", ())}
 
