@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from panelspark.functions.answers import ALL_FLAGS
 
 WARN_RATE = 0.05
+#: Size of quantile sketches; their ranks are off by about 2.4 / SKETCH_K ** 0.94 at most.
+SKETCH_K = 400
 
 
 def flag_rates(responses: DataFrame) -> DataFrame:
@@ -71,6 +73,29 @@ def latency_profile(calls: DataFrame, accuracy: int = 10_000) -> DataFrame:
     return calls.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.avg("attempt"), 6).alias("avg_attempt"), p[0].alias("p50"), p[1].alias("p95"), F.max("latency_ms").alias("max_ms"))
 
 
+def call_sketches(calls: DataFrame, unit: str = "hour", k: int = SKETCH_K) -> DataFrame:
+    """run_id, since (the start of an hour), n, attempts, max_ms, latency and ids: what a profile needs of the calls of that hour.
+
+    latency is a quantile sketch of latency_ms and ids a distinct-count sketch of
+    call_id, a few kilobytes each whatever the calls; rows of new hours can be
+    appended to a table, and :func:`merged_profile` rereads no call.
+    """
+    hours = calls.groupBy("run_id", F.date_trunc(unit, "ts").alias("since"))
+    return hours.agg(F.count("*").alias("n"), F.sum("attempt").alias("attempts"), F.max("latency_ms").alias("max_ms"), F.kll_sketch_agg_bigint(F.col("latency_ms").cast("long"), k).alias("latency"), F.hll_sketch_agg(F.col("call_id").cast("long")).alias("ids"))
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """run_id, n, avg_attempt, p50, p95, max_ms and calls (distinct call ids) of each run.
+
+    p50 and p95 are latencies whose rank is within 0.01 of the one asked for (99
+    times in a hundred, at the default size of sketches), calls is within some
+    3 percent; n, avg_attempt and max_ms are exact.
+    """
+    df = sketches.groupBy("run_id").agg(F.sum("n").alias("n"), F.sum("attempts").alias("attempts"), F.max("max_ms").alias("max_ms"), F.kll_merge_agg_bigint("latency").alias("latency"), F.hll_sketch_estimate(F.hll_union_agg("ids")).alias("calls"))
+    quantile = lambda p: F.kll_sketch_get_quantile_bigint("latency", F.lit(p))
+    return df.select("run_id", "n", F.round(F.col("attempts") / F.col("n"), 6).alias("avg_attempt"), quantile(0.5).alias("p50"), quantile(0.95).alias("p95"), "max_ms", "calls")
+
+
 def role_counts(panel: DataFrame, by: Column | str = "role") -> DataFrame:
     return panel.groupBy("survey_id", by).agg(F.count("*").alias("n"), F.count_distinct("persona_uuid").alias("people"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEX_LETTERS = {"男": "M", "女": "F"}
+#: Years of a bin in which cells and census bands meet.
+CENSUS_YEARS = 5
 IN_LISTS = ("prefecture", "region", "area", "marital_status", "education_level")
 
 
@@ -28,14 +31,20 @@ def equal_shares(cells: DataFrame) -> DataFrame:
     return cells.withColumn("proportion", 1.0 / F.count("*").over(Window.partitionBy("survey_id")))
 
 
-def population_shares(cells: DataFrame, census: DataFrame) -> DataFrame:
+def population_shares(cells: DataFrame, census: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Shares by population inside the requested ranges; the rounding residue goes to the last cell.
 
     Census bands count where they lie inside a cell; a cell without population is an error.
+    ``by`` names further columns that a cell and a census band share, such as the
+    region.  A cell is cut into bins of five years and meets the bands that start
+    in one of them, so this is an equality join, of a census of any size.
     """
-    rows = F.broadcast(census.select("sex", F.col("age_min").alias("_lo"), F.col("age_max").alias("_hi"), "population"))  # five-year bands by sex: a few dozen rows
-    inside = cells.join(rows, (cells["sex"] == rows["sex"]) & (F.col("age_min") <= F.col("_lo")) & (F.col("_hi") <= F.col("age_max")), "left").drop(rows["sex"])
-    people = inside.groupBy(*cells.columns).agg(F.sum("population").alias("population"))
+    key = ["sex", *by, "_bin"]
+    bin_of = lambda age: F.floor(F.col(age) / CENSUS_YEARS)
+    rows = census.select("sex", *by, bin_of("age_min").alias("_bin"), F.col("age_min").alias("_lo"), F.col("age_max").alias("_hi"), "population")
+    spread = cells.withColumn("_bin", F.explode_outer(F.sequence(bin_of("age_min"), bin_of("age_max"))))
+    within = (F.col("age_min") <= F.col("_lo")) & (F.col("_hi") <= F.col("age_max"))
+    people = spread.join(rows, key, "left").groupBy(*cells.columns).agg(F.sum(F.when(within, F.col("population"))).alias("population"))
     people = people.filter(F.assert_true(F.coalesce(F.col("population"), F.lit(0)) > 0, "a cell has no population").isNull())
     per = Window.partitionBy("survey_id")
     return last_takes_rest(people.withColumn("proportion", F.col("population") / F.sum("population").over(per)))

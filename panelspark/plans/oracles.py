@@ -53,6 +53,11 @@ put("cells_population", """
 select survey_id, cell_id, population, round(case when ord = max(ord) over (partition by survey_id) then 1 - coalesce(sum(share) over (partition by survey_id order by ord rows between unbounded preceding and 1 preceding), 0) else share end, 6) as proportion
 from (select *, population / sum(population) over (partition by survey_id) as share
       from (select c.survey_id, c.cell_id, c.ord, sum(n.population) as population from cells c join census n on n.sex = c.sex and c.age_min <= n.age_min and n.age_max <= c.age_max group by all) x) y""", "ranges", "census", also=GENERATED)
+put("cells_population_regional", """
+select survey_id, cell_id, region, population, round(case when ord = max(ord) over (partition by survey_id) then 1 - coalesce(sum(share) over (partition by survey_id order by ord rows between unbounded preceding and 1 preceding), 0) else share end, 6) as proportion
+from (select *, population / sum(population) over (partition by survey_id) as share
+      from (select c.survey_id, c.cell_id, c.ord, n.region, sum(n.population) as population from cells c join region r on r.r_regionkey = c.size % 5
+            join regional_census n on n.region = r.r_name and n.sex = c.sex and c.age_min <= n.age_min and n.age_max <= c.age_max group by all) x) y""", "ranges", "regional_census", also=GENERATED)
 APPORTIONED = {"apportioned": """
 select *, cast(f + case when row_number() over (partition by survey_id order by exact - f desc, cell_id) <= size - sum(f) over (partition by survey_id) then 1 else 0 end as int) as n
 from (select *, floor(exact) as f from (select *, p * size as exact from (select *, 1.0::double / count(*) over (partition by survey_id) as p from cells) a) b) c"""}
@@ -316,6 +321,7 @@ def frame(name: str, select: str, *more: str, also: dict[str, str] | None = None
 
 put("code_remap", "select persona_uuid, question_id, array_to_string(list_transform(codes, lambda c: case when c between 1 and 5 then options_order[c] else c end), ',') as codes from responses", "responses_raw", also=RESPONSES)
 frame("answer_frame", "select survey_id, persona_uuid, question_id, measure, stimulus_id, cell_id, weight, sex, age, area, education_level, marital_status, array_to_string(codes, ',') as codes, flagged from frame")
+ORACLES["answer_frame_colocated"] = ORACLES["answer_frame"]
 frame("segment_rows", "select persona_uuid, question_id, axis, segment from seg")
 frame("crosstab_long", "select * replace (round(share, 6) as share) from xt")
 _top = "select survey_id, measure, stimulus_id, axis, segment, case when max(measure) = 'q_intent' then round(sum(share) filter (code in (1, 2)), 6) end as top_box_share from xt group by survey_id, measure, stimulus_id, axis, segment"
@@ -363,3 +369,4 @@ put("table_fingerprint", f"select count(*) as n_rows, cast(sum(cast(concat('0x',
 put("latency_profile", """
 select run_id, count(*) as n, round(avg(attempt), 6) as avg_attempt, quantile_disc(latency_ms, 0.5) as p50, quantile_disc(latency_ms, 0.95) as p95, max(latency_ms) as max_ms
 from call_log group by run_id""", "call_log")
+put("latency_sketches", "select run_id, count(*) as n, round(avg(attempt), 6) as avg_attempt, max(latency_ms) as max_ms, true as p50_near, true as p95_near, true as calls_near from call_log group by run_id", "call_log")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from panelspark.operators import screening as E
 from panelspark.operators import workplan as W
 from panelspark.plans import config as C
 from panelspark.plans import oracles as S
-from panelspark.sources.tables import cut, fingerprint, merged
+from panelspark.sources.tables import colocated, cut, fingerprint, merged, write_bucketed
 from panelspark.sources.views import base, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +87,15 @@ def cells_population(spark, sf):
     return rounded(_shares(spark, sf), "proportion").select("survey_id", "cell_id", "population", "proportion")
 
 
+@query
+def cells_population_regional(spark, sf):
+    """Each survey's cells by the population of its own region."""
+    regions = base(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("_r"), F.col("r_name").alias("region"))
+    cells = _cells(spark, sf).withColumn("_r", F.col("size") % 5).join(regions, "_r").drop("_r")
+    shares = Q.population_shares(cells, view(spark, sf, "regional_census"), ["region"])
+    return rounded(shares, "proportion").select("survey_id", "cell_id", "region", "population", "proportion")
+
+
 @query
 def apportion(spark, sf):
     return Q.apportion(Q.equal_shares(_cells(spark, sf))).select("survey_id", "cell_id", "size", "n")
@@ -430,6 +440,19 @@ def latency_profile(spark, sf):
     return G.latency_profile(view(spark, sf, "call_log"))
 
 
+@query
+def latency_sketches(spark, sf):
+    """Profiles merged from hourly sketches: what is exact, and whether the rest is as near as stated."""
+    calls = view(spark, sf, "call_log")
+    merged = G.merged_profile(G.call_sketches(calls))
+    # the share of latencies below and up to a quantile must hold the rank asked for
+    below = lambda c, or_at: F.avg((F.col("latency_ms") <= F.col(c) if or_at else F.col("latency_ms") < F.col(c)).cast("double"))
+    near = lambda c, p: ((below(c, False) <= p + 0.02) & (below(c, True) >= p - 0.02)).alias(f"{c}_near")
+    ranks = calls.join(merged.select("run_id", "p50", "p95"), "run_id").groupBy("run_id").agg(near("p50", 0.5), near("p95", 0.95))
+    out = merged.join(ranks, "run_id")
+    return out.select("run_id", "n", "avg_attempt", "max_ms", "p50_near", "p95_near", (F.abs(F.col("calls") / F.col("n") - 1) <= 0.05).alias("calls_near"))
+
+
 @query
 def panel_summary(spark, sf):
     panel = view(spark, sf, "panel")
@@ -455,6 +478,22 @@ def answer_frame(spark, sf):
     return _frame(spark, sf).select("survey_id", "persona_uuid", "question_id", "measure", "stimulus_id", "cell_id", "weight", *C.PERSON_COLUMNS, text_of("codes").alias("codes"), "flagged")
 
 
+@query
+def answer_frame_colocated(spark, sf):
+    """The frame over responses, panel and persons that are dealt alike by person: no join shuffles any of them."""
+    names = {c: f"panelspark_{c}_{uuid.uuid4().hex}" for c in ("responses", "panel", "persons")}
+    tables = {"responses": (_responses(spark, sf), "persona_uuid"), "panel": (view(spark, sf, "panel"), "persona_uuid"), "persons": (view(spark, sf, "persons"), "uuid")}
+    try:
+        for c, (df, key) in tables.items():
+            write_bucketed(df, names[c], key, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        with colocated(spark):
+            frame = cut(X.answer_frame(*(spark.table(names[c]) for c in names), _questions(spark, sf), C.PERSON_COLUMNS))
+    finally:
+        for name in names.values():
+            spark.sql(f"drop table if exists {name}")
+    return frame.select("survey_id", "persona_uuid", "question_id", "measure", "stimulus_id", "cell_id", "weight", *C.PERSON_COLUMNS, text_of("codes").alias("codes"), "flagged")
+
+
 @query
 def segment_rows(spark, sf):
     return X.segment_rows(_frame(spark, sf), C.AXES).select("persona_uuid", "question_id", "axis", "segment")

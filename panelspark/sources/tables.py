@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,33 @@ def write_table(df: DataFrame, where: str, mode: str = "overwrite", partition: s
     writer.save(where) if is_path(where) else writer.saveAsTable(where)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, n_buckets: int, path: str | None = None) -> None:
+    """Overwrites a catalog table whose files are dealt by a hash of ``key``, one sorted file a bucket.
+
+    Tables dealt into as many buckets by the same values join and group by that
+    key without a shuffle.  A key that holds much of a table makes one large
+    bucket, so deal by persons rather than by surveys.
+    """
+    writer = df.repartition(n_buckets, key).write.mode("overwrite").format("parquet").bucketBy(n_buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+@contextmanager
+def colocated(spark: SparkSession) -> Iterator[None]:
+    """Inside, a join by several keys needs no shuffle if its sides are dealt alike by some of them.
+
+    Spark asks for all keys otherwise, lest few values of a part of the key make
+    few tasks.  It holds for plans that are run inside.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table_exists(spark: SparkSession, where: str) -> bool:
     if not is_path(where):
         return spark.catalog.tableExists(where)

@@ -76,6 +76,10 @@ from surveys cross join (select '男' as sex, 1 as sex_ord union all select '女
 select sex, cast(floor(age / 5) * 5 as int) as age_min, cast(floor(age / 5) * 5 + 4 as int) as age_max,
        cast(1000 * count(*) + min(age) as int) as population
 from persons group by sex, cast(floor(age / 5) * 5 as int), cast(floor(age / 5) * 5 + 4 as int)"""),
+    # the census of each region, with more people of some ages in some regions
+    "regional_census": (("census",), """
+select r_name as region, sex, age_min, age_max, cast(population * (1 + (floor(age_min / 5) + r_regionkey) % 3) as int) as population
+from census cross join region"""),
     # quota cells as someone typed them: some duplicate ids, some sums that are off
     "typed_cells": ((), """
 select concat('t', cast(ps as string)) as survey_id, concat('cell', cast(case when p_partkey % 29 = 0 then 1 else k end as string)) as cell_id,
