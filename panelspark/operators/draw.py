@@ -69,26 +69,30 @@ def histogram(found: DataFrame, cells: list[dict], reach: list[int]) -> list[lis
 
 
 def within(found: DataFrame, touched: list[list[tuple[str, int]]]) -> DataFrame:
-    """The choices of the buckets touched alone, before anything is shuffled."""
-    last = F.array(*(F.lit(b[-1][0] if b else "") for b in touched))
-    near = F.filter("choices", lambda x: F.substring(x["key"], 1, BUCKET_DIGITS) <= F.get(last, x["cell_ord"]))
+    """The choices of the buckets touched alone, which follow each other, before anything is shuffled."""
+    first, last = (F.array(*(F.lit(b[end][0] if b else "") for b in touched)) for end in (0, -1))
+    bucket = lambda x: F.substring(x["key"], 1, BUCKET_DIGITS)
+    near = F.filter("choices", lambda x: (bucket(x) >= F.get(first, x["cell_ord"])) & (bucket(x) <= F.get(last, x["cell_ord"])))
     return found.select("uuid", near.alias("choices")).filter(F.size("choices") > 0)
 
 
-def ranked_candidates(persons: DataFrame, cells: list[dict], seed: int, everyone: dict | None = None) -> DataFrame:
-    """uuid, cell_id, cell_ord, rank_key, rank: of each cell its first n persons, as if no other cell took any.
+def ranked_candidates(persons: DataFrame, cells: list[dict], seed: int, everyone: dict | None = None, beyond: list[int] | None = None) -> DataFrame:
+    """uuid, cell_id, cell_ord, rank_key, rank: of each cell its first n persons, as if no other cell took any, but for the first ``beyond``.
 
     A histogram of rank keys says which of them can be among the first n; only
     these, and one bucket a cell, are shuffled, once.
     """
     found = matches(persons, cells, seed, everyone)
     touched = histogram(found, cells, [int(c["n"]) for c in cells])
-    rows = [(i, c["cell_id"], int(c["n"]), bucket, before) for i, c in enumerate(cells) for bucket, before in touched[i]]
-    offsets = persons.sparkSession.createDataFrame(rows, "cell_ord int, cell_id string, n long, bucket string, before long")
+    beyond = beyond or [0] * len(cells)
+    for i, b in enumerate(beyond):  # a bucket is used up if the next one starts at or before the first rank wanted
+        touched[i] = [x for x, after in zip(touched[i], [*touched[i][1:], None], strict=True) if after is None or after[1] > b]
+    rows = [(i, c["cell_id"], beyond[i], int(c["n"]), bucket, before) for i, c in enumerate(cells) for bucket, before in touched[i]]
+    offsets = persons.sparkSession.createDataFrame(rows, "cell_ord int, cell_id string, beyond long, n long, bucket string, before long")
     near = within(found, touched).select("uuid", F.explode("choices").alias("choice")).select("uuid", "choice.cell_ord", F.col("choice.key").alias("rank_key"), F.substring("choice.key", 1, BUCKET_DIGITS).alias("bucket"))
     placed = near.join(F.broadcast(offsets), ["cell_ord", "bucket"])  # at most 16 ** BUCKET_DIGITS rows a cell
     inside = F.row_number().over(Window.partitionBy("cell_ord", "bucket").orderBy("rank_key", "uuid"))
-    return placed.withColumn("rank", (F.col("before") + inside).cast("long")).filter("rank <= n").select("uuid", "cell_id", "cell_ord", "rank_key", "rank")
+    return placed.withColumn("rank", (F.col("before") + inside).cast("long")).filter("rank > beyond and rank <= n").select("uuid", "cell_id", "cell_ord", "rank_key", "rank")
 
 
 def apart(one: dict, two: dict) -> bool:
@@ -100,6 +104,10 @@ def apart(one: dict, two: dict) -> bool:
     return low > high or any(one.get(c) and two.get(c) and not set(one[c]) & set(two[c]) for c in IN_LISTS)
 
 
+def all_apart(cells: list[dict]) -> bool:
+    return all(apart(a, b) for a, b in combinations(cells, 2))
+
+
 def still_free(choices: DataFrame, cutoffs: list[tuple[str, str] | None]) -> DataFrame:
     """uuid, cell_ord, key of the choices whose person no earlier cell takes, where a cell takes all it can up to its cutoff (None: all)."""
     line = F.array(*(F.struct(F.lit(c[0] if c else "~").alias("key"), F.lit(c[1] if c else "").alias("uuid")) for c in cutoffs))  # ~ comes after any hexadecimal digit
@@ -139,7 +147,7 @@ def draw(persons: DataFrame, cells: list[dict], seed: int, everyone: dict | None
     so its picks are among its first n + that sum: a table of that size, one row
     a person, is written without a shuffle, and rounds over it settle all cells.
     """
-    if all(apart(a, b) for a, b in combinations(cells, 2)):
+    if all_apart(cells):
         pool = ranked_candidates(persons, cells, seed, everyone)
         return pool.select("uuid", "cell_id", (F.col("rank") - 1).cast("int").alias("cell_rank"))
     found = matches(persons, cells, seed, everyone)
@@ -155,6 +163,25 @@ def draw(persons: DataFrame, cells: list[dict], seed: int, everyone: dict | None
     return picked.select("uuid", F.get(ids, F.col("cell_ord")).alias("cell_id"), "cell_rank")
 
 
+def draw_beyond(persons: DataFrame, cells: list[dict], seed: int, old: int, new: int, everyone: dict | None = None) -> DataFrame:
+    """What the draw of ``new`` times each cell's n has beyond that of ``old`` times: uuid, cell_id, cell_rank.
+
+    Of cells that no person can share these are the ranks between the two
+    quotas, and the histogram of rank keys keeps all others from being sorted or
+    shuffled: those beyond the new quota, and those of buckets that the old one
+    used up.  Where cells can share persons a larger first cell may take persons
+    whom a later one had, so such a draw can't be extended (an error, unless
+    ``old`` is 0) and has to be drawn anew.
+    """
+    times = lambda k: [c | {"n": int(c["n"]) * k} for c in cells]
+    if not all_apart(cells) and old:
+        raise ValueError("these cells can share persons, so a larger draw doesn't extend a smaller one")
+    if all_apart(cells):
+        pool = ranked_candidates(persons, times(new), seed, everyone, [int(c["n"]) * old for c in cells])
+        return pool.select("uuid", "cell_id", (F.col("rank") - 1).cast("int").alias("cell_rank"))
+    return draw(persons, times(new), seed, everyone)
+
+
 def require_full(report: DataFrame) -> DataFrame:
     """The report of a draw, but an error that names its short cells if there are any."""
     short = report.filter("shortfall > 0").orderBy("cell_id").limit(20).collect()

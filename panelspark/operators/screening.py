@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.answers import defined_codes, digit_runs, integers_of
 from panelspark.operators.draw import dense_number
 from panelspark.operators.quotas import cell_weights
-from panelspark.sources.tables import cut
+from panelspark.sources.tables import cut, forget
 
 RANK_BUCKET = 100_000
 
@@ -153,34 +153,48 @@ def next_round(n_short: int, n_unreachable: int, n_untested: int, grew: bool, fa
     return "extend", factor * 2
 
 
-def screen(draw: Callable[[int], DataFrame], judge: Callable[[DataFrame], DataFrame], stored: DataFrame, cells: DataFrame, config_hash: str, factor: int, stimuli: Sequence[str] = (), most: int = 3) -> tuple[DataFrame, list[dict]]:
+def screen(more: Callable[[int, int], DataFrame], judge: Callable[[DataFrame], DataFrame], stored: DataFrame, cells: DataFrame, config_hash: str, factor: int, stimuli: Sequence[str] = (), most: int = 3, extends: bool = True) -> tuple[DataFrame, list[dict]]:
     """Rounds of screening until every cell is full: the final panel rows, and a log of the rounds.
 
-    draw(factor) gives the candidates (survey_id, persona_uuid, cell_id,
-    cell_rank) at an oversampling factor; a larger draw extends a smaller one.
+    more(old, new) gives the candidates (survey_id, persona_uuid, cell_id,
+    cell_rank) that an oversampling factor of ``new`` has beyond those of ``old``
+    (0: none yet), such as :func:`panelspark.operators.draw.draw_beyond`.
     judge(todo) gives verdict rows of those candidates; verdicts of these
-    settings, those in ``stored`` included, are never asked for again.  Ends
-    with an error that names the short cells if none of the rounds allowed can
-    fill them.  What comes to the driver is a few totals a round.
+    settings, those in ``stored`` included, are never asked for again.  A round
+    writes its new candidates and their verdicts and nothing else; the panel is
+    written once, at the end.  Ends with an error that names the short cells if
+    none of the rounds allowed can fill them.  What comes to the driver is a few
+    totals a round.  Where cells can share persons (``extends`` false) a larger
+    draw doesn't extend a smaller one; more is then asked for all candidates, and
+    these replace those of the round before.
     """
-    verdicts, log, people = stored, [], -1
+    candidates, verdicts, log, written, old = None, stored, [], [], 0
     for attempt in range(most + 1):
-        candidates = cut(draw(factor))
-        todo = still_to_judge(candidates, valid_verdicts(verdicts, config_hash))
-        verdicts = cut(verdicts.unionByName(judge(todo)))
-        valid = valid_verdicts(verdicts, config_hash)
-        final = cut(finalise(candidates, valid, cells, stimuli))
+        grew = False
+        if factor > old:
+            new = cut(more(old if extends else 0, factor))
+            written.append(new)
+            grew = not new.isEmpty() if extends else candidates is None or new.count() > candidates.count()
+            candidates = candidates.unionByName(new) if extends and candidates is not None else new
+        judged = cut(judge(still_to_judge(candidates, valid_verdicts(verdicts, config_hash))))
+        written.append(judged)
+        verdicts = verdicts.unionByName(judged)
+        final = finalise(candidates, valid_verdicts(verdicts, config_hash), cells, stimuli)
         report = composition(final, cells)
+        rate = unreachable(report, factor, most - attempt)
         totals = report.agg(F.count_if(F.col("achieved") < F.col("needed")).alias("short")).first()
         seen = final.agg(F.count("*").alias("n"), F.count_if("untested").alias("untested")).first()
-        out = unreachable(report, factor, most - attempt).count() if totals["short"] else 0
-        what, next_factor = next_round(totals["short"], out, seen["untested"], seen["n"] > people, factor, attempt, most)
+        out = rate.count() if totals["short"] else 0
+        what, next_factor = next_round(totals["short"], out, seen["untested"], grew, factor, attempt, most)
         log.append({"attempt": attempt + 1, "factor": factor, "candidates": seen["n"], "short": totals["short"], "untested": seen["untested"], "decision": what})
         if what == "complete":
-            return final, log
+            panel = cut(final)
+            for table in written:
+                forget(table)
+            return panel, log
         if what in ("unreachable", "exhausted") or attempt == most:
             refuse_short(final, cells)
-        factor, people = next_factor, seen["n"]
+        old, factor = factor, next_factor
     raise AssertionError("the last round either fills the cells or refuses")
 
 

@@ -94,3 +94,79 @@ def test_stages_do_not_grow_with_the_cells(spark):
         stages[n] = len({s for j in tracker.getJobIdsForGroup(f"stages{n}") for s in tracker.getJobInfo(j).stageIds})
     spark.sparkContext.setJobGroup("other", "other")
     assert max(stages.values()) <= min(stages.values()) + 6  # at most one round more
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_a_larger_draw_in_steps(spark, case):
+    """Rows of each step are those that the larger draw has beyond the smaller one."""
+    people = people_of(400)
+    df = spark.createDataFrame(people, SCHEMA)
+    cells = [c | {"n": c["n"] // 5} for c in CASES[case]]
+    at = {k: set(in_turn(people, [c | {"n": c["n"] * k} for c in cells], 5)) for k in (1, 2, 4)} | {0: set()}
+    for old, new in ((0, 1), (1, 2), (2, 4)):
+        if old and not D.all_apart(cells):
+            with pytest.raises(ValueError, match="share persons"):
+                D.draw_beyond(df, cells, 5, old, new)
+            continue
+        assert set(map(tuple, D.draw_beyond(df, cells, 5, old, new).collect())) == at[new] - at[old]
+
+
+def test_a_step_shuffles_its_own_ranks_only(spark):
+    df = spark.range(100_000).selectExpr("concat('u', id) as uuid", "'男' as sex", "30 as age", *(f"cast(null as string) as {c}" for c in ("area", "marital_status", "education_level", "prefecture", "region")))
+    cell = [{"cell_id": "m", "sex": "男", "n": 10_000}]
+    touched = D.histogram(D.matches(df, cell, 1), cell, [20_000])
+    pool = D.ranked_candidates(df, [cell[0] | {"n": 20_000}], 1, None, [10_000])
+    buckets = pool.select(D.F.substring("rank_key", 1, D.BUCKET_DIGITS)).distinct().count()
+    assert pool.count() == 10_000 and pool.agg({"rank": "min"}).first()[0] == 10_001
+    assert buckets <= len(touched[0]) / 2 + 2
+
+
+def test_screening_writes_new_rows_only(spark, monkeypatch):
+    """Rounds of a screening over a real draw: each writes its own candidates and verdicts, the panel comes last."""
+    from panelspark.operators import screening as E
+
+    people = people_of(900)
+    df = spark.createDataFrame(people, SCHEMA)
+    cells = [{"cell_id": "m", "sex": "男", "n": 12}, {"cell_id": "f", "sex": "女", "n": 12}]
+    table = spark.createDataFrame([("s", c["cell_id"], c["n"], 24, None) for c in cells], "survey_id string, cell_id string, n int, size int, proportion double")
+    sizes = []
+    real = E.cut
+
+    def counted(rows):
+        out = real(rows)
+        sizes.append(out.count())
+        return out
+
+    def judge(todo):
+        codes = D.F.when(D.F.substring("persona_uuid", 2, 9).cast("int") % 3 == 0, D.F.array(D.F.lit(1))).otherwise(D.F.array().cast("array<int>"))
+        return todo.select("survey_id", "persona_uuid", codes.alias("answer_codes"), D.F.array(D.F.lit(1)).alias("options_order"), D.F.array(D.F.lit("inferred")).alias("flags"), D.F.lit("now").alias("config_hash"))
+
+    more = lambda old, new: D.draw_beyond(df, cells, 5, old, new).select(D.F.lit("s").alias("survey_id"), D.F.col("uuid").alias("persona_uuid"), "cell_id", "cell_rank")
+    none = judge(more(0, 1).limit(0))
+    monkeypatch.setattr(E, "cut", counted)
+    panel, log = E.screen(more, judge, none, table, "now", 1)
+    assert [x["decision"] for x in log][-1] == "complete" and len(log) >= 2
+    new = [24 * (x["factor"] - (log[i - 1]["factor"] if i else 0)) for i, x in enumerate(log)]
+    assert sizes == [n for k in new for n in (k, k)] + [panel.count()]
+    roles = {(r["cell_id"], r["role"]): r["count"] for r in panel.groupBy("cell_id", "role").count().collect()}
+    assert roles["m", "main"] == roles["f", "main"] == 12
+
+
+def test_screening_of_overlapping_cells_draws_anew(spark):
+    """No candidate is in two cells, whatever a smaller draw had given to a later one."""
+    from panelspark.operators import screening as E
+
+    people = people_of(600)
+    df = spark.createDataFrame(people, SCHEMA)
+    cells = [{"cell_id": "old", "age_min": 40, "n": 10}, {"cell_id": "all", "n": 10}]
+    table = spark.createDataFrame([("s", c["cell_id"], c["n"], 20, None) for c in cells], "survey_id string, cell_id string, n int, size int, proportion double")
+
+    def judge(todo):
+        codes = D.F.when(D.F.substring("persona_uuid", 2, 9).cast("int") % 4 == 0, D.F.array(D.F.lit(1))).otherwise(D.F.array().cast("array<int>"))
+        return todo.select("survey_id", "persona_uuid", codes.alias("answer_codes"), D.F.array(D.F.lit(1)).alias("options_order"), D.F.array(D.F.lit("inferred")).alias("flags"), D.F.lit("now").alias("config_hash"))
+
+    more = lambda old, new: D.draw_beyond(df, cells, 5, old, new).select(D.F.lit("s").alias("survey_id"), D.F.col("uuid").alias("persona_uuid"), "cell_id", "cell_rank")
+    panel, log = E.screen(more, judge, judge(more(0, 1).limit(0)), table, "now", 1, extends=False)
+    last = log[-1]["factor"]
+    rows = [(r["persona_uuid"], r["cell_id"]) for r in panel.collect()]
+    assert len(log) >= 2 and sorted(rows) == sorted((u, c) for u, c, _ in in_turn(people, [c | {"n": 10 * last} for c in cells], 5))

@@ -258,13 +258,20 @@ def test_screening_rounds(spark):
         return todo.select("survey_id", "persona_uuid", codes.alias("answer_codes"), F.array(F.lit(1)).alias("options_order"), F.array(F.lit("inferred")).alias("flags"), F.lit("now").alias("config_hash"))
 
     stored = judge(people.limit(0))
-    final, log = E.screen(lambda f: people.filter(F.col("cell_rank") < 4 * f), judge, stored, cells, "now", 1, ["c1"])
+    given = []
+
+    def more(old, new):
+        given.append((old, new))
+        return people.filter((F.col("cell_rank") >= 4 * old) & (F.col("cell_rank") < 4 * new))
+
+    final, log = E.screen(more, judge, stored, cells, "now", 1, ["c1"])
+    assert given == [(0, 1), (1, 2), (2, 4)] and [x["candidates"] for x in log] == [8, 16, 32]
     assert [x["decision"] for x in log] == ["extend", "extend", "complete"] and [x["factor"] for x in log] == [1, 2, 4]
     assert len(asked) == len(set(asked)) == 32
     roles = {(r["cell_id"], r["role"]): r["count"] for r in final.groupBy("cell_id", "role").count().collect()}
     assert roles["a", "main"] == roles["b", "main"] == 4
     with pytest.raises(ValueError, match="short"):
-        E.screen(lambda f: people.filter(F.col("cell_rank") < 2), judge, stored, cells, "now", 1)
+        E.screen(lambda old, new: people.filter(F.col("cell_rank") < (2 if not old else 0)), judge, stored, cells, "now", 1)
 
 
 def test_judge_prompts_and_batches(spark):
