@@ -162,7 +162,7 @@ def test_screening_of_overlapping_cells_draws_anew(spark):
     table = spark.createDataFrame([("s", c["cell_id"], c["n"], 20, None) for c in cells], "survey_id string, cell_id string, n int, size int, proportion double")
 
     def judge(todo):
-        codes = D.F.when(D.F.substring("persona_uuid", 2, 9).cast("int") % 4 == 0, D.F.array(D.F.lit(1))).otherwise(D.F.array().cast("array<int>"))
+        codes = D.F.when(D.F.substring("persona_uuid", 2, 9).cast("int") % 2 == 0, D.F.array(D.F.lit(1))).otherwise(D.F.array().cast("array<int>"))
         return todo.select("survey_id", "persona_uuid", codes.alias("answer_codes"), D.F.array(D.F.lit(1)).alias("options_order"), D.F.array(D.F.lit("inferred")).alias("flags"), D.F.lit("now").alias("config_hash"))
 
     more = lambda old, new: D.draw_beyond(df, cells, 5, old, new).select(D.F.lit("s").alias("survey_id"), D.F.col("uuid").alias("persona_uuid"), "cell_id", "cell_rank")
