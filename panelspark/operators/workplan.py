@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.sources.tables import cut, forget
-
 
 def expand_slots(questions: DataFrame, concepts: DataFrame) -> DataFrame:
     """Every base question once per concept of its survey: id {id}_s{slot}, measure = the base id.
@@ -52,24 +53,53 @@ def memory_edges(questions: DataFrame) -> DataFrame:
     return edges.filter("remember = 'all'").unionByName(listed).select("survey_id", "question_id", "remembered", F.col("pos").alias("remembered_pos"))
 
 
+#: Questions of one block of surveys, about.
+BLOCK_QUESTIONS = 200_000
+
+
+def least_reachable(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each node the least label of all nodes that edges a - b connect it with."""
+    top = np.arange(len(label))  # of each node's set so far, the node that stands for it
+    while True:
+        low = top.copy()
+        np.minimum.at(low, top[a], top[b])
+        np.minimum.at(low, top[b], top[a])
+        while (low[low] != low).any():
+            low = low[low]
+        if (low[top] == top).all():
+            break
+        top = low[top]
+    least = np.full(len(label), np.iinfo(np.int64).max)
+    np.minimum.at(least, top, label)
+    return least[top]
+
+
 def session_groups(questions: DataFrame, edges: DataFrame) -> DataFrame:
     """survey_id, question_id, group_pos: connected questions share the asking position of the first of them.
 
-    Labels spread along the edges until none changes: at most as many rounds as
-    a survey has questions, over all surveys at once.
+    Surveys are dealt into blocks of about as many questions each, and each block
+    finds its connected sets in one pass, so the jobs are the same for chains of
+    any length.  A survey's own questions meet in one block.
     """
-    pos = questions.select("survey_id", "question_id", F.col("ask_pos").alias("label"))
-    e = edges.select("survey_id", F.col("question_id").alias("a"), F.col("remembered").alias("b"))
-    both = cut(e.unionByName(e.select("survey_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels, total = cut(pos), None
-    while True:
-        now = labels.agg(F.sum("label")).first()[0]
-        if now == total:
-            return labels.withColumnRenamed("label", "group_pos")
-        total = now
-        best = both.join(labels.select("survey_id", F.col("question_id").alias("b"), F.col("label").alias("near")), ["survey_id", "b"]).groupBy("survey_id", F.col("a").alias("question_id")).agg(F.min("near").alias("near"))
-        before, labels = labels, cut(labels.join(best, ["survey_id", "question_id"], "left").select("survey_id", "question_id", F.least("label", F.coalesce("near", "label")).alias("label")))
-        forget(before)
+    blocks = max(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), questions.count() // BLOCK_QUESTIONS + 1)
+    kind = {f.name: f.dataType.simpleString() for f in questions.schema}
+    block = F.pmod(F.xxhash64("survey_id"), F.lit(blocks))
+
+    def run(_: tuple, asked: pa.Table, remembered: pa.Table) -> pa.Table:
+        def key(t: pa.Table, survey: str, c: str) -> pa.ChunkedArray:
+            return pc.binary_join_element_wise(t[survey].cast(pa.large_string()), t[c].cast(pa.large_string()), pa.scalar("\0", pa.large_string()))
+
+        parts = [key(asked, "survey_id", "question_id"), key(remembered, "_survey", "_a"), key(remembered, "_survey", "_b")]
+        codes = pa.chunked_array([c for p in parts for c in p.chunks], pa.large_string()).combine_chunks().dictionary_encode().indices.to_numpy()
+        own, a, b = np.split(codes, np.cumsum([len(p) for p in parts])[:-1])
+        label = np.full(int(codes.max()) + 1 if len(codes) else 0, np.iinfo(np.int64).max)
+        np.minimum.at(label, own, asked["ask_pos"].to_numpy().astype(np.int64))
+        group = pa.array(least_reachable(label, a, b)[own]).cast(asked.schema.field("ask_pos").type)
+        return pa.table({"survey_id": asked["survey_id"], "question_id": asked["question_id"], "group_pos": group})
+
+    asked = questions.select("survey_id", "question_id", "ask_pos", block.alias("_block"))
+    remembered = edges.select(F.col("survey_id").alias("_survey"), F.col("question_id").alias("_a"), F.col("remembered").alias("_b"), block.alias("_of"))
+    return asked.groupBy("_block").cogroup(remembered.groupBy("_of")).applyInArrow(run, f"survey_id {kind['survey_id']}, question_id {kind['question_id']}, group_pos {kind['ask_pos']}")
 
 
 def pending(plan: DataFrame, responses: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from helpers import row_set
 from panelspark.operators import crosstab as X
 from panelspark.operators import monitor as G
 from panelspark.operators import quotas as Q
+from panelspark.operators import workplan as W
 from panelspark.operators.draw import lookup
 from panelspark.plans import config as C
 from panelspark.sources.tables import colocated, merged, write_bucketed
@@ -121,3 +122,28 @@ def test_sketches_merge_to_the_profile_of_all_calls(spark):
 def test_sketches_of_no_calls(spark):
     calls = spark.createDataFrame([], "run_id string, call_id long, ts timestamp, attempt int, latency_ms int")
     assert row_set(G.merged_profile(G.call_sketches(calls)).toPandas())[1] == []
+
+
+def test_groups_take_the_same_jobs_for_any_chain(spark):
+    """Chains of 3 and of 300 questions, stars, and questions by themselves, in many surveys at once."""
+    jobs = {}
+    for n in (3, 300):
+        rows, edges = [], []
+        for s in range(20):
+            rows += [(f"s{s}", f"q{i}", i) for i in range(n + 5)]
+            edges += [(f"s{s}", f"q{i}", f"q{i - 1}", i - 1) for i in range(2, n)] if s % 2 else [(f"s{s}", f"q{i}", "q1", 1) for i in range(2, n)]
+        q = spark.createDataFrame(rows, "survey_id string, question_id string, ask_pos int")
+        e = spark.createDataFrame(edges, "survey_id string, question_id string, remembered string, remembered_pos int")
+        spark.sparkContext.setJobGroup(f"groups{n}", "groups")
+        got = {(r["survey_id"], r["question_id"]): r["group_pos"] for r in W.session_groups(q, e).collect()}
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"groups{n}"))
+        assert got == {(s, x): 1 if 1 <= i < n else i for s, x, i in rows}
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs[3] == jobs[300]
+
+
+def test_groups_without_edges_or_questions(spark):
+    q = spark.createDataFrame([("s", "a", 0), ("s", "b", 1)], "survey_id string, question_id string, ask_pos int")
+    e = spark.createDataFrame([], "survey_id string, question_id string, remembered string, remembered_pos int")
+    assert sorted(map(tuple, W.session_groups(q, e).collect())) == [("s", "a", 0), ("s", "b", 1)]
+    assert W.session_groups(q.limit(0), e).count() == 0
