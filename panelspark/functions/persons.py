@@ -43,8 +43,22 @@ def age_band_10(age: Column) -> Column:
     return F.when(age >= 100, CENTENARIAN).otherwise(F.concat((F.floor(age / 10) * 10).cast("string"), F.lit("代")))
 
 
+# fixed values: the columns of the persons table, in their order
+COLUMNS = (
+    "uuid", "sex", "age", "age_band_5", "age_band_10", "prefecture", "region", "area", "marital_status", "education_level",
+    "occupation_raw", "occupation_industry", "occupation_scale", "occupation_role", "employment_status",
+    "persona", "cultural_background", "professional_persona", "sports_persona", "arts_persona", "travel_persona", "culinary_persona",
+    "skills_and_expertise", "hobbies_and_interests", "career_goals_and_ambitions", "source_version",
+)
+
+
 def normalise(persons: DataFrame, version: str) -> DataFrame:
-    """occupation becomes occupation_raw and its parts; bands and source_version are added; other columns stay."""
-    kept = [F.col(f"`{c}`").alias("occupation_raw" if c == "occupation" else c) for c in persons.columns]
-    parts = [c.alias(n) for n, c in occupation(F.col("occupation")).items()]
-    return persons.select(*kept, *parts, age_band_5(F.col("age")).alias("age_band_5"), age_band_10(F.col("age")).alias("age_band_10"), F.lit(version).alias("source_version"))
+    """The 26 columns of the persons table in their order: occupation becomes occupation_raw and its parts, bands and source_version are added.
+
+    Other columns go; a column that persons lack is an error.
+    """
+    made = {"occupation_raw": F.col("occupation"), **occupation(F.col("occupation")), "age_band_5": age_band_5(F.col("age")), "age_band_10": age_band_10(F.col("age")), "source_version": F.lit(version)}
+    lacking = [c for c in COLUMNS if c not in made and c not in persons.columns]
+    if lacking:
+        raise ValueError(f"persons lack {', '.join(lacking)}")
+    return persons.select(*(made.get(c, F.col(c)).alias(c) for c in COLUMNS))

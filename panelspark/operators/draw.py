@@ -198,6 +198,20 @@ def draw_report(drawn: DataFrame, counts: DataFrame, cells: list[dict]) -> DataF
     return df.select("cell_id", "requested", "achieved", "candidates", F.greatest(F.col("requested") - F.col("achieved"), F.lit(0)).cast("long").alias("shortfall"))
 
 
+def composition_report(report: DataFrame) -> DataFrame:
+    """Before a run: requested, achieved, candidates and weight of each cell, and a last row with the totals of the first two.
+
+    report: as draw_report.  A weight is the share asked for over the share
+    achieved, 0 for an empty cell.  The total row's cell_id is null.
+    """
+    both = report.rollup("cell_id").agg(F.sum("requested").alias("requested"), F.sum("achieved").alias("achieved"), F.max("candidates").alias("candidates"), F.grouping("cell_id").alias("_total"))
+    whole = Window.partitionBy(F.lit(0))  # a definition's cells
+    total = lambda c: F.max(F.when(F.col("_total") == 1, F.col(c))).over(whole)
+    share = (F.col("requested") / total("requested")) / (F.nullif("achieved", F.lit(0)) / total("achieved"))
+    cell = F.col("_total") == 0
+    return both.select("cell_id", "requested", "achieved", F.when(cell, F.col("candidates")).alias("candidates"), F.when(cell, F.coalesce(share, F.lit(0.0))).alias("weight"))
+
+
 def build_panel(drawn: DataFrame, cells: DataFrame, survey_id: str, stimuli: list[str], screening: bool) -> DataFrame:
     """Panel rows: role, concepts in definition order (none for candidates), weight by cell.
 

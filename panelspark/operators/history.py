@@ -17,6 +17,20 @@ def latest_definition(runs: DataFrame, path: str = "$.survey") -> DataFrame:
     return runs.groupBy("survey_id").agg(F.get_json_object(last, path).alias("definition"))
 
 
+def with_metadata(runs: DataFrame) -> DataFrame:
+    """runs with metadata_json read once, as the variant metadata; null where it isn't JSON.
+
+    Fields of any record, whatever its version, are then taken by path
+    (:func:`field_of`) and stored in binary form, not parsed again from text.
+    """
+    return runs.withColumn("metadata", F.try_parse_json("metadata_json"))
+
+
+def field_of(path: str, kind: str, metadata: Column | str = "metadata") -> Column:
+    """One value of the metadata; null where the record lacks it or holds something of another kind."""
+    return F.try_variant_get(F.col(metadata) if isinstance(metadata, str) else metadata, path, kind)
+
+
 def array_of_json(text: Column, kind: str = "string") -> Column:
     """A JSON list as an array; null or broken text is an empty one."""
     empty = F.array().cast(f"array<{kind}>")

@@ -59,6 +59,17 @@ def question_block(text: Column, kind: Column, options: Column, rules: dict[str,
     return F.concat_ws("\n", F.lit(heading), text, F.when(choice, numbered), F.concat(F.lit("\n"), rule))
 
 
+def content_of(text: Column, uris: Column) -> Column:
+    """A message's content as a variant: a string, or a list of the text and one part per image where there are images."""
+    some = F.exists(F.coalesce(uris, F.array().cast("array<string>")), lambda u: u.isNotNull() & (u != ""))
+    return F.when(some, F.parse_json(with_images(text, uris))).otherwise(text.cast("variant"))
+
+
+def content_text(content: Column) -> Column:
+    """What a content says: the string itself, or the text of its first part."""
+    return F.coalesce(F.try_variant_get(content, "$[0].text", "string"), F.try_variant_get(content, "$", "string"))
+
+
 def with_images(text: Column, uris: Column) -> Column:
     """A message's content as JSON: the text alone, or its part followed by one part per image (a null or empty uri is none)."""
     held = F.filter(F.coalesce(uris, F.array().cast("array<string>")), lambda u: u.isNotNull() & (u != ""))
@@ -76,13 +87,16 @@ def prompt_sample(units: DataFrame) -> DataFrame:
 
 
 def message_rows(units: DataFrame, edges: DataFrame, blocks: DataFrame, answers: DataFrame, missing: str | None = None) -> DataFrame:
-    """messages: array of (role, content) for each unit: system, replayed turns in asking order, then the question.
+    """messages: array of (role, content variant) for each unit: system, replayed turns in asking order, then the question.
 
     units: survey_id, persona_uuid, question_id, stimulus_id, ask_pos, profile.
     edges: as memory_edges.  blocks: survey_id, question_id, block, stimulus_block
-    (of the question's slot), system, slot.  answers: survey_id, persona_uuid,
+    (of the question's slot), system, slot, and maybe images (uris that are sent
+    with the concept, array of string).  answers: survey_id, persona_uuid,
     question_id, answer.  The profile stands in the first user turn only, a
-    concept only where it first appears, the system text is the last question's.
+    concept only where it first appears, with its images as parts after the turn's
+    text, and the system text is the last question's.  A content without images
+    is a plain string.
     Without ``missing``, units whose replayed answer isn't there yet are left
     out; with it, that text stands for the answer and the question is listed.
     """
@@ -93,15 +107,17 @@ def message_rows(units: DataFrame, edges: DataFrame, blocks: DataFrame, answers:
     back = back.join(given, ["survey_id", "persona_uuid", "turn"], "left").withColumn("gap", F.col("answer").isNull())
     if missing is not None:
         back = back.withColumn("answer", F.coalesce("answer", F.lit(missing)))
-    turns = now.unionByName(back).join(blocks.select("survey_id", F.col("question_id").alias("turn"), "block", "stimulus_block", "system", "slot"), ["survey_id", "turn"])
+    none = F.array().cast("array<string>")
+    shown = F.coalesce("images", none) if "images" in blocks.columns else none
+    turns = now.unionByName(back).join(blocks.select("survey_id", F.col("question_id").alias("turn"), "block", "stimulus_block", "system", "slot", shown.alias("images")), ["survey_id", "turn"])
     unit = Window.partitionBy(*key)
     first_seen = F.min("pos").over(Window.partitionBy(*key, "slot")) == F.col("pos")
     content = F.concat_ws("\n\n", F.when(F.min("pos").over(unit) == F.col("pos"), F.concat(F.lit(HEADINGS["profile"] + "\n"), F.col("profile"))), F.when(first_seen, F.col("stimulus_block")), F.col("block"))
-    turns = turns.withColumn("content", content)
-    said = F.array_sort(F.collect_list(F.struct("pos", "content", "answer", "system", "gap", "turn")))
-    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    turns = turns.withColumn("content", content).withColumn("images", F.when(first_seen, F.col("images")).otherwise(none))
+    said = F.array_sort(F.collect_list(F.struct("pos", "content", "images", "answer", "system", "gap", "turn")))
+    message = lambda role, text, uris=none: F.struct(F.lit(role).alias("role"), content_of(text, uris).alias("content"))
     df = turns.groupBy(*key).agg(said.alias("t"))  # as many turns as a survey has questions, at most
-    pairs = F.flatten(F.transform("t", lambda x: F.when(x["answer"].isNull(), F.array(message("user", x["content"]))).otherwise(F.array(message("user", x["content"]), message("assistant", x["answer"])))))
+    pairs = F.flatten(F.transform("t", lambda x: F.when(x["answer"].isNull(), F.array(message("user", x["content"], x["images"]))).otherwise(F.array(message("user", x["content"], x["images"]), message("assistant", x["answer"])))))
     df = df.withColumn("messages", F.concat(F.array(message("system", F.element_at("t", -1)["system"])), pairs)).withColumn("missing", F.transform(F.filter("t", lambda x: x["gap"]), lambda x: x["turn"]))
     if missing is None:
         df = df.filter(F.size("missing") == 0)

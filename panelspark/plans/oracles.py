@@ -41,7 +41,8 @@ from (select uuid, mark, r1, regexp_replace(r1, '\s(経営)$', '') as r2
 BANDS = "case when age >= 100 then '100歳以上' else concat(age // 5 * 5, '-', age // 5 * 5 + 4) end as age_band_5, case when age >= 100 then '100歳以上' else concat(age // 10 * 10, '代') end as age_band_10"
 put("occupation_split", OCCUPATION, "persons")
 put("age_bands", f"select uuid, {BANDS} from persons", "persons")
-put("normalize_persons", f"select p.uuid, sex, age, prefecture, region, area, marital_status, education_level, occupation as occupation_raw, employment_status, occupation_role, occupation_scale, occupation_industry, {BANDS}, 'v1' as source_version from persons p join o on p.uuid = o.uuid", "persons", also={"o": OCCUPATION})
+_TEXTS = ("persona", "cultural_background", "professional_persona", "sports_persona", "arts_persona", "travel_persona", "culinary_persona", "skills_and_expertise", "hobbies_and_interests", "career_goals_and_ambitions")
+put("normalize_persons", f"select {', '.join(f"concat('{c} ', p.uuid) as {c}" for c in _TEXTS)}, p.uuid, sex, age, prefecture, region, area, marital_status, education_level, occupation as occupation_raw, employment_status, occupation_role, occupation_scale, occupation_industry, {BANDS}, 'v1' as source_version from persons p join o on p.uuid = o.uuid", "persons", also={"o": OCCUPATION})
 
 # quotas
 GENERATED = {"cells": """
@@ -111,6 +112,11 @@ put("panel_shortfall", """
 select d.cell_id, d.n * 6 as requested, (select count(*) from drawn x where x.cell_id = d.cell_id) as achieved,
        (select count(*) from persons p where p.sex = d.sex and p.age between d.age_min and d.age_max) as candidates,
        greatest(d.n * 6 - (select count(*) from drawn x where x.cell_id = d.cell_id), 0) as shortfall from dim d""", "persons", also=drawn(6))
+put("panel_report", """
+select cell_id, requested, achieved, candidates, round(case when achieved = 0 then 0 else (requested / sum(requested) over ()) / (achieved / sum(achieved) over ()) end, 6) as weight
+from shortfall union all select null, sum(requested), sum(achieved), null, null from shortfall""", "persons", also=drawn(6) | {"shortfall": """
+select d.cell_id, d.n * 6 as requested, (select count(*) from drawn x where x.cell_id = d.cell_id) as achieved,
+       (select count(*) from persons p where p.sex = d.sex and p.age between d.age_min and d.age_max) as candidates from dim d"""})
 _total = sum(c["n"] for c in C.CELLS)
 put("panel_build", f"""
 select 's1' as survey_id, uuid as persona_uuid, w.cell_id, 'main' as role, cell_rank, '{",".join(C.STIMULI)}' as assigned_stimuli,
@@ -257,21 +263,24 @@ MESSAGES = PLAN | {
     "blocks": f"select question_id, measure, slot, ord, concat_ws(chr(10), '{HEADINGS['question']}', 'Question ' || question_id, case when type in ('single', 'multi') then array_to_string(list_transform(range(1, k + 1), lambda i: concat(i, '. opt', i)), chr(10)) end, chr(10) || {rule(C.RULES, '0')}) as block from q",
     "cards": f"select uuid, concat_ws(chr(10), nullif({ATTRS}, '') || chr(10), {LABELS}) as card from persons",
     "turns": f"""
-select u.survey_id, u.persona_uuid, u.question_id, x.measure as system, b.ord, b.question_id as turn, b.ord = x.ord as last, r.answer_raw as answer,
-       'user:' || case when b.ord = 0 then concat('{HEADINGS["profile"]}', chr(10), card, chr(10), chr(10), '{HEADINGS["stimulus"]}', chr(10), 'Concept ', b.slot, chr(10), chr(10)) else '' end || b.block as said
+select u.survey_id, u.persona_uuid, u.question_id, x.measure as system, b.ord, b.slot, b.question_id as turn, b.ord = x.ord as last, r.answer_raw as answer,
+       case when b.ord = 0 then concat('{HEADINGS["profile"]}', chr(10), card, chr(10), chr(10), '{HEADINGS["stimulus"]}', chr(10), 'Concept ', b.slot, chr(10), chr(10)) else '' end || b.block as said
 from units u join blocks x on x.question_id = u.question_id join blocks b on b.slot = x.slot and b.ord <= x.ord join cards on cards.uuid = u.persona_uuid
 left join responses_raw r on r.survey_id = u.survey_id and r.persona_uuid = u.persona_uuid and r.question_id = b.question_id""",
 }
 
 
-def talk(missing: str) -> str:
+def talk(missing: str, user: str = "said", text: str = "{}") -> str:
     return f"""
-select survey_id, persona_uuid, question_id, concat('system:system ', max(system), chr(10), '---', chr(10), string_agg(said || case when last then '' else concat(chr(10), '---', chr(10), 'assistant:', {missing}) end, concat(chr(10), '---', chr(10)) order by ord)) as messages,
+select survey_id, persona_uuid, question_id, concat('system:', {text.format("'system ' || max(system)")}, chr(10), '---', chr(10), string_agg(concat('user:', {user}) || case when last then '' else concat(chr(10), '---', chr(10), 'assistant:', {text.format(missing)}) end, concat(chr(10), '---', chr(10)) order by ord)) as messages,
        coalesce(string_agg(turn, ',' order by ord) filter (not last and answer is null), '') as missing from turns group by all"""
 
 
 put("message_rows", f"select survey_id, persona_uuid, question_id, messages from ({talk('answer')}) x where missing = ''", "panel", "persons", "responses_raw", also=MESSAGES)
-put("prompt_sample", talk("coalesce(answer, '(no answer)')"), "panel", "persons", "responses_raw", also={k: v.replace("where role = 'main'", "where (survey_id, persona_uuid) in (select survey_id, min(persona_uuid) from responses_raw group by survey_id)") for k, v in MESSAGES.items()})
+_parts = """case when ord = 0 and slot = 2 then concat('[{"text":', to_json(said), ',"type":"text"},{"image_url":{"url":"img/2.png"},"type":"image_url"}]')
+     when ord = 0 and slot = 3 then concat('[{"text":', to_json(said), ',"type":"text"},{"image_url":{"url":"img/\\"3\\".png"},"type":"image_url"}]') else to_json(said) end"""
+put("message_images", f"select survey_id, persona_uuid, question_id, messages from ({talk('answer', _parts, 'to_json({})')}) x where missing = ''", "panel", "persons", "responses_raw", also=MESSAGES)
+put("prompt_sample", talk("coalesce(answer, '(no answer)')"), "panel", "persons", "responses_raw", also={k: v.replace("where role = 'main'", "where role = 'main' and (survey_id, persona_uuid) in (select survey_id, min(persona_uuid) from panel where role = 'main' group by survey_id)") for k, v in MESSAGES.items()})
 
 # monitoring
 put("flag_rates", " union all ".join(f"select survey_id, '{f}' as flag, count(*) filter (list_contains(flags, '{f}')) as n, round(count(*) filter (list_contains(flags, '{f}')) / count(*), 6) as rate, {literal(f in ('parse_error', 'refusal'))} and count(*) filter (list_contains(flags, '{f}')) / count(*) > 0.05 as warn from responses group by survey_id" for f in ("parse_error", "out_of_range", "retried", "refusal", "straightline", "output_limit")), "responses_raw", also=RESPONSES)
@@ -370,3 +379,7 @@ put("latency_profile", """
 select run_id, count(*) as n, round(avg(attempt), 6) as avg_attempt, quantile_disc(latency_ms, 0.5) as p50, quantile_disc(latency_ms, 0.95) as p95, max(latency_ms) as max_ms
 from call_log group by run_id""", "call_log")
 put("latency_sketches", "select run_id, count(*) as n, round(avg(attempt), 6) as avg_attempt, max(latency_ms) as max_ms, true as p50_near, true as p95_near, true as calls_near from call_log group by run_id", "call_log")
+put("run_metadata", """
+select run_id, case when broken then null else json_extract_string(metadata_json, '$.survey.id') end as id,
+       case when broken or n % 11 = 0 then null else cast(json_extract_string(metadata_json, '$.survey.size') as int) end as size, broken
+from (select *, cast(substring(run_id, 2) as bigint) as n, cast(substring(run_id, 2) as bigint) % 7 = 0 as broken from runs) x""", "runs")

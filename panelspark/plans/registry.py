@@ -62,7 +62,9 @@ def age_bands(spark, sf):
 
 @query
 def normalize_persons(spark, sf):
-    return P.normalise(view(spark, sf, "persons"), "v1")
+    persons = view(spark, sf, "persons")
+    texts = {c: F.concat_ws(" ", F.lit(c), "uuid") for c in P.COLUMNS if c.endswith(("persona", "background", "expertise", "interests", "ambitions"))}
+    return P.normalise(persons.withColumns(texts), "v1")
 
 
 # quotas
@@ -155,6 +157,14 @@ def panel_shortfall(spark, sf):
     return D.draw_report(D.draw(persons, cells, C.SEED), Q.match_counts(persons, cells), cells)
 
 
+@query
+def panel_report(spark, sf):
+    cells = [c | {"n": c["n"] * 6} for c in C.CELLS]
+    persons = view(spark, sf, "persons")
+    report = D.draw_report(D.draw(persons, cells, C.SEED), Q.match_counts(persons, cells), cells)
+    return rounded(D.composition_report(report), "weight")
+
+
 @query
 def panel_build(spark, sf):
     panel = D.build_panel(_drawn(spark, sf), C.cells(spark), "s1", C.STIMULI, screening=False)
@@ -383,7 +393,7 @@ def question_blocks(spark, sf):
     return q.select("survey_id", "ord", block.alias("block"))
 
 
-def _messages(spark, sf, people, missing=None):
+def _messages(spark, sf, missing=None, sample=False, images=False):
     q = W.asking_order(_questions(spark, sf))
     ids = F.filter(F.array(*(F.lit(x) for x, *_ in C.QUESTIONS)), lambda x: F.substring_index(x, "_s", -1) == F.col("slot").cast("string"))
     q = q.withColumn("remember", F.lit("list")).withColumn("refs", F.slice(ids, 1, F.col("ord")))
@@ -392,22 +402,28 @@ def _messages(spark, sf, people, missing=None):
     blocks = q.select("survey_id", "question_id", "slot", M.question_block(F.concat(F.lit("Question "), "question_id"), F.col("type"), options, C.RULES, C.REASON_RULES, F.lit(False), F.lit(None), F.lit(None)).alias("block"), F.concat(F.lit(M.HEADINGS["stimulus"] + "\nConcept "), F.col("slot").cast("string")).alias("stimulus_block"), F.concat(F.lit("system "), "measure").alias("system"))
     answers = view(spark, sf, "responses_raw").select("survey_id", "persona_uuid", "question_id", F.col("answer_raw").alias("answer"))
     profile = view(spark, sf, "persons").select(F.col("uuid").alias("persona_uuid"), M.person_card(C.ATTRIBUTES, None, C.FIELDS).alias("profile"))
-    units = W.plan_work(people, q).join(profile, "persona_uuid")
+    units = W.plan_work(_panel(spark, sf), q)
+    units = (M.prompt_sample(units) if sample else units).join(profile, "persona_uuid")
+    if images:  # of the second concept one, of the third one that is no image and one that is
+        blocks = blocks.withColumn("images", F.when(F.col("slot") == 2, F.array(F.lit("img/2.png"))).when(F.col("slot") == 3, F.array(F.lit(""), F.lit('img/"3".png'))))
     out = M.message_rows(units, edges, blocks, answers, missing)
-    return out.select("survey_id", "persona_uuid", "question_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n---\n").alias("messages"), text_of("missing").alias("missing"))
+    return out.select("survey_id", "persona_uuid", "question_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.to_json(m["content"]) if images else M.content_text(m["content"]))), "\n---\n").alias("messages"), text_of("missing").alias("missing"))
 
 
 @query
 def message_rows(spark, sf):
-    return _messages(spark, sf, _panel(spark, sf)).drop("missing")
+    return _messages(spark, sf).drop("missing")
+
+
+@query
+def message_images(spark, sf):
+    """The contents as JSON: strings, and lists of parts where a concept with images first appears."""
+    return _messages(spark, sf, images=True).drop("missing")
 
 
 @query
 def prompt_sample(spark, sf):
-    panel = _panel(spark, sf)
-    first = view(spark, sf, "responses_raw").groupBy("survey_id").agg(F.min("persona_uuid").alias("persona_uuid"))
-    people = panel.withColumn("role", F.lit("main")).join(first, ["survey_id", "persona_uuid"], "left_semi")
-    return _messages(spark, sf, people, missing="(no answer)")
+    return _messages(spark, sf, missing="(no answer)", sample=True)
 
 
 # monitoring
@@ -610,6 +626,15 @@ def latest_definition(spark, sf):
     return d.select("survey_id", F.get_json_object("definition", "$.size").cast("int").alias("size"))
 
 
+@query
+def run_metadata(spark, sf):
+    """Sizes out of every run's record; one in seven of them is broken, one in eleven has a size that is no number."""
+    runs = view(spark, sf, "runs")
+    broken = F.when(F.substring("run_id", 2, 20).cast("long") % 7 == 0, F.substring("metadata_json", 1, 20)).when(F.substring("run_id", 2, 20).cast("long") % 11 == 0, F.regexp_replace("metadata_json", r'"size": \d+', '"size": "many"')).otherwise(F.col("metadata_json"))
+    read = I.with_metadata(runs.withColumn("metadata_json", broken))
+    return read.select("run_id", I.field_of("$.survey.id", "string").alias("id"), I.field_of("$.survey.size", "int").alias("size"), F.col("metadata").isNull().alias("broken"))
+
+
 @query
 def table_fingerprint(spark, sf):
     return fingerprint(view(spark, sf, "responses_raw"))

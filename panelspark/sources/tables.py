@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -18,12 +19,37 @@ def is_path(where: str) -> bool:
     return "/" in where
 
 
-def read_table(spark: SparkSession, where: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A catalog table, or a Parquet path (with the columns of all its files, unless a schema is given)."""
+def read_table(spark: SparkSession, where: str, schema: T.StructType | str | None = None, merge: bool = False) -> DataFrame:
+    """A catalog table, or a Parquet path: with the schema given, else that kept beside its files, else that of one of them.
+
+    Only with ``merge`` the footers of all files are read for their columns.
+    """
     if not is_path(where):
         return spark.read.table(where)
-    reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
-    return reader.parquet(where)
+    schema = schema or (None if merge else kept_schema(spark, where))
+    if schema is not None:
+        return spark.read.schema(schema).parquet(where)
+    return spark.read.option("mergeSchema", merge).parquet(where)
+
+
+def _schema_file(where: str) -> str:
+    return f"{where.rstrip('/')}/_schema"  # such names are no data to Spark
+
+
+def keep_schema(spark: SparkSession, where: str, schema: T.StructType) -> None:
+    """Writes a table's schema beside its files, where readers find it without opening any."""
+    spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(_schema_file(where))
+
+
+def wider(before: T.StructType, now: T.StructType) -> T.StructType:
+    """The columns of a table and those that rows of another schema add."""
+    return T.StructType([*before.fields, *(f for f in now.fields if f.name not in before.names)])
+
+
+def kept_schema(spark: SparkSession, where: str) -> T.StructType | None:
+    if not table_exists(spark, _schema_file(where)):
+        return None
+    return T.StructType.fromJson(json.loads(spark.read.text(_schema_file(where)).first()["value"]))
 
 
 def location(spark: SparkSession, where: str) -> str:
@@ -51,7 +77,12 @@ def write_table(df: DataFrame, where: str, mode: str = "overwrite", partition: s
     writer = df.write.mode(mode).format("parquet").option("partitionOverwriteMode", "static")
     if partition and partition in df.columns:
         writer = writer.partitionBy(partition)
-    writer.save(where) if is_path(where) else writer.saveAsTable(where)
+    if not is_path(where):
+        writer.saveAsTable(where)
+        return
+    before = kept_schema(df.sparkSession, where) if mode == "append" else None
+    writer.save(where)
+    keep_schema(df.sparkSession, where, wider(before, df.schema) if before else df.schema)
 
 
 def write_bucketed(df: DataFrame, name: str, key: str, n_buckets: int, path: str | None = None) -> None:
@@ -121,6 +152,7 @@ def merge_upsert(spark: SparkSession, source: DataFrame, where: str, keys: Seque
     source = cut(reject_duplicate_keys(source, keys))
     if not table_exists(spark, where):
         write_table(source, where)
+        forget(source)
         return
     touched = source.select(PARTITION).distinct()
     table = read_table(spark, where)
@@ -129,11 +161,15 @@ def merge_upsert(spark: SparkSession, source: DataFrame, where: str, keys: Seque
     if added and not is_path(where):
         spark.sql(f"alter table {where} add columns ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in added)})")
     replace_partitions(new, where)
+    forget(source)
+    forget(new)
 
 
 def replace_partitions(df: DataFrame, where: str) -> None:
     """Overwrites the partitions that df has rows of."""
     spark = df.sparkSession
+    if is_path(where) and (before := kept_schema(spark, where)) is not None:
+        keep_schema(spark, where, wider(before, df.schema))
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(location(spark, where))
     refresh(spark, where)
 
