@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import bytetext as B
 from panelspark.llm.common import buckets, cut, fold_of, table, text_bytes
-from panelspark.llm.exchange import deal, opened, total_by
+from panelspark.llm.exchange import deal, opened, runs, total_by
 from panelspark.llm.substrings import dealt, meet
 
 BUCKET_BYTES = 16 << 20
@@ -39,7 +39,7 @@ BITS, DEEPEST = 4, 3
 BRANCHES = 1 << BITS
 #: Rows of feature weights: one for so many training tokens, between these bounds (of 64 bytes each, sent to every task).
 TOKENS_PER_ROW, LEAST_ROWS, MOST_ROWS = 16, 1 << 12, 1 << 18
-BATCH_TOKENS = 1 << 11
+BATCH_TOKENS = 1 << 12
 SCORE_TOKENS = 1 << 12
 #: Step of the updates, and how strongly each draws the rows it touches towards zero.
 RATE, PENALTY = 0.5, 0.02
@@ -53,6 +53,8 @@ FLUSH_TOKENS = 1 << 20
 END = np.uint64(0x5EED0FE2D0C0FFEE)
 #: Four bits for each pair of bytes.
 _PAIR = B.mix(np.arange(1 << 16, dtype=np.uint64), 80) >> np.uint64(60)
+#: Masks of the first bytes of eight.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def tokens(t: B.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -61,13 +63,34 @@ def tokens(t: B.Texts) -> tuple[np.ndarray, np.ndarray]:
     A code's first four bits stand for the word's ending, the next four for its
     beginning (two bytes each), the others for the word: its leading bits are
     its way through the tree, whose upper classes thus hold words of like shape.
+    Words are read eight bytes at a time, most of them at once.
     """
-    w = B.words(t, lower=True)
-    two = lambda a, b: _PAIR[w.data[a].astype(np.int64) << 8 | w.data[b]]
-    shape = two(np.maximum(w.end - 2, w.start), w.end - 1) << np.uint64(4) | two(w.start, np.minimum(w.start + 1, w.end - 1))
-    offsets = w.offsets + np.arange(len(w.offsets))
+    n = len(t.data)
+    data = np.zeros(n + 8, np.uint8)
+    np.add(t.data, ((t.data - np.uint8(0x41)) < 26).view(np.uint8) << np.uint8(5), out=data[:n])  # A-Z lower-cased
+    inside = np.zeros(n + 2, bool)
+    np.logical_not((data[:n] == 0x20) | ((data[:n] - np.uint8(9)) < 5), out=inside[1:-1])
+    cut = np.zeros(n + 1, bool)
+    cut[t.offsets] = True
+    start = np.flatnonzero(inside[1:] & (cut | ~inside[:-1]))
+    end = np.flatnonzero(inside[:-1] & (cut | ~inside[1:]))
+    length = end - start
+    eight, two = (np.ndarray((n + 1,), d, data, strides=(1,)) for d in ("<u8", "<u2"))  # from any byte on
+    first = eight[start] & _FIRST_BYTES[np.minimum(length, 8)]
+    h = B.mix(first ^ length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    done, longer = 8, np.flatnonzero(length > 8)
+    while len(longer):
+        h[longer] = B.mix(h[longer] ^ (eight[start[longer] + done] & _FIRST_BYTES[np.minimum(length[longer] - done, 8)]), 79)
+        done += 8
+        longer = longer[length[longer] > done]
+    single = (first & np.uint64(0xFF)) * np.uint64(0x101)
+    beginning = np.where(length == 1, single, first & np.uint64(0xFFFF)).astype(np.int64)
+    ending = np.where(length == 1, single, two[np.maximum(end - 2, 0)]).astype(np.int64)
+    shape = _PAIR[ending] << np.uint64(4) | _PAIR[beginning]
+    of_text = np.searchsorted(start, t.offsets)
+    offsets = of_text + np.arange(len(of_text))
     out = np.full(int(offsets[-1]), END)
-    out[np.arange(len(w)) + w.owner()] = shape << np.uint64(56) | B.mix(w.hash, 81) >> np.uint64(8)
+    out[np.arange(len(start)) + np.repeat(np.arange(len(t)), np.diff(of_text))] = shape << np.uint64(56) | B.mix(h, 81) >> np.uint64(8)
     return out, offsets
 
 
@@ -192,17 +215,27 @@ class Trainer:
     """Mini-batch updates of one task, from a shared start; seen holds each row's summed squared gradients."""
 
     def __init__(self, model: Model, rate: float = RATE):
-        self.model, self.rate, self.tokens = model, np.float32(rate), 0
+        self.rate, self.tokens = np.float32(rate), 0
         self.weights = model.weights.copy()
         self.model = Model(model.total, model.distinct, model.mass, self.weights)
         self.seen = np.zeros(len(self.weights), np.float32)
+        self.last = np.zeros(len(self.weights), np.int32)
+
+    def step(self, rows: np.ndarray, w: np.ndarray, gradient: np.ndarray, square: np.ndarray) -> None:
+        """One step of each row (w: what they hold); of equal rows the last one counts."""
+        seen = self.seen.take(rows) + square
+        self.seen[rows] = seen
+        rate = (self.rate / np.sqrt(seen + 1))[:, None]
+        w *= 1 - PENALTY * rate
+        w -= gradient * rate
+        self.weights[rows] = w
 
     def learn(self, code: np.ndarray, offsets: np.ndarray) -> None:
-        """Every token is predicted; of those that fall on one row in a mini-batch, one gives the row's stochastic gradient."""
+        """Every token is predicted, and its gradient applied: where several of a mini-batch fall on one row, one takes a step and the others' sum another."""
         m, every = self.model, self.model.contexts(code, offsets)
         for a in range(0, len(code), BATCH_TOKENS):
             mine, context = code[a : a + BATCH_TOKENS], [c[a : a + BATCH_TOKENS] for c in every]
-            at = np.arange(len(mine))
+            at = np.arange(len(mine), dtype=np.int32)
             for level in range(m.depth):
                 z = m.offset[level].take((mine >> np.uint64(64 - BITS * level)).astype(np.int64) if level else np.zeros(len(mine), np.int64), axis=0)
                 rows = [m.rows(c, mine, level) for c in context]
@@ -214,16 +247,19 @@ class Trainer:
                 z[at, m.branch(mine, level)] -= 1
                 square = np.einsum("ij,ij->i", z, z)
                 for r, w in zip(rows, held, strict=True):
-                    seen = self.seen.take(r) + square
-                    self.seen[r] = seen
-                    rate = (self.rate / np.sqrt(seen + 1))[:, None]
-                    w *= 1 - PENALTY * rate
-                    w -= z * rate
-                    self.weights[r] = w
+                    self.last[r] = at
+                    self.step(r, w, z, square)
+                    others = np.flatnonzero(self.last.take(r) != at)
+                    if len(others):
+                        others = others[np.argsort(r[others])]
+                        first = runs(r[others])
+                        several = r[others[first]]
+                        total = np.add.reduceat(z.take(others, axis=0), first, axis=0)
+                        self.step(several, self.weights.take(several, axis=0), total, np.einsum("ij,ij->i", total, total))
         self.tokens += len(code)
 
 
-def _mean(_: tuple, parts: pa.Table) -> pa.Table:
+def _mean(key: tuple, parts: pa.Table) -> pa.Table:
     """The tasks' weights, row by row in proportion to what each saw of the row; rows nobody saw stay."""
     total = weight = None
     for w, s in zip(parts["weights"].to_pylist(), parts["seen"].to_pylist(), strict=True):
@@ -231,11 +267,14 @@ def _mean(_: tuple, parts: pa.Table) -> pa.Table:
         w = np.frombuffer(w, np.float16).reshape(len(s), BRANCHES) * s[:, None]
         total, weight = (w, s) if total is None else (total + w, weight + s)
     mean = (total / weight[:, None]).astype(np.float16)
-    return pa.table([parts["part"].slice(0, 1), pa.array([0], pa.int32()), pa.array([mean.tobytes()], pa.binary()), pa.array([weight.astype(np.float32).tobytes()], pa.binary())], names=["part", "branch", "weights", "seen"])
+    return pa.table([parts["part"].slice(0, 1), pa.array([key[1].as_py() // FAN_IN], pa.int32()), pa.array([mean.tobytes()], pa.binary()), pa.array([weight.astype(np.float32).tobytes()], pa.binary())], names=["part", "branch", "weights", "seen"])
+
 
+def train(docs: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RATE, tasks: int = FAN_IN) -> Model:
+    """docs: column text, in as many partitions as tasks.  Each round every task updates from the same weights; their mean comes back.
 
-def train(docs: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """docs: column text.  Each round every task updates from the same weights; their mean comes back."""
+    The mean is a tree: a group averages FAN_IN tasks or groups at most.
+    """
     schema = "part int, branch int, weights binary, seen binary"
     for turn in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
@@ -252,9 +291,13 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RAT
                 packed = [pa.array([x.tobytes() for x in np.split(v, n)], pa.binary()) for v in (trainer.weights.astype(np.float16), trainer.seen)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([branch] * n, pa.int32()), *packed], names=["part", "branch", "weights", "seen"])
 
-        parts = docs.mapInArrow(run, schema).groupBy("part", "branch").applyInArrow(_mean, schema)
-        # the group of all branches: one row per part and FAN_IN tasks
-        got = {r["part"]: r["weights"] for r in parts.groupBy("part", "branch").applyInArrow(_mean, schema).collect()}  # the model's bounded size
+        means, groups = docs.mapInArrow(run, schema), -(-tasks // FAN_IN)
+        while True:
+            means = means.groupBy("part", "branch").applyInArrow(_mean, schema)
+            if groups <= 1:
+                break
+            groups = -(-groups // FAN_IN)
+        got = {r["part"]: r["weights"] for r in means.collect()}  # the model's bounded size
         sent.unpersist()
         if got:
             weights = np.concatenate([np.frombuffer(got[i], np.float16).reshape(-1, BRANCHES) for i in range(PARTS)]).astype(np.float32)
@@ -316,7 +359,7 @@ def score_documents(docs: DataFrame, training=None, rounds: int = ROUNDS, depth:
     learned = plain.filter("train").select("text")
     counts = count_words(learned, n)
     trainers = -(-text_bytes(learned) // TRAINER_BYTES) or 1
-    model = train(learned.coalesce(trainers), start_model(counts, depth, rows), rounds)
+    model = train(learned.coalesce(trainers), start_model(counts, depth, rows), rounds, tasks=trainers)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_column].dataType.simpleString()
     texts = dealt(plain.select("doc_id", "text"), n, "doc_id", "text", ())
