@@ -14,6 +14,7 @@ once, so a line that all documents hold costs its shard one entry per home.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import bytetext as B
-from panelspark.llm.common import buckets, cut, shared_folder, table, text_bytes
+from panelspark.llm.common import buckets, cut, forget, shared_folder, table, text_bytes
 from panelspark.llm.exchange import deal, opened
 from panelspark.llm.substrings import add_columns, cat, dealt, meet, offsets_of, plain_columns, schema_with
 
@@ -187,7 +188,7 @@ def build_shards(keys: DataFrame, n_shards: int) -> DataFrame:
 
 
 def change_shards(shards: DataFrame, changed: DataFrame, n_shards: int) -> DataFrame:
-    """Shards after some keys came or went (changed: key_hi, key_lo, hot); those without such a key stay as they are."""
+    """The shards in which some keys came or went (changed: key_hi, key_lo, hot), as they are now; one that is empty now has no row."""
     schema = pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("hi", pa.binary()), ("lo", pa.binary())])
 
     def run(key: tuple, old: pa.Table, rows: pa.Table) -> pa.Table:
@@ -214,10 +215,8 @@ def change_shards(shards: DataFrame, changed: DataFrame, n_shards: int) -> DataF
         return pa.table([[key[0].as_py()], [cuckoo.dump()], [keys[:, 0].tobytes()], [keys[:, 1].tobytes()]], schema=schema)
 
     dealt = changed.select(F.pmod("key_lo", F.lit(n_shards)).cast("int").alias("shard"), "key_hi", "key_lo", "hot")
-    touched = dealt.select("shard").distinct()
-    met = shards.join(touched, "shard", "left_semi").groupBy("shard").cogroup(dealt.groupBy("shard"))
-    new = met.applyInArrow(run, "shard int, filter binary, hi binary, lo binary")
-    return shards.join(touched, "shard", "left_anti").select("shard", "filter", "hi", "lo").unionByName(new)
+    met = shards.groupBy("shard").cogroup(dealt.withColumnRenamed("shard", "_shard").groupBy("_shard"))
+    return met.applyInArrow(run, "shard int, filter binary, hi binary, lo binary")
 
 
 def salts_of(docs: DataFrame, n_shards: int, text_column: str = "text") -> int:
@@ -296,45 +295,111 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1, id_col
     return strip_lines(docs, build_shards(hot, n_shards), n_shards, min_points, id_column, text_column)
 
 
+_COUNTS = "key_hi long, key_lo long, refs long, part int"
+_SHARDS = "shard int, filter binary, hi binary, lo binary"
+
+
 class LineIndex:
     """An incremental index in a shared folder: insert and delete documents, then strip any documents by it.
 
-    State is written anew as a numbered version (exact counts, and the shards of
-    the keys at the threshold), so a job that fails half-way leaves the last
-    version whole, and deleting what was inserted gives the former answers.
+    The exact counts lie in parts and the keys at the threshold in shards, each
+    by a hash of the key.  A change writes the parts and shards that it touches
+    under the next version's number, and at last a state that says in which
+    version each part and shard lies; a job that fails half-way leaves the last
+    state in force.  Any session opens the index by its folder and goes on from
+    the last state.  Deleting what was inserted gives the former answers; a
+    deletion of lines that the index doesn't hold is refused and changes nothing.
+    What a change replaced stays for one more change, for readers under way.
+    ``parts`` is fixed when the index is made.
     """
 
-    def __init__(self, spark: SparkSession, min_docs: int = 10, min_points: int = 1, folder: str | None = None):
-        self.spark, self.min_docs, self.min_points = spark, min_docs, min_points
-        self.folder, self.version = folder or shared_folder(spark), 0
-        self.n_shards = 1
-
-    def _path(self, name: str) -> str:
-        return f"{self.folder}/v{self.version}/{name}"
+    def __init__(self, spark: SparkSession, min_docs: int = 10, min_points: int = 1, folder: str | None = None, parts: int = 64):
+        self.spark, self.folder = spark, folder or shared_folder(spark)
+        made = {"version": 0, "min_docs": min_docs, "min_points": min_points, "parts": parts, "n_shards": 1, "counts": {}, "shards": {}, "replaced": []}
+        self.state = self._last_state() or made
+        if (min_docs, min_points) != (self.state["min_docs"], self.state["min_points"]):
+            raise ValueError(f"the index in {self.folder} was made with min_docs {self.state['min_docs']} and min_points {self.state['min_points']}")
+        self.min_docs, self.min_points = min_docs, min_points
+
+    @property
+    def n_shards(self) -> int:
+        return self.state["n_shards"]
+
+    def _names(self, path: str) -> list[str]:
+        """What a folder holds; nothing if it isn't there."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+    def _drop(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def _last_state(self) -> dict | None:
+        """The newest state that was written to its end."""
+        for version in sorted((int(n[1:]) for n in self._names(f"{self.folder}/state")), reverse=True):
+            path = f"{self.folder}/state/v{version}"
+            if "_SUCCESS" in self._names(path):
+                return json.loads(self.spark.read.text(path).first()["value"])
+        return None
+
+    def _table(self, name: str, column: str, schema: str, only: set[int] | None = None) -> DataFrame:
+        """The parts or shards of the state, or some of them."""
+        paths = [f"{self.folder}/{name}/v{v}/{column}={k}" for k, v in self.state[name].items() if only is None or int(k) in only]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        plain = ", ".join(c for c in schema.split(", ") if c.split()[0] != column)
+        kept = self.spark.read.schema(plain).parquet(*paths)
+        number = F.regexp_extract(F.input_file_name(), f"/{column}=(\\d+)/", 1).cast("int")
+        return kept.withColumn(column, number)
 
     def counts(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], "key_hi long, key_lo long, refs long")
-        return self.spark.read.parquet(self._path("counts"))
+        return self._table("counts", "part", _COUNTS).select("key_hi", "key_lo", "refs")
+
+    def shards(self, only: set[int] | None = None) -> DataFrame:
+        return self._table("shards", "shard", _SHARDS, only).select("shard", "filter", "hi", "lo")
+
+    def _write(self, df: DataFrame, name: str, column: str, version: int, touched: set[int] | None, held: dict) -> dict:
+        """held after the touched parts (None: all) are df's; those without a row are gone."""
+        path = f"{self.folder}/{name}/v{version}"
+        df.repartition(column).write.mode("overwrite").partitionBy(column).parquet(path)
+        new = {n.split("=")[1]: version for n in self._names(path) if n.startswith(f"{column}=")}
+        return {k: v for k, v in held.items() if touched is not None and int(k) not in touched} | new
 
     def _change(self, docs: DataFrame, sign: int) -> None:
-        delta = cut(line_counts(docs, self.min_points).withColumn("refs", F.col("refs") * sign))
-        new = self.counts().unionByName(delta).groupBy("key_hi", "key_lo").agg(F.sum("refs").alias("refs")).filter("refs <> 0")
-        key, before = ["key_hi", "key_lo"], self.counts().withColumnRenamed("refs", "old")
-        old = F.coalesce("old", F.lit(0))
-        crossed = delta.join(before, key, "left").select(*key, (old >= self.min_docs).alias("was"), (old + F.col("refs") >= self.min_docs).alias("hot"))
-        changed = cut(crossed.filter("was <> hot").select(*key, "hot"))
-        shards = self.spark.read.parquet(self._path("shards")) if self.version else None
-        self.version += 1
-        new.write.parquet(self._path("counts"))
-        hot = self.counts().filter(F.col("refs") >= self.min_docs)
-        n_shards = hot.count() // SHARD_KEYS + 1
-        if shards is None or n_shards > self.n_shards:
-            self.n_shards = n_shards
-            shards = build_shards(hot, n_shards)
+        before = self.state = self._last_state() or self.state  # another session may have gone on
+        version = before["version"] + 1
+        part = F.pmod("key_hi", F.lit(before["parts"])).cast("int").alias("part")
+        delta = cut(line_counts(docs, self.min_points).select("key_hi", "key_lo", F.col("refs") * sign, part).toDF("key_hi", "key_lo", "change", "part"))
+        touched = {r["part"] for r in delta.select("part").distinct().collect()}
+        key = ["key_hi", "key_lo", "part"]
+        old = self._table("counts", "part", _COUNTS, touched)
+        both = cut(old.join(delta, key, "full").select(*key, F.coalesce("refs", F.lit(0)).alias("old"), (F.coalesce("refs", F.lit(0)) + F.coalesce("change", F.lit(0))).alias("refs"), F.col("change").isNotNull().alias("met")))
+        if not both.filter("refs < 0").isEmpty():
+            forget(delta), forget(both)
+            raise ValueError("a deletion takes lines from the index that it doesn't hold so often")
+        counts = self._write(both.filter("refs <> 0").select("key_hi", "key_lo", "refs", "part"), "counts", "part", version, touched, before["counts"])
+        changed = cut(both.filter(f"met and (old >= {self.min_docs}) <> (refs >= {self.min_docs})").select("key_hi", "key_lo", (F.col("refs") >= self.min_docs).alias("hot")))
+        n_hot = before.get("n_hot", 0) + (changed.agg(F.sum(F.when(F.col("hot"), 1).otherwise(-1)).alias("n")).first()["n"] or 0)
+        n_shards, held = n_hot // SHARD_KEYS + 1, before["shards"]
+        if not held or n_shards > before["n_shards"]:
+            self.state = before | {"counts": counts}
+            hot, touched_shards = self.counts().filter(F.col("refs") >= self.min_docs), None
+            new = build_shards(hot, n_shards)
         else:
-            shards = change_shards(shards, changed, self.n_shards)
-        shards.write.parquet(self._path("shards"))
+            n_shards = before["n_shards"]
+            touched_shards = {r["shard"] for r in changed.select(F.pmod("key_lo", F.lit(n_shards)).cast("int").alias("shard")).distinct().collect()}
+            new = change_shards(self.shards(touched_shards), changed, n_shards) if touched_shards else None
+        shards = held if new is None else self._write(new, "shards", "shard", version, touched_shards, held)
+        replaced = [f"{name}/v{v}/{column}={k}" for name, column, now in (("counts", "part", counts), ("shards", "shard", shards)) for k, v in before[name].items() if now.get(k) != v]
+        after = before | {"version": version, "n_shards": n_shards, "n_hot": n_hot, "counts": counts, "shards": shards, "replaced": replaced}
+        self.spark.createDataFrame([(json.dumps(after),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/state/v{version}")
+        self.state = after
+        for path in before["replaced"]:  # what the change before this one replaced
+            self._drop(f"{self.folder}/{path}")
+        self._drop(f"{self.folder}/state/v{version - 2}")
+        for written in (delta, both, changed):
+            forget(written)
 
     def insert(self, docs: DataFrame) -> None:
         self._change(docs, 1)
@@ -343,11 +408,8 @@ class LineIndex:
         self._change(docs, -1)
 
     def strip(self, docs: DataFrame) -> DataFrame:
-        if self.version:
-            shards = self.spark.read.parquet(self._path("shards"))
-        else:
-            shards = self.spark.createDataFrame([], "shard int, filter binary, hi binary, lo binary")
-        return strip_lines(docs, shards, self.n_shards, self.min_points)
+        self.state = self._last_state() or self.state
+        return strip_lines(docs, self.shards(), self.n_shards, self.min_points)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
