@@ -6,7 +6,8 @@ codes, scales and quantisation errors travel: the codes are multiplied as a
 matrix, which with the errors gives a lower and an upper bound of every distance.
 A candidate whose lower bound exceeds the k-th smallest upper bound of its query
 cannot be among the k nearest; that is decided in the tile, and again over all
-tiles of a query.  The pairs left fetch their original vectors, are recomputed in
+tiles of a query.  Of equal vectors, which no bound tells apart, the k smallest ids
+are left, so copies of a vector don't multiply the pairs.  The pairs left fetch their original vectors, are recomputed in
 double precision and merged by heaps.  The bounds are strict, so the result is
 exact and no recall is lost.
 """
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,17 +100,19 @@ def add_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = TaskContext.get().partitionId() << 40
     for batch in batches:
         length = batch["length"].to_numpy()
-        codes, scale, error = [b""] * len(length), np.zeros(len(length)), np.zeros(len(length))
+        codes, scale, error, twin = [b""] * len(length), np.zeros(len(length)), np.zeros(len(length)), np.zeros(len(length), np.int64)
         for n in np.unique(length).tolist():
             mine = np.flatnonzero(length == n)
-            c, s, e = quantise(_matrix(pa.chunked_array([batch["vector"].take(pa.array(mine))])))
+            x = _matrix(pa.chunked_array([batch["vector"].take(pa.array(mine))])).astype(np.float64) + 0.0  # one zero
+            c, s, e = quantise(x)
             scale[mine], error[mine] = s, e
+            twin[mine] = np.array([xxhash.xxh3_64_intdigest(v) for v in map(np.ndarray.tobytes, x)], np.uint64).view(np.int64)
             for i, x in zip(mine.tolist(), c, strict=True):
                 codes[i] = x.tobytes()
         rows = at + np.arange(len(length))
         at += len(length)
-        columns = [pa.array(rows), batch["id"], batch["is_query"], batch["length"], batch["vector"], pa.array(codes, pa.binary()), pa.array(scale), pa.array(error)]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "is_query", "length", "vector", "codes", "scale", "error"])
+        columns = [pa.array(rows), batch["id"], batch["is_query"], batch["length"], batch["vector"], pa.array(codes, pa.binary()), pa.array(scale), pa.array(error), pa.array(twin)]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "is_query", "length", "vector", "codes", "scale", "error", "twin"])
 
 
 def _codes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,22 +120,31 @@ def _codes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat.reshape(rows.num_rows, -1), rows["scale"].to_numpy(), rows["error"].to_numpy()
 
 
-_PAIRS = "query_block int, stripe int, query_row long, row long, low double, high double"
+_PAIRS = "query_block int, stripe int, query_row long, row long, vec long, twin long, low double, high double"
+_PAIR = {"query_row": np.int64, "row": np.int64, "vec": np.int64, "twin": np.int64, "low": np.float64, "high": np.float64}
 
 
-def _pairs(block: int, stripe: int, query: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
-    n = len(query)
-    return pa.table({"query_block": pa.array(np.full(n, block, np.int32)), "stripe": pa.array(np.full(n, stripe, np.int32)), "query_row": pa.array(query), "row": pa.array(row), "low": pa.array(low), "high": pa.array(high)})
+def _pairs(block: int, stripe: int, k: int, *columns: np.ndarray) -> pa.Table:
+    """Pairs of a query and a candidate; of equal candidates of a query the k that come first by id."""
+    query, row, vec, twin, low, _ = columns
+    order = np.lexsort((row, vec, low, twin, query))
+    q, t, d = query[order], twin[order], low[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(q)), bool), (q[1:] != q[:-1]) | (t[1:] != t[:-1]) | (d[1:] != d[:-1])]))
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    kept = order[place < k]
+    numbers = {"query_block": np.full(len(kept), block, np.int32), "stripe": np.full(len(kept), stripe, np.int32)}
+    return pa.table({c: pa.array(v) for c, v in (numbers | {c: v[kept] for c, v in zip(_PAIR, columns, strict=True)}).items()})
 
 
 def _tile(k: int):
     """The pairs of a tile whose bounds leave them in question."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        out = [tuple(np.zeros(0, d) for d in _PAIR.values())]
         if left.num_rows and right.num_rows:
             q, c = _codes(left), _codes(right)
             qi, ci, qr, cr = left["id"].to_numpy(), right["id"].to_numpy(), left["row"].to_numpy(), right["row"].to_numpy()
+            twin = right["twin"].to_numpy()
             step = max(1, CELLS // len(ci))
             for at in range(0, len(qi), step):
                 low, high = code_bounds(tuple(x[at : at + step] for x in q), c)
@@ -140,8 +153,8 @@ def _tile(k: int):
                 limit = np.partition(reach, k - 1, axis=1)[:, k - 1] if len(ci) > k else np.full(len(low), np.inf)
                 # a bound that is no number decides nothing
                 i, j = np.nonzero(~(low > limit[:, None]) & ~same)
-                out.append((qr[at + i], cr[j], low[i, j], high[i, j]))
-        return _pairs(key[0].as_py(), key[1].as_py() // FAN_IN, *map(np.concatenate, zip(*out, strict=True)))
+                out.append((qr[at + i], cr[j], ci[j], twin[j], low[i, j], high[i, j]))
+        return _pairs(key[0].as_py(), key[1].as_py() // FAN_IN, k, *map(np.concatenate, zip(*out, strict=True)))
 
     return run
 
@@ -150,15 +163,16 @@ def _narrow(k: int):
     """Of the pairs of several tiles those that the k-th smallest upper bound of their query leaves in question."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        query, row, low, high = (rows[c].to_numpy() for c in ("query_row", "row", "low", "high"))
-        reach = np.where(np.isnan(high), np.inf, high)
-        order = np.lexsort((reach, query))
-        query, row, low, high, reach = (v[order] for v in (query, row, low, high, reach))
+        columns = [rows[c].to_numpy() for c in _PAIR]
+        reach = np.where(np.isnan(columns[-1]), np.inf, columns[-1])
+        order = np.lexsort((reach, columns[0]))
+        columns, reach = [v[order] for v in columns], reach[order]
+        query, low = columns[0], columns[-2]
         first = runs(query)
         n = np.diff(np.append(first, len(query)))
         limit = np.where(n > k, reach[np.minimum(first + k - 1, first + n - 1)], np.inf) if len(first) else np.zeros(0)
         keep = ~(low > np.repeat(limit, n))
-        return _pairs(key[0].as_py(), key[1].as_py() // FAN_IN, query[keep], row[keep], low[keep], high[keep])
+        return _pairs(key[0].as_py(), key[1].as_py() // FAN_IN, k, *(v[keep] for v in columns))
 
     return run
 
@@ -209,13 +223,13 @@ def nearest(
     v = F.col(vector_column).cast("array<double>")
     plain = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"), usable(v).alias("_ok")).filter("_ok and id is not null").drop("_ok")
     kind = plain.schema["vector"].dataType.simpleString()
-    schema = f"row long, id long, is_query boolean, length int, vector {kind}, codes binary, scale double, error double"
+    schema = f"row long, id long, is_query boolean, length int, vector {kind}, codes binary, scale double, error double, twin long"
     coded = cut(plain.withColumn("length", F.size("vector")).select("id", "is_query", "length", "vector").mapInArrow(add_codes, schema))
     sizes = coded.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"), F.max("length").alias("d")).first()
     fit = max(1, BLOCK_BYTES // (sizes["d"] or 1))
     n_c, n_q = -(-sizes["n"] // min(candidate_rows, fit)) or 1, -(-sizes["q"] // min(query_rows, fit)) or 1
     mixed = F.xxhash64("row", F.lit(7))
-    code = [F.col(x).alias(x) for x in ("length", "id", "row", "codes", "scale", "error")]  # a cogroup's sides share no column
+    code = [F.col(x).alias(x) for x in ("length", "id", "row", "codes", "scale", "error", "twin")]  # a cogroup's sides share no column
     # the length is a part of both block keys, so that a tile holds vectors of one length
     q = coded.filter("is_query").select(F.pmod(mixed, F.lit(n_q)).cast("int").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("block"), *code)
     c = coded.select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("query_block"), F.pmod(mixed, F.lit(n_c)).cast("int").alias("block"), *code)
