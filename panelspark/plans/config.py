@@ -9,6 +9,8 @@ SEED = 7
 AXES = ["total", "sex", "education_level", "sex_x_area"]
 PERSON_COLUMNS = ["sex", "age", "area", "education_level", "marital_status"]
 
+#: Matching persons for one place of a quota, in definitions that grow with the persons table.
+PERSONS_PER_QUOTA = 20
 #: Disjoint cells, and cells that overlap.
 CELLS = [
     {"cell_id": "M_18_39", "sex": "男", "age_min": 18, "age_max": 39, "n": 60},
@@ -51,9 +53,9 @@ def questions(surveys: DataFrame) -> DataFrame:
     return surveys.select("survey_id", F.explode(asked).alias("q")).select("survey_id", "q.*")
 
 
-def cells(spark: SparkSession) -> DataFrame:
-    total = sum(c["n"] for c in CELLS)
-    return spark.createDataFrame([("s1", c["cell_id"], i, c["n"], total, c["sex"]) for i, c in enumerate(CELLS)], "survey_id string, cell_id string, ord int, n int, size int, sex string").selectExpr("*", "cast(null as double) as proportion")
+def cells(spark: SparkSession, sized: list[dict]) -> DataFrame:
+    total = sum(c["n"] for c in sized)
+    return spark.createDataFrame([("s1", c["cell_id"], i, c["n"], total, c["sex"]) for i, c in enumerate(sized)], "survey_id string, cell_id string, ord int, n int, size int, sex string").selectExpr("*", "cast(null as double) as proportion")
 
 
 def stimuli(surveys: DataFrame) -> DataFrame:

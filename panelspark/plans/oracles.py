@@ -91,7 +91,9 @@ select survey_id, sex, case when count(*) = count(age_min) then min(age_min) end
 union all select survey_id, case when count(distinct sex) = 1 then min(sex) end, min(lo), max(hi), -1 from ranges group by survey_id""", "typed_cells", "ranges")
 
 # draw
-CELL_ROWS = rows("cell_id, ord, sex, age_min, age_max, n", [(c["cell_id"], i, c["sex"], c["age_min"], c["age_max"], c["n"]) for i, c in enumerate(C.CELLS)])
+_CELL_ROWS = rows("cell_id, ord, sex, age_min, age_max, n", [(c["cell_id"], i, c["sex"], c["age_min"], c["age_max"], c["n"]) for i, c in enumerate(C.CELLS)])
+
+CELL_ROWS = f"select * replace (cast(greatest(n, (select count(*) from persons p where p.sex = c.sex and p.age between c.age_min and c.age_max) // {C.PERSONS_PER_QUOTA}) as int) as n) from ({_CELL_ROWS}) c"
 
 
 def drawn(times: int) -> dict[str, str]:
@@ -117,7 +119,7 @@ select cell_id, requested, achieved, candidates, round(case when achieved = 0 th
 from shortfall union all select null, sum(requested), sum(achieved), null, null from shortfall""", "persons", also=drawn(6) | {"shortfall": """
 select d.cell_id, d.n * 6 as requested, (select count(*) from drawn x where x.cell_id = d.cell_id) as achieved,
        (select count(*) from persons p where p.sex = d.sex and p.age between d.age_min and d.age_max) as candidates from dim d"""})
-_total = sum(c["n"] for c in C.CELLS)
+_total = "(select sum(n) from dim)"
 put("panel_build", f"""
 select 's1' as survey_id, uuid as persona_uuid, w.cell_id, 'main' as role, cell_rank, '{",".join(C.STIMULI)}' as assigned_stimuli,
        round((w.n / {_total}) / (count(*) over (partition by w.cell_id) / count(*) over ()), 6) as weight

@@ -131,8 +131,14 @@ def target_summary(spark, sf):
 # draw
 
 
+def _sized(spark, sf, times: int = 1) -> list[dict]:
+    """The cells with quotas that grow with the persons: one in twenty, and no fewer than defined."""
+    counts = {r["cell_id"]: r["candidates"] for r in Q.match_counts(view(spark, sf, "persons"), C.CELLS).collect()}  # a row per cell
+    return [c | {"n": max(c["n"], counts[c["cell_id"]] // C.PERSONS_PER_QUOTA) * times} for c in C.CELLS]
+
+
 def _drawn(spark, sf, times: int = 1):
-    return D.draw(view(spark, sf, "persons"), [c | {"n": c["n"] * times} for c in C.CELLS], C.SEED)
+    return D.draw(view(spark, sf, "persons"), _sized(spark, sf, times), C.SEED)
 
 
 def _candidates(spark, sf):
@@ -152,14 +158,14 @@ def panel_draw_overlap(spark, sf):
 
 @query
 def panel_shortfall(spark, sf):
-    cells = [c | {"n": c["n"] * 6} for c in C.CELLS]
+    cells = _sized(spark, sf, 6)
     persons = view(spark, sf, "persons")
     return D.draw_report(D.draw(persons, cells, C.SEED), Q.match_counts(persons, cells), cells)
 
 
 @query
 def panel_report(spark, sf):
-    cells = [c | {"n": c["n"] * 6} for c in C.CELLS]
+    cells = _sized(spark, sf, 6)
     persons = view(spark, sf, "persons")
     report = D.draw_report(D.draw(persons, cells, C.SEED), Q.match_counts(persons, cells), cells)
     return rounded(D.composition_report(report), "weight")
@@ -167,7 +173,7 @@ def panel_report(spark, sf):
 
 @query
 def panel_build(spark, sf):
-    panel = D.build_panel(_drawn(spark, sf), C.cells(spark), "s1", C.STIMULI, screening=False)
+    panel = D.build_panel(_drawn(spark, sf), C.cells(spark, _sized(spark, sf)), "s1", C.STIMULI, screening=False)
     return rounded(panel, "weight").withColumn("assigned_stimuli", text_of("assigned_stimuli"))
 
 
@@ -213,7 +219,7 @@ def screen_verdicts(spark, sf):
 
 @query
 def screen_finalize(spark, sf):
-    cells, candidates = C.cells(spark), _candidates(spark, sf)
+    cells, candidates = C.cells(spark, _sized(spark, sf)), _candidates(spark, sf)
     final = E.finalise(candidates, _verdicts(candidates), cells, C.STIMULI)
     short = E.shortfalls(final, cells).select("survey_id", "cell_id", F.col("short").cast("long"))
     return rounded(final.join(F.broadcast(short), ["survey_id", "cell_id"]), "weight").withColumn("assigned_stimuli", text_of("assigned_stimuli"))
