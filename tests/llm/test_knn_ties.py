@@ -37,11 +37,8 @@ def test_pairs_do_not_grow_with_copies(spark):
     rnd = np.random.default_rng(3)
     rows = [(i, [0.25, 0.5, 0.75, 1.0]) for i in range(5_000)] + [(5_000 + i, rnd.normal(size=4).tolist()) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-
     coded = df.select(F.col("vec_id").alias("id"), F.lit(True).alias("is_query"), F.size("embedding").alias("length"), F.col("embedding").alias("vector")).mapInArrow(knn.add_codes, "row long, id long, is_query boolean, length int, vector array<double>, codes binary, scale double, error double, twin long")
     table = coded.filter("id % 100 = 0").toArrow(), coded.toArrow()
-
-
     pairs = knn._tile(10)((pa.scalar(0), pa.scalar(0), pa.scalar(4)), *table)
     copies = [q for q, v in zip(pairs["query_row"].to_pylist(), pairs["vec"].to_pylist(), strict=True) if v < 5_000]
     assert max(copies.count(q) for q in set(copies)) <= 10
