@@ -53,6 +53,8 @@ FLUSH_TOKENS = 1 << 20
 END = np.uint64(0x5EED0FE2D0C0FFEE)
 #: Four bits for each pair of bytes.
 _PAIR = B.mix(np.arange(1 << 16, dtype=np.uint64), 80) >> np.uint64(60)
+#: A row of weights as one item, and what adds its branches up.
+_ROW, _ONES = np.dtype((np.void, 4 * BRANCHES)), np.ones(BRANCHES, np.float32)
 #: Masks of the first bytes of eight.
 _FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -208,7 +210,8 @@ class Model:
 
 
 def _log_softmax_at(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return z[np.arange(len(y)), y].astype(np.float64) - np.log(np.exp(z).sum(axis=1, dtype=np.float64))
+    at = z.reshape(-1)[np.arange(len(y)) * BRANCHES + y].astype(np.float64)
+    return at - np.log((np.exp(z, out=z) @ _ONES).astype(np.float64))
 
 
 class Trainer:
@@ -220,15 +223,19 @@ class Trainer:
         self.model = Model(model.total, model.distinct, model.mass, self.weights)
         self.seen = np.zeros(len(self.weights), np.float32)
         self.last = np.zeros(len(self.weights), np.int32)
+        self.whole = self.weights.view(_ROW).reshape(-1)  # rows as one item each, which are copied faster
+        self.room = np.empty((BATCH_TOKENS, BRANCHES), np.float32)
 
     def step(self, rows: np.ndarray, w: np.ndarray, gradient: np.ndarray, square: np.ndarray) -> None:
         """One step of each row (w: what they hold); of equal rows the last one counts."""
         seen = self.seen.take(rows) + square
         self.seen[rows] = seen
-        rate = (self.rate / np.sqrt(seen + 1))[:, None]
-        w *= 1 - PENALTY * rate
-        w -= gradient * rate
-        self.weights[rows] = w
+        move = self.room[: len(rows)]
+        np.multiply(w, np.float32(PENALTY), out=move)
+        move += gradient
+        move *= (self.rate / np.sqrt(seen + 1))[:, None]
+        w -= move
+        self.whole[rows] = w.view(_ROW).reshape(-1)
 
     def learn(self, code: np.ndarray, offsets: np.ndarray) -> None:
         """Every token is predicted, and its gradient applied: where several of a mini-batch fall on one row, one takes a step and the others' sum another."""
@@ -243,8 +250,8 @@ class Trainer:
                 for w in held:
                     z += w
                 np.exp(z, out=z)
-                z *= 1 / z.sum(axis=1, keepdims=True)
-                z[at, m.branch(mine, level)] -= 1
+                z *= (1 / (z @ _ONES))[:, None]
+                z.reshape(-1)[at * BRANCHES + m.branch(mine, level)] -= 1
                 square = np.einsum("ij,ij->i", z, z)
                 for r, w in zip(rows, held, strict=True):
                     self.last[r] = at
