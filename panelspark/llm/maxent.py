@@ -222,7 +222,7 @@ class Trainer:
         self.weights = model.weights.copy()
         self.model = Model(model.total, model.distinct, model.mass, self.weights)
         self.seen = np.zeros(len(self.weights), np.float32)
-        self.last = np.zeros(len(self.weights), np.int32)
+        self.last = np.zeros(len(self.weights), np.int16)  # places in a mini-batch
         self.whole = self.weights.view(_ROW).reshape(-1)  # rows as one item each, which are copied faster
         self.room = np.empty((BATCH_TOKENS, BRANCHES), np.float32)
 
@@ -242,7 +242,7 @@ class Trainer:
         m, every = self.model, self.model.contexts(code, offsets)
         for a in range(0, len(code), BATCH_TOKENS):
             mine, context = code[a : a + BATCH_TOKENS], [c[a : a + BATCH_TOKENS] for c in every]
-            at = np.arange(len(mine), dtype=np.int32)
+            at, first_of = np.arange(len(mine), dtype=np.int16), np.arange(0, len(mine) * BRANCHES, BRANCHES)
             for level in range(m.depth):
                 z = m.offset[level].take((mine >> np.uint64(64 - BITS * level)).astype(np.int64) if level else np.zeros(len(mine), np.int64), axis=0)
                 rows = [m.rows(c, mine, level) for c in context]
@@ -251,7 +251,7 @@ class Trainer:
                     z += w
                 np.exp(z, out=z)
                 z *= (1 / (z @ _ONES))[:, None]
-                z.reshape(-1)[at * BRANCHES + m.branch(mine, level)] -= 1
+                z.reshape(-1)[first_of + m.branch(mine, level)] -= 1
                 square = np.einsum("ij,ij->i", z, z)
                 for r, w in zip(rows, held, strict=True):
                     self.last[r] = at
