@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,13 +26,16 @@ def asking_order(questions: DataFrame) -> DataFrame:
     return questions.withColumn("ask_pos", (F.row_number().over(Window.partitionBy("survey_id").orderBy("slot", "ord")) - 1).cast("int"))
 
 
-def plan_work(panel: DataFrame, questions: DataFrame) -> DataFrame:
-    """A unit per main panel row and question, with the concept its slot names; a slot without a concept is an error."""
-    main = panel.filter(F.col("role") == "main").select("survey_id", "persona_uuid", "assigned_stimuli")
+def plan_work(panel: DataFrame, questions: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """A unit per main panel row and question, with the concept its slot names; a slot without a concept is an error.
+
+    Columns of the panel named in ``carried`` come along.
+    """
+    main = panel.filter(F.col("role") == "main").select("survey_id", "persona_uuid", "assigned_stimuli", *carried)
     units = main.join(questions.select("survey_id", "question_id", "slot", "ask_pos"), "survey_id")
     units = units.withColumn("stimulus_id", F.try_element_at("assigned_stimuli", F.col("slot")))
     fine = F.assert_true(F.col("stimulus_id").isNotNull(), "a slot has no assigned concept")
-    return units.filter(fine.isNull()).select("survey_id", "persona_uuid", "question_id", "stimulus_id", F.col("slot").alias("sequence"), "ask_pos")
+    return units.filter(fine.isNull()).select("survey_id", "persona_uuid", "question_id", "stimulus_id", F.col("slot").alias("sequence"), "ask_pos", *carried)
 
 
 def memory_edges(questions: DataFrame) -> DataFrame:

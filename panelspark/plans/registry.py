@@ -253,8 +253,18 @@ def premises(spark, sf):
 # work plan
 
 
-def _questions(spark, sf):
-    return C.questions(view(spark, sf, "fielded"))
+def _written(spark, sf):
+    """All replies and the surveys fielded, computed and written once, for queries that read them several times."""
+    raw = cut(view(spark, sf, "responses_raw"))
+    return _with_surveys(spark, sf, {"responses_raw": raw})
+
+
+def _with_surveys(spark, sf, written):
+    return written | {"fielded": cut(view(spark, sf, "fielded", written))}
+
+
+def _questions(spark, sf, written=None):
+    return C.questions(view(spark, sf, "fielded", written))
 
 
 def _stimuli(spark, sf):
@@ -265,8 +275,8 @@ def _refs(df):
     return df.withColumn("refs", F.filter(F.array("ref_a", "ref_b"), lambda x: x.isNotNull()))
 
 
-def _panel(spark, sf):
-    return view(spark, sf, "panel").withColumn("assigned_stimuli", F.array(*map(F.lit, C.STIMULI)))
+def _panel(spark, sf, written=None):
+    return view(spark, sf, "panel", written).withColumn("assigned_stimuli", F.array(*map(F.lit, C.STIMULI)))
 
 
 def _plan(spark, sf):
@@ -363,11 +373,13 @@ def row_flags(spark, sf):
     return _parsed(spark, sf).select("persona_uuid", "question_id", text_of("flags").alias("flags"))
 
 
-def _responses(spark, sf):
+def _responses(spark, sf, written=None):
     """Parsed, straightlining marked, with the options' order."""
     order = F.when(number() % 2 == 0, F.array(*map(F.lit, [3, 1, 2, 5, 4]))).otherwise(F.array(*map(F.lit, [1, 2, 3, 4, 5])))
-    parsed = O.parse_answers(view(spark, sf, "responses_raw"), _questions(spark, sf))
-    return O.mark_straightlining(parsed, _questions(spark, sf)).withColumn("options_order", order)
+    written = written or _written(spark, sf)
+    q = _questions(spark, sf, written)
+    parsed = O.parse_answers(view(spark, sf, "responses_raw", written), q)
+    return O.mark_straightlining(parsed, q).withColumn("options_order", order)
 
 
 @query
@@ -400,16 +412,21 @@ def question_blocks(spark, sf):
 
 
 def _messages(spark, sf, missing=None, sample=False, images=False):
-    q = W.asking_order(_questions(spark, sf))
+    written = _written(spark, sf)
+    q = W.asking_order(_questions(spark, sf, written))
     ids = F.filter(F.array(*(F.lit(x) for x, *_ in C.QUESTIONS)), lambda x: F.substring_index(x, "_s", -1) == F.col("slot").cast("string"))
     q = q.withColumn("remember", F.lit("list")).withColumn("refs", F.slice(ids, 1, F.col("ord")))
     edges = W.memory_edges(q)
     options = F.transform(F.sequence(F.lit(1), F.greatest("n_options", F.lit(1))), lambda i: F.concat(F.lit("opt"), i.cast("string")))
     blocks = q.select("survey_id", "question_id", "slot", M.question_block(F.concat(F.lit("Question "), "question_id"), F.col("type"), options, C.RULES, C.REASON_RULES, F.lit(False), F.lit(None), F.lit(None)).alias("block"), F.concat(F.lit(M.HEADINGS["stimulus"] + "\nConcept "), F.col("slot").cast("string")).alias("stimulus_block"), F.concat(F.lit("system "), "measure").alias("system"))
-    answers = view(spark, sf, "responses_raw").select("survey_id", "persona_uuid", "question_id", F.col("answer_raw").alias("answer"))
+    answers = view(spark, sf, "responses_raw", written).select("survey_id", "persona_uuid", "question_id", F.col("answer_raw").alias("answer"))
     profile = view(spark, sf, "persons").select(F.col("uuid").alias("persona_uuid"), M.person_card(C.ATTRIBUTES, None, C.FIELDS).alias("profile"))
-    units = W.plan_work(_panel(spark, sf), q)
-    units = (M.prompt_sample(units) if sample else units).join(profile, "persona_uuid")
+    panel = _panel(spark, sf, written)
+    if sample:
+        units = M.prompt_sample(W.plan_work(panel, q)).join(profile, "persona_uuid")
+    else:  # profiles and answers meet panel rows, not the units of their questions
+        panel = panel.join(profile, "persona_uuid").join(M.replies_by_person(answers), ["survey_id", "persona_uuid"], "left")
+        units, answers = W.plan_work(panel, q, ["profile", "given"]), None
     if images:  # of the second concept one, of the third one that is no image and one that is
         blocks = blocks.withColumn("images", F.when(F.col("slot") == 2, F.array(F.lit("img/2.png"))).when(F.col("slot") == 3, F.array(F.lit(""), F.lit('img/"3".png'))))
     out = M.message_rows(units, edges, blocks, answers, missing)
@@ -486,7 +503,8 @@ def panel_summary(spark, sf):
 
 
 def _frame(spark, sf):
-    return X.answer_frame(_responses(spark, sf), view(spark, sf, "panel"), view(spark, sf, "persons"), _questions(spark, sf), C.PERSON_COLUMNS)
+    written = _written(spark, sf)
+    return X.answer_frame(_responses(spark, sf, written), view(spark, sf, "panel", written), view(spark, sf, "persons"), _questions(spark, sf, written), C.PERSON_COLUMNS)
 
 
 @query
