@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import answers as A
@@ -39,10 +39,14 @@ def parse_answers(raw: DataFrame, questions: DataFrame) -> DataFrame:
 
 def mark_straightlining(responses: DataFrame, questions: DataFrame, least: int = 3) -> DataFrame:
     """The flag straightline on all rows of a person whose coded single and scale answers, at least ``least``, stand at one place; taken off all others."""
-    asked = questions.filter(F.col("type").isin("single", "scale")).select("survey_id", "question_id")
-    coded = responses.join(asked, ["survey_id", "question_id"], "left_semi").filter(F.size("answer_codes") > 0)
-    place = F.col("answer_codes")[0]
-    same = coded.groupBy("survey_id", "persona_uuid").agg(((F.count("*") >= least) & (F.min(place) == F.max(place))).alias("_same")).filter("_same")
-    df = responses.join(same, ["survey_id", "persona_uuid"], "left")
+    asked = questions.filter(F.col("type").isin("single", "scale")).select("survey_id", "question_id").distinct().withColumn("_asked", F.lit(True))
+    df = responses.join(asked, ["survey_id", "question_id"], "left")
+    # a window holds one person's answers to one survey; answers are parsed and dealt once
+    own = Window.partitionBy("survey_id", "persona_uuid")
+    place = F.when(F.col("_asked") & (F.size("answer_codes") > 0), F.get("answer_codes", F.lit(0)))
+    coded = F.when(F.col("_asked") & (F.size("answer_codes") > 0), True)
+    df = df.withColumns({"_place": place, "_coded": coded})
+    same = (F.count("_coded").over(own) >= least) & (F.min("_place").over(own) == F.max("_place").over(own)) & F.col("survey_id").isNotNull() & F.col("persona_uuid").isNotNull()
+    df = df.withColumn("_same", same)
     plain = F.array_except(F.coalesce("flags", F.array().cast("array<string>")), F.array(F.lit("straightline")))
-    return df.withColumn("flags", F.when(F.col("_same"), F.array_append(plain, "straightline")).otherwise(plain)).drop("_same").select(*responses.columns)
+    return df.withColumn("flags", F.when(F.col("_same"), F.array_append(plain, "straightline")).otherwise(plain)).select(*responses.columns)

@@ -26,7 +26,7 @@ def answer_frame(responses: DataFrame, panel: DataFrame, persons: DataFrame, que
     main = panel.filter(F.col("role") == "main").select("survey_id", "persona_uuid", "cell_id", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     who = persons.select(F.col("uuid").alias("persona_uuid"), *columns)
     df = responses.join(questions.select("survey_id", "question_id", "measure", "type", "n_options"), ["survey_id", "question_id"])
-    df = df.join(main, ["survey_id", "persona_uuid"]).join(who, "persona_uuid", "left")
+    df = df.join(main.join(who, "persona_uuid", "left"), ["survey_id", "persona_uuid"])
     return df.withColumn("codes", defined_codes(F.col("answer_codes"), F.col("options_order"))).withColumn("flagged", has_quality_flag(F.col("flags")))
 
 
