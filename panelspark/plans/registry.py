@@ -520,14 +520,16 @@ def answer_frame(spark, sf):
 
 @query
 def answer_frame_colocated(spark, sf):
-    """The frame over responses, panel and persons that are dealt alike by person: no join shuffles any of them."""
+    """The frame over responses, panel and persons that are dealt alike by person: parsed and joined without a shuffle of any of them."""
     names = {c: f"panelspark_{c}_{uuid.uuid4().hex}" for c in ("responses", "panel", "persons")}
-    tables = {"responses": (_responses(spark, sf), "persona_uuid"), "panel": (view(spark, sf, "panel"), "persona_uuid"), "persons": (view(spark, sf, "persons"), "uuid")}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        for c, (df, key) in tables.items():
-            write_bucketed(df, names[c], key, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        write_bucketed(view(spark, sf, "responses_raw"), names["responses"], "persona_uuid", n)
+        written = _with_surveys(spark, sf, {"responses_raw": spark.table(names["responses"])})
+        write_bucketed(view(spark, sf, "panel", written), names["panel"], "persona_uuid", n)
+        write_bucketed(view(spark, sf, "persons"), names["persons"], "uuid", n)
         with colocated(spark):
-            frame = cut(X.answer_frame(*(spark.table(names[c]) for c in names), _questions(spark, sf), C.PERSON_COLUMNS))
+            frame = cut(X.answer_frame(_responses(spark, sf, written), spark.table(names["panel"]), spark.table(names["persons"]), _questions(spark, sf, written), C.PERSON_COLUMNS))
     finally:
         for name in names.values():
             spark.sql(f"drop table if exists {name}")
