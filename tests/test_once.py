@@ -81,3 +81,13 @@ def test_frame_deals_answers_by_survey_and_person_only(spark):
     q = spark.createDataFrame([("s", "q", "m", "single", 5)], "survey_id string, question_id string, measure string, type string, n_options int")
     got = sorted((f["persona_uuid"], f["weight"], f["age"]) for f in X.answer_frame(r, panel, persons, q, ["age"]).collect())
     assert got == [("p", 1.0, 5), ("x", 2.0, None)]
+
+
+def test_image_parts_are_made_once_a_question(spark):
+    """Parts made beforehand give the same contents, and a text is written as JSON a single time."""
+    df = spark.createDataFrame([('a "b"', ["u/1.png", None, "", 'x"y']), ("c\n", [""]), (None, None)], "text string, uris array<string>")
+    got = df.select(M.content_of(M.F.col("text"), M.F.col("uris")).alias("a"), M.content_with(M.F.col("text"), M.image_parts(M.F.col("uris"))).alias("b"), M.with_images(M.F.col("text"), M.F.col("uris")).alias("c")).select(M.F.to_json("a").alias("a"), M.F.to_json("b").alias("b"), "c").collect()
+    assert all(r["a"] == r["b"] for r in got) and got[1]["c"] == got[1]["a"] == '"c\\n"'
+    assert got[0]["c"] == '[{"type":"text","text":"a \\"b\\""},{"type":"image_url","image_url":{"url":"u/1.png"}},{"type":"image_url","image_url":{"url":"x\\"y"}}]'
+    listed = plan_of(df.select(M.listed(M.F.col("text"), M.F.lit("{}")).alias("x")))
+    assert len(re.findall(r"to_json|StructsToJson", listed)) <= 1
